@@ -129,3 +129,167 @@ def adf(n: int, total: float, cross, head, tail, max_lag: int) -> tuple:
     stat = float(beta[1] / se) if se > 0 else math.nan
     p = adf_p_value(stat) if stat == stat else None
     return (stat if stat == stat else None, p, lag, nobs, *adf_critical(nobs))
+
+
+def companion(theta) -> np.ndarray:
+    """Step matrix of the last q residuals: s' = A s (+ the new input in front)."""
+    q = len(theta)
+    a = np.zeros((q, q))
+    if q:
+        a[0] = -np.asarray(theta, float)
+        a[1:, :-1] = np.eye(q - 1)
+    return a
+
+
+def ma_filter(u: np.ndarray, theta, state: np.ndarray, chunk: int = 64) -> np.ndarray:
+    """e_t = u_t - sum theta_j e_{t-j}, per column; ``state`` holds e_{-1}, e_{-2}, ...
+
+    Runs in chunks: inside a chunk the filter is one triangular matrix, so the loop
+    is over chunks, not slots.
+    """
+    q, n = len(theta), len(u)
+    if q == 0 or n == 0:
+        return u.copy()
+    theta = np.asarray(theta, float)
+    chunk = max(chunk, q)
+    h = np.zeros(chunk)
+    h[0] = 1.0
+    for t in range(1, chunk):
+        r = min(q, t)
+        h[t] = -theta[:r] @ h[t - r:t][::-1]
+    lag = np.subtract.outer(np.arange(chunk), np.arange(chunk))
+    tri = np.where(lag >= 0, h[np.abs(lag)], 0.0)
+    prior = np.zeros((chunk, q))
+    for i in range(q):
+        prior[i, :q - i] = theta[i:]
+    carry = tri @ prior
+    e, prev = np.empty_like(u), np.asarray(state, float)
+    for b in range(0, n, chunk):
+        m = min(chunk, n - b)
+        e[b:b + m] = tri[:m, :m] @ u[b:b + m] - carry[:m] @ prev
+        prev = np.concatenate([e[b:b + m][::-1], prev])[:q]
+    return e
+
+
+def innovations_input(x: np.ndarray, halo: int, start: int, mu: float, phi) -> np.ndarray:
+    """phi(B)(y - mu) over the slots after the halo; 0 for the first p slots of a series."""
+    p, d = len(phi), x - mu
+    body = len(x) - halo
+    u = d[halo:].copy()
+    for i, f in enumerate(phi, 1):
+        u -= f * d[halo - i:halo - i + body]
+    if start < p:
+        u[:p - start] = 0.0
+    return u
+
+
+def admissible(phi, theta) -> bool:
+    for coef in (-np.asarray(phi, float), np.asarray(theta, float)):
+        if len(coef) and (not np.all(np.isfinite(coef))
+                          or np.abs(np.linalg.eigvals(companion(coef))).max() >= 0.9999):
+            return False
+    return True
+
+
+def _shrunk(phi, theta, r: float = 0.9):
+    while not admissible(phi, theta):
+        phi = phi * r ** np.arange(1, len(phi) + 1)
+        theta = theta * r ** np.arange(1, len(theta) + 1)
+    return phi, theta
+
+
+def css_start(y: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Hannan-Rissanen: long autoregression, then least squares on lags and its residuals."""
+    mu = float(y.mean())
+    d = y - mu
+
+    def lags(z, k, start):
+        return np.column_stack([z[start - i:len(z) - i] for i in range(1, k + 1)]) \
+            if k else np.zeros((len(z) - start, 0))
+
+    phi, theta = np.zeros(p), np.zeros(q)
+    long = min(max(10, 2 * (p + q)), len(y) // 4)
+    if p + q and long > max(p, q):
+        a = np.linalg.lstsq(lags(d, long, long), d[long:], rcond=None)[0]
+        e = np.concatenate([np.zeros(long), d[long:] - lags(d, long, long) @ a])
+        s = long + max(p, q)
+        coef = np.linalg.lstsq(np.hstack([lags(d, p, s), lags(e, q, s)]), d[s:], rcond=None)[0]
+        phi, theta = _shrunk(coef[:p], coef[p:])
+    return np.concatenate([[mu], phi, theta])
+
+
+def css_residuals(y: np.ndarray, beta: np.ndarray, p: int, q: int) -> np.ndarray:
+    padded = np.concatenate([np.zeros(p), y])
+    u = innovations_input(padded, p, 0, beta[0], beta[1:1 + p])
+    return ma_filter(u[:, None], beta[1 + p:], np.zeros((q, 1)))[:, 0]
+
+
+def css_jacobian(y: np.ndarray, e: np.ndarray, beta: np.ndarray, p: int, q: int) -> np.ndarray:
+    d, n = y - beta[0], len(y)
+    u = np.zeros((n, 1 + p))
+    u[p:, 0] = -(1.0 - beta[1:1 + p].sum())
+    for i in range(1, p + 1):
+        u[p:, i] = -d[p - i:n - i]
+    v = np.zeros((n, q))
+    for j in range(1, q + 1):
+        v[j:, j - 1] = -e[:n - j]
+    v[:p] = 0.0
+    both = np.hstack([u, v])
+    return ma_filter(both, beta[1 + p:], np.zeros((q, both.shape[1])))
+
+
+def damped_step(jj: np.ndarray, je: np.ndarray, lam: float) -> np.ndarray:
+    return -np.linalg.solve(jj + lam * np.diag(np.diag(jj) + 1e-12), je)
+
+
+def css_fit(y: np.ndarray, p: int, q: int, rounds: int = 100):
+    """Conditional least squares by damped Gauss-Newton: (beta, sse, converged)."""
+    beta = css_start(y, p, q)
+    e = css_residuals(y, beta, p, q)
+    sse, lam = float(e @ e), 1e-3
+    for _ in range(rounds):
+        j = css_jacobian(y, e, beta, p, q)
+        jj, je = j.T @ j, j.T @ e
+        moved = False
+        while lam < 1e12:
+            new = beta + damped_step(jj, je, lam)
+            if admissible(new[1:1 + p], new[1 + p:]):
+                e_new = css_residuals(y, new, p, q)
+                sse_new = float(e_new @ e_new)
+                if sse_new <= sse:
+                    moved = True
+                    break
+            lam *= 10.0
+        if not moved:
+            return beta, sse, bool(np.all(np.abs(je) <= 1e-5 * np.sqrt(np.diag(jj) * sse + 1e-300)))
+        gain, beta, e, sse, lam = sse - sse_new, new, e_new, sse_new, max(lam / 10.0, 1e-12)
+        if gain <= 1e-13 * sse:
+            return beta, sse, True
+    return beta, sse, False
+
+
+def ar_from_summary(n: int, total: float, cross, head, tail, p: int):
+    """Least-squares AR(p) with constant: (mu, phi, sse)."""
+    g, _, m = centred_gram(n, total, cross, head, tail, p)
+    beta, sse, _ = least_squares(g, 1, [0, *range(2, p + 2)])
+    return m + beta[0] / (1.0 - beta[1:].sum()), beta[1:], sse
+
+
+def forecast(values, residuals, mu: float, phi, theta, skip: int, steps: int) -> np.ndarray:
+    """Steps skip+1..skip+steps; ``values`` and ``residuals`` newest first."""
+    p, q = len(phi), len(theta)
+    move = np.zeros((p + q, p + q))
+    step = np.concatenate([phi, theta])
+    if p:
+        move[0] = step
+        move[1:p, :p - 1] = np.eye(p - 1)
+    if q > 1:
+        move[p + 1:, p:-1] = np.eye(q - 1)
+    s = np.concatenate([np.asarray(values[:p], float) - mu, np.asarray(residuals[:q], float)])
+    if skip:
+        s = np.linalg.matrix_power(move, skip) @ s
+    out = np.empty(steps)
+    for h in range(steps):
+        out[h] = mu + step @ s
+        s = move @ s
+    return out
