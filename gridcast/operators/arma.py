@@ -315,7 +315,7 @@ def _refine(df: DataFrame, starts: DataFrame, size: int, fan_in: int, rounds: in
             return
         else:
             best, gram, sse, lam = np.array(best, float), np.array(row.gram, float), row.sse, lam * 10
-        done = better and gain <= 1e-12 * sse
+        done = better and gain <= 1e-10 * sse
         g = gram.reshape(size_, size_)
         trial = best
         while lam < 1e12:
