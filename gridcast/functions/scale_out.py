@@ -40,14 +40,15 @@ def fits_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def lookup_join(df: DataFrame, side: DataFrame, on: str, how: str = "inner",
-                salt_by: str = "t", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                salt_by: str = "t", max_rows: int = BROADCAST_ROWS,
+                settled: bool = False) -> DataFrame:
     """Join a large frame with a table that has one row per ``on``.
 
     The side is settled and counted. Small: broadcast, so ``df`` does not move.
     Otherwise: ``df`` is salted and the side repeated once per salt, so a key that
     holds a large share of the rows is spread over ``SALTS`` tasks.
     """
-    side = settle(side)
+    side = side if settled else settle(side)
     if fits_broadcast(side, max_rows):
         return df.join(F.broadcast(side), on, how)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))

@@ -14,7 +14,8 @@ def cell_profile(df: DataFrame) -> DataFrame:
     """Per cell, in one pass: known values, range, first known slot."""
     return df.groupBy("cell_id").agg(
         F.count("v").alias("n_known"), F.min("v").alias("low"), F.max("v").alias("high"),
-        F.min(F.when(F.col("v").isNotNull(), F.col("t"))).alias("t_first"))
+        F.min(F.when(F.col("v").isNotNull(), F.col("t"))).alias("t_first"),
+        F.max("t").alias("t_last"))
 
 
 def drop_sparse_cells(df: DataFrame, thresh: int) -> DataFrame:
@@ -35,14 +36,18 @@ def with_next_known(points: DataFrame, width: int = FAN, levels: int = 2) -> Dat
         w = W.partitionBy("cell_id").orderBy("t")
         return points.select("cell_id", "t", "v", F.lead("t").over(w).alias("nt"),
                              F.lead("v").over(w).alias("nv"))
-    p = points.select("cell_id", "t", "v", div("t", width).alias("_b")) \
-        .repartition("cell_id", "_b")
+    # Keys that cannot be NULL keep the two uses of the shuffle below alike, so Spark
+    # runs it (and the scan under it) once.
+    block = F.coalesce(div("t", width), F.lit(0).cast("bigint"))
+    p = points.filter(F.col("cell_id").isNotNull() & F.col("t").isNotNull()) \
+        .select("cell_id", "t", "v", block.alias("_b")).repartition("cell_id", "_b")
     w = W.partitionBy("cell_id", "_b").orderBy("t")
     inner = p.select("*", F.lead("t").over(w).alias("nt"), F.lead("v").over(w).alias("nv"))
     heads = p.groupBy("cell_id", "_b").agg(F.min("t").alias("t"), F.min_by("v", "t").alias("v"))
     later = with_next_known(heads, width * FAN, levels - 1).select(
-        "cell_id", div("t", width).alias("_b"), F.col("nt").alias("_nt"), F.col("nv").alias("_nv"))
-    return inner.join(later, ["cell_id", "_b"]).select(
+        "cell_id", block.alias("_b"), F.col("nt").alias("_nt"), F.col("nv").alias("_nv"))
+    # Both sides are partitioned (and the left one sorted) by the join keys already.
+    return inner.join(later.hint("merge"), ["cell_id", "_b"]).select(
         "cell_id", "t", "v", F.coalesce("nt", "_nt").alias("nt"),
         F.coalesce("nv", "_nv").alias("nv"))
 
@@ -92,11 +97,17 @@ def prepare(df: DataFrame, thresh: int = 1, periods: int | Column | None = None,
     from gridcast.functions.exprs import unit_range
     from gridcast.functions.scale_out import settle
 
-    kept = settle(cell_profile(df).filter(F.col("n_known") >= max(thresh, 1)))
-    n = (last_slot(df) + 1 if periods is None else
+    profile = settle(cell_profile(df))
+    kept = profile.filter(F.col("n_known") >= max(thresh, 1))
+    n = (profile.agg(F.max("t_last").alias("m")).scalar() + 1 if periods is None else
          F.lit(periods) if isinstance(periods, int) else periods).cast("bigint")
     start = kept.agg(F.max("t_first").alias("s")).scalar()
-    rows = lookup_join(df, kept.select("cell_id", "low", "high"), "cell_id")
-    v = unit_range(F.col("v"), F.col("low"), F.col("high")) if scaled else F.col("v")
-    return _after_first(rows.select("cell_id", "t", v.alias("v")), n) \
-        .filter(F.col("t") >= start).withColumn("t", F.col("t") - start)
+    limits = kept.select("cell_id", "low", "high")
+    rows = df if thresh <= 1 else lookup_join(df, limits.select("cell_id"), "cell_id", "left_semi",
+                                              settled=True)
+    filled = _after_first(rows, n).filter(F.col("t") >= start)
+    v = F.col("v")
+    if scaled:
+        filled = lookup_join(filled, limits, "cell_id", settled=True)
+        v = unit_range(v, F.col("low"), F.col("high"))
+    return filled.select("cell_id", (F.col("t") - start).alias("t"), v.alias("v"))

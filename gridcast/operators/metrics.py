@@ -21,6 +21,13 @@ def mae(actual: DataFrame, pred: DataFrame, on: Sequence[str], by: Sequence[str]
         F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"))
 
 
+def scores(actual: DataFrame, pred: DataFrame, on: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Both scores from one join."""
+    d = F.col("y") - F.col("yhat")
+    return _paired(actual, pred, on).groupBy(*by).agg(F.avg(d * d).alias("mse"),
+                                                      F.avg(F.abs(d)).alias("mae"))
+
+
 def actual_vs_forecast(actual: DataFrame, pred: DataFrame, on: Sequence[str]) -> DataFrame:
     """Both series side by side, in the order of ``on``."""
     return _paired(actual, pred, on).orderBy(*on)
