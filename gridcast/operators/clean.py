@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridcast.functions.scale_out import div, lookup_join, span
-from gridcast.sources.tables import last_slot
+from gridcast.functions.exprs import unit_range
+from gridcast.functions.scale_out import div, lookup_join, settle, span
 
 FAN = 4096
 
@@ -59,9 +59,15 @@ def interpolate_linear(df: DataFrame, periods: int | Column | None = None,
     Gaps after the last value repeat it, gaps before the first stay NULL. Only the
     known points are shuffled; filled rows are generated between them.
     """
-    n = (last_slot(df) + 1 if periods is None else
-         F.lit(periods) if isinstance(periods, int) else periods).cast("bigint")
-    return _after_first(df, n, width).unionByName(_before_first(df, n))
+    profile = settle(cell_profile(df))
+    n = _slots(profile, periods)
+    return _after_first(df, n, width).unionByName(_before_first(profile, n))
+
+
+def _slots(profile: DataFrame, periods: int | Column | None) -> Column:
+    n = (profile.agg(F.max("t_last").alias("m")).scalar() + 1 if periods is None else
+         F.lit(periods) if isinstance(periods, int) else periods)
+    return n.cast("bigint")
 
 
 def _after_first(df: DataFrame, n: Column, width: int = FAN) -> DataFrame:
@@ -76,10 +82,9 @@ def _after_first(df: DataFrame, n: Column, width: int = FAN) -> DataFrame:
         .select("cell_id", "t", value.alias("v"))
 
 
-def _before_first(df: DataFrame, n: Column) -> DataFrame:
-    first = df.groupBy("cell_id").agg(F.min(F.when(F.col("v").isNotNull(), F.col("t"))).alias("f"))
+def _before_first(profile: DataFrame, n: Column) -> DataFrame:
     blocks, slots = span(F.lit(0).cast("bigint"), F.col("_to"))
-    return first.select("cell_id", (F.coalesce("f", n) - 1).alias("_to")) \
+    return profile.select("cell_id", (F.coalesce("t_first", n) - 1).alias("_to")) \
         .withColumn("_blk", F.explode(blocks)).withColumn("t", F.explode(slots())) \
         .select("cell_id", "t", F.lit(None).cast("double").alias("v"))
 
@@ -94,13 +99,9 @@ def trim_leading(df: DataFrame) -> DataFrame:
 def prepare(df: DataFrame, thresh: int = 1, periods: int | Column | None = None,
             scaled: bool = True) -> DataFrame:
     """Drop sparse cells, interpolate, scale to [0, 1], trim: one profile pass, one fill."""
-    from gridcast.functions.exprs import unit_range
-    from gridcast.functions.scale_out import settle
-
     profile = settle(cell_profile(df))
     kept = profile.filter(F.col("n_known") >= max(thresh, 1))
-    n = (profile.agg(F.max("t_last").alias("m")).scalar() + 1 if periods is None else
-         F.lit(periods) if isinstance(periods, int) else periods).cast("bigint")
+    n = _slots(profile, periods)
     start = kept.agg(F.max("t_first").alias("s")).scalar()
     limits = kept.select("cell_id", "low", "high")
     rows = df if thresh <= 1 else lookup_join(df, limits.select("cell_id"), "cell_id", "left_semi",

@@ -73,10 +73,10 @@ def _weights(spark: SparkSession) -> DataFrame:
 
 def _features(spark, sf_dir):
     """(t, y, z1, z2) with the fixed encoder."""
-    ser = _traffic(spark, sf_dir)
+    ser = settle(_traffic(spark, sf_dir))
     z = latent.encode_arrays(ser, _weights(spark), BIAS) \
         .select("t", F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
-    return windows.column_stack(ser.filter(F.col("cell_id") == TARGET), z)
+    return settle(windows.column_stack(ser.filter(F.col("cell_id") == TARGET), z))
 
 
 def _params(ser: DataFrame, phi=PHI, theta=THETA) -> DataFrame:
@@ -333,7 +333,7 @@ def _decoded(spark, ser):
 
 
 def latent_decode(spark, sf_dir):
-    return _rounded(_decoded(spark, _traffic(spark, sf_dir)), "y")
+    return _rounded(_decoded(spark, settle(_traffic(spark, sf_dir))), "y")
 
 
 def reconstruction_cost(spark, sf_dir):
@@ -362,7 +362,7 @@ def sequence_forecast(spark, sf_dir):
 
 
 def sequence_fit(spark, sf_dir):
-    model = sequence.sequence_fit(settle(_features(spark, sf_dir)), CFG, epochs=3)
+    model = sequence.sequence_fit(_features(spark, sf_dir), CFG, epochs=3)
     return _rounded(spark.createDataFrame(model.costs, "epoch BIGINT, cost DOUBLE"), "cost")
 
 
