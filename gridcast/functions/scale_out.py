@@ -110,6 +110,17 @@ def spread_out(off, x, width: int) -> np.ndarray:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by ``keys`` into the session's number of partitions.
+
+    A fixed number keeps adaptive execution from merging partitions that are small in
+    bytes but long in computing.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """``mapInPandas`` with one small function per (packed) row."""
     names = T._parse_datatype_string(schema).fieldNames()

@@ -141,7 +141,7 @@ def companion(theta) -> np.ndarray:
     return a
 
 
-def ma_filter(u: np.ndarray, theta, state: np.ndarray, chunk: int = 64) -> np.ndarray:
+def ma_filter(u: np.ndarray, theta, state: np.ndarray, chunk: int | None = None) -> np.ndarray:
     """e_t = u_t - sum theta_j e_{t-j}, per column; ``state`` holds e_{-1}, e_{-2}, ...
 
     Runs in chunks: inside a chunk the filter is one triangular matrix, so the loop
@@ -151,7 +151,7 @@ def ma_filter(u: np.ndarray, theta, state: np.ndarray, chunk: int = 64) -> np.nd
     if q == 0 or n == 0:
         return u.copy()
     theta = np.asarray(theta, float)
-    chunk = max(chunk, q)
+    chunk = max(chunk or min(max(int(n ** 0.5), 16), 96), q)
     h = np.zeros(chunk)
     h[0] = 1.0
     for t in range(1, chunk):
@@ -263,7 +263,7 @@ def css_fit(y: np.ndarray, p: int, q: int, rounds: int = 100):
         if not moved:
             return beta, sse, bool(np.all(np.abs(je) <= 1e-5 * np.sqrt(np.diag(jj) * sse + 1e-300)))
         gain, beta, e, sse, lam = sse - sse_new, new, e_new, sse_new, max(lam / 10.0, 1e-12)
-        if gain <= 1e-13 * sse:
+        if gain <= 1e-11 * sse:
             return beta, sse, True
     return beta, sse, False
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridcast.functions import solvers
 from gridcast.functions.scale_out import (BLOCK, FAN_IN, div, lookup_join, map_rows, pack_blocks,
-                                          settle, spread_out)
+                                          settle, spread, spread_out)
 from gridcast.operators.stats import series_summary
 from gridcast.sources.tables import last_slot
 
@@ -202,8 +202,9 @@ def arma_forecast(df: DataFrame, params: DataFrame, horizon: int, size: int = BL
     models = params.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct(
         *[c for c in params.columns if c != "cell_id"]))).alias("models"))
     jobs = models.join(final, "cell_id").join(last, "cell_id").withColumn(
-        "skip", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1), F.lit(chunk)))) \
-        .repartition("cell_id", "skip")
+        "skip", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1), F.lit(chunk))))
+    if horizon > chunk:
+        jobs = spread(jobs, "cell_id", "skip")
 
     def ahead(row):
         steps = min(chunk, horizon - row.skip)
@@ -254,9 +255,9 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
         return pd.DataFrame(out, columns=["cell_id", "p", "q", "mu", "phi", "theta", "sse", "n",
                                           "converged"])
 
-    fits = df.filter(F.col("t") < in_task).select(
-        "cell_id", "t", "v", F.explode(F.array(*[F.lit(i) for i in range(len(jobs))])).alias("job")) \
-        .groupBy("cell_id", "job").applyInPandas(fit, FIT)
+    rows = df.filter(F.col("t") < in_task).select(
+        "cell_id", "t", "v", F.explode(F.array(*[F.lit(i) for i in range(len(jobs))])).alias("job"))
+    fits = spread(rows, "cell_id", "job").groupBy("cell_id", "job").applyInPandas(fit, FIT)
     if long:
         longer = settle(lengths.filter(F.col("n") > in_task).select("cell_id"))
         series = lookup_join(df, longer, "cell_id", "left_semi")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from gridcast.functions.exprs import sigmoid
-from gridcast.functions.scale_out import div, fits_broadcast, lookup_join, settle
+from gridcast.functions.scale_out import div, fits_broadcast, lookup_join, settle, spread
 from gridcast.operators.scale import sigmoid_affine
 
 MAX_WIDE = 65_536            # cells packed into one row
@@ -190,8 +190,8 @@ def latent_fit(df: DataFrame, units: Sequence[int] = (2,), lr: float = 0.008, ep
 
     per_shard = max(1, min(batches or 64, shard_values // (batch * len(cells))))
     wide = rows.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("cell_id", "v"))).alias("p")) \
-        .select("t", F.col("p.v").alias("x"), div("t", batch * per_shard).alias("shard")) \
-        .repartition("shard").persist()
+        .select("t", F.col("p.v").alias("x"), div("t", batch * per_shard).alias("shard"))
+    wide = spread(wide, "shard").persist()
     costs: list[tuple[int, float]] = []
     try:
         for first in range(0, epochs, sync_every):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridcast.config import Granularity
 from gridcast.functions.recurrent import Shape, adam, forward, gradient, initial
-from gridcast.functions.scale_out import div
+from gridcast.functions.scale_out import div, spread
 from gridcast.operators.latent import mean_weights
 from gridcast.operators.windows import FEATURES
 
@@ -27,7 +27,7 @@ from gridcast.operators.windows import FEATURES
 def sequence_forecast(windows: DataFrame, weights: np.ndarray, shape: Shape = Shape(),
                       names: Sequence[str] = FEATURES) -> DataFrame:
     """``(window_id, step, yhat)`` from a zero state; a batch of windows runs as one."""
-    packed = windows.groupBy("window_id").agg(
+    packed = spread(windows.select("window_id", "step", *names), "window_id").groupBy("window_id").agg(
         F.sort_array(F.collect_list(F.struct("step", *names))).alias("p")) \
         .select("window_id", *[F.col(f"p.{c}").alias(c) for c in names])
 
@@ -95,8 +95,8 @@ def sequence_fit(features: DataFrame, cfg: Granularity, epochs: int | None = Non
         raise ValueError("the series is shorter than one batch of windows")
     shape = Shape(len(names), cfg.cell_size)
     flat = np.concatenate([initial(shape, *cfg.init, cfg.bias, seed), np.zeros(2 * shape.size)])
-    rows = slabs(features, steps, lanes, group, batches, cfg.batches, names) \
-        .repartition("segment", "grp").persist()
+    rows = spread(slabs(features, steps, lanes, group, batches, cfg.batches, names),
+                  "segment", "grp").persist()
     costs, taken, per_epoch = [], 0, min(cfg.batches, batches)
     try:
         for first in range(0, epochs, sync_every):

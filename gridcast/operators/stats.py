@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridcast.functions import solvers
 from gridcast.functions.exprs import pearson
-from gridcast.functions.scale_out import BLOCK, lookup_join, map_rows, pack_blocks, spread_out
+from gridcast.functions.scale_out import BLOCK, lookup_join, map_rows, pack_blocks, spread, spread_out
 from gridcast.sources.tables import last_slot
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
@@ -65,7 +65,7 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK) -> DataFram
         cols |= {name: m[i, j] for name, m in zip(SUMS[1:], out[1:])}
         return pd.DataFrame(cols)
 
-    half = pairs.groupBy("blk", "_ga", "_gb") \
+    half = spread(pairs, "blk", "_ga", "_gb").groupBy("blk", "_ga", "_gb") \
         .applyInPandas(multiply, f"cell_a STRING, cell_b STRING, {SUM_TYPES}") \
         .groupBy("cell_a", "cell_b").agg(*_total()) \
         .select("cell_a", "cell_b", _pearson().alias("r"), "n")
