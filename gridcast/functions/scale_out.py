@@ -89,12 +89,14 @@ def pack_blocks(df: DataFrame, size: int = BLOCK, halo: int = 0) -> DataFrame:
     ``size + halo`` rows, however long a series is; a long series becomes many blocks.
     """
     size = max(size, halo, 1)
-    own = div("t", size)
+    # Keys that cannot be NULL: a later join on them adds no filter of its own, so all
+    # users of the packed blocks share one shuffle.
+    own = F.coalesce(div("t", size), F.lit(0).cast("bigint"))
     homes = F.array(own)
     if halo:
         homes = F.when(F.pmod("t", F.lit(size)) >= size - halo, F.array(own, own + 1)) \
             .otherwise(homes)
-    rows = df.filter(F.col("v").isNotNull()) \
+    rows = df.filter(F.col("v").isNotNull() & F.col("cell_id").isNotNull() & F.col("t").isNotNull()) \
         .select("cell_id", "t", "v", F.explode(homes).alias("blk"))
     off = (F.col("t") - F.col("blk") * size + halo).cast("int")
     packed = rows.groupBy("cell_id", "blk").agg(

@@ -65,7 +65,10 @@ def centred_gram(n: int, total: float, cross, head, tail, k: int):
 def least_squares(g: np.ndarray, target: int, cols: list[int]):
     """Coefficients, SSE and inverse from a Gram matrix."""
     a, b = g[np.ix_(cols, cols)], g[cols, target]
-    inv = np.linalg.pinv(a, hermitian=True, rcond=1e-14)
+    try:
+        inv = np.linalg.inv(a)
+    except np.linalg.LinAlgError:
+        inv = np.linalg.pinv(a, hermitian=True)
     beta = inv @ b
     return beta, float(max(g[target, target] - beta @ b, 0.0)), inv
 

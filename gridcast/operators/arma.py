@@ -109,7 +109,9 @@ def _grouped(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def _carry(ends: DataFrame, fan_in: int) -> tuple[DataFrame, DataFrame]:
     """``(cell_id, blk, start)`` and ``(cell_id, final)`` from the zero-state ends."""
-    groups = _grouped(ends.withColumn("grp", div("blk", fan_in)), ["cell_id", "grp"], "blk")
+    grp = F.coalesce(div("blk", fan_in), F.lit(0).cast("bigint"))
+    groups = _grouped(ends.filter(F.col("cell_id").isNotNull()).withColumn("grp", grp),
+                      ["cell_id", "grp"], "blk")
 
     def close(row):
         s, length = _zero_states(row.thetas), 0

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridcast.functions import solvers
 from gridcast.functions.exprs import pearson
-from gridcast.functions.scale_out import BLOCK, lookup_join, map_rows, pack_blocks, spread, spread_out
-from gridcast.sources.tables import last_slot
+from gridcast.functions.scale_out import (BLOCK, lookup_join, map_rows, pack_blocks, settle, spread,
+                                          spread_out)
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 SUM_TYPES = "n BIGINT, sx DOUBLE, sy DOUBLE, sxx DOUBLE, syy DOUBLE, sxy DOUBLE"
@@ -37,10 +37,9 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK) -> DataFram
     cell groups), a task multiplies two small matrices, and the pair sums are added up.
     Rows are never paired one by one, and no task outgrows ``2 * group * size`` values.
     """
-    stats = df.groupBy("cell_id").agg(F.avg("v").alias("_m"))
-    cells = df.select("cell_id").distinct().count()
-    groups = max(1, math.ceil(cells / group))
-    centred = lookup_join(df, stats, "cell_id") \
+    stats = settle(df.groupBy("cell_id").agg(F.avg("v").alias("_m")))
+    groups = max(1, math.ceil(stats.count() / group))
+    centred = lookup_join(df, stats, "cell_id", settled=True) \
         .select("cell_id", "t", (F.col("v") - F.col("_m")).alias("v"))
     packed = pack_blocks(centred, size)
     own = F.pmod(F.xxhash64("cell_id"), F.lit(groups))
@@ -132,21 +131,28 @@ def series_summary(df: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
 
     ``cross[d]`` sums x_t x_{t-d}; head and tail are the first and last ``k`` values.
     From these the Gram matrix of all lags up to ``k`` follows (``centred_gram``), so a
-    regression on lags needs one pass over the data, not one per model.
+    regression on lags needs one pass over the data, not one per model. Each block
+    offers its head and tail; the first and the last block's are kept.
     """
-    sums = lagged_sums(df, k, size).groupBy("cell_id").agg(
-        F.max(F.when(F.col("lag") == 0, F.col("n"))).alias("n"),
-        F.max(F.when(F.col("lag") == 0, F.col("sx"))).alias("total"),
-        F.sort_array(F.collect_list(F.struct("lag", "sxy"))).alias("c")) \
-        .select("cell_id", "n", "total", F.col("c.sxy").alias("cross"))
-
-    def edge(condition, name: str) -> DataFrame:
-        return df.filter(condition).groupBy("cell_id").agg(
-            F.sort_array(F.collect_list(F.struct("t", "v"))).alias("e")) \
-            .select("cell_id", F.col("e.v").alias(name))
-
-    return sums.join(edge(F.col("t") < k, "head"), "cell_id") \
-        .join(edge(F.col("t") > last_slot(df) - k, "tail"), "cell_id")
+    size = max(size, k, 1)
+
+    def summarise(row):
+        x = spread_out(row.off, row.x, size + k)
+        sums = solvers.lag_products(x, k, k)
+        if not sums[0][1]:
+            return
+        known = np.asarray(row.x, float)
+        body = np.asarray(row.off) >= k
+        yield (row.cell_id, row.blk, sums[0][1], sums[0][2], [r[-1] for r in sums],
+               known[body][:k] if row.blk == 0 else None, known[max(len(known) - k, 0):])
+
+    blocks = map_rows(pack_blocks(df, size, k), summarise,
+                      "cell_id STRING, blk BIGINT, n BIGINT, total DOUBLE, cross ARRAY<DOUBLE>, "
+                      "head ARRAY<DOUBLE>, tail ARRAY<DOUBLE>")
+    return blocks.groupBy("cell_id").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"),
+        F.array(*[F.sum(F.col("cross")[d]) for d in range(k + 1)]).alias("cross"),
+        F.min_by("head", "blk").alias("head"), F.max_by("tail", "blk").alias("tail"))
 
 
 ADF_SCHEMA = ("cell_id STRING, stat DOUBLE, p_value DOUBLE, used_lag BIGINT, n_obs BIGINT, "
@@ -165,7 +171,7 @@ def adf_test(df: DataFrame, max_lag: int | None = None, size: int = BLOCK) -> Da
             yield (row.cell_id, *solvers.adf(int(row.n), row.total, row.cross, row.head,
                                              row.tail, max_lag))
 
-    return map_rows(series_summary(df, max_lag + 1, size), solve, ADF_SCHEMA)
+    return map_rows(spread(series_summary(df, max_lag + 1, size), "cell_id"), solve, ADF_SCHEMA)
 
 
 def adf_lag0(df: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -212,7 +212,7 @@ def column_stack(spark, sf_dir):
 
 
 def train_test_split(spark, sf_dir):
-    train, test = windows.train_test_split(_weekly(spark, sf_dir), TRAIN_WEEKS)
+    train, test = windows.train_test_split(settle(_weekly(spark, sf_dir)), TRAIN_WEEKS)
     df = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return _rounded(df, "v")
 
@@ -289,22 +289,22 @@ def arma_forecast(spark, sf_dir):
 
 
 def arma_fit(spark, sf_dir):
-    df = arma.arma_fit(_weekly(spark, sf_dir), [(1, 1)])
+    df = arma.arma_fit(settle(_weekly(spark, sf_dir)), [(1, 1)])
     df = df.withColumn("phi_1", F.col("phi")[0]).withColumn("theta_1", F.col("theta")[0])
     return _flat_fit(df, "mu", "phi_1", "theta_1", "sse", "n", "bic")
 
 
 def arma_fit_ar1(spark, sf_dir):
-    df = arma.arma_fit(_weekly(spark, sf_dir), [(1, 0)])
+    df = arma.arma_fit(settle(_weekly(spark, sf_dir)), [(1, 0)])
     return _flat_fit(df.withColumn("phi_1", F.col("phi")[0]), "mu", "phi_1", "sse", "n", "bic")
 
 
 def arma_order_search(spark, sf_dir):
-    return _flat_fit(arma.arma_order_search(_weekly(spark, sf_dir), 3, 2), "sse", "n", "bic")
+    return _flat_fit(arma.arma_order_search(settle(_weekly(spark, sf_dir)), 3, 2), "sse", "n", "bic")
 
 
 def arma_order_search_ar(spark, sf_dir):
-    return _flat_fit(arma.arma_order_search(_weekly(spark, sf_dir), 2, 1), "n", "bic")
+    return _flat_fit(arma.arma_order_search(settle(_weekly(spark, sf_dir)), 2, 1), "n", "bic")
 
 
 # --- compression -------------------------------------------------------------------------
