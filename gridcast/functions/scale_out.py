@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 BROADCAST_ROWS = 200_000   # narrow rows, so at most some tens of MB
-SALTS = 64
+HOT_SHARE = 200
 BLOCK = 1024               # slots per packed block
 FAN_IN = 1024              # blocks folded by one task of a carry
 
@@ -45,15 +45,29 @@ def lookup_join(df: DataFrame, side: DataFrame, on: str, how: str = "inner",
     """Join a large frame with a table that has one row per ``on``.
 
     The side is settled and counted. Small: broadcast, so ``df`` does not move.
-    Otherwise: ``df`` is salted and the side repeated once per salt, so a key that
-    holds a large share of the rows is spread over ``SALTS`` tasks.
+    Otherwise: a shuffle join in which every key holding more than 1/HOT_SHARE of the
+    rows (so fewer than HOT_SHARE keys) is salted over all partitions.
     """
     side = side if settled else settle(side)
     if fits_broadcast(side, max_rows):
         return df.join(F.broadcast(side), on, how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    spread = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, [on, "_salt"], how).drop("_salt")
+    counts = settle(df.groupBy(on).agg(F.count("*").alias("n")))
+    limit = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in counts.filter(F.col("n") > limit / HOT_SHARE).select(on).collect()]
+    if not hot:
+        return df.join(side, on, how)
+    salts = _partitions(df)
+    is_hot = F.col(on).isin(hot)
+    salted = df.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(salt_by), F.lit(salts)))
+                           .otherwise(F.lit(0)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    repeated = side.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    return salted.join(repeated, [on, "_salt"], how).drop("_salt")
+
+
+def _partitions(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def span(first: Column, last: Column, size: int = BLOCK) -> tuple[Column, Callable[[], Column]]:
@@ -118,9 +132,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A fixed number keeps adaptive execution from merging partitions that are small in
     bytes but long in computing.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    return df.repartition(_partitions(df), *keys)
 
 
 def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridcast.functions.exprs import sigmoid
 from gridcast.functions.scale_out import div, fits_broadcast, lookup_join, settle, spread
@@ -61,7 +61,8 @@ def latent_decode(z: DataFrame, weights: DataFrame, grid: DataFrame, deeper=())
         zs = zs.select("t", _dense(F.col("z"), np.asarray(w).T, c).alias("z"))
     rows = lookup_join(grid.select("cell_id", "t"), weights, "cell_id")
     z_dot_w = F.aggregate(F.zip_with("z", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return rows.join(zs, "t").select("t", "cell_id", sigmoid(z_dot_w + F.col("c")).alias("y"))
+    return lookup_join(rows, zs, "t", salt_by="cell_id") \
+        .select("t", "cell_id", sigmoid(z_dot_w + F.col("c")).alias("y"))
 
 
 def reconstruction_cost(df: DataFrame, y: DataFrame) -> DataFrame:
@@ -73,30 +74,34 @@ def latent_gradient(df: DataFrame, weights: DataFrame, bias: Sequence[float],
                     mask: Column | None = None) -> DataFrame:
     """``(param, cell_id, unit, g)``: gradient of the reconstruction cost over all rows.
 
-    One shuffle, by slot: both sums over the cells of a slot are window sums in the same
-    sort. The sums over slots then combine before their (small) shuffle.
+    Sums over the cells of a slot, and over the slots of a cell, combine before they are
+    shuffled; the per-slot results come back by ``lookup_join``. The rows themselves are
+    read three times and never moved while the slots fit a broadcast.
     """
     units = range(len(bias))
     v, w, c = F.col("v"), F.col("w"), F.col("c")
     rows = lookup_join(df, weights, "cell_id").withColumn("xm", v * mask if mask is not None else v)
-    slot = W.partitionBy("t")
-    rows = rows.select("*", *[F.sum(F.col("xm") * w[j]).over(slot).alias(f"a{j}") for j in units])
-    rows = rows.select("*", *[sigmoid(F.col(f"a{j}") + F.lit(float(bias[j]))).alias(f"h{j}") for j in units])
-    y = sigmoid(sum((F.col(f"h{j}") * w[j] for j in units), c))
-    rows = rows.withColumn("y", y)
+    hidden = rows.groupBy("t").agg(F.array(*[
+        sigmoid(F.sum(F.col("xm") * w[j]) + F.lit(float(bias[j]))) for j in units]).alias("h"))
+    rows = lookup_join(rows, hidden, "t", salt_by="cell_id")
+    h = F.col("h")
+    rows = rows.withColumn("y", sigmoid(sum((h[j] * w[j] for j in units), c)))
     y = F.col("y")
     rows = rows.withColumn("dy", F.lit(2.0) * (y - v) * y * (F.lit(1.0) - y))
-    rows = rows.select("*", *[F.sum(F.col("dy") * w[j]).over(slot).alias(f"s{j}") for j in units])
-    h = lambda j: F.col(f"h{j}")
-    dh = lambda j: F.col(f"s{j}") * h(j) * (F.lit(1.0) - h(j))
+    back = settle(rows.groupBy("t").agg(F.array(*[
+        F.sum(F.col("dy") * w[j]) * F.first(h[j]) * (F.lit(1.0) - F.first(h[j]))
+        for j in units]).alias("dh")))
+    rows = lookup_join(rows, back, "t", salt_by="cell_id", settled=True)
+    dh = F.col("dh")
     cells = rows.groupBy("cell_id").agg(
-        F.array(*[F.sum(F.col("xm") * dh(j) + F.col("dy") * h(j)) for j in units]).alias("gw"),
+        F.array(*[F.sum(F.col("xm") * dh[j] + F.col("dy") * h[j]) for j in units]).alias("gw"),
         F.sum("dy").alias("gc"))
-    slots = rows.groupBy("t").agg(*[F.first(dh(j)).alias(f"d{j}") for j in units]) \
-        .agg(F.array(*[F.sum(f"d{j}") for j in units]).alias("gb"))
-    return cells.select(F.lit("w").alias("param"), "cell_id", F.posexplode("gw").alias("unit", "g")) \
-        .unionByName(cells.select(F.lit("c").alias("param"), "cell_id",
-                                  F.lit(0).alias("unit"), F.col("gc").alias("g"))) \
+    slots = back.agg(F.array(*[F.sum(dh[j]) for j in units]).alias("gb"))
+    each = F.array(*[F.struct(F.lit("w").alias("param"), F.lit(j).alias("unit"),
+                              F.col("gw")[j].alias("g")) for j in units],
+                   F.struct(F.lit("c").alias("param"), F.lit(0).alias("unit"), F.col("gc").alias("g")))
+    return cells.select("cell_id", F.explode(each).alias("e")) \
+        .select("e.param", "cell_id", "e.unit", "e.g") \
         .unionByName(slots.select(F.lit("b").alias("param"), F.lit("").alias("cell_id"),
                                   F.posexplode("gb").alias("unit", "g")))
 

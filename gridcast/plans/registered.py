@@ -342,7 +342,7 @@ def reconstruction_cost(spark, sf_dir):
 
 
 def latent_gradient(spark, sf_dir):
-    df = latent.latent_gradient(_traffic(spark, sf_dir), _weights(spark), BIAS, _bit())
+    df = latent.latent_gradient(settle(_traffic(spark, sf_dir)), _weights(spark), BIAS, _bit())
     return _rounded(df.withColumn("unit", F.col("unit").cast("bigint")), "g")
 
 

@@ -173,3 +173,13 @@ def test_filling_scans_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     final = plan[:plan.index("Initial Plan")]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_hot_key_past_the_bound_is_salted(spark):
+    rows = [("hot", i, float(i)) for i in range(400)] + [(f"c{i}", 0, 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, LONG)
+    side = spark.createDataFrame([("hot", 1.0)] + [(f"c{i}", 2.0) for i in range(300)],
+                                 "cell_id STRING, k DOUBLE")
+    out = scale_out.lookup_join(df, side, "cell_id", max_rows=10)
+    assert out.columns == ["cell_id", "t", "v", "k"]
+    assert out.count() == 700 and out.filter("k = 1").count() == 400
