@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridcast.functions.exprs import unit_range
 from gridcast.functions.scale_out import div, lookup_join, settle, span
@@ -52,39 +52,37 @@ def with_next_known(points: DataFrame, width: int = FAN, levels: int = 2) -> Dat
         F.coalesce("nv", "_nv").alias("nv"))
 
 
-def interpolate_linear(df: DataFrame, periods: int | Column | None = None,
-                       width: int = FAN) -> DataFrame:
+def interpolate_linear(df: DataFrame, periods: int | None = None, width: int = FAN) -> DataFrame:
     """Fill every slot ``0..periods-1`` of every cell, linearly by position.
 
     Gaps after the last value repeat it, gaps before the first stay NULL. Only the
     known points are shuffled; filled rows are generated between them.
     """
     profile = settle(cell_profile(df))
-    n = _slots(profile, periods)
+    n = periods or (profile.agg(F.max("t_last")).first()[0] or 0) + 1
     return _after_first(df, n, width).unionByName(_before_first(profile, n))
 
 
-def _slots(profile: DataFrame, periods: int | Column | None) -> Column:
-    n = (profile.agg(F.max("t_last").alias("m")).scalar() + 1 if periods is None else
-         F.lit(periods) if isinstance(periods, int) else periods)
-    return n.cast("bigint")
+def levels_for(slots: int, width: int = FAN) -> int:
+    """Fewest levels of blocks that keep every sort below ``width`` points of a cell."""
+    return 0 if slots <= width else 1 if slots <= width * FAN else 2
 
 
-def _after_first(df: DataFrame, n: Column, width: int = FAN) -> DataFrame:
-    points = with_next_known(df.filter(F.col("v").isNotNull()), width)
+def _after_first(df: DataFrame, n: int, width: int = FAN) -> DataFrame:
+    points = with_next_known(df.filter(F.col("v").isNotNull()), width, levels_for(n, width))
     blocks, slots = span(F.col("_from"), F.col("_to"))
     v0, v1, t0, t1 = F.col("v"), F.col("nv"), F.col("_from"), F.col("nt")
     value = F.when(t1.isNull() | (F.col("t") == t0), v0) \
         .otherwise(v0 + (v1 - v0) * (F.col("t") - t0) / (t1 - t0))
     return points.select("cell_id", F.col("t").alias("_from"), "v", "nt", "nv",
-                         (F.coalesce("nt", n) - 1).alias("_to")) \
+                         (F.coalesce("nt", F.lit(n).cast("bigint")) - 1).alias("_to")) \
         .withColumn("_blk", F.explode(blocks)).withColumn("t", F.explode(slots())) \
         .select("cell_id", "t", value.alias("v"))
 
 
-def _before_first(profile: DataFrame, n: Column) -> DataFrame:
+def _before_first(profile: DataFrame, n: int) -> DataFrame:
     blocks, slots = span(F.lit(0).cast("bigint"), F.col("_to"))
-    return profile.select("cell_id", (F.coalesce("t_first", n) - 1).alias("_to")) \
+    return profile.select("cell_id", (F.coalesce("t_first", F.lit(n).cast("bigint")) - 1).alias("_to")) \
         .withColumn("_blk", F.explode(blocks)).withColumn("t", F.explode(slots())) \
         .select("cell_id", "t", F.lit(None).cast("double").alias("v"))
 
@@ -96,13 +94,14 @@ def trim_leading(df: DataFrame) -> DataFrame:
     return df.filter(F.col("t") >= start).withColumn("t", F.col("t") - start)
 
 
-def prepare(df: DataFrame, thresh: int = 1, periods: int | Column | None = None,
+def prepare(df: DataFrame, thresh: int = 1, periods: int | None = None,
             scaled: bool = True) -> DataFrame:
     """Drop sparse cells, interpolate, scale to [0, 1], trim: one profile pass, one fill."""
     profile = settle(cell_profile(df))
-    kept = profile.filter(F.col("n_known") >= max(thresh, 1))
-    n = _slots(profile, periods)
-    start = kept.agg(F.max("t_first").alias("s")).scalar()
+    keep = F.col("n_known") >= max(thresh, 1)
+    kept = profile.filter(keep)
+    last, start = profile.agg(F.max("t_last"), F.max(F.when(keep, F.col("t_first")))).first()
+    n, start = periods or (last or 0) + 1, start or 0
     limits = kept.select("cell_id", "low", "high")
     rows = df if thresh <= 1 else lookup_join(df, limits.select("cell_id"), "cell_id", "left_semi",
                                               settled=True)

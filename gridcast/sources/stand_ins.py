@@ -12,8 +12,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _total(value: Column) -> Column:
-    """Sum in DECIMAL: the same value whatever the order of the rows."""
-    return F.sum(value.cast("decimal(18,2)")).cast("double").alias("v")
+    """Sum of whole cents: the same value whatever the order of the rows."""
+    return (F.sum(F.round(value * 100).cast("bigint")) / F.lit(100.0)).alias("v")
 
 
 def event_traffic(spark: SparkSession, sf_dir: str, minutes: int = 45) -> DataFrame:

@@ -104,9 +104,11 @@ def test_interpolation_golden(spark):
     assert values(out, "none") == [None] * 6
 
 
-@pytest.mark.parametrize("width", [2, 3, 16, 4096])
-def test_interpolation_across_blocks(spark, width):
+@pytest.mark.parametrize("width,fan", [(2, 4096), (3, 3), (16, 16), (4096, 4096)])
+def test_interpolation_across_blocks(spark, monkeypatch, width, fan):
     """Blocks of any width, gaps over several blocks included, give pandas' result."""
+    monkeypatch.setattr(clean, "FAN", fan)
+    assert clean.levels_for(120, width) == {2: 1, 3: 2, 16: 1, 4096: 0}[width]
     rng = np.random.default_rng(width)
     frame = pd.DataFrame(rng.random((120, 3)), columns=list("abc"))
     frame = frame.mask(rng.random(frame.shape) < 0.6)
@@ -168,7 +170,7 @@ def test_filling_scans_once(spark):
     """Both uses of the known points share one shuffle."""
     path = scale_out.scratch_path(spark, "points")
     long(spark, a=[1.0, None, 3.0]).write.parquet(path)
-    df = clean.with_next_known(spark.read.parquet(path))
+    df = clean.with_next_known(spark.read.parquet(path), levels=2)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     final = plan[:plan.index("Initial Plan")]
