@@ -39,6 +39,11 @@ def fits_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return side.limit(max_rows + 1).count() <= max_rows
 
 
+def rows_for(width: int) -> int:
+    """How many rows with an array of ``width`` doubles are still broadcast."""
+    return 4 * BROADCAST_ROWS // (width + 4)
+
+
 def lookup_join(df: DataFrame, side: DataFrame, on: str, how: str = "inner",
                 salt_by: str = "t", max_rows: int = BROADCAST_ROWS,
                 settled: bool = False) -> DataFrame:

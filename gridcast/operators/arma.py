@@ -22,6 +22,7 @@ from gridcast.functions.scale_out import (BLOCK, FAN_IN, div, lookup_join, map_r
 from gridcast.operators.stats import series_summary
 from gridcast.sources.tables import last_slot
 
+BROADCAST_MODELS = 100_000   # a model is under 1 kB
 IN_TASK = 32_768           # longest series fitted inside one task
 PARAMS = "cell_id STRING, p INT, q INT, mu DOUBLE, phi ARRAY<DOUBLE>, theta ARRAY<DOUBLE>"
 ROWS_OF_STATES = "ARRAY<ARRAY<DOUBLE>>"
@@ -54,14 +55,19 @@ def ar_fit(df: DataFrame, p: int, size: int = BLOCK) -> DataFrame:
 # --- the blocked recursion -------------------------------------------------------------
 
 
-def _blocks_with_models(df: DataFrame, params: DataFrame, size: int) -> tuple[DataFrame, int, int]:
-    """Packed blocks, each with all models of its cell as ``models``."""
-    halo = params.agg(F.max("p")).first()[0] or 0
+def _bundle(params: DataFrame) -> DataFrame:
+    """``(cell_id, models)``, settled: all models of a cell in one row."""
+    return settle(params.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct(
+        *[c for c in params.columns if c != "cell_id"]))).alias("models")))
+
+
+def _blocks_with_models(df: DataFrame, models: DataFrame, size: int) -> tuple[DataFrame, int, int]:
+    """Packed blocks, each with the models of its cell."""
+    halo, most = models.agg(F.max(F.array_max("models.p")), F.max(F.size("models"))).first()
+    halo = halo or 0
     size = max(size, halo)
-    models = params.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct(
-        *[c for c in params.columns if c != "cell_id"]))).alias("models"))
     blocks = lookup_join(pack_blocks(df, size, halo), models, "cell_id", salt_by="blk",
-                         max_rows=20_000)
+                         max_rows=BROADCAST_MODELS // (most or 1), settled=True)
     return blocks, size, halo
 
 
@@ -147,7 +153,7 @@ def _carry(ends: DataFrame, fan_in: int) -> tuple[DataFrame, DataFrame]:
 def _run_exact(df: DataFrame, params: DataFrame, size: int, fan_in: int,
                fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """``fn(row, first slot, [(model, residuals), ...])`` per block, from exact start states."""
-    blocks, size, halo = _blocks_with_models(df, params, size)
+    blocks, size, halo = _blocks_with_models(df, _bundle(params), size)
     starts, _ = _carry(_block_ends(blocks, size, halo), fan_in)
 
     def run(row):
@@ -167,7 +173,7 @@ def arma_css(df: DataFrame, params: DataFrame, size: int = BLOCK, fan_in: int =
             e = e[max(m["p"] - start, 0):]
             yield row.cell_id, m["p"], m["q"], float(e @ e), len(e)
 
-    parts = _run_exact(df, settle(params), size, fan_in, sums,
+    parts = _run_exact(df, params, size, fan_in, sums,
                        "cell_id STRING, p INT, q INT, sse DOUBLE, n BIGINT")
     return parts.groupBy("cell_id", "p", "q").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n")) \
         .withColumn("sigma2", F.try_divide("sse", "n"))
@@ -182,7 +188,7 @@ def arma_predict_in_sample(df: DataFrame, params: DataFrame, size: int = BLOCK,
             for i in range(max(m["p"] - start, 0), len(e)):
                 yield row.cell_id, m["p"], m["q"], start + i, float(y[i] - e[i])
 
-    return _run_exact(df, settle(params), size, fan_in, fitted,
+    return _run_exact(df, params, size, fan_in, fitted,
                       "cell_id STRING, p INT, q INT, t BIGINT, yhat DOUBLE")
 
 
@@ -193,16 +199,14 @@ def arma_forecast(df: DataFrame, params: DataFrame, horizon: int, size: int = BL
     The series enters by its last values and residuals alone; long horizons are cut into
     chunks that start from a power of the step matrix.
     """
-    params = settle(params)
-    blocks, size, halo = _blocks_with_models(df, params, size)
+    models = _bundle(params)
+    blocks, size, halo = _blocks_with_models(df, models, size)
     _, final = _carry(_block_ends(blocks, size, halo), fan_in)
     end = last_slot(df)
     last = df.filter(F.col("t") > end - max(halo, 1)).groupBy("cell_id").agg(
         F.max("t").alias("t_end"),
         F.sort_array(F.collect_list(F.struct("t", "v")), asc=False).alias("tail")) \
         .select("cell_id", "t_end", F.col("tail.v").alias("values"))
-    models = params.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct(
-        *[c for c in params.columns if c != "cell_id"]))).alias("models"))
     jobs = models.join(final, "cell_id").join(last, "cell_id").withColumn(
         "skip", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1), F.lit(chunk))))
     if horizon > chunk:
@@ -269,10 +273,6 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
         "cell_id", "p", "q", "mu", "phi", "theta", "sse", "n", "sigma2", "bic", "converged")
 
 
-REFINE = (f"{PARAMS}, beta ARRAY<DOUBLE>, best ARRAY<DOUBLE>, gram ARRAY<DOUBLE>, sse DOUBLE, "
-          "n BIGINT, lam DOUBLE, done BOOLEAN")
-
-
 def _refine(df: DataFrame, starts: DataFrame, size: int, fan_in: int, rounds: int = 25,
             delta: float = 1e-6) -> DataFrame:
     """Damped Gauss-Newton over whole long series, one blocked pass per round.
@@ -334,8 +334,8 @@ def _refine(df: DataFrame, starts: DataFrame, size: int, fan_in: int, rounds: in
         live = state.filter(~F.col("done"))
         if live.isEmpty():
             break
-        params = settle(map_rows(live, shifted, "cell_id STRING, p INT, q INT, k INT, mu DOUBLE, "
-                                                "phi ARRAY<DOUBLE>, theta ARRAY<DOUBLE>"))
+        params = map_rows(live, shifted, "cell_id STRING, p INT, q INT, k INT, mu DOUBLE, "
+                                         "phi ARRAY<DOUBLE>, theta ARRAY<DOUBLE>")
         parts = _run_exact(df, params, size, fan_in, products,
                            "cell_id STRING, p INT, q INT, n BIGINT, z ARRAY<DOUBLE>")
         keys = ["cell_id", "p", "q"]

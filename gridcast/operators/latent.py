@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridcast.functions.exprs import sigmoid
-from gridcast.functions.scale_out import div, fits_broadcast, lookup_join, settle, spread
+from gridcast.functions.scale_out import div, fits_broadcast, lookup_join, rows_for, settle, spread
 from gridcast.operators.scale import sigmoid_affine
 
 MAX_WIDE = 65_536            # cells packed into one row
@@ -59,9 +59,11 @@ def latent_decode(z: DataFrame, weights: DataFrame, grid: DataFrame, deeper=())
         .select("t", F.col("p.z").alias("z"))
     for w, c in deeper:
         zs = zs.select("t", _dense(F.col("z"), np.asarray(w).T, c).alias("z"))
-    rows = lookup_join(grid.select("cell_id", "t"), weights, "cell_id")
+    weights = settle(weights)
+    bound = rows_for(weights.agg(F.max(F.size("w"))).first()[0] or 0)
+    rows = lookup_join(grid.select("cell_id", "t"), weights, "cell_id", max_rows=bound, settled=True)
     z_dot_w = F.aggregate(F.zip_with("z", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return lookup_join(rows, zs, "t", salt_by="cell_id") \
+    return lookup_join(rows, zs, "t", salt_by="cell_id", max_rows=bound) \
         .select("t", "cell_id", sigmoid(z_dot_w + F.col("c")).alias("y"))
 
 
@@ -80,10 +82,11 @@ def latent_gradient(df: DataFrame, weights: DataFrame, bias: Sequence[float],
     """
     units = range(len(bias))
     v, w, c = F.col("v"), F.col("w"), F.col("c")
-    rows = lookup_join(df, weights, "cell_id").withColumn("xm", v * mask if mask is not None else v)
+    bound = rows_for(len(bias))
+    rows = lookup_join(df, weights, "cell_id", max_rows=bound).withColumn("xm", v * mask if mask is not None else v)
     hidden = rows.groupBy("t").agg(F.array(*[
         sigmoid(F.sum(F.col("xm") * w[j]) + F.lit(float(bias[j]))) for j in units]).alias("h"))
-    rows = lookup_join(rows, hidden, "t", salt_by="cell_id")
+    rows = lookup_join(rows, hidden, "t", salt_by="cell_id", max_rows=bound)
     h = F.col("h")
     rows = rows.withColumn("y", sigmoid(sum((h[j] * w[j] for j in units), c)))
     y = F.col("y")
@@ -91,7 +94,7 @@ def latent_gradient(df: DataFrame, weights: DataFrame, bias: Sequence[float],
     back = settle(rows.groupBy("t").agg(F.array(*[
         F.sum(F.col("dy") * w[j]) * F.first(h[j]) * (F.lit(1.0) - F.first(h[j]))
         for j in units]).alias("dh")))
-    rows = lookup_join(rows, back, "t", salt_by="cell_id", settled=True)
+    rows = lookup_join(rows, back, "t", salt_by="cell_id", max_rows=bound, settled=True)
     dh = F.col("dh")
     cells = rows.groupBy("cell_id").agg(
         F.array(*[F.sum(F.col("xm") * dh[j] + F.col("dy") * h[j]) for j in units]).alias("gw"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridcast.functions.exprs import sigmoid, tanh_score, unit_range
-from gridcast.functions.scale_out import div, lookup_join
+from gridcast.functions.scale_out import div, lookup_join, rows_for
 
 
 def minmax_scale(df: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def affine_sums(df: DataFrame, weights: DataFrame, units: int) -> DataFrame:
     ``weights`` is ``(cell_id, w ARRAY<DOUBLE>)``; one sum per unit, so rows are not
     repeated per unit and combine before the shuffle.
     """
-    joined = lookup_join(df, weights.select("cell_id", "w"), "cell_id")
+    joined = lookup_join(df, weights.select("cell_id", "w"), "cell_id", max_rows=rows_for(units))
     return joined.groupBy("t").agg(
         *[F.sum(F.col("v") * F.col("w")[j]).alias(f"s_{j}") for j in range(units)])
 

@@ -49,12 +49,12 @@ def _events(spark, sf_dir, minutes=45):
 
 
 def _traffic(spark, sf_dir):
-    """All five event cells: filled, scaled, trimmed."""
-    return clean.prepare(_events(spark, sf_dir))
+    """All five event cells: filled, scaled, trimmed; settled first, as it is read twice."""
+    return clean.prepare(settle(_events(spark, sf_dir)))
 
 
 def _weekly(spark, sf_dir):
-    return clean.prepare(stand_ins.supplier_shipments(spark, sf_dir))
+    return clean.prepare(settle(stand_ins.supplier_shipments(spark, sf_dir)))
 
 
 def _revenue(spark, sf_dir):
@@ -148,11 +148,11 @@ def drop_sparse_cells(spark, sf_dir):
 
 
 def interpolate_linear(spark, sf_dir):
-    return clean.interpolate_linear(_revenue(spark, sf_dir))
+    return clean.interpolate_linear(settle(_revenue(spark, sf_dir)))
 
 
 def minmax_scale(spark, sf_dir):
-    return scale.minmax_scale(clean.interpolate_linear(_revenue(spark, sf_dir)))
+    return scale.minmax_scale(settle(clean.interpolate_linear(settle(_revenue(spark, sf_dir)))))
 
 
 def tanh_scale_columns(spark, sf_dir):
@@ -176,7 +176,7 @@ def sigmoid_affine(spark, sf_dir):
 
 
 def spatial_corr(spark, sf_dir):
-    return _rounded(stats.spatial_corr(stand_ins.supplier_shipments(spark, sf_dir)), "r")
+    return _rounded(stats.spatial_corr(settle(stand_ins.supplier_shipments(spark, sf_dir))), "r")
 
 
 def autocorrelation(spark, sf_dir):
