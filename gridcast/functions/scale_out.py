@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -14,25 +15,38 @@ BROADCAST_ROWS = 200_000   # narrow rows, so at most some tens of MB
 HOT_SHARE = 200
 BLOCK = 1024               # slots per packed block
 FAN_IN = 1024              # blocks folded by one task of a carry
+_paths: list[str] = []     # written to the shared folder in this process
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is named."""
+    """The cluster's checkpoint folder. Only a local master gets one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridcast-"))
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, dropped by :func:`release`."""
+    _paths.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what was written for results that nobody reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _paths:
+        at = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        at.getFileSystem(conf).delete(at, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as Parquet to the shared folder and read it back: no lineage, pruned columns."""
+    df.write.parquet(path := scratch_path(df.sparkSession, "settled"))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
