@@ -31,4 +31,75 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR doc_id = keeper OR doc_id IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN keys USING (k) GROUP BY rid"""
 
-SQL = {"op5_benchmark_decontamination": OP5, "op9_line_dedup": OP9}
+OP2 = rf"""
+WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {LOWER.format("regexp_extract(rest, '^[^/?#]*', 0)")} AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ruled AS (SELECT *, CASE
+        WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
+marks AS (SELECT doc_id, max(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
+hosts AS (SELECT host, split_part(host, '.', -1) AS suffix,
+        array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, count(*) AS n, sum(bad::INT) AS k
+    FROM p JOIN marks ON try_cast(nullif(regexp_extract(path, '/([0-9]+)(?:[.]html|/)?$', 1), '') AS BIGINT) = marks.doc_id GROUP BY host),
+all_ AS (SELECT coalesce(sum(k) / sum(n), 0.0) AS m FROM hosts),
+s1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM hosts, all_ GROUP BY suffix),
+w1 AS (SELECT {"{w}"} AS w FROM s1),
+s AS (SELECT suffix, k + m * w AS a, n - k + (1 - m) * w AS b FROM s1, w1),
+d1 AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(a / (a + b)) AS m FROM hosts JOIN s USING (suffix) GROUP BY domain),
+w2 AS (SELECT {"{w}"} AS w FROM d1),
+d AS (SELECT domain, k + m * w AS a, n - k + (1 - m) * w AS b FROM d1, w2),
+h1 AS (SELECT host, n, k, a / (a + b) AS m FROM hosts JOIN d USING (domain)),
+w3 AS (SELECT {"{w}"} AS w FROM h1),
+h AS (SELECT host, k + m * w AS a, n - k + (1 - m) * w AS b FROM h1, w3)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN coalesce({"{h}"}, {"{d}"}, {"{s}"}, 0) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN h USING (host)
+    LEFT JOIN d ON d.domain = array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')
+    LEFT JOIN s ON s.suffix = split_part(host, '.', -1)"""
+_SPREAD = "(sum(n * (k / n - m) * (k / n - m)) - sum(m * (1 - m))) / (sum(n) - count(*))"
+_WEIGHT = f"""coalesce(least(greatest(CASE WHEN {_SPREAD} > 0
+    THEN sum(n * m * (1 - m)) / sum(n) / ({_SPREAD}) - 1 ELSE 10000.0 END, 1.0), 10000.0), 10000.0)"""
+_BOUND = "{0}.a / ({0}.a + {0}.b) - sqrt({0}.a * {0}.b / (({0}.a + {0}.b) * ({0}.a + {0}.b) * ({0}.a + {0}.b + 1)))"
+OP2 = OP2.replace("{w}", _WEIGHT)
+for _level in "hds":
+    OP2 = OP2.replace("{" + _level + "}", _BOUND.format(_level))
+
+OP6 = rf"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS spot, row_number() OVER () AS rid,
+        CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
+s AS (SELECT *, 2 * source_size AS most, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w
+    FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+r AS (SELECT *, row_number() OVER (ORDER BY most / w, source NULLS LAST) AS k FROM s),
+lv AS (SELECT k, most / w AS ratio, (1.5::DOUBLE * sum(source_size) OVER () - (sum(most) OVER (ORDER BY k) - most)::DOUBLE)
+        / (sum(w) OVER () - (sum(w) OVER (ORDER BY k) - w)) AS level FROM r),
+level AS (SELECT level, k FROM lv WHERE level < ratio OR k = (SELECT max(k) FROM lv) ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN most <= level * w THEN most::DOUBLE ELSE level * w END AS target FROM s, level),
+f AS (SELECT d.*, source_size, target,
+        CAST(sum(size) OVER (PARTITION BY d.source ORDER BY spot, size, rid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN target > 0 THEN (copy * source_size + upto) / target ELSE 0 END AS vt
+    FROM f, (SELECT unnest([0, 1]) AS copy)),
+e AS (SELECT *, sum(size) OVER (ORDER BY vt, spot, coalesce(source, ''), size, copy, rid ROWS UNBOUNDED PRECEDING) AS so_far FROM c)
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+    CAST(sum(CASE WHEN so_far <= (SELECT sum(target) FROM t) THEN size ELSE 0 END) AS BIGINT) AS taken
+FROM e GROUP BY rid"""
+
+_ESCAPED = r"""regexp_replace(regexp_replace(regexp_replace(replace({}, '\', '\0'), '<(\||s>|/s>)', '\\1\1', 'g'),
+    '\[INST\]', '\\2INST]', 'g'), '\[/INST\]', '\\2/INST]', 'g')"""
+OP7 = rf"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, replace({_ESCAPED.format("role")}, chr(10), '\3') AS r, {_ESCAPED.format("text")} AS c FROM m)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r, c)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r, c) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length('<|turn|>') + length(r) + 1 + length(c) + length('<|end|>') + 1) + length('<|begin|>') AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+SQL = {"op2_url_filter": OP2, "op5_benchmark_decontamination": OP5, "op6_source_mix": OP6,
+       "op7_chat_format": OP7, "op9_line_dedup": OP9}
