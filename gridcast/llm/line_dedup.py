@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridcast.functions.scale_out import settle
+from gridcast.functions.scale_out import lookup_join, settle
 from gridcast.llm.common import map_texts, partitions, slices, utf8
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -166,7 +166,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
                         text: str = "text", keep: list[str] | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with ``text`` less the repeated lines, and ``n_lines`` (before), ``n_dropped``."""
     suspected = settle(suspected_lines(docs, text, min_chars, max_bits))
-    lost = suspected.join(repeated_lines(suspected, min_docs), "line").filter("doc_id <> keeper") \
+    lost = lookup_join(suspected, repeated_lines(suspected, min_docs), "line", salt_by="doc_id").filter("doc_id <> keeper") \
         .groupBy("doc_id").agg(F.collect_set("line").alias("_gridcast_lost"))
     names = docs.columns if keep is None else keep
     read = docs.select(*dict.fromkeys([*names, "doc_id", text])).join(lost, "doc_id", "left")

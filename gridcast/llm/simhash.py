@@ -118,5 +118,6 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = named.filter("doc_id = component_id").select("doc_id").distinct()
     stay = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     nameless = named.filter("component_id IS NULL").select("fp").distinct()
-    lost = fingerprints(docs.filter("doc_id IS NULL"), text).join(nameless, "fp", "left_semi").select(*docs.columns)
+    whole = docs.filter("doc_id IS NULL").select(F.struct("*").alias("_row"), text)
+    lost = fingerprints(whole, text, ["_row"]).join(nameless, "fp", "left_semi").select("_row.*")
     return stay.unionByName(lost)
