@@ -11,8 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-BROADCAST_ROWS = 200_000   # narrow rows, so at most some tens of MB
-HOT_SHARE = 200
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20 # of strings and arrays
+HOT_ROWS = 1_000_000       # rows of one key in one task
 BLOCK = 1024               # slots per packed block
 FAN_IN = 1024              # blocks folded by one task of a carry
 _paths: list[str] = []     # written to the shared folder in this process
@@ -50,7 +51,11 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def fits_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return side.limit(max_rows + 1).count() <= max_rows
+    """Few rows, and strings and arrays of few bytes."""
+    wide = [f.name for f in side.schema if not isinstance(f.dataType, T.NumericType)]
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in wide), F.lit(0))
+    n, total = side.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return n <= max_rows and (total or 0) <= BROADCAST_BYTES
 
 
 def rows_for(width: int) -> int:
@@ -64,26 +69,27 @@ def lookup_join(df: DataFrame, side: DataFrame, on: str, how: str = "inner",
     """Join a large frame with a table that has one row per ``on``.
 
     The side is settled and counted. Small: broadcast, so ``df`` does not move.
-    Otherwise: a shuffle join in which every key holding more than 1/HOT_SHARE of the
-    rows (so fewer than HOT_SHARE keys) is salted over all partitions.
+    Otherwise: a shuffle join in which every key holding more than HOT_ROWS rows is dealt
+    over as many salts as it has such portions.
     """
     side = side if settled else settle(side)
     if fits_broadcast(side, max_rows):
         return df.join(F.broadcast(side), on, how)
-    counts = settle(df.groupBy(on).agg(F.count("*").alias("n")))
-    limit = counts.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in counts.filter(F.col("n") > limit / HOT_SHARE).select(on).collect()]
-    if not hot:
+    portions = F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_salts")
+    hot = settle(df.groupBy(on).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select(on, portions))
+    if hot.isEmpty():
         return df.join(side, on, how)
-    salts = _partitions(df)
-    is_hot = F.col(on).isin(hot)
-    salted = df.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(salt_by), F.lit(salts)))
-                           .otherwise(F.lit(0)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    repeated = side.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    # At most one hot key per HOT_ROWS rows, so this side stays small beside the others.
+    one = F.coalesce(F.col("_salts"), F.lit(1))
+    salted = _with_salts(df, hot, on).withColumn("_salt", F.pmod(F.xxhash64(salt_by), one).cast("int")).drop("_salts")
+    repeated = _with_salts(side, hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
     return salted.join(repeated, [on, "_salt"], how).drop("_salt")
 
 
+def _with_salts(df: DataFrame, hot: DataFrame, on: str) -> DataFrame:
+    return df.join(F.broadcast(hot) if fits_broadcast(hot) else hot, on, "left")
+
+
 def _partitions(df: DataFrame) -> int:
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
