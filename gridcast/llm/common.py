@@ -53,17 +53,18 @@ def joined(words: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
 
 
 def map_texts(df: DataFrame, fn, fields: T.StructType, keep: list[str] | None = None,
-              size: int = 8 << 20, text: str = "text") -> DataFrame:
+              size: int = 8 << 20, text: str = "text", uses: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the columns that ``fn(batch)`` gives, one list or array per field.
 
     ``keep`` names the input columns to carry on (default all); one named like a new field
-    gives way to it. Texts pass in slices of about ``size`` bytes.
+    gives way to it. ``uses`` names further columns that ``fn`` reads and that end here. Texts
+    pass in slices of about ``size`` bytes.
     """
     new = {f.name.lower() for f in fields}
-    carried = [f for f in df.schema if f.name.lower() not in new and (keep is None or f.name in keep)]
+    carried = [f for f in df.schema if f.name.lower() not in new and f.name not in uses and (keep is None or f.name in keep)]
     names = [f.name for f in carried]
     schema = to_arrow_schema(T.StructType(carried + list(fields)))
-    read = df.select(*[F.col(quoted(f.name)) for f in df.schema if f in carried or f.name in (text, *(keep or []))])
+    read = df.select(*[F.col(quoted(n)) for n in df.columns if n in (*names, *uses, text)])
 
     def run(batches):
         for batch in slices(batches, text, size):

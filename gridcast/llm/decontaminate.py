@@ -108,7 +108,7 @@ def _pass(docs: DataFrame, block: list[tuple[str | None, bytes]], window: int,
         return ([len(ws) for ws in words], [sum(b - a for a, b in x) for x in spans],
                 [[{"start": a, "end": b} for a, b in x] for x in spans], [sorted(x) for x in items])
 
-    return map_texts(docs, find, FIELDS, keep, text=text)
+    return map_texts(docs, find, FIELDS, keep, text=text, uses=("spans", "items") if more else ())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,

@@ -85,13 +85,17 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    def __init__(self, seq: np.ndarray, n_symbols: int, sample: int = 16):
-        """``sample``: every so many positions one is kept for :meth:`locate`; 0: none."""
+    def __init__(self, seq: np.ndarray, n_symbols: int, sample: int = 16, weights: np.ndarray | None = None):
+        """``sample``: every so many positions one is kept for :meth:`locate`; 0: none.
+
+        ``weights``: how often each position counts; see :meth:`matching`."""
         order = suffix_array(seq)
         bwt = seq[order - 1]                               # position 0 is preceded by the last end
         self.n = len(seq)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=n_symbols))])
         self.bwt = WaveletMatrix(bwt, n_symbols)
+        if weights is not None:
+            self.mass = np.concatenate([[0], np.cumsum(weights[order])])
         if sample:
             kept = (order % sample == 0) | (bwt == 0)      # text starts too: no walk crosses an end
             self.kept = np.packbits(kept, bitorder="little")
@@ -114,6 +118,18 @@ class FMIndex:
             lo[live], hi[live] = self.extend(patterns[live, lengths[live] - back], lo[live], hi[live])
         return lo, hi
 
+    def matching(self, text: np.ndarray, starts: np.ndarray, length: int, least: int = 2) -> np.ndarray:
+        """Matching statistics up to ``length``: of ``text[start:start + length]``, how many symbols
+        counted from the end still match with a mass of at least ``least``."""
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        matched = np.zeros(len(starts), np.int64)
+        live = np.arange(len(starts))
+        for back in range(1, length + 1):
+            lo[live], hi[live] = self.extend(text[starts[live] + length - back], lo[live], hi[live])
+            live = live[self.mass[hi[live]] - self.mass[lo[live]] >= least]
+            matched[live] = back
+        return matched
+
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Positions of rows: step back to the next sampled one."""
         rows, steps = rows.astype(np.int64), np.zeros(len(rows), np.int64)

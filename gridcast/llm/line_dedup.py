@@ -183,5 +183,5 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         return list(zip(*out))
 
     fields = T.StructType([*FIELDS.fields[:2], T.StructField(text, T.StringType())])
-    done = map_texts(read, rewrite, fields, [*[n for n in names if n != text], "_gridcast_lost"], text=text)
+    done = map_texts(read, rewrite, fields, names, text=text, uses=("_gridcast_lost",))
     return done.select(*[n for n in names if n not in ("n_lines", "n_dropped", text)], text, "n_lines", "n_dropped")

@@ -101,5 +101,16 @@ SELECT conv_id, count(*) AS n_turns,
     CAST(sum(length('<|turn|>') + length(r) + 1 + length(c) + length('<|end|>') + 1) + length('<|begin|>') AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+OP10 = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+windows AS (SELECT rid, i, sha256(array_to_string(list_slice(ws, i, i + 34), ' ')) AS w
+    FROM (SELECT *, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+often AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS k FROM windows SEMI JOIN often USING (w)),
+words AS (SELECT doc_id, rid, k, ws[k] AS word FROM (SELECT *, unnest(range(1, greatest(len(ws), 1) + 1)) AS k FROM d))
+SELECT any_value(doc_id) AS doc_id, count(word) AS n_words, count(gone.k) AS n_removed,
+    sha256(coalesce(string_agg(word, ' ' ORDER BY words.k) FILTER (gone.k IS NULL), '')) AS kept_sha256
+FROM words LEFT JOIN gone ON words.rid = gone.rid AND words.k = gone.k GROUP BY words.rid"""
+
 SQL = {"op2_url_filter": OP2, "op5_benchmark_decontamination": OP5, "op6_source_mix": OP6,
-       "op7_chat_format": OP7, "op9_line_dedup": OP9}
+       "op7_chat_format": OP7, "op9_line_dedup": OP9, "op10_substring_dedup": OP10}

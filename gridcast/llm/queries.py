@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridcast.llm import chat, decontaminate, line_dedup, mixing, simhash, url_filter
+from gridcast.llm import (chat, decontaminate, html_text, language_id, line_dedup, mixing, quality, simhash,
+                          substring_dedup, url_filter)
 from gridcast.llm.common import table
 from gridcast.llm.oracle import SQL
 
@@ -24,6 +25,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, field, keep=["doc_id"])
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -51,11 +62,24 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(language_id.training_fold(docs))
+    told = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.identify(told, model, keep=["doc_id", "held_out"])
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op5_benchmark_decontamination,
-                                   op6_source_mix, op7_chat_format, op9_line_dedup)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_quality, op4_html_text,
+                                   op5_benchmark_decontamination, op6_source_mix, op7_chat_format,
+                                   op8_language_id, op9_line_dedup, op10_substring_dedup)}
 __all__ = ["QUERIES", "SQL"]
