@@ -56,18 +56,19 @@ def _upto(key: list[str], order: list[str], value: str) -> Column:
     return F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def finish_times(sizes: DataFrame, plan: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """``sizes`` with its source's ``source_size`` and ``target``, the place ``spot`` in shuffled
-    order and ``upto``, the source's tokens up to and with the document."""
-    rows = sizes.withColumn("spot", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) \
-        .withColumn("slice", F.substring("spot", 1, digits))
-    sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("here"))
-    sums = sums.withColumn("before", _upto(["source"], ["slice"], "here") - F.col("here"))
-    base = sums.alias("s").join(plan.alias("p"), F.expr("s.source <=> p.source")) \
-        .select(F.col("s.source").alias("_source"), F.col("s.slice").alias("_slice"), "before", "source_size", "target")
-    in_slice = rows.withColumn("upto", _upto(["source", "slice"], ["spot", "size"], "size"))
-    joined = in_slice.join(base, F.expr("source <=> _source AND slice = _slice"))
-    return joined.withColumn("upto", F.col("upto") + F.col("before")).drop("_source", "_slice", "before", "slice")
+def finish_times(rows: DataFrame, sizes: DataFrame, plan: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """``rows`` with their source's ``source_size`` and ``target``, the place ``spot`` in shuffled
+    order and ``upto``, the source's tokens up to and with the document. ``sizes``: the same rows,
+    narrow."""
+    spot = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_of")     # never NULL: one plain join key
+    sums = sizes.select(key, F.substring(spot, 1, digits).alias("_slice"), "size") \
+        .groupBy("_of", "_slice").agg(F.sum("size").alias("_here"))
+    sums = sums.withColumn("_before", _upto(["_of"], ["_slice"], "_here") - F.col("_here"))
+    base = sums.join(plan.select(key, "source_size", "target"), "_of").drop("_here")
+    dealt = rows.withColumn("_of", key).withColumn("spot", spot).withColumn("_slice", F.substring("spot", 1, digits))
+    dealt = dealt.withColumn("upto", _upto(["_of", "_slice"], ["spot", "size"], "size"))
+    return dealt.join(base, ["_of", "_slice"]).withColumn("upto", F.col("upto") + F.col("_before")).drop("_of", "_slice", "_before")
 
 
 def _copies(timed: DataFrame, repeats: int) -> DataFrame:
@@ -112,11 +113,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken``, the words that the mix
     takes of each (a document is taken 0 to ``repeats`` times)."""
-    names = [n for n in (docs.columns if keep is None else keep)]
-    measured = measure(docs.drop("size", "source_size", "target", "taken"), text)
-    sizes = settle(measured.select(*dict.fromkeys([*(n for n in names if n in measured.columns), "doc_id", "source", "size"])))
-    plan = settle(targets(sizes.select("source", "size"), weights, share, repeats))
-    timed = settle(finish_times(sizes, plan))
+    names = [n for n in (docs.columns if keep is None else keep) if n not in ("size", "source_size", "target", "taken")]
+    rows = measure(docs, text).select(*dict.fromkeys([*names, "doc_id", "source", "size"]))
+    sizes = settle(rows.select("doc_id", "source", "size"))
+    if set(rows.columns) == set(sizes.columns):
+        rows = sizes
+    plan = settle(targets(sizes, weights, share, repeats))
+    timed = settle(finish_times(rows, sizes, plan))
     budget = plan.agg(F.sum("target")).first()[0] or 0.0
     within = _cut(_copies(timed, repeats), budget)
     timed = timed.withColumn("taken", F.lit(0).cast("long"))
