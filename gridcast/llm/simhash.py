@@ -60,10 +60,13 @@ def block_masks(blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> list[int]:
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links from each close fingerprint of a pair of chunks to the least one it reaches."""
     fps = np.unique(pdf["fp"].to_numpy(np.int64))
-    close = np.stack([np.bitwise_count(fps ^ f) <= MAX_BITS for f in fps])
+    blocks = [slice(i, i + 256) for i in range(0, len(fps), 256)]          # bounds the wide intermediates
+    close = np.zeros((len(fps), len(fps)), bool)
+    for b in blocks:
+        close[b] = np.bitwise_count(fps[b, None] ^ fps) <= MAX_BITS
     label = np.arange(len(fps))
     while True:
-        new = np.where(close, label[None, :], len(fps)).min(axis=1)
+        new = np.concatenate([np.where(close[b], label, len(fps)).min(axis=1) for b in blocks])
         new = new[new]
         if (new == label).all():
             break
