@@ -20,7 +20,6 @@ from gridcast.functions import solvers
 from gridcast.functions.scale_out import (BLOCK, FAN_IN, div, lookup_join, map_rows, pack_blocks,
                                           settle, spread, spread_out)
 from gridcast.operators.stats import series_summary
-from gridcast.sources.tables import last_slot
 
 BROADCAST_MODELS = 100_000   # a model is under 1 kB
 IN_TASK = 32_768           # longest series fitted inside one task
@@ -45,7 +44,9 @@ def ar_fit(df: DataFrame, p: int, size: int = BLOCK) -> DataFrame:
         if row.n > 2 * p + 2:
             mu, phi, sse = solvers.ar_from_summary(int(row.n), row.total, row.cross, row.head,
                                                    row.tail, p)
-            yield row.cell_id, p, 0, mu, phi, [], sse, int(row.n) - p, sse / (row.n - p)
+            yield row.cell_id, p, 0, mu + row.centre, phi, [], sse, int(row.n) - p, sse / (row.n - p)
+        else:                                  # too short: no model
+            yield row.cell_id, p, 0, None, None, None, None, int(row.n), None
 
     fits = map_rows(series_summary(df, p, size), solve,
                     f"{PARAMS}, sse DOUBLE, n BIGINT, sigma2 DOUBLE")
@@ -153,7 +154,7 @@ def _carry(ends: DataFrame, fan_in: int) -> tuple[DataFrame, DataFrame]:
 def _run_exact(df: DataFrame, params: DataFrame, size: int, fan_in: int,
                fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """``fn(row, first slot, [(model, residuals), ...])`` per block, from exact start states."""
-    blocks, size, halo = _blocks_with_models(df, _bundle(params), size)
+    blocks, size, halo = _blocks_with_models(df, _bundle(params.filter("mu IS NOT NULL")), size)
     starts, _ = _carry(_block_ends(blocks, size, halo), fan_in)
 
     def run(row):
@@ -185,41 +186,60 @@ def arma_predict_in_sample(df: DataFrame, params: DataFrame, size: int = BLOCK,
     def fitted(row, start, models, halo):
         y = spread_out(row.off, row.x, int(max(row.off)) + 1)[halo:]
         for m, e in models:
-            for i in range(max(m["p"] - start, 0), len(e)):
-                yield row.cell_id, m["p"], m["q"], start + i, float(y[i] - e[i])
+            skip = max(m["p"] - start, 0)
+            yield row.cell_id, m["p"], m["q"], start + skip, (y - e)[skip:]
 
-    return _run_exact(df, params, size, fan_in, fitted,
-                      "cell_id STRING, p INT, q INT, t BIGINT, yhat DOUBLE")
+    return _unrolled(_run_exact(df, params, size, fan_in, fitted, PATH))
+
+
+PATH = "cell_id STRING, p INT, q INT, first BIGINT, path ARRAY<DOUBLE>"
+
+
+def _unrolled(paths: DataFrame) -> DataFrame:
+    """One row per slot of ``(cell_id, p, q, first, path)``."""
+    return paths.select("cell_id", "p", "q", "first", F.posexplode("path").alias("i", "yhat")) \
+        .select("cell_id", "p", "q", (F.col("first") + F.col("i")).alias("t"), F.when(~F.isnan("yhat"), F.col("yhat")).alias("yhat"))
 
 
 def arma_forecast(df: DataFrame, params: DataFrame, horizon: int, size: int = BLOCK,
                   fan_in: int = FAN_IN, chunk: int = 1024) -> DataFrame:
-    """``(cell_id, p, q, t, yhat)`` for the ``horizon`` slots after the series.
+    """``(cell_id, p, q, t, yhat)`` for the ``horizon`` slots after each series.
 
-    The series enters by its last values and residuals alone; long horizons are cut into
-    chunks that start from a power of the step matrix.
+    Each series ends at its own last slot and enters by its last values and residuals alone;
+    long horizons are cut into chunks that start from a power of the step matrix. A series
+    with fewer than p values, or a model without parameters, has a NULL forecast.
     """
     models = _bundle(params)
-    blocks, size, halo = _blocks_with_models(df, models, size)
+    known = _with_parameters(models)
+    blocks, size, halo = _blocks_with_models(df, known, size)
     _, final = _carry(_block_ends(blocks, size, halo), fan_in)
-    end = last_slot(df)
-    last = df.filter(F.col("t") > end - max(halo, 1)).groupBy("cell_id").agg(
-        F.max("t").alias("t_end"),
+    ends = df.groupBy("cell_id").agg(F.max("t").alias("t_end"))
+    last = lookup_join(df, ends, "cell_id").filter(F.col("t") > F.col("t_end") - max(halo, 1)).groupBy("cell_id").agg(
+        F.max("t_end").alias("t_end"),
         F.sort_array(F.collect_list(F.struct("t", "v")), asc=False).alias("tail")) \
         .select("cell_id", "t_end", F.col("tail.v").alias("values"))
-    jobs = models.join(final, "cell_id").join(last, "cell_id").withColumn(
+    jobs = models.join(last, "cell_id").join(final, "cell_id", "left").withColumn(
         "skip", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1), F.lit(chunk))))
     if horizon > chunk:
         jobs = spread(jobs, "cell_id", "skip")
 
     def ahead(row):
         steps = min(chunk, horizon - row.skip)
-        for m, s in zip(row.models, row.final):
-            path = solvers.forecast(row.values, s, m["mu"], m["phi"], m["theta"], int(row.skip), steps)
-            for h, value in enumerate(path, 1):
-                yield row.cell_id, m["p"], m["q"], row.t_end + int(row.skip) + h, float(value)
+        states = iter(row.final if row.final is not None else ())
+        for m in row.models:
+            fits = m["mu"] is not None
+            state = next(states) if fits else None
+            path = np.full(steps, np.nan) if not fits or len(row.values) < m["p"] else solvers.forecast(
+                row.values, state, m["mu"], m["phi"], m["theta"], int(row.skip), steps)
+            yield row.cell_id, m["p"], m["q"], row.t_end + int(row.skip) + 1, np.asarray(path, float)
+
+    return _unrolled(map_rows(jobs, ahead, PATH))
+
 
-    return map_rows(jobs, ahead, "cell_id STRING, p INT, q INT, t BIGINT, yhat DOUBLE")
+def _with_parameters(models: DataFrame) -> DataFrame:
+    """Without the models that could not be fitted."""
+    return settle(models.select("cell_id", F.filter("models", lambda m: m["mu"].isNotNull()).alias("models"))
+                  .filter(F.size("models") > 0))
 
 
 # --- fitting ---------------------------------------------------------------------------

@@ -55,8 +55,9 @@ def with_next_known(points: DataFrame, width: int = FAN, levels: int = 2) -> Dat
 def interpolate_linear(df: DataFrame, periods: int | None = None, width: int = FAN) -> DataFrame:
     """Fill every slot ``0..periods-1`` of every cell, linearly by position.
 
-    Gaps after the last value repeat it, gaps before the first stay NULL. Only the
-    known points are shuffled; filled rows are generated between them.
+    Gaps after the last value repeat it, gaps before the first stay NULL. Points at or past
+    ``periods`` give no row, but the slope towards the first of them counts. Only the known
+    points are shuffled; filled rows are generated between them.
     """
     profile = settle(cell_profile(df))
     n = periods or (profile.agg(F.max("t_last")).first()[0] or 0) + 1
@@ -74,40 +75,54 @@ def _after_first(df: DataFrame, n: int, width: int = FAN) -> DataFrame:
     v0, v1, t0, t1 = F.col("v"), F.col("nv"), F.col("_from"), F.col("nt")
     value = F.when(t1.isNull() | (F.col("t") == t0), v0) \
         .otherwise(v0 + (v1 - v0) * (F.col("t") - t0) / (t1 - t0))
-    return points.select("cell_id", F.col("t").alias("_from"), "v", "nt", "nv",
-                         (F.coalesce("nt", F.lit(n).cast("bigint")) - 1).alias("_to")) \
+    end = F.lit(n).cast("bigint")
+    return points.filter(F.col("t") < n).select(
+        "cell_id", F.col("t").alias("_from"), "v", "nt", "nv", (F.least(F.coalesce("nt", end), end) - 1).alias("_to")) \
         .withColumn("_blk", F.explode(blocks)).withColumn("t", F.explode(slots())) \
         .select("cell_id", "t", value.alias("v"))
 
 
 def _before_first(profile: DataFrame, n: int) -> DataFrame:
     blocks, slots = span(F.lit(0).cast("bigint"), F.col("_to"))
-    return profile.select("cell_id", (F.coalesce("t_first", F.lit(n).cast("bigint")) - 1).alias("_to")) \
+    end = F.lit(n).cast("bigint")
+    return profile.select("cell_id", (F.least(F.coalesce("t_first", end), end) - 1).alias("_to")) \
         .withColumn("_blk", F.explode(blocks)).withColumn("t", F.explode(slots())) \
         .select("cell_id", "t", F.lit(None).cast("double").alias("v"))
 
 
 def trim_leading(df: DataFrame) -> DataFrame:
-    """Start all cells at the latest first known slot and count ``t`` from there."""
-    start = df.filter(F.col("v").isNotNull()).groupBy("cell_id").agg(F.min("t").alias("f")) \
-        .agg(F.max("f").alias("s")).scalar()
-    return df.filter(F.col("t") >= start).withColumn("t", F.col("t") - start)
+    """Start each cell at its own first known slot and count ``t`` from there."""
+    first = df.filter(F.col("v").isNotNull()).groupBy("cell_id").agg(F.min("t").alias("_first"))
+    return lookup_join(df, first, "cell_id").filter(F.col("t") >= F.col("_first")) \
+        .select("cell_id", (F.col("t") - F.col("_first")).alias("t"), "v")
+
+
+def usual_start(df: DataFrame, share: float = 0.9) -> int:
+    """The slot by which ``share`` of the cells are known."""
+    first = df.filter(F.col("v").isNotNull()).groupBy("cell_id").agg(F.min("t").alias("f"))
+    return first.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY f)")).first()[0] or 0
+
+
+def late_cells(df: DataFrame, start: int) -> DataFrame:
+    """``(cell_id, t_first)`` of the cells that ``prepare(start=start)`` leaves out as not yet known."""
+    return cell_profile(df).filter(F.col("t_first") > start).select("cell_id", "t_first")
 
 
 def prepare(df: DataFrame, thresh: int = 1, periods: int | None = None,
-            scaled: bool = True) -> DataFrame:
-    """Drop sparse cells, interpolate, scale to [0, 1], trim: one profile pass, one fill."""
+            scaled: bool = True, start: int | None = None) -> DataFrame:
+    """Drop sparse cells, interpolate, scale to [0, 1], trim: one profile pass, one fill.
+
+    Each cell starts at its own first known slot, so no cell depends on another, and counts
+    ``t`` from there. Where all cells are needed side by side, ``start`` gives them one common
+    start instead; cells not known by then are left out (see ``late_cells``).
+    """
     profile = settle(cell_profile(df))
     keep = F.col("n_known") >= max(thresh, 1)
-    kept = profile.filter(keep)
-    last, start = profile.agg(F.max("t_last"), F.max(F.when(keep, F.col("t_first")))).first()
-    n, start = periods or (last or 0) + 1, start or 0
-    limits = kept.select("cell_id", "low", "high")
-    rows = df if thresh <= 1 else lookup_join(df, limits.select("cell_id"), "cell_id", "left_semi",
-                                              settled=True)
-    filled = _after_first(rows, n).filter(F.col("t") >= start)
-    v = F.col("v")
-    if scaled:
-        filled = lookup_join(filled, limits, "cell_id", settled=True)
-        v = unit_range(v, F.col("low"), F.col("high"))
-    return filled.select("cell_id", (F.col("t") - start).alias("t"), v.alias("v"))
+    if start is not None:
+        keep = keep & (F.col("t_first") <= start)
+    n = periods or (profile.agg(F.max("t_last")).first()[0] or 0) + 1
+    begin = F.col("t_first") if start is None else F.lit(start).cast("bigint")
+    limits = profile.filter(keep).select("cell_id", "low", "high", begin.alias("_begin"))
+    filled = lookup_join(_after_first(df, n), limits, "cell_id", settled=True).filter(F.col("t") >= F.col("_begin"))
+    v = unit_range(F.col("v"), F.col("low"), F.col("high")) if scaled else F.col("v")
+    return filled.select("cell_id", (F.col("t") - F.col("_begin")).alias("t"), v.alias("v"))

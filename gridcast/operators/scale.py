@@ -31,16 +31,18 @@ def tanh_scale_global(df: DataFrame) -> DataFrame:
 def first_difference(df: DataFrame, size: int = 4096) -> DataFrame:
     """v - previous v by position, NULL in the first row.
 
-    The last row of a block also goes to the next block, so ``lag`` never needs more
-    than one block of a cell.
+    Differences are taken inside blocks of ``size`` slots; the first row of a block takes
+    the last row of the nearest earlier block that has any, so no whole series is sorted.
     """
-    own = div("t", size)
-    homes = F.when(F.pmod("t", F.lit(size)) == size - 1, F.array(own, own + 1)) \
-        .otherwise(F.array(own))
-    w = W.partitionBy("cell_id", "_b").orderBy("t")
-    return df.select("cell_id", "t", "v", F.explode(homes).alias("_b")) \
-        .withColumn("dv", F.col("v") - F.lag("v").over(w)) \
-        .filter(F.col("_b") == div("t", size)).select("cell_id", "t", F.col("dv").alias("v"))
+    block = F.coalesce(div("t", size), F.lit(0).cast("bigint"))
+    rows = df.filter(F.col("cell_id").isNotNull()).select("cell_id", "t", "v", block.alias("_b")).repartition("cell_id", "_b")
+    inner = W.partitionBy("cell_id", "_b").orderBy("t")
+    blocks = W.partitionBy("cell_id").orderBy("_b")                       # one row per block
+    last = rows.groupBy("cell_id", "_b").agg(F.max_by("v", "t").alias("_last")) \
+        .select("cell_id", "_b", F.lag("_last").over(blocks).alias("_last"))
+    inside = rows.withColumn("_at", F.row_number().over(inner)).withColumn("_lag", F.lag("v").over(inner))
+    before = F.when(F.col("_at") == 1, F.col("_last")).otherwise(F.col("_lag"))
+    return inside.join(last.hint("merge"), ["cell_id", "_b"]).select("cell_id", "t", (F.col("v") - before).alias("v"))
 
 
 def affine_sums(df: DataFrame, weights: DataFrame, units: int) -> DataFrame:

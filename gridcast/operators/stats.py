@@ -75,8 +75,15 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK) -> DataFram
         F.when(F.col("_swap"), F.col("cell_a")).otherwise(F.col("cell_b")).alias("cell_b"), "r", "n")
 
 
+def centred(df: DataFrame) -> DataFrame:
+    """``v`` less about its cell's mean, and that ``centre``. Sums of squares then keep their digits
+    however large the mean is."""
+    means = df.groupBy("cell_id").agg(F.avg("v").alias("centre"))
+    return lookup_join(df, means, "cell_id").select("cell_id", "t", (F.col("v") - F.col("centre")).alias("v"), "centre")
+
+
 def lagged_sums(df: DataFrame, lags: int, size: int = BLOCK) -> DataFrame:
-    """``(cell_id, lag, n, sx, ...)`` of the pairs (x_t, x_{t-lag}), lag 0..lags."""
+    """``(cell_id, lag, n, sx, ...)`` of the centred pairs (x_t, x_{t-lag}), lag 0..lags."""
     size = max(size, lags, 1)
 
     def sums(row):
@@ -85,7 +92,7 @@ def lagged_sums(df: DataFrame, lags: int, size: int = BLOCK) -> DataFrame:
             if r[1]:
                 yield (row.cell_id, *r)
 
-    return map_rows(pack_blocks(df, size, lags), sums, f"cell_id STRING, lag BIGINT, {SUM_TYPES}") \
+    return map_rows(pack_blocks(centred(df), size, lags), sums, f"cell_id STRING, lag BIGINT, {SUM_TYPES}") \
         .groupBy("cell_id", "lag").agg(*_total())
 
 
@@ -120,16 +127,18 @@ def pacf(df: DataFrame, n_lags: int, size: int = BLOCK) -> DataFrame:
 
     def solve(row):
         r = [float(v) for v in row.r if v is not None]
-        for lag, value in enumerate(solvers.partial_from_acf(r) if len(r) == len(row.r) else []):
+        solved = solvers.partial_from_acf(r) if len(r) == len(row.r) else [None] * len(row.r)   # NULL: a constant cell
+        for lag, value in enumerate(solved):
             yield row.cell_id, lag, value
 
     return map_rows(rows, solve, "cell_id STRING, lag BIGINT, r DOUBLE")
 
 
 def series_summary(df: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
-    """``(cell_id, n, total, cross, head, tail)`` of gapless, trimmed series.
+    """``(cell_id, n, total, cross, head, tail, centre)`` of gapless, trimmed series.
 
-    ``cross[d]`` sums x_t x_{t-d}; head and tail are the first and last ``k`` values.
+    All but ``centre`` is of the series less its ``centre``. ``cross[d]`` sums x_t x_{t-d};
+    head and tail are the first and last ``k`` values.
     From these the Gram matrix of all lags up to ``k`` follows (``centred_gram``), so a
     regression on lags needs one pass over the data, not one per model. Each block
     offers its head and tail; the first and the last block's are kept.
@@ -146,13 +155,16 @@ def series_summary(df: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
         yield (row.cell_id, row.blk, sums[0][1], sums[0][2], [r[-1] for r in sums],
                known[body][:k] if row.blk == 0 else None, known[max(len(known) - k, 0):])
 
-    blocks = map_rows(pack_blocks(df, size, k), summarise,
+    moved = settle(centred(df))
+    centres = settle(moved.groupBy("cell_id").agg(F.first("centre").alias("centre")))
+    blocks = map_rows(pack_blocks(moved, size, k), summarise,
                       "cell_id STRING, blk BIGINT, n BIGINT, total DOUBLE, cross ARRAY<DOUBLE>, "
                       "head ARRAY<DOUBLE>, tail ARRAY<DOUBLE>")
-    return blocks.groupBy("cell_id").agg(
+    sums = blocks.groupBy("cell_id").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"),
         F.array(*[F.sum(F.col("cross")[d]) for d in range(k + 1)]).alias("cross"),
         F.min_by("head", "blk").alias("head"), F.max_by("tail", "blk").alias("tail"))
+    return lookup_join(sums, centres, "cell_id", salt_by="n", settled=True)
 
 
 ADF_SCHEMA = ("cell_id STRING, stat DOUBLE, p_value DOUBLE, used_lag BIGINT, n_obs BIGINT, "
@@ -170,6 +182,8 @@ def adf_test(df: DataFrame, max_lag: int | None = None, size: int = BLOCK) -> Da
         if row.n > 2 * max_lag + 3:
             yield (row.cell_id, *solvers.adf(int(row.n), row.total, row.cross, row.head,
                                              row.tail, max_lag))
+        else:                                  # too short for so many lags
+            yield (row.cell_id, None, None, None, int(row.n), None, None, None)
 
     return map_rows(spread(series_summary(df, max_lag + 1, size), "cell_id"), solve, ADF_SCHEMA)
 

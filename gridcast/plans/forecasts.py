@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, functions as F
 from gridcast.config import Granularity
 from gridcast.functions.scale_out import settle
 from gridcast.operators import arma, clean, latent, metrics, sequence, windows
-from gridcast.sources.tables import reindex_cells, select_target
+from gridcast.sources.tables import only_cells, select_target
 
 
-def load_series(traffic: DataFrame, thresh: int, cells: DataFrame | None = None) -> DataFrame:
-    """Reindex to the listed cells, drop sparse ones, interpolate, scale, trim; settled."""
-    rows = traffic if cells is None else reindex_cells(traffic, cells)
-    return settle(clean.prepare(rows, thresh))
+def load_series(traffic: DataFrame, thresh: int, cells: DataFrame | None = None,
+                side_by_side: bool = False) -> DataFrame:
+    """Keep the listed cells, drop sparse ones, interpolate, scale, trim; settled.
+
+    Each cell starts at its own first known slot, or with ``side_by_side`` all start where
+    nearly all are known (``clean.usual_start``), as the compressor needs every cell of a slot.
+    """
+    rows = traffic if cells is None else only_cells(traffic, cells)
+    return settle(clean.prepare(rows, thresh, start=clean.usual_start(rows) if side_by_side else None))
 
 
 @dataclass

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from gridcast.plans import registered as q
 
-TYPES = "[" + ", ".join(f"'{t}'" for t in q.EVENT_TYPES) + "]"
+TYPES = "(SELECT list(DISTINCT event_type ORDER BY event_type) FROM events)"
+COLUMNS = ("click", "error", "purchase", "signup", "view")    # a wide result must name its columns
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
@@ -47,13 +48,16 @@ MINMAX = """scaled AS (SELECT f.cell_id, f.t, CASE WHEN f.v IS NULL THEN NULL
         FROM filled f JOIN (SELECT cell_id, min(v) AS lo, max(v) AS hi FROM filled GROUP BY 1) m
         USING (cell_id))"""
 
-PREPARED = f"""{FILLED},
+SCALED = f"""{FILLED},
     {MINMAX},
-    t_start AS (SELECT max(f) AS s FROM (SELECT cell_id, min(t) AS f FROM src GROUP BY 1)),
-    ser AS (SELECT cell_id, t - s AS t, v FROM scaled, t_start WHERE t >= s)"""
-
-TRAFFIC = f"WITH {events()},\n    {PREPARED}"
-WEEKLY = f"WITH {SHIPMENTS},\n    {PREPARED}"
+    firsts AS (SELECT cell_id, min(t) AS f FROM src GROUP BY 1)"""
+TRAFFIC = f"""WITH {events()},
+    {SCALED},
+    t_start AS (SELECT quantile_disc(f, 0.9) AS s FROM firsts),
+    ser AS (SELECT cell_id, t - s AS t, v FROM scaled JOIN firsts USING (cell_id), t_start WHERE f <= s AND t >= s)"""
+WEEKLY = f"""WITH {SHIPMENTS},
+    {SCALED},
+    ser AS (SELECT cell_id, t - f AS t, v FROM scaled JOIN firsts USING (cell_id) WHERE t >= f)"""
 
 ORD = f"(list_position({TYPES}, cell_id) - 1)"
 
@@ -154,7 +158,7 @@ def decimal_text(x: str) -> str:
 
 
 def per_type(expr: str) -> str:
-    return ", ".join(expr.format(t=t) for t in q.EVENT_TYPES)
+    return ", ".join(expr.format(t=t) for t in COLUMNS)
 
 
 SQL = {
@@ -180,7 +184,8 @@ SQL = {
     "write_series": f"""WITH {events()} SELECT t, strftime(TIMESTAMP '{q.GRID_START}'
         + to_minutes(t * 45), '%Y-%m-%d %H:%M:%S') AS ts, v FROM src WHERE cell_id = '{q.TARGET}'""",
     "drop_sparse_cells": f"""WITH {events()} SELECT * FROM src WHERE cell_id IN (
-        SELECT cell_id FROM src GROUP BY 1 HAVING count(v) >= {q.THRESH["sf0.01"]})""",
+        SELECT cell_id FROM src GROUP BY 1 HAVING count(v) >= (
+        SELECT ceil(avg(n)) FROM (SELECT count(v) AS n FROM src GROUP BY cell_id)))""",
     "interpolate_linear": f"WITH {REVENUE}, {FILLED} SELECT cell_id, t, v FROM filled",
     "minmax_scale": f"WITH {REVENUE}, {FILLED}, {MINMAX} SELECT cell_id, t, v FROM scaled",
     "tanh_scale_columns": f"""WITH {REVENUE} SELECT cell_id, t, {r(
@@ -197,6 +202,17 @@ SQL = {
         SELECT cell_a, cell_b, {r(PEARSON, "r")}, count(*) AS n FROM pair GROUP BY 1, 2""",
     "autocorrelation": f"""{LAGS} SELECT cell_id, lag, {r(PEARSON, "r")} FROM lags
         WHERE lag > 0 GROUP BY 1, 2""",
+    "autocorrelation_large_mean": f"""WITH {SHIPMENTS}, lags AS (SELECT a.cell_id, a.t - b.t AS lag, a.v AS x, b.v AS y
+        FROM src a JOIN src b ON a.cell_id = b.cell_id AND a.t - b.t BETWEEN 1 AND 12)
+        SELECT cell_id, lag, {r(PEARSON, "r")} FROM lags GROUP BY 1, 2""",
+    "pacf": f"""{ACF.replace("WITH ", "WITH RECURSIVE ", 1)},
+        rs AS (SELECT cell_id, list(r ORDER BY lag) AS r FROM acf GROUP BY 1),
+        dl AS (SELECT cell_id, 1 AS k, r, [r[2]] AS phi FROM rs
+            UNION ALL SELECT cell_id, k + 1, r, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - new * phi[k + 1 - j]), new)
+            FROM (SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])))
+                / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1]))) AS new FROM dl WHERE k < 12))
+        SELECT cell_id, CAST(0 AS BIGINT) AS lag, 1.0 AS r FROM rs
+        UNION ALL SELECT cell_id, CAST(k AS BIGINT), {r("phi[k]", "r")} FROM dl""",
     "acf": f"""{ACF} SELECT cell_id, lag, {r("r", "r")}, round(CASE WHEN lag = 0 THEN 0 ELSE 1.96 * sqrt(
         (1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN r * r END) OVER (PARTITION BY cell_id ORDER BY lag
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END, 6) + 0.0 AS band FROM acf""",
@@ -241,7 +257,7 @@ SQL = {
     "arma_forecast": f"""{CSS_RECURSIVE},
         fin AS (SELECT res.cell_id, res.t, res.v, res.e, p.v AS v_prev FROM res
             JOIN ser p ON p.cell_id = res.cell_id AND p.t = res.t - 1
-            WHERE res.t = (SELECT max(t) FROM ser)),
+            WHERE (res.cell_id, res.t) IN (SELECT cell_id, max(t) FROM ser GROUP BY 1)),
         fc AS (SELECT cell_id, t, v AS a, v_prev AS b, e, 0 AS h FROM fin
             UNION ALL SELECT cell_id, t + 1, {q.MU} + {q.PHI[0]} * (a - {q.MU})
             + ({q.PHI[1]}) * (b - {q.MU}) + {q.THETA[0]} * e, a, 0.0, h + 1 FROM fc WHERE h < 52)

@@ -7,7 +7,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePath
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -20,9 +19,7 @@ from gridcast.sources import stand_ins, tables
 
 CFG = GRANULARITIES[45]
 STEPS = CFG.day
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 TARGET = "signup"
-THRESH = {"sf0.001": 180, "sf0.01": 840, "sf0.1": 960}
 TRAIN_WEEKS = 280
 MU, PHI, THETA = 0.4123457, (0.5123457, -0.2234567), (0.3141593,)
 BIAS = (0.1, -0.2)
@@ -49,8 +46,14 @@ def _events(spark, sf_dir, minutes=45):
 
 
 def _traffic(spark, sf_dir):
-    """All five event cells: filled, scaled, trimmed; settled first, as it is read twice."""
-    return clean.prepare(settle(_events(spark, sf_dir)))
+    """All event cells side by side: filled, scaled, trimmed; settled first, as it is read often."""
+    events = settle(_events(spark, sf_dir))
+    return clean.prepare(events, start=clean.usual_start(events))
+
+
+def _types(spark, sf_dir) -> list[str]:
+    """The event types in order: the columns of the wide forms."""
+    return [r[0] for r in _events(spark, sf_dir).select("cell_id").distinct().orderBy("cell_id").collect()]
 
 
 def _weekly(spark, sf_dir):
@@ -61,20 +64,16 @@ def _revenue(spark, sf_dir):
     return stand_ins.nation_revenue(spark, sf_dir)
 
 
-def _thresh(sf_dir: str) -> int:
-    return THRESH.get(PurePath(sf_dir).name, 960)
-
-
-def _weights(spark: SparkSession) -> DataFrame:
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(c, [encoder_weight(i, j) for j in range(2)], decoder_bias(i))
-            for i, c in enumerate(EVENT_TYPES)]
+            for i, c in enumerate(_types(spark, sf_dir))]
     return spark.createDataFrame(rows, "cell_id STRING, w ARRAY<DOUBLE>, c DOUBLE")
 
 
 def _features(spark, sf_dir):
     """(t, y, z1, z2) with the fixed encoder."""
     ser = settle(_traffic(spark, sf_dir))
-    z = latent.encode_arrays(ser, _weights(spark), BIAS) \
+    z = latent.encode_arrays(ser, _weights(spark, sf_dir), BIAS) \
         .select("t", F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
     return settle(windows.column_stack(ser.filter(F.col("cell_id") == TARGET), z))
 
@@ -98,13 +97,13 @@ def scan_cells(spark, sf_dir):
 
 def _wide(spark, sf_dir):
     listed = _events(spark, sf_dir).select("cell_id").distinct()
-    return tables.long_to_wide(tables.reindex_cells(_events(spark, sf_dir), listed), EVENT_TYPES)
+    return tables.long_to_wide(tables.reindex_cells(_events(spark, sf_dir), listed), _types(spark, sf_dir))
 
 
 def scan_traffic_wide(spark, sf_dir):
     path = scratch_path(spark, "wide")
     _wide(spark, sf_dir).orderBy("t").drop("t").write.csv(path, header=True)
-    return _rounded(tables.scan_traffic_wide(spark, path), *EVENT_TYPES)
+    return _rounded(tables.scan_traffic_wide(spark, path), *_types(spark, sf_dir))
 
 
 def reindex_cells(spark, sf_dir):
@@ -122,11 +121,11 @@ def time_grid(spark, sf_dir):
 
 
 def wide_to_long(spark, sf_dir):
-    return tables.wide_to_long(tables.long_to_wide(_events(spark, sf_dir), EVENT_TYPES))
+    return tables.wide_to_long(tables.long_to_wide(_events(spark, sf_dir), _types(spark, sf_dir)))
 
 
 def long_to_wide(spark, sf_dir):
-    return tables.long_to_wide(_events(spark, sf_dir), EVENT_TYPES)
+    return tables.long_to_wide(_events(spark, sf_dir), _types(spark, sf_dir))
 
 
 def select_target(spark, sf_dir):
@@ -144,7 +143,10 @@ def write_series(spark, sf_dir):
 
 
 def drop_sparse_cells(spark, sf_dir):
-    return clean.drop_sparse_cells(_events(spark, sf_dir), _thresh(sf_dir))
+    """Cells with at least the average number of known slots."""
+    events = settle(_events(spark, sf_dir))
+    average = events.groupBy("cell_id").agg(F.count("v").alias("n")).agg(F.ceil(F.avg("n"))).first()[0] or 0
+    return clean.drop_sparse_cells(events, average)
 
 
 def interpolate_linear(spark, sf_dir):
@@ -168,7 +170,7 @@ def first_difference(spark, sf_dir):
 
 
 def sigmoid_affine(spark, sf_dir):
-    z = scale.sigmoid_affine(_traffic(spark, sf_dir), _weights(spark), BIAS)
+    z = scale.sigmoid_affine(_traffic(spark, sf_dir), _weights(spark, sf_dir), BIAS)
     return z.select("t", _r(F.col("z")[0]).alias("z1"), _r(F.col("z")[1]).alias("z2"))
 
 
@@ -183,6 +185,12 @@ def autocorrelation(spark, sf_dir):
     return _rounded(stats.autocorrelation(_weekly(spark, sf_dir), 12), "r")
 
 
+def autocorrelation_large_mean(spark, sf_dir):
+    """Gappy whole numbers around a hundred million: the same correlations as around zero."""
+    far = stand_ins.supplier_shipments(spark, sf_dir).withColumn("v", F.col("v") + 1e8)
+    return _rounded(stats.autocorrelation(settle(far), 12), "r")
+
+
 def acf(spark, sf_dir):
     return _rounded(stats.acf(_weekly(spark, sf_dir), 12), "r", "band")
 
@@ -310,39 +318,36 @@ def arma_order_search_ar(spark, sf_dir):
 # --- compression -------------------------------------------------------------------------
 
 
-def _ordinal() -> Column:
-    return F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("cell_id")) - 1
-
-
-def _bit() -> Column:
-    return F.pmod(F.lit(7) * F.col("t") + F.lit(13) * _ordinal() + F.lit(5), F.lit(2))
+def _bit(spark, sf_dir) -> Column:
+    ordinal = F.array_position(F.array(*map(F.lit, _types(spark, sf_dir))), F.col("cell_id")) - 1
+    return F.pmod(F.lit(7) * F.col("t") + F.lit(13) * ordinal + F.lit(5), F.lit(2))
 
 
 def corrupt_mask(spark, sf_dir):
-    return _rounded(latent.corrupt_mask(_traffic(spark, sf_dir), 5, 0.75, _bit()), "v")
+    return _rounded(latent.corrupt_mask(_traffic(spark, sf_dir), 5, 0.75, _bit(spark, sf_dir)), "v")
 
 
 def latent_encode(spark, sf_dir):
-    df = latent.latent_encode(_traffic(spark, sf_dir), _weights(spark), BIAS)
+    df = latent.latent_encode(_traffic(spark, sf_dir), _weights(spark, sf_dir), BIAS)
     return _rounded(df.withColumn("unit", F.col("unit").cast("bigint")), "z")
 
 
-def _decoded(spark, ser):
-    w = _weights(spark)
+def _decoded(spark, sf_dir, ser):
+    w = _weights(spark, sf_dir)
     return latent.latent_decode(latent.latent_encode(ser, w, BIAS), w, ser)
 
 
 def latent_decode(spark, sf_dir):
-    return _rounded(_decoded(spark, settle(_traffic(spark, sf_dir))), "y")
+    return _rounded(_decoded(spark, sf_dir, settle(_traffic(spark, sf_dir))), "y")
 
 
 def reconstruction_cost(spark, sf_dir):
     ser = settle(_traffic(spark, sf_dir))
-    return _rounded(latent.reconstruction_cost(ser, _decoded(spark, ser)), "cost")
+    return _rounded(latent.reconstruction_cost(ser, _decoded(spark, sf_dir, ser)), "cost")
 
 
 def latent_gradient(spark, sf_dir):
-    df = latent.latent_gradient(settle(_traffic(spark, sf_dir)), _weights(spark), BIAS, _bit())
+    df = latent.latent_gradient(settle(_traffic(spark, sf_dir)), _weights(spark, sf_dir), BIAS, _bit(spark, sf_dir))
     return _rounded(df.withColumn("unit", F.col("unit").cast("bigint")), "g")
 
 
@@ -413,7 +418,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     scan_cells, scan_traffic_wide, reindex_cells, time_grid, wide_to_long, long_to_wide,
     select_target, write_series, drop_sparse_cells, interpolate_linear, minmax_scale,
     tanh_scale_columns, tanh_scale_global, first_difference, sigmoid_affine, spatial_corr,
-    autocorrelation, acf, pacf, pacf_two_lags, adf_test, adf_lag0, column_stack,
+    autocorrelation, autocorrelation_large_mean, acf, pacf, pacf_two_lags, adf_test, adf_lag0, column_stack,
     train_test_split, batch_slices, supervised_windows, supervised_windows_padded,
     window_batches, eval_windows, lane_chains, ar_fit, arma_css, arma_bic,
     arma_predict_in_sample, arma_forecast, arma_fit, arma_fit_ar1, arma_order_search,

@@ -7,27 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from gridcast.functions.exprs import cell_key, known
-from gridcast.functions.scale_out import span
+from gridcast.functions.scale_out import lookup_join, span
 
 
 def _with_ordinal(df: DataFrame, name: str) -> DataFrame:
     """Row position in file order.
 
-    Counted per file split, then shifted by the counts of the splits before it, so no
-    task sees more rows than one split holds.
+    Ids rise within a file split, so a row's position is its distance from the split's least
+    id plus the rows of the splits before. Only one small row per split is gathered; the rows
+    themselves stay where they are read.
     """
     cols = df.columns
     rows = df.select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_split"),
                      F.monotonically_increasing_id().alias("_id"))
-    splits = rows.groupBy("_file", "_split").agg(F.count("*").alias("_n"))
+    ends = rows.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
     before = W.orderBy("_file", "_split").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.select("_file", "_split",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = W.partitionBy("_file", "_split").orderBy("_id")
-    return rows.withColumn("_pos", F.row_number().over(within)) \
-        .join(offsets, ["_file", "_split"]) \
-        .select((F.col("_before") + F.col("_pos") - 1).alias(name), *cols)
+    offsets = ends.select("_file", "_split", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # One row per split: a hundred bytes for every 128 MB read.
+    return rows.join(F.broadcast(offsets), ["_file", "_split"]) \
+        .select((F.col("_before") + F.col("_id") - F.col("_low")).alias(name), *cols)
 
 
 def scan_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -84,7 +83,12 @@ def reindex_cells(df: DataFrame, cells: DataFrame, periods: int | Column | None
     grid = listed.withColumn("_end", end).withColumn("_blk", F.explode(blocks)) \
         .repartition("cell_id", "_blk") \
         .select("cell_id", F.explode(slots()).alias("t"))
-    return grid.join(df.select("cell_id", "t", "v"), ["cell_id", "t"], "left")
+    return grid.join(only_cells(df, listed).select("cell_id", "t", "v"), ["cell_id", "t"], "left")
+
+
+def only_cells(df: DataFrame, cells: DataFrame) -> DataFrame:
+    """The rows of the listed cells; unlisted rows go before anything is shuffled."""
+    return lookup_join(df, cells.select("cell_id").distinct(), "cell_id", "left_semi")
 
 
 def reindex_wide(wide: DataFrame, keys: Sequence[str]) -> DataFrame:

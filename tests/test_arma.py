@@ -155,3 +155,25 @@ def test_jacobian_by_differences():
         down[k] -= 1e-6
         diff = (solvers.css_residuals(y, up, 2, 2) - solvers.css_residuals(y, down, 2, 2)) / 2e-6
         np.testing.assert_allclose(j[:, k], diff, atol=1e-6)
+
+
+def test_forecast_of_ragged_series(spark):
+    """Each series is forecast from its own end; one too short or without a model gives NULLs."""
+    rng = np.random.default_rng(6)
+    ends = {"a": 500, "b": 499, "c": 300, "d": 1, "e": 40}
+    rows = [(c, t, float(v)) for c, n in ends.items() for t, v in enumerate(rng.random(n))]
+    df = spark.createDataFrame(rows, "cell_id string, t bigint, v double")
+    models = [(c, 2, 0, 0.5, [0.5, 0.25], []) if c != "e" else (c, 2, 0, None, None, None) for c in ends]
+    params = spark.createDataFrame(models, arma.PARAMS)
+    got = arma.arma_forecast(df, params, 3, size=64).toPandas()
+    for c, n in ends.items():
+        part = got[got["cell_id"] == c].sort_values("t")
+        assert part["t"].tolist() == [n, n + 1, n + 2]
+        if c in "de":
+            assert part["yhat"].isna().all()
+            continue
+        last = [v for k, _, v in rows if k == c][-2:]
+        for y in part["yhat"]:
+            want = 0.5 + 0.5 * (last[-1] - 0.5) + 0.25 * (last[-2] - 0.5)
+            assert abs(y - want) < 1e-9
+            last.append(want)

@@ -120,14 +120,55 @@ def test_interpolation_across_blocks(spark, monkeypatch, width, fan):
     np.testing.assert_allclose(got.to_numpy(), frame.interpolate().to_numpy(), atol=1e-12)
 
 
-def test_prepare_trims_to_the_latest_start(spark):
+def test_prepare_trims_each_cell(spark):
     df = long(spark, a=[None, None, 2.0, None, 6.0], b=[0.0, 1.0, None, 3.0, 4.0], c=[None] * 5)
     out = clean.prepare(df)
     assert values(out, "a") == [0.0, 0.5, 1.0]
-    assert values(out, "b") == [0.5, 0.75, 1.0]
+    assert values(out, "b") == [0.0, 0.25, 0.5, 0.75, 1.0]
     assert values(out, "c") == []
     plain = clean.trim_leading(clean.interpolate_linear(df.filter("cell_id <> 'c'")))
-    assert values(plain, "b") == [2.0, 3.0, 4.0]
+    assert values(plain, "a") == [2.0, 4.0, 6.0] and values(plain, "b") == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_a_late_cell_changes_no_other(spark):
+    rng = np.random.default_rng(4)
+    cells = {c: [None] * i + rng.random(60 - i).tolist() for i, c in enumerate("abc")}
+    late = cells | {"z": [None] * 58 + [1.0, 2.0]}
+    few, more = (clean.prepare(long(spark, **x)).toPandas().sort_values(["cell_id", "t"]) for x in (cells, late))
+    assert few.to_numpy().tolist() == more[more["cell_id"] != "z"].to_numpy().tolist()
+    frame = long(spark, **late)
+    start = clean.usual_start(frame, 0.75)
+    assert start == 2 and [tuple(r) for r in clean.late_cells(frame, start).collect()] == [("z", 58)]
+    common = clean.prepare(frame, start=start).groupBy("cell_id").count().collect()
+    assert sorted(tuple(r) for r in common) == [("a", 58), ("b", 58), ("c", 58)]
+
+
+def test_periods_cut_rows_and_not_slopes(spark):
+    df = spark.createDataFrame([("a", 0, 0.0), ("a", 5, 5.0), ("a", 8, 8.0), ("b", 4, 1.0)], LONG)
+    out = clean.interpolate_linear(df, periods=3)
+    assert values(out, "a") == [0.0, 1.0, 2.0] and values(out, "b") == [None] * 3
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 4096])
+def test_first_difference_over_gaps(spark, size):
+    df = spark.createDataFrame([("a", t, float(t * t)) for t in (0, 1, 2, 4, 13)] + [("b", 7, 1.0)], LONG)
+    assert values(scale.first_difference(df, size), "a") == [None, 1.0, 3.0, 12.0, 153.0]
+    assert values(scale.first_difference(df, size), "b") == [None]
+
+
+def test_reading_moves_no_rows(spark, tmp_path):
+    spark.createDataFrame([(float(i), 1.0) for i in range(50)], "a double, b double").repartition(4).write.csv(f"{tmp_path}/x", header=True)
+    wide = tables.scan_traffic_wide(spark, f"{tmp_path}/x")
+    assert sorted(r["t"] for r in wide.collect()) == list(range(50))
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_reindex_drops_unlisted_rows_first(spark):
+    df = long(spark, a=[1.0, 2.0], b=[3.0, 4.0])
+    out = tables.reindex_cells(df, spark.createDataFrame([("a",), ("q",), ("a",)], "cell_id string"))
+    assert values(out, "a") == [1.0, 2.0] and values(out, "q") == [None, None] and values(out, "b") == []
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_minmax(spark):

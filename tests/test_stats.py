@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from gridcast.functions import solvers
-from gridcast.operators import stats
+from gridcast.operators import arma, stats
 from tests.test_sources_and_cleaning import LONG, long
 
 
@@ -120,3 +120,28 @@ def test_gram_from_lag_sums(n, k):
     g, _, m = solvers.centred_gram(n, float(x.sum()), cross, x[:k], x[-k:], k)
     z = np.array([[1.0, *(x[t - k:t + 1][::-1] - m)] for t in range(k, n)])
     np.testing.assert_allclose(g, z.T @ z, atol=1e-9)
+
+
+def test_lag_statistics_do_not_depend_on_the_mean(spark):
+    rng = np.random.default_rng(9)
+    x = [0.0]
+    for e in rng.normal(size=700):
+        x.append(0.8 * x[-1] + float(e))
+    x = (np.round(np.array(x) * 1024) / 1024).tolist()               # exact beside 1e8
+    near = spark.createDataFrame([("a", t, v) for t, v in enumerate(x)], "cell_id string, t bigint, v double")
+    far = near.selectExpr("cell_id", "t", "v + 1e8 AS v")
+    for stat in (lambda d: stats.autocorrelation(d, 3), lambda d: stats.acf(d, 3), lambda d: stats.pacf(d, 3),
+                 lambda d: stats.adf_test(d, 4), lambda d: stats.adf_lag0(d),
+                 lambda d: arma.ar_fit(d, 2).selectExpr("cell_id", "p AS lag", "phi[0]", "phi[1]", "sse", "bic")):
+        a, b = (f.toPandas().sort_values(f.columns[:2]).select_dtypes("number").to_numpy(float) for f in (stat(near), stat(far)))
+        np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-6)
+    assert abs(arma.ar_fit(far, 1).first()["mu"] - 1e8 - arma.ar_fit(near, 1).first()["mu"]) < 1e-5
+
+
+def test_short_cells_are_reported(spark):
+    df = spark.createDataFrame([("short", 0, 1.0), ("short", 1, 2.0)] + [("long", t, float(t * 7 % 11)) for t in range(60)],
+                               "cell_id string, t bigint, v double")
+    got = {r["cell_id"]: r for r in stats.adf_test(df, 4).collect()}
+    assert got["short"]["stat"] is None and got["short"]["n_obs"] == 2 and got["long"]["stat"] is not None
+    fits = {r["cell_id"]: r for r in arma.ar_fit(df, 2).collect()}
+    assert fits["short"]["mu"] is None and fits["long"]["mu"] is not None
