@@ -1,9 +1,9 @@
 """Compression of the row of all cells at a slot into a few units (denoising, tied weights).
 
-Single steps are column expressions. Training packs each slot's cells into one array,
-splits time into shards of bounded size, and runs rounds: every shard takes mini-batch
-steps from the common weights, then the weights are averaged by rows. With one shard this
-is plain sequential mini-batch descent; with more it is not step for step the same.
+All steps are column expressions, training too: an epoch is one gradient over all slots and
+cells, summed by Spark, whatever the number of cells. The result does not depend on how the
+rows are partitioned. Further layers are trained one after the other, each on the units of the
+layer before.
 """
 
 from __future__ import annotations
@@ -12,16 +12,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridcast.functions.exprs import sigmoid
-from gridcast.functions.scale_out import div, fits_broadcast, lookup_join, rows_for, settle, spread
+from gridcast.functions.scale_out import lookup_join, rows_for, settle
 from gridcast.operators.scale import sigmoid_affine
 
-MAX_WIDE = 65_536            # cells packed into one row
-SHARD_VALUES = 16_000_000    # values held by one training task
-
 
 def corrupt_mask(df: DataFrame, seed: int, prob: float = 1.0, bit: Column | None = None) -> DataFrame:
     """Multiply by a 0/1 mask with weight ``prob``; the mask is a hash, so a rerun repeats it."""
@@ -76,6 +72,9 @@ def latent_gradient(df: DataFrame, weights: DataFrame, bias: Sequence[float],
                     mask: Column | None = None) -> DataFrame:
     """``(param, cell_id, unit, g)``: gradient of the reconstruction cost over all rows.
 
+    ``param`` is ``w`` (per cell and unit), ``c`` (per cell) ``b`` (per unit) or
+    ``cost`` (the cost itself).
+
     Sums over the cells of a slot, and over the slots of a cell, combine before they are
     shuffled; the per-slot results come back by ``lookup_join``. The rows themselves are
     read three times and never moved while the slots fit a broadcast.
@@ -93,20 +92,22 @@ def latent_gradient(df: DataFrame, weights: DataFrame, bias: Sequence[float],
     rows = rows.withColumn("dy", F.lit(2.0) * (y - v) * y * (F.lit(1.0) - y))
     back = settle(rows.groupBy("t").agg(F.array(*[
         F.sum(F.col("dy") * w[j]) * F.first(h[j]) * (F.lit(1.0) - F.first(h[j]))
-        for j in units]).alias("dh")))
-    rows = lookup_join(rows, back, "t", salt_by="cell_id", max_rows=bound, settled=True)
+        for j in units]).alias("dh"), F.sum((y - v) * (y - v)).alias("cost")))
+    rows = lookup_join(rows, back.select("t", "dh"), "t", salt_by="cell_id", max_rows=bound, settled=True)
     dh = F.col("dh")
     cells = rows.groupBy("cell_id").agg(
         F.array(*[F.sum(F.col("xm") * dh[j] + F.col("dy") * h[j]) for j in units]).alias("gw"),
         F.sum("dy").alias("gc"))
-    slots = back.agg(F.array(*[F.sum(dh[j]) for j in units]).alias("gb"))
+    slots = back.agg(F.array(*[F.sum(dh[j]) for j in units]).alias("gb"), F.sum("cost").alias("cost"))
     each = F.array(*[F.struct(F.lit("w").alias("param"), F.lit(j).alias("unit"),
                               F.col("gw")[j].alias("g")) for j in units],
                    F.struct(F.lit("c").alias("param"), F.lit(0).alias("unit"), F.col("gc").alias("g")))
     return cells.select("cell_id", F.explode(each).alias("e")) \
         .select("e.param", "cell_id", "e.unit", "e.g") \
         .unionByName(slots.select(F.lit("b").alias("param"), F.lit("").alias("cell_id"),
-                                  F.posexplode("gb").alias("unit", "g")))
+                                  F.posexplode("gb").alias("unit", "g"))) \
+        .unionByName(slots.select(F.lit("cost").alias("param"), F.lit("").alias("cell_id"), F.lit(0).alias("unit"),
+                                  F.col("cost").alias("g")))
 
 
 # --- training --------------------------------------------------------------------------
@@ -129,152 +130,61 @@ class LatentModel:
         return z.select("t", *[F.col("z")[j].alias(f"z{j + 1}") for j in range(k)])
 
 
-def _logistic(a: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-a))
-
-
-def cost_and_gradient(ws, bs, cs, x: np.ndarray, xm: np.ndarray):
-    """Cost sum((y - x)^2) of a tied-weight stack and its gradients, for one batch."""
-    up = [xm]
-    for w, b in zip(ws, bs):
-        up.append(_logistic(up[-1] @ w + b))
-    down = [up[-1]]
-    for w, c in zip(ws[::-1], cs[::-1]):
-        down.append(_logistic(down[-1] @ w.T + c))
-    y = down[-1]
-    cost = float(((y - x) ** 2).sum())
-    gw, gb, gc = [np.zeros_like(w) for w in ws], [None] * len(ws), [None] * len(ws)
-    delta = 2.0 * (y - x) * y * (1.0 - y)
-    for i in range(len(ws)):                       # decoder, outermost layer first
-        below = down[len(ws) - 1 - i]
-        gw[i] += delta.T @ below
-        gc[i] = delta.sum(0)
-        delta = (delta @ ws[i]) * below * (1.0 - below)
-    for i in reversed(range(len(ws))):             # encoder
-        gw[i] += up[i].T @ delta
-        gb[i] = delta.sum(0)
-        if i:
-            delta = (delta @ ws[i].T) * up[i] * (1.0 - up[i])
-    return cost, gw, gb, gc
-
-
-def _flat(parts) -> np.ndarray:
-    return np.concatenate([np.asarray(p, float).ravel() for group in parts for p in group])
-
-
-def _unflat(flat: np.ndarray, dims: Sequence[int]):
-    ws, bs, cs, at = [], [], [], 0
-    pairs = list(zip(dims[:-1], dims[1:]))
-    for out, shapes in ((ws, pairs), (bs, [(b,) for _, b in pairs]), (cs, [(a,) for a, _ in pairs])):
-        for shape in shapes:
-            size = int(np.prod(shape))
-            out.append(flat[at:at + size].reshape(shape).copy())
-            at += size
-    return ws, bs, cs
-
-
 def latent_fit(df: DataFrame, units: Sequence[int] = (2,), lr: float = 0.008, epochs: int = 40,
                batch: int = 128, batches: int | None = None, init: str = "zeros", seed: int = 0,
-               prob: float = 1.0, sync_every: int = 10, max_wide: int = MAX_WIDE,
-               shard_values: int = SHARD_VALUES) -> LatentModel:
-    """Train on gapless, scaled, trimmed series.
-
-    ``init="zeros"`` keeps all units of a layer equal for good; ``"seeded"`` breaks the
-    tie. Rows past ``batches * batch`` are left out; ``None`` uses all rows. Weights are
-    averaged every ``sync_every`` epochs. Beyond ``max_wide`` cells a row is not packed:
-    each epoch is then one full-batch step by ``latent_gradient``.
+               prob: float = 1.0, mask: Column | None = None,
+               start: tuple[DataFrame, Sequence[float]] | None = None) -> LatentModel:
+    """Train on gapless, scaled series that stand side by side.
+
+    An epoch is one step along the gradient over all slots, as long as the mean step of a batch
+    of ``batch`` slots. ``batches`` keeps only so many batches of slots, as an explicit cut.
+    ``init="zeros"`` keeps all units of a layer equal for good; ``"seeded"`` breaks the tie, by a
+    hash of the cell. ``mask`` is a 0/1 column in place of the hash of seed, epoch, cell and slot;
+    ``start`` gives ``(cell_id, w, c)`` and the units' bias to begin with.
     """
-    rows = df if batches is None else df.filter(F.col("t") < batch * batches)
-    names = settle(df.select("cell_id").distinct())
-    if not fits_broadcast(names, max_wide):
-        return _fit_relational(rows, names, units, lr, epochs, batch, init, seed, prob)
-    cells = sorted(r[0] for r in names.toLocalIterator())
-    dims = [len(cells), *units]
-    rng = np.random.default_rng(seed)
-    ws, bs, cs = _unflat(np.zeros(sum(a * b + a + b for a, b in zip(dims, dims[1:]))), dims)
-    if init == "seeded":
-        ws = [rng.normal(0.0, 1.0 / np.sqrt(w.shape[0]), w.shape) for w in ws]
-    flat = _flat((ws, bs, cs))
-
-    per_shard = max(1, min(batches or 64, shard_values // (batch * len(cells))))
-    wide = rows.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("cell_id", "v"))).alias("p")) \
-        .select("t", F.col("p.v").alias("x"), div("t", batch * per_shard).alias("shard"))
-    wide = spread(wide, "shard").persist()
-    costs: list[tuple[int, float]] = []
-    try:
-        for first in range(0, epochs, sync_every):
-            n = min(sync_every, epochs - first)
-            flat, part = _round(wide, flat, dims, lr, batch, prob, seed, first, n)
-            costs += [(first + i + 1, c) for i, c in enumerate(part)]
-    finally:
-        wide.unpersist()
-    ws, bs, cs = _unflat(flat, dims)
-    local = [(c, [float(v) for v in ws[0][i]], float(cs[0][i])) for i, c in enumerate(cells)]
-    weights = df.sparkSession.createDataFrame(local, "cell_id STRING, w ARRAY<DOUBLE>, c DOUBLE")
-    return LatentModel(weights, bs[0].tolist(), list(zip(ws[1:], bs[1:])),
-                       list(zip(ws[1:], cs[1:]))[::-1], costs)
-
-
-def _round(wide: DataFrame, flat, dims, lr, batch, prob, seed, first, epochs):
-    """Local descent in every shard, then the row-weighted mean of weights and the costs."""
-    def descend(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x = np.stack(pdf["x"].to_numpy())
-        ids = pdf["t"].to_numpy() // batch
-        cuts = np.flatnonzero(np.diff(ids)) + 1
-        parts = list(zip(np.split(x, cuts), ids[np.concatenate([[0], cuts])]))
-        ws, bs, cs = _unflat(flat, dims)
-        costs = []
-        for epoch in range(first, first + epochs):
-            total = 0.0
-            for xb, k in parts:
-                bits = np.random.default_rng((seed, epoch, int(k))).integers(0, 2, xb.shape)
-                cost, gw, gb, gc = cost_and_gradient(ws, bs, cs, xb, xb * bits * prob + xb * (1 - prob))
-                total += cost
-                for group, grads in ((ws, gw), (bs, gb), (cs, gc)):
-                    for p, g in zip(group, grads):
-                        p -= lr * g
-            costs.append(total)
-        return pd.DataFrame({"n": [len(x)], "w": [_flat((ws, bs, cs))], "costs": [np.array(costs)]})
-
-    done = wide.groupBy("shard").applyInPandas(descend, "n BIGINT, w ARRAY<DOUBLE>, costs ARRAY<DOUBLE>")
-    return mean_weights(done)
-
-
-def mean_weights(done: DataFrame) -> tuple[np.ndarray, list[float]]:
-    """Row-weighted mean of ``w`` and element-wise sum of ``costs``, added up on the executors."""
-    values = done.select("n", F.posexplode("w").alias("pos", "x"), F.lit("w").alias("kind")) \
-        .unionByName(done.select(F.lit(1).cast("bigint").alias("n"),
-                                 F.posexplode("costs").alias("pos", "x"), F.lit("costs").alias("kind")))
-    got = values.groupBy("kind", "pos").agg(F.sum(F.col("n") * F.col("x")).alias("s"),
-                                            F.sum("n").alias("n")).toPandas().sort_values("pos")
-    w, c = got[got["kind"] == "w"], got[got["kind"] == "costs"]
-    return (w["s"] / w["n"]).to_numpy(), c["s"].tolist()
-
-
-def _fit_relational(rows, names, units, lr, epochs, batch, init, seed, prob) -> LatentModel:
-    """More cells than fit a row: one hidden layer, a mean-batch-size step per epoch."""
-    if len(units) != 1:
-        raise ValueError("more than one layer needs rows that can be packed")
+    rows = settle(df if batches is None else df.filter(F.col("t") < batch * batches))
+    names, n = rows.agg(F.count_distinct("cell_id"), F.count("v")).first()
+    slots = rows.select("t").distinct().count()
+    if n != names * slots:
+        raise ValueError("every slot needs a value of every cell; see clean.prepare(start=...)")
     k = units[0]
-    start = [F.lit(0.0) if init == "zeros" else
-             (F.pmod(F.xxhash64(F.lit(seed), "cell_id", F.lit(j)), F.lit(2001)) - 1000) / F.lit(4000.0)
-             for j in range(k)]
-    weights, bias, costs = settle(names.select("cell_id", F.array(*start).alias("w"),
-                                               F.lit(0.0).alias("c"))), [0.0] * k, []
-    slots = rows.agg(F.max("t")).first()[0] + 1
-    step = lr * min(batch, slots) / slots
+    if start:
+        weights, bias = start[0].select("cell_id", "w", "c"), [float(b) for b in start[1]]
+    else:
+        first = [F.lit(0.0) if init == "zeros" else
+                 (F.pmod(F.xxhash64(F.lit(seed), "cell_id", F.lit(j)), F.lit(2001)) - 1000) / F.lit(4000.0)
+                 for j in range(k)]
+        weights = rows.select("cell_id").distinct().select("cell_id", F.array(*first).alias("w"), F.lit(0.0).alias("c"))
+        bias = [0.0] * k
+    weights, costs = settle(weights), []
+    step = lr * min(batch, slots) / max(slots, 1)
     for epoch in range(epochs):
-        bit = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "cell_id", "t"), F.lit(2))
-        mask = bit * F.lit(prob) + F.lit(1.0 - prob)
-        g = settle(latent_gradient(rows, weights, bias, mask))
-        moves = g.filter("param <> 'b'").groupBy("cell_id").agg(
+        bit = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "cell_id", "t"), F.lit(2)) if mask is None else mask
+        g = settle(latent_gradient(rows, weights, bias, bit * F.lit(prob) + F.lit(1.0 - prob)))
+        moves = g.filter("param IN ('w', 'c')").groupBy("cell_id").agg(
             F.sort_array(F.collect_list(F.when(F.col("param") == "w", F.struct("unit", "g")))).alias("p"),
             F.sum(F.when(F.col("param") == "c", F.col("g"))).alias("gc")) \
             .select("cell_id", F.col("p.g").alias("gw"), "gc")
         weights = settle(weights.join(moves, "cell_id").select(
             "cell_id", F.zip_with("w", "gw", lambda a, b: a - F.lit(step) * b).alias("w"),
             (F.col("c") - F.lit(step) * F.col("gc")).alias("c")))
-        for r in g.filter("param = 'b'").collect():       # k rows
+        for r in g.filter("param = 'b'").collect():               # one row per unit
             bias[r["unit"]] -= step * r["g"]
-    return LatentModel(weights, bias, costs=costs)
+        costs.append((epoch + 1, g.filter("param = 'cost'").first()["g"]))
+    model = LatentModel(weights, bias, costs=costs)
+    return _with_further_layers(model, rows, units[1:], lr, epochs, batch, init, seed, prob)
+
+
+def _with_further_layers(model: LatentModel, rows: DataFrame, units: Sequence[int], lr, epochs, batch, init, seed,
+                         prob) -> LatentModel:
+    """The next layer sees each unit of this one as a cell."""
+    if not units:
+        return model
+    z = latent_encode(rows, model.weights.select("cell_id", "w"), model.bias, model.deeper) \
+        .select(F.lpad(F.col("unit").cast("string"), 9, "0").alias("cell_id"), "t", F.col("z").alias("v"))
+    inner = latent_fit(z, units[:1], lr, epochs, batch, None, init, seed, prob)
+    fitted = inner.weights.orderBy("cell_id").collect()           # one row per unit
+    w = np.array([r["w"] for r in fitted])
+    model.deeper.append((w, np.array(inner.bias)))
+    model.decode_deeper.insert(0, (w, np.array([r["c"] for r in fitted])))
+    return _with_further_layers(model, rows, units[1:], lr, epochs, batch, init, seed, prob)

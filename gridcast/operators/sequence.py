@@ -1,11 +1,10 @@
 """The recurrent day-ahead forecaster over windows.
 
-Training keeps windows rolled up: a slab holds the ``lanes + 2 * steps`` feature rows that
-all windows of one (batch, lane group) are cut from, so rows are not repeated per window.
-A task owns one lane group over one segment of batches, runs them in order with the
-lanes' state carried along, and weights (with Adam moments) are averaged between rounds.
-With one lane group and one segment this is sequential training; with more it is not
-step for step the same. State carried between batches is data; no gradient flows through.
+Training keeps windows rolled up: a slab holds the ``group + 2 * steps`` feature rows that all
+windows of one (batch, lane group) are cut from, so rows are not repeated per window. A step is
+one Spark job over a batch: every lane group gives its gradient, they are summed, and Adam moves
+the 891 weights. The result is that of sequential training, whatever the number of lane groups.
+State carried between batches is data; no gradient flows through.
 """
 
 from __future__ import annotations
@@ -19,8 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridcast.config import Granularity
 from gridcast.functions.recurrent import Shape, adam, forward, gradient, initial
-from gridcast.functions.scale_out import div, spread
-from gridcast.operators.latent import mean_weights
+from gridcast.functions.scale_out import div, settle, spread
 from gridcast.operators.windows import FEATURES
 
 
@@ -63,73 +61,66 @@ class SequenceModel:
         return sequence_forecast(windows, self.weights, self.shape)
 
 
-def slabs(features: DataFrame, steps: int, lanes: int, group: int, batches: int, segment: int,
+def slabs(features: DataFrame, steps: int, lanes: int, group: int, windows: int,
           names: Sequence[str] = FEATURES) -> DataFrame:
-    """``(segment, grp, slab, t, features)``: the rows windows of each lane group are cut from."""
+    """``(batch, grp, n, rows)``: the feature rows that the ``n`` windows of each lane group of a
+    batch are cut from, in order. The last batch may lack lanes."""
     if lanes % group:
         raise ValueError("lanes must be a multiple of the lane group")
     t, per_batch = F.col("t"), lanes // group
     low = F.greatest(F.lit(0), div(t - (2 * steps - 1), group)).cast("bigint")
-    high = F.least(div("t", group), F.lit(batches * per_batch - 1)).cast("bigint")
-    rows = features.filter(t < batches * lanes + 2 * steps - 1) \
-        .select("t", *names, F.explode(F.sequence(low, F.greatest(low, high))).alias("slab")) \
+    high = F.least(div("t", group), F.lit((windows - 1) // group)).cast("bigint")
+    rows = features.select("t", F.array(*names).alias("f"), F.explode(F.sequence(low, F.greatest(low, high))).alias("slab")) \
         .filter((F.col("slab") <= high) & (t < (F.col("slab") + 1) * group + 2 * steps - 1))
-    batch_id = div("slab", per_batch)
-    return rows.select(div(batch_id, segment).alias("segment"),
-                       F.pmod("slab", F.lit(per_batch)).alias("grp"), "slab", "t", *names)
+    packed = rows.groupBy("slab").agg(F.sort_array(F.collect_list(F.struct("t", "f"))).alias("p"))
+    n = F.least(F.lit(group), F.lit(windows) - F.col("slab") * group)
+    return packed.select(div("slab", per_batch).alias("batch"), F.pmod("slab", F.lit(per_batch)).alias("grp"),
+                         n.cast("int").alias("n"), F.col("p.f").alias("rows"))
 
 
 def sequence_fit(features: DataFrame, cfg: Granularity, epochs: int | None = None,
-                 group: int | None = None, all_windows: bool = False, sync_every: int = 5,
-                 seed: int = 0, names: Sequence[str] = FEATURES) -> SequenceModel:
-    """Train on gapless ``(t, y, z1, z2)``.
+                 group: int | None = None, batches: int | None = None, seed: int = 0,
+                 names: Sequence[str] = FEATURES) -> SequenceModel:
+    """Train on all windows of gapless ``(t, y, z1, z2)``, or on the first ``batches`` batches.
 
-    Uses the first ``cfg.batches`` batches of windows, or all full batches in segments
-    of that many. ``group`` lanes share a task (default: all).
+    ``group`` lanes share a task (default: as many as give each core one).
     """
     steps, lanes = cfg.day, cfg.lanes
-    group, epochs = group or lanes, cfg.epochs if epochs is None else epochs
-    total = (features.agg(F.max("t")).first()[0] + 1 - 2 * steps) // lanes
-    batches = total if all_windows else min(cfg.batches, total)
-    if batches < 1:
-        raise ValueError("the series is shorter than one batch of windows")
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    group = group or next(g for g in range(max(1, -(-lanes // cores)), lanes + 1) if lanes % g == 0)
+    windows = (features.agg(F.max("t")).first()[0] or 0) + 1 - 2 * steps
+    if windows < 1:
+        raise ValueError("the series is shorter than one window")
+    windows = windows if batches is None else min(windows, batches * lanes)
     shape = Shape(len(names), cfg.cell_size)
-    flat = np.concatenate([initial(shape, *cfg.init, cfg.bias, seed), np.zeros(2 * shape.size)])
-    rows = spread(slabs(features, steps, lanes, group, batches, cfg.batches, names),
-                  "segment", "grp").persist()
-    costs, taken, per_epoch = [], 0, min(cfg.batches, batches)
-    try:
-        for first in range(0, epochs, sync_every):
-            n = min(sync_every, epochs - first)
-            flat, part = _round(rows, flat, shape, steps, group, taken, n, cfg.lr, names)
-            taken += n * per_epoch
-            costs += [(first + i + 1, c / (batches * (lanes // group))) for i, c in enumerate(part)]
-    finally:
-        rows.unpersist()
-    return SequenceModel(flat[:shape.size], shape, costs)
-
-
-def _round(rows: DataFrame, flat, shape: Shape, steps, group, taken, epochs, lr, names):
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        batches = []
-        for _, part in pdf.groupby("slab", sort=True):
-            f = part.sort_values("t")[list(names)].to_numpy()
-            cut = np.lib.stride_tricks.sliding_window_view(f, 2 * steps, axis=0)[:group]
-            cut = cut.transpose(0, 2, 1)
-            batches.append((cut[:, :steps], cut[:, steps:, :1]))
-        w, m, v = (flat[i * shape.size:(i + 1) * shape.size].copy() for i in range(3))
-        costs, step = [], taken
-        for _ in range(epochs):
-            total = 0.0
-            c = h = np.zeros((group, shape.cell))
-            for x, y in batches:
-                cost, g, c, h = gradient(shape.split(w), x, y, c, h)
-                step += 1
-                adam(w, shape.join(g), m, v, step, lr)
-                total += cost
-            costs.append(total)
-        return pd.DataFrame({"n": [len(batches)], "w": [np.concatenate([w, m, v])],
-                             "costs": [np.array(costs)]})
-
-    return mean_weights(rows.groupBy("segment", "grp").applyInPandas(
-        train, "n BIGINT, w ARRAY<DOUBLE>, costs ARRAY<DOUBLE>"))
+    w, m, v = initial(shape, *cfg.init, cfg.bias, seed), np.zeros(shape.size), np.zeros(shape.size)
+    packed = settle(slabs(features, steps, lanes, group, windows, names))
+    n_batches, costs, taken = -(-windows // lanes), [], 0
+    for epoch in range(cfg.epochs if epochs is None else epochs):
+        state = {g: np.zeros((2, group, shape.cell)) for g in range(lanes // group)}
+        total = 0.0
+        for k in range(n_batches):
+            parts = _gradients(packed.filter(F.col("batch") == k), w, state, shape, steps, lanes)
+            taken += 1
+            adam(w, np.sum([p["g"] for p in parts], axis=0), m, v, taken, cfg.lr)
+            total += sum(p["cost"] for p in parts)
+            state |= {p["grp"]: np.reshape(p["state"], (2, -1, shape.cell)) for p in parts}
+        costs.append((epoch + 1, total / n_batches))
+    return SequenceModel(w, shape, costs)
+
+
+def _gradients(packed: DataFrame, w: np.ndarray, state: dict, shape: Shape, steps: int, lanes: int) -> list[dict]:
+    """Per lane group of a batch: gradient, cost and the lanes' new state."""
+    def run(batches):
+        p = shape.split(w)
+        for pdf in batches:
+            for grp, n, rows in zip(pdf["grp"], pdf["n"], pdf["rows"]):
+                cut = np.lib.stride_tricks.sliding_window_view(np.stack(rows), 2 * steps, axis=0)[:n].transpose(0, 2, 1)
+                c, h = state[grp][:, :n]
+                cost, g, c, h = gradient(p, cut[:, :steps], cut[:, steps:, :1], c, h)
+                share = n / lanes                      # a group's mean over its lanes, as part of the batch's
+                yield pd.DataFrame({"grp": [grp], "cost": [cost * share], "g": [shape.join(g) * share],
+                                    "state": [np.stack([c, h]).ravel()]})
+
+    parts = spread(packed, "grp").mapInPandas(run, "grp BIGINT, cost DOUBLE, g ARRAY<DOUBLE>, state ARRAY<DOUBLE>").toPandas()
+    return parts.sort_values("grp").to_dict("records")   # one row per lane group, however long the series

@@ -73,7 +73,7 @@ def compressed_day_forecast(series: DataFrame, target: str, cfg: Granularity,
     """
     squeezed = latent.latent_fit(series, (2,), cfg.latent_lr,
                                  cfg.latent_epochs if latent_epochs is None else latent_epochs,
-                                 cfg.latent_batch, cfg.latent_batches, init, seed)
+                                 cfg.latent_batch, None, init, seed)
     features = settle(compressed_features(series, target, squeezed,
                                           seed if mask_at_encode else None))
     model = sequence.sequence_fit(features, cfg, epochs, seed=seed)

@@ -149,6 +149,25 @@ GRADIENT = f"""{TRAFFIC},
     back AS (SELECT t, sum(dy * w0) * max(z1) * (1 - max(z1)) AS d0,
         sum(dy * w1) * max(z2) * (1 - max(z2)) AS d1 FROM del GROUP BY t)"""
 
+
+
+def epoch(i: int) -> str:
+    """One step of training: weights w{i} (per cell) and b{i} become those of i + 1."""
+    z = [f"1.0 / (1.0 + exp(-(sum(v * bit * w{j}) + any_value(b{j}))))" for j in range(2)]
+    return f"""x{i} AS (SELECT cell_id, t, v, {BIT} AS bit, w0, w1, c, b0, b1 FROM ser JOIN w{i} USING (cell_id), b{i}),
+        h{i} AS (SELECT t, {z[0]} AS z0, {z[1]} AS z1 FROM x{i} GROUP BY t),
+        y{i} AS (SELECT *, {sig("z0 * w0 + z1 * w1 + c")} AS y FROM x{i} JOIN h{i} USING (t)),
+        d{i} AS (SELECT *, 2 * (y - v) * y * (1 - y) AS dy FROM y{i}),
+        k{i} AS (SELECT t, sum(dy * w0) * max(z0) * (1 - max(z0)) AS d0, sum(dy * w1) * max(z1) * (1 - max(z1)) AS d1,
+            sum((y - v) ** 2) AS cost FROM d{i} GROUP BY t),
+        s{i} AS (SELECT {q.CFG.latent_lr} * least({q.CFG.latent_batch}, count(DISTINCT t)) / count(DISTINCT t) AS lr FROM ser),
+        w{i + 1} AS (SELECT cell_id, any_value(w0) - any_value(lr) * sum(v * bit * d0 + dy * z0) AS w0,
+            any_value(w1) - any_value(lr) * sum(v * bit * d1 + dy * z1) AS w1,
+            any_value(c) - any_value(lr) * sum(dy) AS c FROM d{i} JOIN k{i} USING (t), s{i} GROUP BY cell_id),
+        b{i + 1} AS (SELECT any_value(b0) - any_value(lr) * sum(d0) AS b0, any_value(b1) - any_value(lr) * sum(d1) AS b1
+            FROM k{i}, b{i}, s{i})"""
+
+
 LON, LAT = "118.70 + 0.0123457 * n_nationkey", "32.01 + 0.0034569 * n_nationkey"
 
 
@@ -287,7 +306,13 @@ SQL = {
         UNION ALL SELECT 'w', cell_id, 1, {r("g1", "g")} FROM g
         UNION ALL SELECT 'c', cell_id, 0, {r("gc", "g")} FROM g
         UNION ALL SELECT 'b', '', 0, {r("d0", "g")} FROM b
-        UNION ALL SELECT 'b', '', 1, {r("d1", "g")} FROM b""",
+        UNION ALL SELECT 'b', '', 1, {r("d1", "g")} FROM b
+        UNION ALL SELECT 'cost', '', 0, {r("sum((y - v) ** 2)", "g")} FROM dec""",
+    "latent_fit_two_epochs": f"""{TRAFFIC},
+        w0 AS (SELECT cell_id, {w(0)} AS w0, {w(1)} AS w1, {CELL_BIAS} AS c FROM (SELECT DISTINCT cell_id FROM ser)),
+        b0 AS (SELECT {q.BIAS[0]} AS b0, {q.BIAS[1]} AS b1), {epoch(0)}, {epoch(1)}
+        SELECT cell_id, {r("w2.w0", "w0")}, {r("w2.w1", "w1")}, {r("c", "c")}, {r("b2.b0", "b0")}, {r("b2.b1", "b1")},
+            {r("(SELECT sum(cost) FROM k1)", "cost")} FROM w2, b2""",
     "sequence_cost": f"""{WINDOWS} SELECT {r(
         "sum((y - target) ** 2) / count(DISTINCT window_id)", "cost")} FROM win""",
     "mse": f"{FORECAST} SELECT cell_id, {r('avg((y - yhat) ** 2)', 'mse')} FROM pred GROUP BY 1",

@@ -353,10 +353,19 @@ def latent_gradient(spark, sf_dir):
 
 def latent_fit(spark, sf_dir):
     ser = settle(_traffic(spark, sf_dir))
-    model = latent.latent_fit(ser, (2,), CFG.latent_lr, 5, CFG.latent_batch, CFG.latent_batches, "seeded")
+    model = latent.latent_fit(ser, (2,), CFG.latent_lr, 5, CFG.latent_batch, None, "seeded")
     return _rounded(model.encode(ser), "z1", "z2")
 
 
+def latent_fit_two_epochs(spark, sf_dir):
+    """From fixed weights and with the fixed mask, so that SQL can follow."""
+    start = _weights(spark, sf_dir), BIAS
+    model = latent.latent_fit(_traffic(spark, sf_dir), (2,), CFG.latent_lr, 2, CFG.latent_batch, mask=_bit(spark, sf_dir), start=start)
+    return model.weights.select("cell_id", _r(F.col("w")[0]).alias("w0"), _r(F.col("w")[1]).alias("w1"), _r("c").alias("c"),
+                                _r(F.lit(model.bias[0])).alias("b0"), _r(F.lit(model.bias[1])).alias("b1"),
+                                _r(F.lit(model.costs[1][1])).alias("cost"))
+
+
 # --- sequence forecaster -----------------------------------------------------------------
 
 
@@ -423,5 +432,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     window_batches, eval_windows, lane_chains, ar_fit, arma_css, arma_bic,
     arma_predict_in_sample, arma_forecast, arma_fit, arma_fit_ar1, arma_order_search,
     arma_order_search_ar, corrupt_mask, latent_encode, latent_decode, reconstruction_cost,
-    latent_gradient, latent_fit, sequence_forecast, sequence_fit, sequence_cost, mse, mae,
+    latent_gradient, latent_fit, latent_fit_two_epochs, sequence_forecast, sequence_fit, sequence_cost, mse, mae,
     actual_vs_forecast, arma_day_forecast, compressed_day_forecast)}

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from gridcast.functions.scale_out import release  # noqa: E402
+
 
 def make_session() -> SparkSession:
     spark = (SparkSession.builder.master("local[8]").appName("gridcast")
@@ -20,4 +22,6 @@ def make_session() -> SparkSession:
 
 @pytest.fixture(scope="session")
 def spark():
-    return make_session()
+    session = make_session()
+    yield session
+    release(session)

@@ -54,6 +54,7 @@ def compare(df, con, sql: str) -> tuple[str, int]:
 
 
 def main(sf_dir: str, only: list[str]) -> int:
+    from gridcast.functions.scale_out import release
     from tests.conftest import make_session
 
     spark, con, bad = make_session(), views(sf_dir), 0
@@ -70,6 +71,7 @@ def main(sf_dir: str, only: list[str]) -> int:
                 verdict = "rows only"
         except Exception as e:  # noqa: BLE001
             verdict, n = f"{type(e).__name__}: {str(e)[:300]}", -1
+        release(spark)
         bad += not verdict.startswith(("ok", "rows only"))
         print(f"{name:28s} {time.time() - start:6.2f}s {n:7d} {verdict}", flush=True)
     return bad
