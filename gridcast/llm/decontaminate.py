@@ -133,5 +133,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that no benchmark window touches, with their own columns."""
-    found = contamination(docs, benchmark, **how)
-    return found.filter("n_hit = 0").select(*docs.columns)
+    if not {c.lower() for c in docs.columns} & set(FIELDS.names):
+        return contamination(docs, benchmark, **how).filter("n_hit = 0").select(*docs.columns)
+    text = how.get("text", "text")                     # columns named like ours come through inside a struct
+    whole = docs.select(F.struct("*").alias("_gc_row"), F.col(text))
+    return contamination(whole, benchmark, keep=["_gc_row"], **how).filter("n_hit = 0").select("_gc_row.*")

@@ -57,29 +57,29 @@ def _upto(key: list[str], order: list[str], value: str) -> Column:
 
 
 def finish_times(rows: DataFrame, sizes: DataFrame, plan: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """``rows`` with their source's ``source_size`` and ``target``, the place ``spot`` in shuffled
-    order and ``upto``, the source's tokens up to and with the document. ``sizes``: the same rows,
+    """``rows`` with their source's ``source_size`` and ``target``, the place ``_gc_spot`` in shuffled
+    order and ``_gc_upto``, the source's tokens up to and with the document. ``sizes``: the same rows,
     narrow."""
     spot = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_of")     # never NULL: one plain join key
-    sums = sizes.select(key, F.substring(spot, 1, digits).alias("_slice"), "size") \
-        .groupBy("_of", "_slice").agg(F.sum("size").alias("_here"))
-    sums = sums.withColumn("_before", _upto(["_of"], ["_slice"], "_here") - F.col("_here"))
-    base = sums.join(plan.select(key, "source_size", "target"), "_of").drop("_here")
-    dealt = rows.withColumn("_of", key).withColumn("spot", spot).withColumn("_slice", F.substring("spot", 1, digits))
-    dealt = dealt.withColumn("upto", _upto(["_of", "_slice"], ["spot", "size"], "size"))
-    return dealt.join(base, ["_of", "_slice"]).withColumn("upto", F.col("upto") + F.col("_before")).drop("_of", "_slice", "_before")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_gc_of")     # never NULL: one plain join key
+    sums = sizes.select(key, F.substring(spot, 1, digits).alias("_gc_slice"), "size") \
+        .groupBy("_gc_of", "_gc_slice").agg(F.sum("size").alias("_here"))
+    sums = sums.withColumn("_gc_before", _upto(["_gc_of"], ["_gc_slice"], "_here") - F.col("_here"))
+    base = sums.join(plan.select(key, "source_size", "target"), "_gc_of").drop("_here")
+    dealt = rows.withColumn("_gc_of", key).withColumn("_gc_spot", spot).withColumn("_gc_slice", F.substring("_gc_spot", 1, digits))
+    dealt = dealt.withColumn("_gc_upto", _upto(["_gc_of", "_gc_slice"], ["_gc_spot", "size"], "size"))
+    return dealt.join(base, ["_gc_of", "_gc_slice"]).withColumn("_gc_upto", F.col("_gc_upto") + F.col("_gc_before")).drop("_gc_of", "_gc_slice", "_gc_before")
 
 
 def _copies(timed: DataFrame, repeats: int) -> DataFrame:
     """One row per copy, with the total order in which the mix takes them."""
     rows = timed.withColumn("copy", F.explode(F.array(*map(F.lit, range(repeats)))))
-    return rows.select("size", _order("copy").alias("at"))
+    return rows.select("size", _order("copy").alias("_gc_at"))
 
 
 def _order(copy: str) -> Column:
-    time = F.when(F.col("target") > 0, (F.expr(f"{copy} * source_size") + F.col("upto")) / F.col("target")).otherwise(0.0)
-    return F.struct(time.alias("time"), "spot", F.coalesce("source", F.lit("")).alias("source"), "size",
+    time = F.when(F.col("target") > 0, (F.expr(f"{copy} * source_size") + F.col("_gc_upto")) / F.col("target")).otherwise(0.0)
+    return F.struct(time.alias("time"), "_gc_spot", F.coalesce("source", F.lit("")).alias("source"), "size",
                     F.expr(copy).cast("int").alias("copy"))
 
 
@@ -91,22 +91,22 @@ def _first_beyond(sums: DataFrame, budget: float) -> tuple[int, int] | None:
 
 
 def _cut(copies: DataFrame, budget: float) -> Column | None:
-    """Whether a copy at ``at`` is within the budget; None: all are."""
+    """Whether a copy at ``_gc_at`` is within the budget; None: all are."""
     left, inside, scale, narrowed = budget, copies, 1, None
     for ranges in RANGES:
         scale *= ranges
-        place = F.floor(F.least(F.col("at.time"), F.lit(4.0)) * scale)
+        place = F.floor(F.least(F.col("_gc_at.time"), F.lit(4.0)) * scale)
         found = _first_beyond(inside.groupBy(place.alias("range")).agg(F.sum("size").alias("size")), left)
         if found is None:
             return narrowed
         left, narrowed = left - found[1], place < found[0]
         inside = inside.filter(place == found[0])
-    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)      # the last small range
-    last = inside.withColumn("end", F.sum("size").over(w)).filter(F.col("end") <= left).agg(F.max("at")).first()[0]
+    w = Window.orderBy("_gc_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)      # the last small range
+    last = inside.withColumn("end", F.sum("size").over(w)).filter(F.col("end") <= left).agg(F.max("_gc_at")).first()[0]
     if last is None:
         return narrowed
-    at = F.struct(*(F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in inside.schema["at"].dataType))
-    return narrowed | (F.col("at") <= at)
+    at = F.struct(*(F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in inside.schema["_gc_at"].dataType))
+    return narrowed | (F.col("_gc_at") <= at)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS,
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     within = _cut(_copies(timed, repeats), budget)
     timed = timed.withColumn("taken", F.lit(0).cast("long"))
     for copy in range(repeats):
-        timed = timed.withColumn("at", _order(str(copy)))
+        timed = timed.withColumn("_gc_at", _order(str(copy)))
         once = F.col("size") if within is None else F.when(within, F.col("size")).otherwise(0)
         timed = timed.withColumn("taken", F.col("taken") + once)
-    return timed.drop("at", "spot", "upto")
+    return timed.drop("_gc_at", "_gc_spot", "_gc_upto")

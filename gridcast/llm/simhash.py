@@ -101,7 +101,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> Dat
 
 def near_duplicates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``fp`` and ``component_id``, the least ``doc_id`` reachable over links."""
-    marked = settle(fingerprints(docs, text, keep))
+    marked = settle(fingerprints(docs.drop("component_id"), text, keep))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left") \
