@@ -251,7 +251,8 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
              size: int = BLOCK, fan_in: int = FAN_IN) -> DataFrame:
     """Fit every order to every cell by conditional least squares, with constant.
 
-    ``(cell_id, p, q, mu, phi, theta, sse, n, sigma2, bic, converged)``. Series of up to
+    ``(cell_id, p, q, mu, phi, theta, sse, n, sigma2, bic, converged)``; a series too short for
+    an order, or whose equations have no solution, has NULLs and ``converged = false``. Series of up to
     ``in_task`` slots are fitted inside one task each (few series: one task per series
     and p). Longer ones take that fit of their first slots as the start only and are
     then refined over all blocks.
@@ -269,12 +270,15 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
         y = pdf.sort_values("t")["v"].to_numpy()
         out = []
         for p, q in jobs[int(pdf["job"].iloc[0])]:
+            unfit = (pdf["cell_id"].iloc[0], p, q, None, None, None, None, len(y), False)
             if len(y) <= 2 * (p + q) + 4:
+                out.append(unfit)
                 continue
             try:
                 with np.errstate(all="ignore"):
                     beta, sse, ok = solvers.css_fit(y, p, q)
             except np.linalg.LinAlgError:
+                out.append(unfit)
                 continue
             out.append((pdf["cell_id"].iloc[0], p, q, float(beta[0]), beta[1:1 + p], beta[1 + p:],
                         sse, len(y) - p, ok))
@@ -285,10 +289,12 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
         "cell_id", "t", "v", F.explode(F.array(*[F.lit(i) for i in range(len(jobs))])).alias("job"))
     fits = spread(rows, "cell_id", "job").groupBy("cell_id", "job").applyInPandas(fit, FIT)
     if long:
+        fits = settle(fits)
         longer = settle(lengths.filter(F.col("n") > in_task).select("cell_id"))
         series = lookup_join(df, longer, "cell_id", "left_semi")
-        refined = _refine(series, fits.join(longer, "cell_id", "left_semi"), size, fan_in)
-        fits = fits.join(longer, "cell_id", "left_anti").unionByName(refined)
+        started = fits.join(longer, "cell_id", "left_semi")
+        refined = _refine(series, started.filter("mu IS NOT NULL"), size, fan_in)
+        fits = fits.join(longer, "cell_id", "left_anti").unionByName(refined).unionByName(started.filter("mu IS NULL"))
     return arma_bic(fits.withColumn("sigma2", F.try_divide("sse", "n"))).select(
         "cell_id", "p", "q", "mu", "phi", "theta", "sse", "n", "sigma2", "bic", "converged")
 
@@ -376,10 +382,11 @@ def _refine(df: DataFrame, starts: DataFrame, size: int, fan_in: int, rounds: in
 def arma_order_search(df: DataFrame, max_p: int, max_q: int, **how) -> DataFrame:
     """Per cell the order with the smallest BIC over p < max_p, q < max_q.
 
-    Fits that fail or do not converge are skipped; of equals the first (p, q) wins.
+    Fits that fail or do not converge are skipped; of equals the first (p, q) wins. A cell
+    without any fit has a row of NULLs.
     """
     fits = arma_fit(df, [(p, q) for p in range(max_p) for q in range(max_q)], **how)
-    good = fits.filter(F.col("converged") & F.col("bic").isNotNull() & ~F.isnan("bic"))
+    good = F.col("converged") & F.col("bic").isNotNull() & ~F.isnan("bic")
     chosen = F.min_by(F.struct("p", "q", "mu", "phi", "theta", "sse", "n", "bic"),
-                      F.struct("bic", "p", "q"))
-    return good.groupBy("cell_id").agg(chosen.alias("m")).select("cell_id", "m.*")
+                      F.when(good, F.struct("bic", "p", "q")))
+    return fits.groupBy("cell_id").agg(chosen.alias("m")).select("cell_id", "m.*")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def _paired(actual: DataFrame, pred: DataFrame, on: Sequence[str]) -> DataFrame:
-    return actual.select(*on, "y").join(pred.select(*on, "yhat"), list(on))
+    """Every actual value, with a NULL where it was not forecast."""
+    return actual.select(*on, "y").join(pred.select(*on, "yhat"), list(on), "left")
 
 
 def mse(actual: DataFrame, pred: DataFrame, on: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -22,10 +23,11 @@ def mae(actual: DataFrame, pred: DataFrame, on: Sequence[str], by: Sequence[str]
 
 
 def scores(actual: DataFrame, pred: DataFrame, on: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Both scores from one join."""
+    """Both scores from one join, of how many values, and how many had no forecast."""
     d = F.col("y") - F.col("yhat")
-    return _paired(actual, pred, on).groupBy(*by).agg(F.avg(d * d).alias("mse"),
-                                                      F.avg(F.abs(d)).alias("mae"))
+    return _paired(actual, pred, on).groupBy(*by).agg(
+        F.avg(d * d).alias("mse"), F.avg(F.abs(d)).alias("mae"), F.count("yhat").alias("n"),
+        F.count_if(F.col("yhat").isNull()).alias("n_missing"))
 
 
 def actual_vs_forecast(actual: DataFrame, pred: DataFrame, on: Sequence[str]) -> DataFrame:

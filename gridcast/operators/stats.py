@@ -30,9 +30,11 @@ def _pearson():
     return pearson(*[F.col(c) for c in SUMS])
 
 
-def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK) -> DataFrame:
+def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r: float | None = None) -> DataFrame:
     """``(cell_a, cell_b, r, n)``: Pearson over the slots both cells know; NULL if constant.
 
+    All pairs are the result unless ``min_abs_r`` keeps the correlated ones only.
+
     A blocked X'X: packed rows (one cell, ``size`` slots) meet by (slot block, pair of
     cell groups), a task multiplies two small matrices, and the pair sums are added up.
     Rows are never paired one by one, and no task outgrows ``2 * group * size`` values.
@@ -68,6 +70,8 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK) -> DataFram
         .applyInPandas(multiply, f"cell_a STRING, cell_b STRING, {SUM_TYPES}") \
         .groupBy("cell_a", "cell_b").agg(*_total()) \
         .select("cell_a", "cell_b", _pearson().alias("r"), "n")
+    if min_abs_r is not None:
+        half = half.filter(F.abs("r") >= min_abs_r)
     both = F.when(F.col("cell_a") == F.col("cell_b"), F.array(F.lit(False))) \
         .otherwise(F.array(F.lit(False), F.lit(True)))
     return half.withColumn("_swap", F.explode(both)).select(

@@ -28,7 +28,12 @@ class ArmaForecast:
     fits: DataFrame        # one model per cell
     fitted: DataFrame      # (cell_id, p, q, t, yhat) on the training slots
     forecast: DataFrame    # the same on the test slots
-    scores: DataFrame      # (cell_id, mse, mae)
+    scores: DataFrame      # (cell_id, mse, mae, n, n_missing)
+
+
+def configured_orders(series: DataFrame, cfg: Granularity) -> DataFrame:
+    """The best order per cell over the whole configured grid, fitted on the training slots."""
+    return arma.arma_order_search(windows.train_test_split(series, cfg.train)[0], cfg.max_lag, cfg.max_lag)
 
 
 def arma_day_forecast(series: DataFrame, train: int, order: tuple[int, int] | None = None,
@@ -54,7 +59,7 @@ class CompressedForecast:
     latent_model: latent.LatentModel
     model: sequence.SequenceModel
     actual_vs_forecast: DataFrame    # (window_id, step, y, yhat), in window order
-    scores: DataFrame                # (mse, mae)
+    scores: DataFrame                # (mse, mae, n, n_missing)
 
 
 def compressed_features(series: DataFrame, target: str, model: latent.LatentModel,

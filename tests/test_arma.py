@@ -177,3 +177,23 @@ def test_forecast_of_ragged_series(spark):
             want = 0.5 + 0.5 * (last[-1] - 0.5) + 0.25 * (last[-2] - 0.5)
             assert abs(y - want) < 1e-9
             last.append(want)
+
+
+def test_unfittable_cells_are_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [("long", t, float(v)) for t, v in enumerate(rng.random(80))] + [("short", t, float(t)) for t in range(4)]
+    df = spark.createDataFrame(rows, "cell_id string, t bigint, v double")
+    fits = {r["cell_id"]: r for r in arma.arma_fit(df, [(1, 1)]).collect()}
+    assert fits["short"]["mu"] is None and fits["short"]["converged"] is False and fits["long"]["mu"] is not None
+    best = {r["cell_id"]: r for r in arma.arma_order_search(df, 2, 1).collect()}
+    assert best["short"]["p"] is None and best["long"]["p"] is not None
+    ahead = arma.arma_forecast(df, arma.arma_fit(df, [(1, 1)]).select("cell_id", "p", "q", "mu", "phi", "theta"), 2)
+    assert ahead.filter("cell_id = 'short' AND yhat IS NULL").count() == 2 and ahead.filter("yhat IS NOT NULL").count() == 2
+
+
+def test_scores_count_what_was_not_forecast(spark):
+    from gridcast.operators import metrics
+    actual = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 3.0)], "cell_id string, t bigint, y double")
+    pred = spark.createDataFrame([("a", 0, 0.0)], "cell_id string, t bigint, yhat double")
+    got = {r["cell_id"]: (r["mse"], r["n"], r["n_missing"]) for r in metrics.scores(actual, pred, ["cell_id", "t"], ["cell_id"]).collect()}
+    assert got == {"a": (1.0, 1, 1), "b": (None, 0, 1)}
