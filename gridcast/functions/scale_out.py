@@ -46,7 +46,7 @@ def release(spark: SparkSession) -> None:
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: no lineage, pruned columns."""
-    df.write.parquet(path := scratch_path(df.sparkSession, "settled"))
+    df.write.option("compression", "zstd").parquet(path := scratch_path(df.sparkSession, "settled"))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
