@@ -25,12 +25,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridcast.functions.scale_out import settle
+from gridcast.functions.scale_out import fits_broadcast, settle
 from gridcast.llm.common import joined, map_texts, partitions, utf8
 from gridcast.llm.fm_index import FMIndex
 
 WINDOW, ANCHOR = 35, 8
 SHARD_BYTES = 2 << 20                 # of distinct pieces in one index
+SLICE_BYTES = 2 << 20                 # of text taken apart at a time
 HOT_PIECES = 4096
 LONGS, INTS = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
 KEY = ["_gc_id", "_gc_hash"]
@@ -91,7 +92,7 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
         return _per_text(batch.num_rows, text, anchor, start.astype(np.int32), n.astype(np.int32))
 
     fields = T.StructType([T.StructField("anchor", LONGS), T.StructField("start", INTS), T.StructField("n", INTS)])
-    found = settle(map_texts(docs, find, fields, KEY, text="_gc_text").filter("size(anchor) > 0"))
+    found = settle(map_texts(docs, find, fields, KEY, SLICE_BYTES, "_gc_text").filter("size(anchor) > 0"))
     return found.select(*KEY, F.explode(F.arrays_zip("anchor", "start", "n")).alias("p")).select(*KEY, "p.*")
 
 
@@ -108,7 +109,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     piece = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("start", T.IntegerType()),
                           T.StructField("words", T.StringType())])
     per_doc = wanted.groupBy(*KEY).agg(F.collect_set(F.struct("anchor", "start", "n")).alias("want"))
-    found = map_texts(docs.join(per_doc, KEY), cut, T.StructType([T.StructField("found", T.ArrayType(piece))]), KEY, text="_gc_text", uses=("want",))
+    found = map_texts(docs.join(per_doc, KEY), cut, T.StructType([T.StructField("found", T.ArrayType(piece))]), KEY, SLICE_BYTES, "_gc_text", ("want",))
     return found.select(*KEY, F.explode("found").alias("p")).select(*KEY, "p.*")
 
 
@@ -144,8 +145,11 @@ def _shards(texts: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(*KEY, spans)`` for ``docs (*KEY, _text)``: ``(start, starts)`` of repeated windows."""
     anchored = _anchored(docs, window)
-    often = anchored.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
-    cut = settle(_cut_out(docs, anchored.join(often, "anchor", "left_semi"), window)
+    # A table of its own: few anchors are broadcast, and else both sides of the join are plain
+    # shuffles, whose hot parts Spark splits.
+    often = settle(anchored.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
+    wanted = anchored.join(F.broadcast(often) if fits_broadcast(often) else often, "anchor", "left_semi")
+    cut = settle(_cut_out(docs, wanted, window)
                  .withColumn("piece", F.xxhash64("words")))
     distinct = settle(cut.groupBy("anchor", "piece", "words").agg(F.count("*").alias("weight")))
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_PIECES).select("anchor")
@@ -193,5 +197,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", ke
 
     fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField(text, T.StringType())])
-    done = map_texts(read, rewrite, fields, names, text=text, uses=("_gc_spans",))
+    done = map_texts(read, rewrite, fields, names, SLICE_BYTES, text, ("_gc_spans",))
     return done.select(*[n for n in names if n not in ("n_words", "n_removed", text)], text, "n_words", "n_removed")
