@@ -10,9 +10,9 @@ Where a page marks its article, the lines inside it are the main text and stay e
 neighbour has them too (articles quote and repeat each other), and lines outside go.
 Differencing therefore decides on pages without such a mark.
 
-Neighbours are looked for within a host's paths that are alike but for the last two characters
-of the last name, so a host is many neighbourhoods; one of more than ``HOOD_ROWS`` pages is
-dealt by ``page_id``. A page alone in its neighbourhood keeps all its lines.
+Pages are dealt by ranges of (host, path), each range with the one page before and after it, so
+every page meets its nearest neighbour in its host whatever the host's size. A page alone on its
+host keeps all its lines.
 
 A NULL page is empty, a NULL url has an empty host and path. Repeated rows delete each other's
 lines outside articles.
@@ -30,11 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gridcast.functions.scale_out import fits_broadcast, settle
 from gridcast.llm.common import partitions, quoted, slices
 from gridcast.llm.url_filter import url_parts
 
-HOOD_ROWS = 50_000
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
@@ -139,37 +137,65 @@ def main_text(lines: list[tuple[str, bool]], nearest: list[tuple[str, bool]] | N
 
 
 def _beside(rows):
-    """Each row with the nearer of its neighbours in the same neighbourhood."""
+    """Each own row with the nearer of its neighbours on the same host."""
     before = here = None
     for row in chain(rows, [None]):
-        if here is not None:
-            near = [r for r in (before, row) if r is not None and r["hood"] == here["hood"]]
+        if here is not None and here["own"]:
+            near = [r for r in (before, row) if r is not None and r["host"] == here["host"]]
             yield here, max(near, key=lambda r: len(commonprefix([r["path"], here["path"]])), default=None)
         before, here = here, row
 
 
+KEY = ("host", "path", "spot")
+
+
+def _ranges(read: DataFrame, n: int) -> tuple[list, list]:
+    """First and last key of at most ``n`` ranges that hold all rows; only keys are shuffled."""
+    key = F.struct(*KEY)
+    ends = read.select(*KEY).repartitionByRange(n, *KEY).groupBy(F.spark_partition_id().alias("at")) \
+        .agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+    ends.sort(key=lambda r: (r["lo"]["host"].encode(), r["lo"]["path"].encode(), r["lo"]["spot"]))
+    return [r["lo"] for r in ends], [r["hi"] for r in ends]
+
+
+def _dealt(read: DataFrame, n: int) -> DataFrame:
+    """Rows sorted within ranges; ``own`` is false for the rows next to a range."""
+    firsts, lasts = _ranges(read, n)
+    if not firsts:
+        return read.withColumn("own", F.lit(True))
+    key = F.struct(*KEY)
+    literal = lambda rows: F.array(*[F.struct(F.lit(r["host"]).alias("host"), F.lit(r["path"]).alias("path"),
+                                              F.lit(r["spot"]).alias("spot")) for r in rows])
+    steps = [1 << i for i in reversed(range(len(firsts).bit_length()))]
+    # The last range that does not begin after the key, by halving.
+    home = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(
+        F.coalesce(F.get(literal(firsts), at + step) <= F.col("key"), F.lit(False)), at + step).otherwise(at))
+    homes = F.array(F.struct(F.col("home").alias("place"), F.lit(True).alias("own")),
+                    F.when((F.col("home") > 0) & (F.get(literal(firsts), F.col("home")) == F.col("key")),
+                           F.struct((F.col("home") - 1).alias("place"), F.lit(False).alias("own"))),
+                    F.when((F.col("home") < len(firsts) - 1) & (F.get(literal(lasts), F.col("home")) == F.col("key")),
+                           F.struct((F.col("home") + 1).alias("place"), F.lit(False).alias("own"))))
+    placed = read.withColumn("key", key).withColumn("home", home) \
+        .withColumn("to", F.explode(F.filter(homes, lambda h: h.isNotNull())))
+    return placed.select(*read.columns, "to.place", "to.own").repartitionById(len(firsts), F.col("place")) \
+        .sortWithinPartitions(*KEY)
+
+
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``pages`` less ``html``, with ``text`` and ``n_chars``."""
     names = [n for n in (pages.columns if keep is None else keep) if n.lower() not in (page, "text", "n_chars")]
-    host, path = url_parts(F.col(url))
+    host, path = (F.coalesce(c, F.lit("")) for c in url_parts(F.col(url)))
     read = pages.select(F.struct(*[F.col(quoted(n)) for n in names]).alias("row"), host.alias("host"), path.alias("path"),
-                        F.col(page).alias("html"), F.xxhash64(*[F.col(quoted(n)) for n in names]).alias("spot"))
-    read = read.withColumn("hood", F.concat_ws(" ", "host", F.regexp_replace("path", r"[^/]{0,2}(\.html?)?/?$", "")))
-    crowded = settle(read.groupBy("hood").agg(F.count("*").alias("n")).filter(F.col("n") > HOOD_ROWS)
-                     .select("hood", F.ceil(F.col("n") / HOOD_ROWS).alias("salts")))
-    if not crowded.isEmpty():
-        read = read.join(F.broadcast(crowded) if fits_broadcast(crowded) else crowded, "hood", "left") \
-            .withColumn("hood", F.when(F.col("salts").isNull(), F.col("hood")).otherwise(
-                F.concat_ws(" ", "hood", F.pmod("spot", "salts").cast("string")))).drop("salts")
-    dealt = read.repartition(partitions(pages.sparkSession), "hood").sortWithinPartitions("hood", "path", "spot")
+                        F.col(page).alias("html"), F.xxhash64(*[F.col(quoted(n)) for n in names], page).alias("spot"))
+    dealt = _dealt(read, partitions(pages.sparkSession))
     schema = T.StructType([pages.schema[n] for n in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         def rows():
             for batch in slices(batches, "html", 8 << 20):
-                for row, path_, page_, hood in zip(*(batch.column(c).to_pylist() for c in ("row", "path", "html", "hood"))):
-                    yield {"row": row, "path": path_, "hood": hood, "lines": page_lines(page_ or "")}
+                for row, host_, path_, page_, own in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "path", "html", "own"))):
+                    yield {"row": row, "host": host_, "path": path_, "own": own, "lines": page_lines(page_ or "")}
 
         out: list[dict] = []
         for here, near in _beside(rows()):
@@ -181,4 +207,4 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: list[s
         if out:
             yield pa.RecordBatch.from_pylist(out, arrow)
 
-    return dealt.select("row", "path", "html", "hood").mapInArrow(run, schema)
+    return dealt.select("row", "host", "path", "html", "own").mapInArrow(run, schema)

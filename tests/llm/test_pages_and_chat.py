@@ -50,6 +50,17 @@ def test_differencing_without_an_article(spark):
     assert got == {0: "Story 0\nAbout 0", 1: "Story 1\nAbout 1", 2: "Story 2\nAbout 0", 3: "Story 3\nAbout 1", 9: "Top\nBottom"}
 
 
+def test_word_paths_meet_over_all_ranges(spark):
+    """Every page meets its nearest neighbour on its host, also across the ends of ranges."""
+    names = ["about", "contact", "products", "team", "zebra"] + [f"item-{i:03}" for i in range(200)]
+    rows = [(i, f"http://h/{name}", f"<p>Top</p><p>Only {i}</p><p>Bottom</p>") for i, name in enumerate(names)]
+    rows += [(900, "http://alone/about", "<p>Top</p><p>Bottom</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {i: f"Only {i}" for i in range(len(names))} | {900: "Top\nBottom"}
+    assert html_text.extract(pages.limit(0)).collect() == []
+
+
 def test_articles_equal_their_documents(spark):
     pages = html_text.extract(spark.read.parquet(f"{SF}/pages.parquet"), keep=["url"])
     docs = spark.read.parquet(f"{SF}/documents.parquet")
