@@ -2,7 +2,8 @@
 
 A page becomes text lines, one per block; menus, headers, footers, side bars, forms, adverts,
 notices, reader comments, scripts and styles are known by their elements or class names and
-give none. Within a host, pages sorted by path stand beside their neighbours; of the one before
+give none. Names never leave out html, body, main or an article (but one within an article), nor
+"header" a box inside an article; a head left open ends at the first body element or text. Within a host, pages sorted by path stand beside their neighbours; of the one before
 and the one after, that with the longer common path is the nearest. The two pages' lines are
 aligned by longest common subsequence, and shared lines are deleted as template.
 
@@ -46,19 +47,35 @@ _NAMES = frozenset("ad ads advert advertisement advertising sponsored promo cook
 _MAIN = frozenset(["article", "main"])
 
 
-def _is_apart(tag: str, attributes: str) -> bool:
-    if tag in _APART:
-        return True
+_WHOLE = frozenset(["html", "body"])           # never left out, whatever their names
+_ASIDE = frozenset(["nav", "footer", "aside"])
+_IN_HEAD = frozenset("head title meta link style script base noscript template".split())
+
+
+def _is_named(attributes: str, names: frozenset[str] = _NAMES) -> bool:
     if "=" not in attributes:
         return False
-    return any(_NAMES.intersection(re.split(r"[^a-z0-9]+", (a or b or c).lower())) for a, b, c in _NAMED.findall(attributes))
+    return any(names.intersection(re.split(r"[^a-z0-9]+", (a or b or c).lower())) for a, b, c in _NAMED.findall(attributes))
 
 
 def page_lines(page: str) -> list[tuple[str, bool]]:
-    """``(text, in an article)`` of the blocks that no boilerplate element holds."""
+    """``(text, in an article)`` of the blocks that no boilerplate element holds.
+
+    An article inside a boilerplate element counts; one in a nav, footer or aside, or one named
+    like boilerplate itself, only where the page has no other.
+    """
+    lines = _lines(page, False)
+    if not any(inside for _, inside in lines) and re.search("<(?:article|main)", page, re.I):
+        anywhere = _lines(page, True)
+        if any(inside for _, inside in anywhere):
+            return anywhere
+    return lines
+
+
+def _lines(page: str, anywhere: bool) -> list[tuple[str, bool]]:
     lines: list[tuple[str, bool]] = []
     block: list[str] = []
-    skipped, depth, main = "", 0, 0            # the boilerplate element passed over, its nesting, open articles
+    skipped, depth, main, articles = "", 0, 0, 0   # the boilerplate element passed over, its nesting, open articles
     at, end = 0, len(page)
 
     def close() -> None:
@@ -75,17 +92,27 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
             if m[0] == "<" and page.startswith(("!", "?"), at):        # a declaration
                 stop = page.find(">", at)
                 at = stop + 1 if stop >= 0 else end
-            elif not skipped and not m[0].startswith("<!--"):
-                block.append(m[0])
+            elif not m[0].startswith("<!--"):
+                if skipped == "head" and m[0].strip():
+                    skipped = ""               # text ends a head left open
+                if not skipped:
+                    block.append(m[0])
             continue
         tag, closing = tag.lower(), m[1] == "/"
         if tag in _RAW and not closing:
+            if skipped == "head" and tag not in _IN_HEAD:
+                skipped = ""
             stop = _RAW[tag].search(page, at)
             at = stop.end() if stop else end
             continue
+        if skipped == "head":
+            if closing or tag in _IN_HEAD:
+                skipped = "" if closing and tag in ("head", "html") else skipped
+                continue
+            skipped = ""                       # so does the first element of the body
         if skipped:
-            if tag in _MAIN and not closing and tag != skipped and not _is_apart(tag, m[3]) and depth == 1 and skipped == "div":
-                skipped = ""                   # an unclosed box before the article
+            if tag in _MAIN and not closing and (anywhere or skipped not in _ASIDE and not _is_named(m[3])):
+                skipped = ""                   # the article of a page inside, or after, such a box
             else:
                 if tag == skipped:
                     depth += -1 if closing else 1
@@ -96,12 +123,17 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
             continue
         close()
         if not closing and tag not in _VOID and not m[3].endswith("/"):
-            if _is_apart(tag, m[3]) and not (tag == "header" and main):
+            if tag in _MAIN:
+                if tag == "article" and articles and _is_named(m[3]):
+                    skipped, depth = tag, 1    # a reader's comment or an advert within the article
+                else:
+                    main, articles = main + 1, articles + (tag == "article")
+            elif tag == "header" and main or tag in _WHOLE:
+                pass
+            elif tag in _APART or _is_named(m[3], _NAMES - {"header"} if main else _NAMES):
                 skipped, depth = tag, 1
-            elif tag in _MAIN:
-                main += 1
         elif closing and tag in _MAIN and main:
-            main -= 1
+            main, articles = main - 1, max(articles - (tag == "article"), 0)
     close()
     return lines
 
@@ -186,7 +218,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: list[s
     names = [n for n in (pages.columns if keep is None else keep) if n.lower() not in (page, "text", "n_chars")]
     host, path = (F.coalesce(c, F.lit("")) for c in url_parts(F.col(url)))
     read = pages.select(F.struct(*[F.col(quoted(n)) for n in names]).alias("row"), host.alias("host"), path.alias("path"),
-                        F.col(page).alias("html"), F.xxhash64(*[F.col(quoted(n)) for n in names], page).alias("spot"))
+                        F.col(page).alias("html"), F.xxhash64(*[F.col(quoted(n)) for n in names], F.col(page)).alias("spot"))
     dealt = _dealt(read, partitions(pages.sparkSession))
     schema = T.StructType([pages.schema[n] for n in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     arrow = to_arrow_schema(schema)

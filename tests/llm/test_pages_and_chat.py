@@ -61,6 +61,47 @@ def test_word_paths_meet_over_all_ranges(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def main_of(page):
+    return html_text.main_text(html_text.page_lines(page), None)
+
+
+def test_no_whole_page_is_dropped():
+    for attributes in ('class="page has-sidebar"', "class=no-comments", "id='search' role=search"):
+        assert main_of(f"<html><body {attributes}><p>Text</p></body></html>") == "Text"
+        assert main_of(f"<html {attributes}><main {attributes}><p>Text</p></main><p>out</p></html>") == "Text"
+        assert main_of(f"<body><article {attributes}><p>Text</p></article><footer>no</footer>") == "Text"
+        for box in ("section", "form", "header", "div"):
+            assert main_of(f"<{box} {attributes}><{box}><p>out</p><article><p>Text</p></article></{box}></{box}><p>out</p>") == "Text"
+    for head in ("<head><title>no</title><body>", "<head><meta charset=x><title>no</title>", "<head><title>no</title></head>"):
+        assert main_of(f"<html>{head}<p>One</p><p>Two</p>") == "One\nTwo"
+    assert main_of("<head><title>no</title>\n Text") == "Text" == main_of("<aside><article>Text</article>")
+
+
+def test_boxes_inside_an_article():
+    page = ('<article><div class="article-header"><h1>Head</h1></div><header class="entry-header">By</header><p>Text</p><div class="share">no</div>'
+            '<article class="comment">no</article><p>End</p></article><aside><article>no</article></aside><div class="header">no</div>')
+    assert main_of(page) == "Head\nBy\nText\nEnd"
+
+
+def test_differencing_without_article_tags(spark):
+    """Real pages less their article tags: template lines go, lines of the page's own stay."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "(?i)</?(article|main)[^>]*>", "<div></div>"))
+    marked = {r["page_id"]: r for r in html_text.extract(pages).collect()}
+    lines = {r["page_id"]: [t for t, _ in html_text.page_lines(r["html"])] for r in bare.collect()}
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract(bare).collect()}
+    assert got.keys() == marked.keys() and not any(inside for r in bare.limit(50).collect() for _, inside in html_text.page_lines(r["html"]))
+    times = {}
+    for own in lines.values():
+        for line in set(own):
+            times[line] = times.get(line, 0) + 1
+    for k, own in lines.items():
+        assert [x for x in own if times[x] == 1] == [x for x in got[k] if x and times[x] == 1]
+    before, after = sum(map(len, lines.values())), sum(len([x for x in g if x]) for g in got.values())
+    print("lines", before, after)
+    assert after < before
+
+
 def test_articles_equal_their_documents(spark):
     pages = html_text.extract(spark.read.parquet(f"{SF}/pages.parquet"), keep=["url"])
     docs = spark.read.parquet(f"{SF}/documents.parquet")
