@@ -186,6 +186,53 @@ def innovations_input(x: np.ndarray, halo: int, start: int, mu: float, phi) -> n
     return u
 
 
+def derivative_inputs(x: np.ndarray, halo: int, start: int, mu: float, phi) -> np.ndarray:
+    """Inputs of the residuals and of their derivatives by mu and phi, one column each."""
+    p, body = len(phi), len(x) - halo
+    d = x - mu
+    u = np.column_stack([innovations_input(x, halo, start, mu, phi), np.full(body, -(1.0 - np.sum(phi))),
+                         *[-d[halo - i:halo - i + body] for i in range(1, p + 1)]])
+    u[:max(p - start, 0)] = 0.0
+    return u
+
+
+def joint_filter(u: np.ndarray, theta, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals with their Jacobian (mu, phi, theta), and the end state of all recursions.
+
+    The derivative by theta_j is -g_{t-j}, where g is the residuals filtered once more. A state
+    holds the last q of each column of ``u`` filtered, then of g.
+    """
+    theta = np.asarray(theta, float)
+    q, n, k = len(theta), *u.shape
+    s = np.zeros((q, k + 1)) if state is None or not q else state.reshape(k + 1, q).T
+    e = ma_filter(u, theta, s[:, :k])
+    if not q:
+        return e, np.zeros(0)
+    g = ma_filter(e[:, :1], theta, s[:, k:])
+    back = np.concatenate([s[::-1, k], g[:, 0]])                   # g_{-q}, ..., g_{n-1}
+    by_theta = np.column_stack([-back[q - j:q - j + n] for j in range(1, q + 1)])
+    after = np.concatenate([np.hstack([e, g])[::-1], s])[:q]
+    return np.hstack([e, by_theta]), after.T.ravel()
+
+
+def carried(state: np.ndarray, theta, length: int) -> np.ndarray:
+    """A state ``length`` slots later, without input: one of residuals, or of ``joint_filter``."""
+    q = len(theta)
+    if not q:
+        return np.zeros(0)
+    a = companion(theta)
+    if len(state) == q:
+        return np.linalg.matrix_power(a, length) @ state
+    both = np.zeros((2 * q, 2 * q))                # g takes the residuals as its input
+    both[:q, :q] = both[q:, q:] = a
+    both[q, :q] = a[0]
+    m = np.linalg.matrix_power(both, length)
+    s = state.reshape(-1, q).T
+    out = m[:q, :q] @ s
+    out[:, -1] = m[q:, :q] @ s[:, 0] + m[q:, q:] @ s[:, -1]
+    return out.T.ravel()
+
+
 def admissible(phi, theta) -> bool:
     for coef in (-np.asarray(phi, float), np.asarray(theta, float)):
         if len(coef) and (not np.all(np.isfinite(coef))
@@ -194,7 +241,9 @@ def admissible(phi, theta) -> bool:
     return True
 
 
-def _shrunk(phi, theta, r: float = 0.9):
+def shrunk(phi, theta, r: float = 0.9):
+    if not np.all(np.isfinite([*phi, *theta])):
+        raise np.linalg.LinAlgError("no finite start")
     while not admissible(phi, theta):
         phi = phi * r ** np.arange(1, len(phi) + 1)
         theta = theta * r ** np.arange(1, len(theta) + 1)
@@ -217,7 +266,7 @@ def css_start(y: np.ndarray, p: int, q: int) -> np.ndarray:
         e = np.concatenate([np.zeros(long), d[long:] - lags(d, long, long) @ a])
         s = long + max(p, q)
         coef = np.linalg.lstsq(np.hstack([lags(d, p, s), lags(e, q, s)]), d[s:], rcond=None)[0]
-        phi, theta = _shrunk(coef[:p], coef[p:])
+        phi, theta = shrunk(coef[:p], coef[p:])
     return np.concatenate([[mu], phi, theta])
 
 

@@ -4,7 +4,9 @@ The residual recursion e_t = u_t - sum theta_j e_{t-j} is linear in its state, t
 q residuals. A packed block therefore maps its start state to its end state by
 ``A^len s + c``, where ``c`` comes from running the block once with a zero state. Folding
 these maps (blocks, then groups of blocks) gives every block its exact start state, and a
-second run is then parallel over blocks. No series is ever run through by one task.
+second run is then parallel over blocks. The Jacobian is the same recursion with other
+inputs, so its columns travel in the same states. Series of up to ``IN_TASK`` slots are
+fitted within a task, longer ones over their blocks: the same start, steps and stopping rule.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridcast.functions import solvers
 from gridcast.functions.scale_out import (BLOCK, FAN_IN, div, lookup_join, map_rows, pack_blocks,
@@ -22,7 +24,7 @@ from gridcast.functions.scale_out import (BLOCK, FAN_IN, div, lookup_join, map_r
 from gridcast.operators.stats import series_summary
 
 BROADCAST_MODELS = 100_000   # a model is under 1 kB
-IN_TASK = 32_768           # longest series fitted inside one task
+IN_TASK = 32_768           # longest series fitted inside one task; the result does not depend on it
 PARAMS = "cell_id STRING, p INT, q INT, mu DOUBLE, phi ARRAY<DOUBLE>, theta ARRAY<DOUBLE>"
 ROWS_OF_STATES = "ARRAY<ARRAY<DOUBLE>>"
 
@@ -84,12 +86,11 @@ def _block_inputs(row, size: int, halo: int):
 
 
 def _fold(states: list[np.ndarray], thetas, length: int, ends) -> list[np.ndarray]:
-    return [np.linalg.matrix_power(solvers.companion(th), length) @ s + np.asarray(e, float)
-            if len(th) else np.zeros(0) for s, th, e in zip(states, thetas, ends)]
+    return [solvers.carried(s, th, length) + np.asarray(e, float) for s, th, e in zip(states, thetas, ends)]
 
 
-def _zero_states(thetas) -> list[np.ndarray]:
-    return [np.zeros(len(th)) for th in thetas]
+def _zero_states(parts) -> list[np.ndarray]:
+    return [np.zeros(len(e)) for e in parts[0]["ends"]]
 
 
 def _block_ends(blocks: DataFrame, size: int, halo: int) -> DataFrame:
@@ -121,7 +122,7 @@ def _carry(ends: DataFrame, fan_in: int) -> tuple[DataFrame, DataFrame]:
                       ["cell_id", "grp"], "blk")
 
     def close(row):
-        s, length = _zero_states(row.thetas), 0
+        s, length = _zero_states(row.parts), 0
         for part in row.parts:
             s = _fold(s, row.thetas, int(part["len"]), part["ends"])
             length += int(part["len"])
@@ -132,7 +133,7 @@ def _carry(ends: DataFrame, fan_in: int) -> tuple[DataFrame, DataFrame]:
     tops = _grouped(closed, ["cell_id"], "grp")
 
     def top(row):
-        s = _zero_states(row.thetas)
+        s = _zero_states(row.parts)
         for part in row.parts:
             yield row.cell_id, part["grp"], s
             s = _fold(s, row.thetas, int(part["len"]), part["ends"])
@@ -252,13 +253,13 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
     """Fit every order to every cell by conditional least squares, with constant.
 
     ``(cell_id, p, q, mu, phi, theta, sse, n, sigma2, bic, converged)``; a series too short for
-    an order, or whose equations have no solution, has NULLs and ``converged = false``. Series of up to
-    ``in_task`` slots are fitted inside one task each (few series: one task per series
-    and p). Longer ones take that fit of their first slots as the start only and are
-    then refined over all blocks.
+    an order, with a missing value, or whose equations have no solution, has NULLs and
+    ``converged = false``. Slots are the rows of a series in order of ``t``. Series of up to
+    ``in_task`` rows are fitted inside one task each (few series: one task per series and p),
+    longer ones over all blocks; the method is the same.
     """
     spark = df.sparkSession
-    lengths = settle(df.groupBy("cell_id").agg(F.count("v").alias("n")))
+    lengths = settle(df.groupBy("cell_id").agg(F.count("*").alias("n"), F.count("v").alias("known")))
     count, long = lengths.agg(F.count("*"), F.count(F.when(F.col("n") > in_task, 1))).first()
     by_p: dict[int, list[int]] = {}
     for p, q in orders:
@@ -271,7 +272,7 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
         out = []
         for p, q in jobs[int(pdf["job"].iloc[0])]:
             unfit = (pdf["cell_id"].iloc[0], p, q, None, None, None, None, len(y), False)
-            if len(y) <= 2 * (p + q) + 4:
+            if len(y) <= 2 * (p + q) + 4 or np.isnan(y).any():
                 out.append(unfit)
                 continue
             try:
@@ -285,98 +286,194 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
         return pd.DataFrame(out, columns=["cell_id", "p", "q", "mu", "phi", "theta", "sse", "n",
                                           "converged"])
 
-    rows = df.filter(F.col("t") < in_task).select(
-        "cell_id", "t", "v", F.explode(F.array(*[F.lit(i) for i in range(len(jobs))])).alias("job"))
+    longer = settle(lengths.filter(F.col("n") > in_task)) if long else None
+    short = lookup_join(df, longer.select("cell_id"), "cell_id", "left_anti") if long else df
+    rows = short.select("cell_id", "t", "v", F.explode(F.array(*[F.lit(i) for i in range(len(jobs))])).alias("job"))
     fits = spread(rows, "cell_id", "job").groupBy("cell_id", "job").applyInPandas(fit, FIT)
     if long:
-        fits = settle(fits)
-        longer = settle(lengths.filter(F.col("n") > in_task).select("cell_id"))
-        series = lookup_join(df, longer, "cell_id", "left_semi")
-        started = fits.join(longer, "cell_id", "left_semi")
-        refined = _refine(series, started.filter("mu IS NOT NULL"), size, fan_in)
-        fits = fits.join(longer, "cell_id", "left_anti").unionByName(refined).unionByName(started.filter("mu IS NULL"))
+        grid = longer.withColumn("o", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in orders]))) \
+            .select("cell_id", "o.p", "o.q", "n", (F.col("n") == F.col("known")).alias("whole"))
+        grid = settle(grid.withColumn("fits", F.col("whole") & (F.col("n") > 2 * (F.col("p") + F.col("q")) + 4)))
+        series = settle(_compact(lookup_join(df, longer.filter("n = known").select("cell_id"), "cell_id", "left_semi"), size))
+        refined = settle(_refine(series, list(orders), grid.filter("fits").select("cell_id", "p", "q"), size, fan_in))
+        rest = grid.join(refined, ["cell_id", "p", "q"], "left_anti").select(
+            "cell_id", "p", "q", F.lit(None).cast("double").alias("mu"), F.lit(None).cast("array<double>").alias("phi"),
+            F.lit(None).cast("array<double>").alias("theta"), F.lit(None).cast("double").alias("sse"), "n",
+            F.lit(False).alias("converged"))
+        fits = fits.unionByName(refined).unionByName(rest)
     return arma_bic(fits.withColumn("sigma2", F.try_divide("sse", "n"))).select(
         "cell_id", "p", "q", "mu", "phi", "theta", "sse", "n", "sigma2", "bic", "converged")
 
 
-def _refine(df: DataFrame, starts: DataFrame, size: int, fan_in: int, rounds: int = 25,
-            delta: float = 1e-6) -> DataFrame:
-    """Damped Gauss-Newton over whole long series, one blocked pass per round.
+def _compact(df: DataFrame, size: int) -> DataFrame:
+    """The rows of each series on slots 0, 1, ... in order of ``t``."""
+    packed = settle(pack_blocks(df, size))
+    before = Window.partitionBy("cell_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    at = packed.select("cell_id", "blk", F.size("x").alias("n")) \
+        .withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return packed.join(at, ["cell_id", "blk"]).select("cell_id", "at", F.posexplode("x").alias("i", "v")) \
+        .select("cell_id", (F.col("at") + F.col("i")).alias("t"), "v")
+
+
+def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, count, total)``: the arrays ``z`` and the counts ``n`` of all blocks added up."""
+    return parts.select(*keys, "n", F.posexplode("z").alias("pos", "z")) \
+        .groupBy(*keys, "pos").agg(F.sum("z").alias("z"), F.sum("n").alias("count")) \
+        .groupBy(*keys).agg(F.max("count").alias("count"),
+                            F.sort_array(F.collect_list(F.struct("pos", "z"))).alias("p_")) \
+        .select(*keys, "count", F.col("p_.z").alias("total"))
+
+
+def _starts(df: DataFrame, orders: list[tuple[int, int]], jobs: DataFrame, size: int) -> DataFrame:
+    """``(cell_id, p, q, beta)``: the start of ``solvers.css_start`` from sums over all slots."""
+    longest = max(max(10, 2 * (p + q)) for p, q in orders)
+    halo = longest + max(max(p, q) for p, q in orders)
+
+    def autoregressions(row):
+        g, _, m = solvers.centred_gram(int(row.n), row.total, row.cross, row.head, row.tail, longest)
+        made, lags = [], []
+        for p, q in orders:
+            long = min(max(10, 2 * (p + q)), int(row.n) // 4)
+            a = []
+            if p + q and long > max(p, q):
+                if long != longest:            # the sums begin at the slot after the lags used
+                    g_, _, _ = solvers.centred_gram(int(row.n), row.total, row.cross, row.head, row.tail, long)
+                else:
+                    g_ = g
+                a = np.linalg.lstsq(g_[2:, 2:], g_[2:, 1], rcond=None)[0]
+            made.append((p, q, a))
+        yield row.cell_id, m + row.centre, [p for p, _, _ in made], [q for _, q, _ in made], [a for _, _, a in made]
+
+    first = settle(map_rows(series_summary(df, longest, size), autoregressions,
+                            f"cell_id STRING, mu DOUBLE, ps ARRAY<INT>, qs ARRAY<INT>, longs {ROWS_OF_STATES}"))
+    width = max(size, halo)
+    blocks = lookup_join(pack_blocks(df, width, halo), first, "cell_id", salt_by="blk", settled=True)
+
+    def second(row):
+        body = int(max(row.off)) + 1 - halo
+        if body <= 0:
+            return
+        start = int(row.blk) * width
+        d = np.nan_to_num(spread_out(row.off, row.x, halo + body) - row.mu)    # nothing before slot 0
+        for p, q, a in zip(row.ps, row.qs, row.longs):
+            if not len(a):
+                continue
+            k = max(p, q)
+            e = np.zeros(halo + body)
+            e[len(a):] = d[len(a):] - sum(f * d[len(a) - i:len(d) - i] for i, f in enumerate(a, 1))
+            e[:max(halo - start + len(a), 0)] = 0.0
+            here = np.arange(max(halo, halo - start + len(a) + k), halo + body)
+            z = np.column_stack([d[here], *[d[here - i] for i in range(1, p + 1)], *[e[here - j] for j in range(1, q + 1)]])
+            yield row.cell_id, p, q, len(here), (z.T @ z).ravel()
+
+    keys = ["cell_id", "p", "q"]
+    sums = _summed(map_rows(blocks, second, "cell_id STRING, p INT, q INT, n BIGINT, z ARRAY<DOUBLE>"), keys)
+    joined = jobs.join(sums, keys, "left").join(first.select("cell_id", "mu"), "cell_id")
 
-    A round runs each model and its 1+p+q shifted copies through the blocks; their
-    residuals give J'J and J'e by difference, summed over blocks.
-    """
-    state = settle(starts.select(
-        "cell_id", "p", "q",
-        F.concat(F.array("mu"), F.col("phi"), F.col("theta")).alias("beta"),
-        F.lit(None).cast("array<double>").alias("best"), F.lit(None).cast("array<double>").alias("gram"),
-        F.lit(None).cast("double").alias("sse"), F.lit(None).cast("bigint").alias("n"),
-        F.lit(1e-3).alias("lam"), F.lit(False).alias("done")))
-    types = {name: kind for name, kind in state.dtypes}
-    schema = ", ".join(f"{k} {v}" for k, v in types.items())
-
-    def shifted(row):
-        for k in range(len(row.beta) + 1):
-            b = np.array(row.beta, float)
-            if k:
-                b[k - 1] += delta
-            yield row.cell_id, row.p, row.q, k, float(b[0]), b[1:1 + row.p], b[1 + row.p:]
-
-    def products(row, start, models, halo):
-        groups: dict[tuple, list] = {}
-        for m, e in models:
-            groups.setdefault((m["p"], m["q"]), []).append((m["k"], e))
-        for (p, q), es in groups.items():
-            e = np.column_stack([v for _, v in sorted(es, key=lambda kv: kv[0])])[max(p - start, 0):]
-            z = np.column_stack([e[:, 0], (e[:, 1:] - e[:, :1]) / delta])
-            yield row.cell_id, p, q, len(e), (z.T @ z).ravel()
+    def solve(row):
+        phi, theta = np.zeros(row.p), np.zeros(row.q)
+        if row.total is not None:
+            g = np.array(row.total, float).reshape(1 + row.p + row.q, -1)
+            try:
+                coef = np.linalg.lstsq(g[1:, 1:], g[1:, 0], rcond=None)[0]
+                phi, theta = solvers.shrunk(coef[:row.p], coef[row.p:])
+            except np.linalg.LinAlgError:
+                return
+        yield row.cell_id, row.p, row.q, np.concatenate([[row.mu], phi, theta])
+
+    return map_rows(joined, solve, "cell_id STRING, p INT, q INT, beta ARRAY<DOUBLE>")
+
+
+def _run_derivatives(df: DataFrame, params: DataFrame, size: int, fan_in: int) -> DataFrame:
+    """``(cell_id, p, q, n, z)`` per block: products of the residuals and their exact Jacobian."""
+    blocks, size, halo = _blocks_with_models(df, _bundle(params), size)
+
+    def inputs(row):
+        body = int(max(row.off)) + 1 - halo
+        if body > 0:
+            x = spread_out(row.off, row.x, halo + body)
+            for m in row.models:
+                yield m, solvers.derivative_inputs(x, halo, int(row.blk) * size, m["mu"], np.asarray(m["phi"], float))
+
+    def ends(row):
+        out, thetas, length = [], [], 0
+        for m, u in inputs(row):
+            th = np.asarray(m["theta"], float)
+            out.append(solvers.joint_filter(u, th, None)[1])
+            thetas.append(th)
+            length = len(u)
+        if length:
+            yield row.cell_id, row.blk, length, out, thetas
+
+    starts, _ = _carry(map_rows(blocks, ends, f"cell_id STRING, blk BIGINT, len BIGINT, "
+                                              f"ends {ROWS_OF_STATES}, thetas {ROWS_OF_STATES}"), fan_in)
+
+    def products(row):
+        for (m, u), s in zip(inputs(row), row.start):
+            th = np.asarray(m["theta"], float)
+            z = solvers.joint_filter(u, th, np.asarray(s, float))[0][max(m["p"] - int(row.blk) * size, 0):]
+            yield row.cell_id, m["p"], m["q"], len(z), (z.T @ z).ravel()
+
+    return map_rows(blocks.join(starts, ["cell_id", "blk"]), products,
+                    "cell_id STRING, p INT, q INT, n BIGINT, z ARRAY<DOUBLE>")
+
+
+def _refine(df: DataFrame, orders: list[tuple[int, int]], jobs: DataFrame, size: int, fan_in: int,
+            rounds: int = 100) -> DataFrame:
+    """``solvers.css_fit`` over blocks: one pass per trial step, up to ``rounds`` steps a model."""
+    state = settle(_starts(df, orders, jobs, size).select(
+        "cell_id", "p", "q", "beta", F.lit(None).cast("array<double>").alias("best"),
+        F.lit(None).cast("array<double>").alias("gram"), F.lit(None).cast("double").alias("sse"),
+        F.lit(None).cast("bigint").alias("n"), F.lit(1e-3).alias("lam"), F.lit(0).alias("steps"),
+        F.lit(False).alias("done"), F.lit(False).alias("ok")))
+    schema = ", ".join(f"{k} {v}" for k, v in state.dtypes)
+
+    def shape(row):
+        b = np.array(row.beta, float)
+        yield row.cell_id, row.p, row.q, float(b[0]), b[1:1 + row.p], b[1 + row.p:]
 
     def advance(row):
-        size_ = len(row.beta) + 1
-        beta, best, lam = np.array(row.beta, float), row.best, row.lam
-        new = np.array(row.total, float)
-        better = bool(np.all(np.isfinite(new))) and (best is None or new[0] <= row.sse)
-        gain = math.inf if best is None else row.sse - new[0]
-        if better:
-            best, gram, sse, lam = beta, new, float(new[0]), max(lam / 10, 1e-12)
-        elif best is None:
-            yield (row.cell_id, row.p, row.q, beta, beta, new, None, row.count, lam, True)
+        new, lam, steps, width = np.array(row.total, float), row.lam, int(row.steps), len(row.beta) + 1
+        first = row.best is None
+        if first and not np.all(np.isfinite(new)):
+            yield row.cell_id, row.p, row.q, row.beta, None, None, None, row.count, lam, steps, True, False
             return
-        else:
-            best, gram, sse, lam = np.array(best, float), np.array(row.gram, float), row.sse, lam * 10
-        done = better and gain <= 1e-10 * sse
-        g = gram.reshape(size_, size_)
-        trial = best
-        while lam < 1e12:
-            trial = best + solvers.damped_step(g[1:, 1:], g[1:, 0], lam)
+        best, gram, sse = (row.beta, new, float(new[0])) if first else (row.best, np.array(row.gram, float), float(row.sse))
+        done = ok = False
+        if not first:
+            if new[0] <= sse:
+                gain = sse - new[0]
+                best, gram, sse, lam, steps = row.beta, new, float(new[0]), max(lam / 10, 1e-12), steps + 1
+                ok = gain <= 1e-11 * sse
+                done = ok or steps >= rounds
+            else:
+                lam *= 10
+        g, trial = gram.reshape(width, width), np.array(best, float)
+        while not done:
+            if lam >= 1e12:
+                done = True
+                ok = bool(np.all(np.abs(g[1:, 0]) <= 1e-5 * np.sqrt(np.diag(g)[1:] * sse + 1e-300)))
+                break
+            try:
+                trial = np.array(best, float) + solvers.damped_step(g[1:, 1:], g[1:, 0], lam)
+            except np.linalg.LinAlgError:      # no solution: a row of NULLs
+                yield row.cell_id, row.p, row.q, row.beta, None, None, None, row.count, lam, steps, True, False
+                return
             if solvers.admissible(trial[1:1 + row.p], trial[1 + row.p:]):
                 break
             lam *= 10
-        yield (row.cell_id, row.p, row.q, trial, best, gram, sse, row.count, lam,
-               bool(done or lam >= 1e12))
-
-    names = list(types)
-    for _ in range(rounds):
-        live = state.filter(~F.col("done"))
-        if live.isEmpty():
-            break
-        params = map_rows(live, shifted, "cell_id STRING, p INT, q INT, k INT, mu DOUBLE, "
-                                         "phi ARRAY<DOUBLE>, theta ARRAY<DOUBLE>")
-        parts = _run_exact(df, params, size, fan_in, products,
-                           "cell_id STRING, p INT, q INT, n BIGINT, z ARRAY<DOUBLE>")
-        keys = ["cell_id", "p", "q"]
-        totals = parts.select(*keys, "n", F.posexplode("z").alias("pos", "z")) \
-            .groupBy(*keys, "pos").agg(F.sum("z").alias("z"), F.sum("n").alias("count")) \
-            .groupBy(*keys).agg(F.max("count").alias("count"),
-                                F.sort_array(F.collect_list(F.struct("pos", "z"))).alias("p_")) \
-            .select(*keys, "count", F.col("p_.z").alias("total"))
+        yield row.cell_id, row.p, row.q, trial, best, gram, sse, row.count, lam, steps, done, ok
+
+    keys = ["cell_id", "p", "q"]
+    while not (live := state.filter(~F.col("done"))).isEmpty():
+        params = map_rows(live, shape, PARAMS)
+        totals = _summed(_run_derivatives(df, params, size, fan_in), keys)
         stepped = map_rows(live.join(totals, keys), advance, schema)
-        state = settle(stepped.select(*names).unionByName(state.filter("done").select(*names)))
-    best = F.coalesce("best", "beta")
-    return state.select(
-        "cell_id", "p", "q", best[0].alias("mu"), F.slice(best, F.lit(2), F.col("p")).alias("phi"),
-        F.slice(best, F.col("p") + 2, F.col("q")).alias("theta"), "sse", "n",
-        (F.col("done") & F.col("sse").isNotNull()).alias("converged"))
+        state = settle(stepped.unionByName(state.filter("done")))
+    best = F.col("best")
+    return state.filter("best IS NOT NULL").select(
+        *keys, best[0].alias("mu"), F.slice(best, F.lit(2), F.col("p")).alias("phi"),
+        F.slice(best, F.col("p") + 2, F.col("q")).alias("theta"), "sse", "n", F.col("ok").alias("converged"))
 
 
 def arma_order_search(df: DataFrame, max_p: int, max_q: int, **how) -> DataFrame:

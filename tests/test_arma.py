@@ -120,6 +120,25 @@ def test_long_series_are_refined_over_blocks(spark):
                                    [*whole[c].phi, *whole[c].theta], atol=1e-3)
 
 
+@pytest.mark.parametrize("order", [(3, 0), (1, 1)])
+def test_blocked_fit_equals_the_fit_in_a_task(spark, order):
+    """Late first slots, a constant start and a missing value change nothing between the two."""
+    flat = simulate(300, [0.6, -0.2], [0.4], 2.0, 9)
+    flat[:120] = 2.0
+    data = {"a": (0, simulate(330, [0.6, -0.2], [0.4], 3.0, 1)), "late": (500, simulate(250, [0.5], [0.3], 1.0, 2)), "flat": (0, flat)}
+    rows = [(c, t0 + t, float(v)) for c, (t0, y) in data.items() for t, v in enumerate(y)]
+    rows += [("gap", t, None if t == 60 else float(t % 7)) for t in range(150)]
+    df = spark.createDataFrame(rows, "cell_id string, t bigint, v double")
+    whole = {r.cell_id: r for r in arma.arma_fit(df, [order]).collect()}
+    split = {r.cell_id: r for r in arma.arma_fit(df, [order], in_task=100, size=64, fan_in=3).collect()}
+    assert whole.keys() == split.keys() == {*data, "gap"}
+    for c in data:
+        assert split[c].converged and whole[c].converged and split[c].n == whole[c].n == len(data[c][1]) - order[0]
+        assert math.isclose(split[c].sse, whole[c].sse, rel_tol=1e-8)
+        np.testing.assert_allclose([split[c].mu, *split[c].phi, *split[c].theta], [whole[c].mu, *whole[c].phi, *whole[c].theta], atol=1e-3)
+    assert split["gap"].converged is False and split["gap"].bic is None
+
+
 def test_order_search(series):
     data, df = series
     fits = {(r.cell_id, r.p, r.q): r for r in
