@@ -353,7 +353,7 @@ def latent_gradient(spark, sf_dir):
 
 def latent_fit(spark, sf_dir):
     ser = settle(_traffic(spark, sf_dir))
-    model = latent.latent_fit(ser, (2,), CFG.latent_lr, 5, CFG.latent_batch, None, "seeded")
+    model = latent.latent_fit(ser, (2,), CFG.latent_lr, CFG.latent_epochs, CFG.latent_batch, None, "seeded")
     return _rounded(model.encode(ser), "z1", "z2")
 
 
@@ -376,7 +376,7 @@ def sequence_forecast(spark, sf_dir):
 
 
 def sequence_fit(spark, sf_dir):
-    model = sequence.sequence_fit(_features(spark, sf_dir), CFG, epochs=3)
+    model = sequence.sequence_fit(_features(spark, sf_dir), CFG)
     return _rounded(spark.createDataFrame(model.costs, "epoch BIGINT, cost DOUBLE"), "cost")
 
 
@@ -419,7 +419,7 @@ def arma_day_forecast(spark, sf_dir):
 
 def compressed_day_forecast(spark, sf_dir):
     ser = settle(_traffic(spark, sf_dir))
-    done = forecasts.compressed_day_forecast(ser, TARGET, CFG, latent_epochs=5, epochs=3)
+    done = forecasts.compressed_day_forecast(ser, TARGET, CFG)
     return _rounded(done.scores, "mse", "mae")
 
 

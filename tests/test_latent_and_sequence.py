@@ -261,3 +261,26 @@ def test_both_forecasts_end_to_end(spark):
     other = forecasts.compressed_day_forecast(beside, "a", cfg, mask_at_encode=True)
     row = other.scores.first()
     assert 0 < row.mse < 2 and other.actual_vs_forecast.count() == 4 * 4
+
+
+def test_registered_trainings_use_the_configured_epochs(spark, monkeypatch):
+    from gridcast.plans import registered
+    seen = {}
+
+    def stop(name):
+        def fn(*a, **k):
+            seen[name] = a, k
+            raise StopIteration
+        return fn
+
+    for name in ("_traffic", "_features"):
+        monkeypatch.setattr(registered, name, lambda *a: spark.range(1))
+    monkeypatch.setattr(registered.latent, "latent_fit", stop("latent_fit"))
+    monkeypatch.setattr(registered.sequence, "sequence_fit", stop("sequence_fit"))
+    monkeypatch.setattr(registered.forecasts, "compressed_day_forecast", stop("compressed_day_forecast"))
+    for name in ("latent_fit", "sequence_fit", "compressed_day_forecast"):
+        with pytest.raises(StopIteration):
+            getattr(registered, name)(spark, "")
+    assert seen["latent_fit"][0][3] == registered.CFG.latent_epochs
+    assert "epochs" not in seen["sequence_fit"][1] and len(seen["sequence_fit"][0]) == 2
+    assert not {"epochs", "latent_epochs"} & set(seen["compressed_day_forecast"][1])
