@@ -37,11 +37,13 @@ def configured_orders(series: DataFrame, cfg: Granularity) -> DataFrame:
 
 
 def arma_day_forecast(series: DataFrame, train: int, order: tuple[int, int] | None = None,
-                      max_lag: int = 4) -> ArmaForecast:
+                      max_lag: int | None = None) -> ArmaForecast:
     """Fit on slots below ``train`` (given order, or the best below ``max_lag``), forecast the rest.
 
     Serves one target cell as well as all cells at once.
     """
+    if order is None and max_lag is None:
+        raise ValueError("name an order, or max_lag such as the configured one")
     known, rest = windows.train_test_split(series, train)
     fits = settle(arma.arma_fit(known, [order]) if order else
                   arma.arma_order_search(known, max_lag, max_lag))

@@ -216,3 +216,9 @@ def test_scores_count_what_was_not_forecast(spark):
     pred = spark.createDataFrame([("a", 0, 0.0)], "cell_id string, t bigint, yhat double")
     got = {r["cell_id"]: (r["mse"], r["n"], r["n_missing"]) for r in metrics.scores(actual, pred, ["cell_id", "t"], ["cell_id"]).collect()}
     assert got == {"a": (1.0, 1, 1), "b": (None, 0, 1)}
+
+
+def test_no_small_order_search_by_default():
+    from gridcast.plans import forecasts
+    with pytest.raises(ValueError):
+        forecasts.arma_day_forecast(None, 10)
