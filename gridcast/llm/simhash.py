@@ -101,25 +101,40 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> Dat
 
 def near_duplicates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``fp`` and ``component_id``, the least ``doc_id`` reachable over links."""
+    marked, classes = _components(docs, text, keep)
+    return marked.join(classes.drop("root"), "fp")
+
+
+def _components(docs: DataFrame, text: str, keep: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """Fingerprinted rows, and ``(fp, root, component_id)``."""
     marked = settle(fingerprints(docs.drop("component_id"), text, keep))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left") \
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp")
+    return marked, rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One document of each component: that with the least ``doc_id``.
+    """One document of each component: that with the least ``(doc_id, fp)``.
 
     Rows without ``doc_id`` go only where a document of their component stays; a component of
     only such rows keeps them all.
     """
-    named = near_duplicates(docs, text, ["doc_id"])
-    kept = named.filter("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    marked, classes = _components(docs, text, ["doc_id"])
+    named = marked.join(classes, "fp")
+    kept = settle(named.filter("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("fp")))
+    # A doc_id of several texts: only these rows are told apart by their fingerprints, read again.
+    shared = settle(marked.filter("doc_id IS NOT NULL").groupBy("doc_id")
+                    .agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("doc_id"))
+    stay = docs.join(kept.join(shared, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi") \
+        .select(*docs.columns).dropDuplicates(["doc_id"])
+    if not shared.isEmpty():
+        rows = docs.join(shared, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("_row"), text)
+        several = fingerprints(rows, text, ["_row"]).withColumn("doc_id", F.col("_row.doc_id")) \
+            .join(kept.select("doc_id", "fp"), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"])
+        stay = stay.unionByName(several.select("_row.*"))
     nameless = named.filter("component_id IS NULL").select("fp").distinct()
     whole = docs.filter("doc_id IS NULL").select(F.struct("*").alias("_row"), text)
     lost = fingerprints(whole, text, ["_row"]).join(nameless, "fp", "left_semi").select("_row.*")

@@ -99,3 +99,10 @@ def test_chain_components(spark):
     from gridcast.llm.components import connected
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r["root"] for r in connected(edges).collect()} == {0}
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    one, other = "alpha beta gamma delta epsilon zeta eta", "uno dos tres cuatro cinco seis siete ocho"
+    docs = spark.createDataFrame([(1, one), (2, one), (1, other), (3, other), (1, one)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect())
+    assert got == [(1, one), (1, other)]
