@@ -63,15 +63,21 @@ def map_texts(df: DataFrame, fn, fields: T.StructType, keep: list[str] | None =
     new = {f.name.lower() for f in fields}
     carried = [f for f in df.schema if f.name.lower() not in new and f.name not in uses and (keep is None or f.name in keep)]
     names = [f.name for f in carried]
-    schema = to_arrow_schema(T.StructType(carried + list(fields)))
-    read = df.select(*[F.col(quoted(n)) for n in df.columns if n in (*names, *uses, text)])
+    given = [n for n in df.columns if n in (*names, *uses, text)]
+    plain = {n: f"c{i}" for i, n in enumerate(given)}                # mapInArrow takes no dots in names
+    made = T.StructType([T.StructField(plain[f.name], f.dataType, f.nullable) for f in carried] +
+                        [T.StructField(f"r{i}", f.dataType) for i, f in enumerate(fields)])
+    schema = to_arrow_schema(made)
+    types = list(schema.types)[len(names):]
 
     def run(batches):
-        for batch in slices(batches, text, size):
-            made = [pa.array(x, f.type, from_pandas=False) for x, f in zip(fn(batch), list(schema)[len(names):])]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, schema.names)
+        named = (pa.RecordBatch.from_arrays(batch.columns, given) for batch in batches)
+        for batch in slices(named, text, size):
+            results = [pa.array(x, t, from_pandas=False) for x, t in zip(fn(batch), types)]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + results, schema.names)
 
-    return read.mapInArrow(run, T.StructType(carried + list(fields)))
+    read = df.select(*[F.col(quoted(n)).alias(plain[n]) for n in given])
+    return read.mapInArrow(run, made).toDF(*names, *fields.names)
 
 
 def quoted(name: str) -> str:

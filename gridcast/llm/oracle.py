@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered corpus queries that SQL can express."""
 
+from gridcast.llm import secrets
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -112,5 +114,76 @@ SELECT any_value(doc_id) AS doc_id, count(word) AS n_words, count(gone.k) AS n_r
     sha256(coalesce(string_agg(word, ' ' ORDER BY words.k) FILTER (gone.k IS NULL), '')) AS kept_sha256
 FROM words LEFT JOIN gone ON words.rid = gone.rid AND words.k = gone.k GROUP BY words.rid"""
 
+def _any_case(pattern: str) -> str:
+    """Letters outside of classes and escapes in either case."""
+    out, depth, escaped = [], 0, False
+    for i, c in enumerate(pattern):
+        hexed = pattern[max(i - 2, 0):i] == r"\x" or pattern[max(i - 3, 0):i - 1] == r"\x"
+        depth += (c == "[") - (c == "]")
+        out.append(f"[{c.upper()}{c.lower()}]" if c.isalpha() and not (depth or escaped or hexed) else c)
+        escaped = c == "\\" and not escaped
+    return "".join(out)
+
+
+def _matches(kind: str, pattern: str, keep: str = "true") -> str:
+    """Every match, with its place: the running length of matches and the gaps between them."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT rid, kind, e - length(m) AS s, e FROM (SELECT rid, '{kind}' AS kind, m,
+        sum(length(gap) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS e FROM (SELECT rid, unnest(range(1, len(ms) + 1)) AS i,
+            unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap FROM (SELECT rid, regexp_extract_all(text, '{p}') AS ms,
+            regexp_split_to_array(text, '{p}') AS gaps FROM d))) WHERE {keep}"""
+
+
+_ASSIGN = _any_case(secrets.ASSIGN)
+_BASE = [_matches("assign", _ASSIGN, "length(regexp_extract(m, '{}', 2)) >= 6".format(_ASSIGN.replace("'", "''"))),
+         _matches("access", secrets.ACCESS, "length(m) >= 20"), _matches("hex", secrets.HEX, "length(m) >= 24")]
+_WEAK = [_matches("id", _any_case(secrets.ID)), _matches("key", _any_case(secrets.KEY)),
+         _matches("key", secrets.MIXED, "length(m) >= 20 AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')"),
+         _matches("endpoint", _any_case(secrets.ENDPOINT)), _matches("endpoint", _any_case(secrets.HOST))]
+_RANK = "list_position(['assign', 'access', 'hex', 'id', 'key', 'endpoint'], kind)"
+_NEAR = """EXISTS (SELECT 1 FROM parts p WHERE p.rid = w.rid AND p.kind IN ({}) AND (
+        (p.s >= w.e AND p.s - w.e <= 200 AND NOT regexp_matches(substr(w.text, CAST(w.e + 1 AS BIGINT), CAST(p.s - w.e AS BIGINT)), '\\n[\\x20\\t\\r]*\\n'))
+        OR (p.e <= w.s AND w.s - p.e <= 200 AND NOT regexp_matches(substr(w.text, CAST(p.e + 1 AS BIGINT), CAST(w.s - p.e AS BIGINT)), '\\n[\\x20\\t\\r]*\\n'))))"""
+_SECRET, _IDENTIFIER = _NEAR.format("'assign', 'hex', 'key'"), _NEAR.format("'access', 'id'")
+OP11 = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
+base AS ({" UNION ALL ".join(_BASE)}),
+weak AS (SELECT u.*, text FROM ({" UNION ALL ".join(_WEAK)}) u JOIN d USING (rid)
+    WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = u.rid AND b.s < u.e AND b.e > u.s)),
+parts AS (SELECT rid, kind, s, e FROM base UNION ALL SELECT rid, kind, s, e FROM weak),
+spans AS (SELECT *, true AS is_base FROM base UNION ALL SELECT rid, kind, s, e, false FROM weak w WHERE
+    CASE kind WHEN 'id' THEN {_SECRET} WHEN 'key' THEN {_IDENTIFIER} ELSE {_SECRET} AND {_IDENTIFIER} END)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    sha256(coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, {_RANK}, e) FILTER (is_base), '')) AS base_sha256,
+    coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, {_RANK}, e) FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN spans USING (rid) GROUP BY rid"""
+
+# CRC-32 by its table of 256 remainders, which SQL makes from the polynomial.
+_TABLE = """(SELECT list(c ORDER BY x) AS t FROM (SELECT x, list_reduce(list_prepend(x, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS x)))"""
+OP12 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rid,
+        regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[a-z\x{{00C0}}-\x{{00FF}}]+') AS rs FROM documents),
+r AS (SELECT rid, coalesce(CAST(any_value(doc_id) AS VARCHAR), '') || ':' || run AS named, run, count(*) AS n
+    FROM (SELECT rid, doc_id, unnest(rs) AS run FROM d) WHERE length(run) >= 5 GROUP BY rid, run),
+b AS (SELECT run, n, hex(encode(named)) AS x FROM r),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2),
+        lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS h FROM b, {_TABLE}),
+w AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS form_n, first(other ORDER BY other_n DESC, other) AS form FROM near GROUP BY word),
+known AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form,
+    CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS spot FROM known UNION ALL SELECT chain.word, form FROM chain JOIN known ON chain.spot = known.word WHERE form IS NOT NULL)
+SELECT known.word, form, spot AS root, n, n_near, form_n
+FROM known JOIN chain ON known.word = chain.word WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.word = spot AND k.form IS NOT NULL)"""
+
 SQL = {"op2_url_filter": OP2, "op5_benchmark_decontamination": OP5, "op6_source_mix": OP6,
-       "op7_chat_format": OP7, "op9_line_dedup": OP9, "op10_substring_dedup": OP10}
+       "op7_chat_format": OP7, "op9_line_dedup": OP9, "op10_substring_dedup": OP10,
+       "op11_secret_scan": OP11, "op12_spelling_variants": OP12}

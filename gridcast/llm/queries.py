@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridcast.llm import (chat, decontaminate, html_text, language_id, line_dedup, mixing, quality, simhash,
-                          substring_dedup, url_filter)
+from gridcast.llm import (chat, decontaminate, html_text, language_id, line_dedup, mixing, quality, secrets,
+                          simhash, spelling, substring_dedup, url_filter, whitening)
 from gridcast.llm.common import table
 from gridcast.llm.oracle import SQL
 
@@ -79,7 +79,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
+                        secrets.listed("spans").alias("spans"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    white = whitening.whiten(vectors, whitening.fit(vectors), keep=["vec_id"])
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_quality, op4_html_text,
                                    op5_benchmark_decontamination, op6_source_mix, op7_chat_format,
-                                   op8_language_id, op9_line_dedup, op10_substring_dedup)}
+                                   op8_language_id, op9_line_dedup, op10_substring_dedup,
+                                   op11_secret_scan, op12_spelling_variants, op13_embedding_whitening)}
 __all__ = ["QUERIES", "SQL"]

@@ -6,11 +6,11 @@ from gridcast.llm.queries import QUERIES, SQL
 from tests.oracle_check import compare, views
 
 SF = "/root/testdata/sf0.001"
-TABLES = {n: f"{SF}/{n}.parquet" for n in ("documents", "pages", "conversations", "labels", "benchmark")}
+TABLES = {n: f"{SF}/{n}.parquet" for n in ("documents", "pages", "conversations", "labels", "benchmark", "embeddings")}
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) < set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(SQL) < set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
