@@ -1,22 +1,26 @@
 """Main text of web pages by differencing each with the page of the nearest URL.
 
-A page becomes text lines, one per block; menus, headers, footers, side bars, forms, adverts,
-notices, reader comments, scripts and styles are known by their elements or class names and
-give none. Names never leave out html, body, main or an article (but one within an article), nor
-"header" a box inside an article; a head left open ends at the first body element or text. Within a host, pages sorted by path stand beside their neighbours; of the one before
-and the one after, that with the longer common path is the nearest. The two pages' lines are
-aligned by longest common subsequence, and shared lines are deleted as template.
-
-Where a page marks its article, the lines inside it are the main text and stay even if the
-neighbour has them too (articles quote and repeat each other), and lines outside go.
-Differencing therefore decides on pages without such a mark.
+A page becomes text lines, one per block. Within a host, pages sorted by path stand beside their
+neighbours; of the one before and the one after, that with the longer common path is the
+nearest. The two pages' lines are aligned by longest common subsequence, and shared lines are
+deleted as template. Lines inside an article are protected from that (articles quote and repeat
+each other). Of the lines that differencing leaves, those outside a marked article go, and those
+of menus, headers, footers, side bars, forms, adverts, notices and reader comments, known by
+their elements or class names: they may be a page's own, and a page alone on its host has no
+other to differ from. Scripts, styles and titles are no text. Names never leave out html, body,
+main or an article (but one within an article), nor "header" a box inside an article; a head left
+open ends at the first body element or text.
 
 Pages are dealt by ranges of (host, path), each range with the one page before and after it, so
 every page meets its nearest neighbour in its host whatever the host's size. A page alone on its
 host keeps all its lines.
 
-A NULL page is empty, a NULL url has an empty host and path. Repeated rows delete each other's
-lines outside articles.
+Defined results: a NULL or empty page is empty, a NULL url has an empty host and path. Repeated
+rows delete each other's lines outside articles; of neighbours equally near the one before is
+taken. Very long pages are read in linear time however broken their tags are, and aligned in
+linear space. All Unicode white space in a block, no-break spaces too, becomes one space. The
+input's columns are carried as ``keep`` says, those named like a result give way, in any case of
+letters. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from bisect import bisect_left
 from itertools import chain
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,7 +39,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gridcast.llm.common import partitions, quoted, slices
 from gridcast.llm.url_filter import url_parts
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
+OFTEN = 512                     # a line in more places keeps its bits between steps
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)")
+_PLAIN_REST = re.compile(r"""[^'"<>]*+(?:"[^"<>]*+"[^'"<>]*+|'[^'<>]*+'[^'"<>]*+)*+>""")
+_STOPS = re.compile("[\"'>]")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp "
@@ -52,6 +60,40 @@ _ASIDE = frozenset(["nav", "footer", "aside"])
 _IN_HEAD = frozenset("head title meta link style script base noscript template".split())
 
 
+class _Tags:
+    """Where tags end: the first ``>`` outside quotes.
+
+    What follows a quote or ``>`` met outside quotes does not depend on where the tag began, so it
+    is worked out once for each: open tags and quotes cost no more than others.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.stops, self.known = page, None, {}
+
+    def end(self, at: int) -> int:
+        """The end of a tag whose name ends at ``at``; -1 if there is none."""
+        if m := _PLAIN_REST.match(self.page, at):
+            return m.end() - 1
+        if self.stops is None:
+            self.stops = [m.start() for m in _STOPS.finditer(self.page)]
+        passed, found = [], -1
+        while (i := bisect_left(self.stops, at)) < len(self.stops):
+            stop = self.stops[i]
+            if stop in self.known:
+                found = self.known[stop]
+                break
+            passed.append(stop)
+            if self.page[stop] == ">":
+                found = stop
+                break
+            shut = self.page.find(self.page[stop], stop + 1)
+            if shut < 0:
+                break
+            at = shut + 1
+        self.known.update(dict.fromkeys(passed, found))
+        return found
+
+
 def _is_named(attributes: str, names: frozenset[str] = _NAMES) -> bool:
     if "=" not in attributes:
         return False
@@ -59,21 +101,26 @@ def _is_named(attributes: str, names: frozenset[str] = _NAMES) -> bool:
 
 
 def page_lines(page: str) -> list[tuple[str, bool]]:
-    """``(text, in an article)`` of the blocks that no boilerplate element holds.
+    """``(text, in an article)`` of the blocks that no boilerplate element holds."""
+    return [(text, inside) for text, inside, named in page_blocks(page) if not named]
+
+
+def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
+    """``(text, in an article, in a boilerplate element)`` of all blocks.
 
     An article inside a boilerplate element counts; one in a nav, footer or aside, or one named
     like boilerplate itself, only where the page has no other.
     """
     lines = _lines(page, False)
-    if not any(inside for _, inside in lines) and re.search("<(?:article|main)", page, re.I):
+    if not any(inside for _, inside, _ in lines) and re.search("<(?:article|main)", page, re.I):
         anywhere = _lines(page, True)
-        if any(inside for _, inside in anywhere):
+        if any(inside for _, inside, _ in anywhere):
             return anywhere
     return lines
 
 
-def _lines(page: str, anywhere: bool) -> list[tuple[str, bool]]:
-    lines: list[tuple[str, bool]] = []
+def _lines(page: str, anywhere: bool) -> list[tuple[str, bool, bool]]:
+    lines: list[tuple[str, bool, bool]] = []
     block: list[str] = []
     skipped, depth, main, articles = "", 0, 0, 0   # the boilerplate element passed over, its nesting, open articles
     at, end = 0, len(page)
@@ -82,23 +129,36 @@ def _lines(page: str, anywhere: bool) -> list[tuple[str, bool]]:
         text = " ".join(html.unescape("".join(block)).split())
         block.clear()
         if text:
-            lines.append((text, main > 0))
+            lines.append((text, main > 0 and not skipped, skipped != ""))
 
+    tags = _Tags(page)
     while at < end:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0] == "<" and page.startswith(("!", "?"), at):        # a declaration
-                stop = page.find(">", at)
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = stop if stop >= 0 else end
+        elif page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        else:
+            m = _TAG.match(page, at)
+            shut = tags.end(m.end()) if m else -1
+            if shut >= 0:
+                tag, closing, attributes, at = m[2], m[1] == "/", page[m.end():shut], shut + 1
+                stop = -1
+            elif page.startswith(("!", "?"), at + 1):                  # a declaration
+                stop = page.find(">", at + 1)
                 at = stop + 1 if stop >= 0 else end
-            elif not m[0].startswith("<!--"):
-                if skipped == "head" and m[0].strip():
-                    skipped = ""               # text ends a head left open
-                if not skipped:
-                    block.append(m[0])
+                continue
+            else:
+                stop = at + 1
+        if stop >= 0:
+            if skipped == "head" and not page[at:stop].isspace():
+                skipped = ""                   # text ends a head left open
+            block.append(page[at:stop])
+            at = stop
             continue
-        tag, closing = tag.lower(), m[1] == "/"
+        tag = tag.lower()
         if tag in _RAW and not closing:
             if skipped == "head" and tag not in _IN_HEAD:
                 skipped = ""
@@ -111,7 +171,9 @@ def _lines(page: str, anywhere: bool) -> list[tuple[str, bool]]:
                 continue
             skipped = ""                       # so does the first element of the body
         if skipped:
-            if tag in _MAIN and not closing and (anywhere or skipped not in _ASIDE and not _is_named(m[3])):
+            if tag not in _INLINE:
+                close()
+            if tag in _MAIN and not closing and (anywhere or skipped not in _ASIDE and not _is_named(attributes)):
                 skipped = ""                   # the article of a page inside, or after, such a box
             else:
                 if tag == skipped:
@@ -122,15 +184,15 @@ def _lines(page: str, anywhere: bool) -> list[tuple[str, bool]]:
         if tag in _INLINE:
             continue
         close()
-        if not closing and tag not in _VOID and not m[3].endswith("/"):
+        if not closing and tag not in _VOID and not attributes.endswith("/"):
             if tag in _MAIN:
-                if tag == "article" and articles and _is_named(m[3]):
+                if tag == "article" and articles and _is_named(attributes):
                     skipped, depth = tag, 1    # a reader's comment or an advert within the article
                 else:
                     main, articles = main + 1, articles + (tag == "article")
             elif tag == "header" and main or tag in _WHOLE:
                 pass
-            elif tag in _APART or _is_named(m[3], _NAMES - {"header"} if main else _NAMES):
+            elif tag in _APART or _is_named(attributes, _NAMES - {"header"} if main else _NAMES):
                 skipped, depth = tag, 1
         elif closing and tag in _MAIN and main:
             main, articles = main - 1, max(articles - (tag == "article"), 0)
@@ -139,33 +201,78 @@ def _lines(page: str, anywhere: bool) -> list[tuple[str, bool]]:
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``."""
-    where: dict[str, list[int]] = {}
-    for j, line in enumerate(b):
-        where.setdefault(line, []).append(j)
-    tails: list[int] = []                      # least end in b of a common run of each length
-    nodes: list[tuple] = []
-    for i, line in enumerate(a):
-        for j in reversed(where.get(line, ())):
-            k = bisect_left(tails, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
-            else:
-                tails[k], nodes[k] = j, node
-    out, node = set(), nodes[-1] if nodes else None
-    while node:
-        out.add(node[0])
-        node = node[1]
+    """Positions in ``a`` of a longest common subsequence with ``b``.
+
+    Exact in linear space: the sequences are halved where the best scores of both halves meet,
+    and a row of scores is one long integer, so equal lines cost no more than others.
+    """
+    out: set[int] = set()
+    todo = [(list(enumerate(a)), b)]
+    while todo:
+        x, y = todo.pop()
+        known = set(y)
+        x = [line for line in x if line[1] in known]
+        known = {line for _, line in x}
+        y = [line for line in y if line in known]
+        low = 0
+        while low < min(len(x), len(y)) and x[low][1] == y[low]:
+            low += 1
+        high = 0
+        while high < min(len(x), len(y)) - low and x[-1 - high][1] == y[-1 - high]:
+            high += 1
+        out.update(i for i, _ in x[:low])
+        out.update(i for i, _ in x[len(x) - high:])
+        x, y = x[low:len(x) - high], y[low:len(y) - high]
+        if len(x) == 1:
+            out.update(i for i, line in x if line in y)
+        elif x and y:
+            middle = len(x) // 2
+            head, tail = x[:middle], x[middle:]
+            score = _scores([line for _, line in head], y)
+            score = score + _scores([line for _, line in reversed(tail)], y[::-1])[::-1]
+            cut = int(score.argmax())
+            todo += [(head, y[:cut]), (tail, y[cut:])]
     return out
 
 
-def main_text(lines: list[tuple[str, bool]], nearest: list[tuple[str, bool]] | None) -> str:
-    if any(inside for _, inside in lines):
-        return "\n".join(t for t, inside in lines if inside)
-    shared = common_lines([t for t, _ in lines], [t for t, _ in nearest]) if nearest else set()
-    return "\n".join(t for i, (t, _) in enumerate(lines) if i not in shared)
+def _scores(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each prefix of ``b``."""
+    places: dict[str, list[int]] = {}
+    for j, line in enumerate(b):
+        places.setdefault(line, []).append(j)
+    often = {line: _bits(at, len(b)) for line, at in places.items() if len(at) > OFTEN}
+    whole = row = (1 << len(b)) - 1
+    for line in a:
+        if line in places:
+            hit = row & (often.get(line) or _bits(places[line], len(b)))
+            row = ((row + hit) | (row - hit)) & whole
+    ones = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate([[0], np.cumsum(1 - ones.astype(np.int64))])
+
+
+def _bits(places: list[int], n: int) -> int:
+    if len(places) < 8:
+        return sum(1 << j for j in places)
+    flags = np.zeros(n, np.uint8)
+    flags[places] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def differenced(blocks: list[tuple], nearest: list[tuple] | None) -> tuple[str, int, int]:
+    """The text left of a page, how many blocks went as shared with the nearest page, and how many
+    of the others by the page's own marks."""
+    shared = common_lines([b[0] for b in blocks], [b[0] for b in nearest]) if nearest else set()
+    article, kept, n_shared = any(b[1] for b in blocks), [], 0
+    for i, (text, inside, *named) in enumerate(blocks):
+        if i in shared and not inside:
+            n_shared += 1
+        elif inside or not (article or any(named)):
+            kept.append(text)
+    return "\n".join(kept), n_shared, len(blocks) - len(kept) - n_shared
+
+
+def main_text(blocks: list[tuple], nearest: list[tuple] | None) -> str:
+    return differenced(blocks, nearest)[0]
 
 
 def _beside(rows):
@@ -179,6 +286,7 @@ def _beside(rows):
 
 
 KEY = ("host", "path", "spot")
+RESULTS = ("text", "n_chars", "n_shared", "n_marked")
 
 
 def _ranges(read: DataFrame, n: int) -> tuple[list, list]:
@@ -214,25 +322,26 @@ def _dealt(read: DataFrame, n: int) -> DataFrame:
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """``pages`` less ``html``, with ``text`` and ``n_chars``."""
-    names = [n for n in (pages.columns if keep is None else keep) if n.lower() not in (page, "text", "n_chars")]
+    """``pages`` less ``html``, with ``text``, ``n_chars`` and the counts of :func:`differenced`."""
+    names = [n for n in (pages.columns if keep is None else keep) if n.lower() not in (page, *RESULTS)]
     host, path = (F.coalesce(c, F.lit("")) for c in url_parts(F.col(url)))
     read = pages.select(F.struct(*[F.col(quoted(n)) for n in names]).alias("row"), host.alias("host"), path.alias("path"),
                         F.col(page).alias("html"), F.xxhash64(*[F.col(quoted(n)) for n in names], F.col(page)).alias("spot"))
     dealt = _dealt(read, partitions(pages.sparkSession))
-    schema = T.StructType([pages.schema[n] for n in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    schema = T.StructType([pages.schema[n] for n in names] + [T.StructField("text", T.StringType())] +
+                          [T.StructField(c, T.LongType()) for c in RESULTS[1:]])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         def rows():
             for batch in slices(batches, "html", 8 << 20):
                 for row, host_, path_, page_, own in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "path", "html", "own"))):
-                    yield {"row": row, "host": host_, "path": path_, "own": own, "lines": page_lines(page_ or "")}
+                    yield {"row": row, "host": host_, "path": path_, "own": own, "blocks": page_blocks(page_ or "")}
 
         out: list[dict] = []
         for here, near in _beside(rows()):
-            text = main_text(here["lines"], near and near["lines"])
-            out.append(here["row"] | {"text": text, "n_chars": len(text)})
+            text, shared, marked = differenced(here["blocks"], near and near["blocks"])
+            out.append(here["row"] | {"text": text, "n_chars": len(text), "n_shared": shared, "n_marked": marked})
             if len(out) == 1000:
                 yield pa.RecordBatch.from_pylist(out, arrow)
                 out = []
