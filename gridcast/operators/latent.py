@@ -1,9 +1,8 @@
 """Compression of the row of all cells at a slot into a few units (denoising, tied weights).
 
-All steps are column expressions, training too: an epoch is one gradient over all slots and
-cells, summed by Spark, whatever the number of cells. The result does not depend on how the
-rows are partitioned. Further layers are trained one after the other, each on the units of the
-layer before.
+Encoding, decoding, cost and gradient are column expressions. Training takes its mini-batch
+steps inside barrier stages, over tiles of batches and cells, through all tied layers at once.
+The result does not depend on how the rows are partitioned or cells are split.
 """
 
 from __future__ import annotations
@@ -12,10 +11,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridcast.functions.barrier import dealt, slots, summed
 from gridcast.functions.exprs import sigmoid
-from gridcast.functions.scale_out import lookup_join, rows_for, settle
+from gridcast.functions.scale_out import div, lookup_join, rows_for, settle
+from gridcast.functions.tied import Stack, from_small, mask_bits
 from gridcast.operators.scale import sigmoid_affine
 
 
@@ -130,61 +133,132 @@ class LatentModel:
         return z.select("t", *[F.col("z")[j].alias(f"z{j + 1}") for j in range(k)])
 
 
+CELLS_A_TASK = 16_384               # a sum over tasks takes a second or two, a step on so many cells far less
+TILES_A_JOB = 64 << 20              # bytes of tiles that all epochs of one job stream
+
+
 def latent_fit(df: DataFrame, units: Sequence[int] = (2,), lr: float = 0.008, epochs: int = 40,
                batch: int = 128, batches: int | None = None, init: str = "zeros", seed: int = 0,
                prob: float = 1.0, mask: Column | None = None,
-               start: tuple[DataFrame, Sequence[float]] | None = None) -> LatentModel:
+               start: tuple | None = None, cells_a_task: int = CELLS_A_TASK) -> LatentModel:
     """Train on gapless, scaled series that stand side by side.
 
-    An epoch is one step along the gradient over all slots, as long as the mean step of a batch
-    of ``batch`` slots. ``batches`` keeps only so many batches of slots, as an explicit cut.
-    ``init="zeros"`` keeps all units of a layer equal for good; ``"seeded"`` breaks the tie, by a
-    hash of the cell. ``mask`` is a 0/1 column in place of the hash of seed, epoch, cell and slot;
-    ``start`` gives ``(cell_id, w, c)`` and the units' bias to begin with.
+    An epoch takes a step along the summed gradient of each batch of ``batch`` slots, in order,
+    through all layers of ``units`` at once. ``batches`` keeps only so many batches, as an
+    explicit cut. ``init="zeros"`` keeps all units of a layer equal for good; ``"seeded"`` breaks
+    the tie, by a hash of the cell. ``mask`` is a 0/1 column in place of the hash of seed, epoch,
+    cell and slot; ``start`` gives ``(cell_id, w, c)``, the units' bias and, for further layers, the
+    ``deeper`` and ``decode_deeper`` of a :class:`LatentModel` to begin with.
+
+    Many cells are split over tasks; a row of data is the tile of a batch and a task's cells. The
+    steps of an epoch are taken in one barrier stage, in which tasks sum ``batch x units``
+    numbers twice a step; a job runs as many epochs as keep its stream of tiles small, one if
+    they are large.
     """
+    spark, units = df.sparkSession, list(units)
     rows = settle(df if batches is None else df.filter(F.col("t") < batch * batches))
     names, n = rows.agg(F.count_distinct("cell_id"), F.count("v")).first()
-    slots = rows.select("t").distinct().count()
-    if n != names * slots:
+    steps = rows.groupBy(div("t", batch).alias("b")).agg(F.count_distinct("t").alias("n"))
+    n_batches, slots_, low = steps.agg(F.count("*"), F.sum("n"), F.min("b")).first()
+    if n != names * (slots_ or 0):
         raise ValueError("every slot needs a value of every cell; see clean.prepare(start=...)")
-    k = units[0]
+    weights, small = _initial(rows, units, init, seed, start)
+    model = LatentModel(settle(weights), [])
+    if not n:
+        return _with_small(model, small, units)
+    tasks = max(1, min(slots(spark), names // cells_a_task))
+    tiles = _tiles(rows, batch, tasks, mask)
+    together = max(1, min(epochs, TILES_A_JOB * tasks // (8 * n * (1 if mask is None else 2))))
+    if together > 1:
+        tiles = tiles.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(together - 1))))
+    tiles = tiles.sortWithinPartitions("task", "round", "batch").persist()
+    try:
+        for first in range(0, epochs, together):
+            run = _descent(small, units, lr, prob, first, min(together, epochs - first), n_batches, tasks)
+            own = dealt(model.weights.withColumn("_key", F.xxhash64(F.lit(seed), "cell_id")), _share(tasks), tasks) \
+                .groupBy("task").agg(F.sort_array(F.collect_list(F.struct("cell_id", "w", "c", "_key"))).alias("p"))
+            opening = (F.col("round") == 0) & (F.col("batch") == low)
+            fed = tiles.join(own, "task").select("round", "batch", "t", "x", "bit", *[
+                F.when(opening, F.col(f"p.{c}")).alias(c) for c in ("cell_id", "w", "c", "_key")])
+            told = settle(fed.mapInPandas(run, "cell_id STRING, w ARRAY<DOUBLE>, c DOUBLE, costs ARRAY<DOUBLE>", barrier=True))
+            model.weights = told.filter("costs IS NULL").select("cell_id", "w", "c")
+            shared = told.filter("costs IS NOT NULL").first()
+            small = np.array(shared["w"])
+            model.costs += [(first + i + 1, c) for i, c in enumerate(shared["costs"])]
+    finally:
+        tiles.unpersist()
+    return _with_small(model, small, units)
+
+
+def _initial(rows: DataFrame, units: list[int], init: str, seed: int, start: tuple | None) -> tuple[DataFrame, np.ndarray]:
+    """``(cell_id, w, c)``, and the shared parameters as one array."""
     if start:
-        weights, bias = start[0].select("cell_id", "w", "c"), [float(b) for b in start[1]]
-    else:
-        first = [F.lit(0.0) if init == "zeros" else
-                 (F.pmod(F.xxhash64(F.lit(seed), "cell_id", F.lit(j)), F.lit(2001)) - 1000) / F.lit(4000.0)
-                 for j in range(k)]
-        weights = rows.select("cell_id").distinct().select("cell_id", F.array(*first).alias("w"), F.lit(0.0).alias("c"))
-        bias = [0.0] * k
-    weights, costs = settle(weights), []
-    step = lr * min(batch, slots) / max(slots, 1)
-    for epoch in range(epochs):
-        bit = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "cell_id", "t"), F.lit(2)) if mask is None else mask
-        g = settle(latent_gradient(rows, weights, bias, bit * F.lit(prob) + F.lit(1.0 - prob)))
-        moves = g.filter("param IN ('w', 'c')").groupBy("cell_id").agg(
-            F.sort_array(F.collect_list(F.when(F.col("param") == "w", F.struct("unit", "g")))).alias("p"),
-            F.sum(F.when(F.col("param") == "c", F.col("g"))).alias("gc")) \
-            .select("cell_id", F.col("p.g").alias("gw"), "gc")
-        weights = settle(weights.join(moves, "cell_id").select(
-            "cell_id", F.zip_with("w", "gw", lambda a, b: a - F.lit(step) * b).alias("w"),
-            (F.col("c") - F.lit(step) * F.col("gc")).alias("c")))
-        for r in g.filter("param = 'b'").collect():               # one row per unit
-            bias[r["unit"]] -= step * r["g"]
-        costs.append((epoch + 1, g.filter("param = 'cost'").first()["g"]))
-    model = LatentModel(weights, bias, costs=costs)
-    return _with_further_layers(model, rows, units[1:], lr, epochs, batch, init, seed, prob)
-
-
-def _with_further_layers(model: LatentModel, rows: DataFrame, units: Sequence[int], lr, epochs, batch, init, seed,
-                         prob) -> LatentModel:
-    """The next layer sees each unit of this one as a cell."""
-    if not units:
-        return model
-    z = latent_encode(rows, model.weights.select("cell_id", "w"), model.bias, model.deeper) \
-        .select(F.lpad(F.col("unit").cast("string"), 9, "0").alias("cell_id"), "t", F.col("z").alias("v"))
-    inner = latent_fit(z, units[:1], lr, epochs, batch, None, init, seed, prob)
-    fitted = inner.weights.orderBy("cell_id").collect()           # one row per unit
-    w = np.array([r["w"] for r in fitted])
-    model.deeper.append((w, np.array(inner.bias)))
-    model.decode_deeper.insert(0, (w, np.array([r["c"] for r in fitted])))
-    return _with_further_layers(model, rows, units[1:], lr, epochs, batch, init, seed, prob)
+        inner = [(w, b, start[3][-1 - i][1]) for i, (w, b) in enumerate(start[2])] if len(start) > 2 else []
+        return start[0].select("cell_id", "w", "c"), np.concatenate(
+            [np.asarray(start[1], float), *[np.ravel(np.asarray(p, float)) for layer in inner for p in layer]])
+    first = [F.lit(0.0) if init == "zeros" else
+             (F.pmod(F.xxhash64(F.lit(seed), "cell_id", F.lit(j)), F.lit(2001)) - 1000) / F.lit(4000.0)
+             for j in range(units[0])]
+    rng = np.random.default_rng(seed)
+    draw = np.zeros if init == "zeros" else lambda shape: rng.uniform(-0.25, 0.25, shape)
+    inner = [p.ravel() for n, k in zip(units, units[1:]) for p in (draw((n, k)), np.zeros(k), np.zeros(n))]
+    weights = rows.select("cell_id").distinct().select("cell_id", F.array(*first).alias("w"), F.lit(0.0).alias("c"))
+    return weights, np.concatenate([np.zeros(units[0]), *inner])
+
+
+def _with_small(model: LatentModel, small: np.ndarray, units: list[int]) -> LatentModel:
+    b, inner = from_small(small, units)
+    model.bias = [float(x) for x in b]
+    model.deeper = [(w, e) for w, e, _ in inner]
+    model.decode_deeper = [(w, c) for w, _, c in reversed(inner)]
+    return model
+
+
+def _share(tasks: int) -> Column:
+    return F.pmod(F.xxhash64("cell_id"), F.lit(tasks))
+
+
+def _tiles(rows: DataFrame, batch: int, tasks: int, mask: Column | None) -> DataFrame:
+    """``(task, round, batch, t, x, bit)``: a task's cells by a batch's slots, cell after cell."""
+    bit = F.lit(None).cast("double") if mask is None else mask.cast("double")
+    points = rows.select("cell_id", "t", "v", bit.alias("bit"), div("t", batch).alias("batch"))
+    packed = dealt(points, _share(tasks), tasks).groupBy("task", "batch") \
+        .agg(F.sort_array(F.collect_list(F.struct("cell_id", "t", "v", "bit"))).alias("p"))
+    held = packed.select("task", F.lit(0).alias("round"), "batch", F.array_distinct("p.t").alias("t"), F.col("p.v").alias("x"),
+                         F.lit(None).cast("array<double>").alias("bit") if mask is None else F.col("p.bit").alias("bit"))
+    return settle(held).repartition(tasks, "task")
+
+
+def _descent(small: np.ndarray, units: list[int], lr: float, prob: float, first: int, epochs: int, n_batches: int, tasks: int):
+    """The epochs of one job, over tiles in order."""
+    def run(frames):
+        context = BarrierTaskContext.get()
+        turns = (row for pdf in frames for row in pdf.itertuples(index=False))
+        b, inner = from_small(small, units)
+        net, cells, costs, spot = None, None, [], (-1, -1)
+        for epoch in range(epochs):
+            cost = 0.0
+            for _ in range(n_batches):
+                tile = next(turns, None)
+                if tile is not None and (tile.round, tile.batch) < spot:
+                    raise RuntimeError("tiles out of order")
+                spot = (tile.round, tile.batch) if tile is not None else spot
+                if tile is None:                               # no cell fell to this task
+                    summed(context, None, tasks)
+                    summed(context, None, tasks)
+                    continue
+                if net is None:
+                    cells, keys = list(tile.cell_id), np.asarray(tile[-1], np.int64)
+                    net = Stack(np.stack(tile.w), np.asarray(tile.c), b, inner)
+                t = np.asarray(tile.t, np.int64)
+                x = np.asarray(tile.x).reshape(len(cells), len(t)).T
+                bit = mask_bits(keys, t, first + epoch) if tile.bit is None else np.asarray(tile.bit).reshape(x.T.shape).T
+                cost += net.step(x, x * bit * prob + x * (1.0 - prob), lr, lambda part: summed(context, part, tasks))
+            costs.append(cost)
+        if net is not None:
+            yield pd.DataFrame({"cell_id": cells, "w": list(net.w), "c": net.c, "costs": [None] * len(cells)})
+        told = [int(x) for x in context.allGather(str(context.partitionId()) if net is not None else "") if x]
+        if context.partitionId() == min(told):
+            yield pd.DataFrame({"cell_id": [None], "w": [net.small()], "c": [0.0], "costs": [costs]})
+
+    return run

@@ -1,10 +1,15 @@
 """The recurrent day-ahead forecaster over windows.
 
 Training keeps windows rolled up: a slab holds the ``group + 2 * steps`` feature rows that all
-windows of one (batch, lane group) are cut from, so rows are not repeated per window. A step is
-one Spark job over a batch: every lane group gives its gradient, they are summed, and Adam moves
-the 891 weights. The result is that of sequential training, whatever the number of lane groups.
-State carried between batches is data; no gradient flows through.
+windows of one (batch, lane group) are cut from, so rows are not repeated per window. Slabs are
+dealt once, each batch to partitions of its own, and held. A step is one short Spark job over
+the partitions of its batch alone: every lane group gives its gradient, they are summed, and
+Adam moves the 891 weights. The result is that of sequential training, whatever the number of
+lane groups. State carried between batches is data; no gradient flows through. A lost partition
+is dealt again from the settled slabs.
+
+Steps follow one another, so what counts is their latency: a barrier stage with an ``allGather``
+per step was slower (at least one second each, as the call waits in whole seconds).
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from gridcast.config import Granularity
@@ -83,10 +89,10 @@ def sequence_fit(features: DataFrame, cfg: Granularity, epochs: int | None = Non
                  names: Sequence[str] = FEATURES) -> SequenceModel:
     """Train on all windows of gapless ``(t, y, z1, z2)``, or on the first ``batches`` batches.
 
-    ``group`` lanes share a task (default: as many as give each core one).
+    ``group`` lanes share a slab (default: as many as give each core one).
     """
-    steps, lanes = cfg.day, cfg.lanes
-    cores = features.sparkSession.sparkContext.defaultParallelism
+    steps, lanes, spark = cfg.day, cfg.lanes, features.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     group = group or next(g for g in range(max(1, -(-lanes // cores)), lanes + 1) if lanes % g == 0)
     windows = (features.agg(F.max("t")).first()[0] or 0) + 1 - 2 * steps
     if windows < 1:
@@ -94,33 +100,37 @@ def sequence_fit(features: DataFrame, cfg: Granularity, epochs: int | None = Non
     windows = windows if batches is None else min(windows, batches * lanes)
     shape = Shape(len(names), cfg.cell_size)
     w, m, v = initial(shape, *cfg.init, cfg.bias, seed), np.zeros(shape.size), np.zeros(shape.size)
+    n_batches, shares, costs, taken = -(-windows // lanes), min(lanes // group, cores), [], 0
     packed = settle(slabs(features, steps, lanes, group, windows, names))
-    n_batches, costs, taken = -(-windows // lanes), [], 0
-    for epoch in range(cfg.epochs if epochs is None else epochs):
-        state = {g: np.zeros((2, group, shape.cell)) for g in range(lanes // group)}
-        total = 0.0
-        for k in range(n_batches):
-            parts = _gradients(packed.filter(F.col("batch") == k), w, state, shape, steps, lanes)
-            taken += 1
-            adam(w, np.sum([p["g"] for p in parts], axis=0), m, v, taken, cfg.lr)
-            total += sum(p["cost"] for p in parts)
-            state |= {p["grp"]: np.reshape(p["state"], (2, -1, shape.cell)) for p in parts}
-        costs.append((epoch + 1, total / n_batches))
+    held = packed.rdd.map(lambda r: (r["batch"] * shares + r["grp"] % shares, (r["grp"], r["n"], np.array(r["rows"])))) \
+        .partitionBy(n_batches * shares, int).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for epoch in range(cfg.epochs if epochs is None else epochs):
+            state = {g: np.zeros((2, group, shape.cell)) for g in range(lanes // group)}
+            total = 0.0
+            for k in range(n_batches):
+                work = _gradients(w, state, shape, steps, lanes)
+                # Only the partitions of this batch run.
+                parts = sorted(spark.sparkContext.runJob(held, work, range(k * shares, (k + 1) * shares)), key=lambda p: p[0])
+                taken += 1
+                adam(w, np.sum([g for _, _, g, _ in parts], axis=0), m, v, taken, cfg.lr)
+                total += sum(cost for _, cost, _, _ in parts)
+                state |= {grp: after for grp, _, _, after in parts}
+            costs.append((epoch + 1, total / n_batches))
+    finally:
+        held.unpersist()
     return SequenceModel(w, shape, costs)
 
 
-def _gradients(packed: DataFrame, w: np.ndarray, state: dict, shape: Shape, steps: int, lanes: int) -> list[dict]:
-    """Per lane group of a batch: gradient, cost and the lanes' new state."""
-    def run(batches):
+def _gradients(w: np.ndarray, state: dict, shape: Shape, steps: int, lanes: int):
+    """Per lane group of a batch: its number, cost, gradient and the lanes' new state."""
+    def run(slabs_):
         p = shape.split(w)
-        for pdf in batches:
-            for grp, n, rows in zip(pdf["grp"], pdf["n"], pdf["rows"]):
-                cut = np.lib.stride_tricks.sliding_window_view(np.stack(rows), 2 * steps, axis=0)[:n].transpose(0, 2, 1)
-                c, h = state[grp][:, :n]
-                cost, g, c, h = gradient(p, cut[:, :steps], cut[:, steps:, :1], c, h)
-                share = n / lanes                      # a group's mean over its lanes, as part of the batch's
-                yield pd.DataFrame({"grp": [grp], "cost": [cost * share], "g": [shape.join(g) * share],
-                                    "state": [np.stack([c, h]).ravel()]})
-
-    parts = spread(packed, "grp").mapInPandas(run, "grp BIGINT, cost DOUBLE, g ARRAY<DOUBLE>, state ARRAY<DOUBLE>").toPandas()
-    return parts.sort_values("grp").to_dict("records")   # one row per lane group, however long the series
+        for _, (grp, n, rows) in slabs_:
+            cut = np.lib.stride_tricks.sliding_window_view(rows, 2 * steps, axis=0)[:n].transpose(0, 2, 1)
+            c, h = state[grp][:, :n]
+            cost, g, c, h = gradient(p, cut[:, :steps], cut[:, steps:, :1], c, h)
+            share = n / lanes                          # a group's mean over its lanes, as part of the batch's
+            yield grp, cost * share, shape.join(g) * share, np.stack([c, h])
+
+    return run

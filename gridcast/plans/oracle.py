@@ -151,16 +151,17 @@ GRADIENT = f"""{TRAFFIC},
 
 
 
-def epoch(i: int) -> str:
-    """One step of training: weights w{i} (per cell) and b{i} become those of i + 1."""
+def epoch(i: int, slots: str = "true", rate: str = "") -> str:
+    """One step of training on some slots: weights w{i} (per cell) and b{i} become those of i + 1."""
+    rate = rate or f"{q.CFG.latent_lr} * least({q.CFG.latent_batch}, count(DISTINCT t)) / count(DISTINCT t)"
     z = [f"1.0 / (1.0 + exp(-(sum(v * bit * w{j}) + any_value(b{j}))))" for j in range(2)]
-    return f"""x{i} AS (SELECT cell_id, t, v, {BIT} AS bit, w0, w1, c, b0, b1 FROM ser JOIN w{i} USING (cell_id), b{i}),
+    return f"""x{i} AS (SELECT cell_id, t, v, {BIT} AS bit, w0, w1, c, b0, b1 FROM ser JOIN w{i} USING (cell_id), b{i} WHERE {slots}),
         h{i} AS (SELECT t, {z[0]} AS z0, {z[1]} AS z1 FROM x{i} GROUP BY t),
         y{i} AS (SELECT *, {sig("z0 * w0 + z1 * w1 + c")} AS y FROM x{i} JOIN h{i} USING (t)),
         d{i} AS (SELECT *, 2 * (y - v) * y * (1 - y) AS dy FROM y{i}),
         k{i} AS (SELECT t, sum(dy * w0) * max(z0) * (1 - max(z0)) AS d0, sum(dy * w1) * max(z1) * (1 - max(z1)) AS d1,
             sum((y - v) ** 2) AS cost FROM d{i} GROUP BY t),
-        s{i} AS (SELECT {q.CFG.latent_lr} * least({q.CFG.latent_batch}, count(DISTINCT t)) / count(DISTINCT t) AS lr FROM ser),
+        s{i} AS (SELECT {rate} AS lr FROM ser),
         w{i + 1} AS (SELECT cell_id, any_value(w0) - any_value(lr) * sum(v * bit * d0 + dy * z0) AS w0,
             any_value(w1) - any_value(lr) * sum(v * bit * d1 + dy * z1) AS w1,
             any_value(c) - any_value(lr) * sum(dy) AS c FROM d{i} JOIN k{i} USING (t), s{i} GROUP BY cell_id),
@@ -168,6 +169,33 @@ def epoch(i: int) -> str:
             FROM k{i}, b{i}, s{i})"""
 
 
+def _stack() -> str:
+    """One step of a stack of 3 and 2 units on the first batch of slots."""
+    js, ks, lr = range(3), range(2), q.CFG.latent_lr
+    bias, v = (*q.BIAS, 0.05), [[q.encoder_weight(j + 1, k) for k in range(2)] for j in range(3)]
+    plus = " + ".join
+    z = ", ".join(f"{sig(f'sum(v * bit * w{j}) + ({bias[j]})')} AS z{j}" for j in js)
+    inner = ", ".join(sig(plus(f"z{j} * ({v[j][k]})" for j in js) + f" + ({q.STACK_BIAS[k]})") + f" AS q{k}" for k in ks)
+    back = ", ".join(sig(plus(f"q{k} * ({v[j][k]})" for k in ks) + f" + ({q.STACK_BACK[j]})") + f" AS u{j}" for j in js)
+    y = sig(plus(f"u{j} * w{j}" for j in js) + " + c")
+    du = ", ".join(f"sum(dy * w{j}) * max(u{j}) * (1 - max(u{j})) AS du{j}" for j in js)
+    dq = ", ".join(f"({plus(f'du{j} * ({v[j][k]})' for j in js)}) * q{k} * (1 - q{k}) AS dq{k}" for k in ks)
+    dz = ", ".join(f"({plus(f'dq{k} * ({v[j][k]})' for k in ks)}) * z{j} * (1 - z{j}) AS dz{j}" for j in js)
+    own = ", ".join([r(f"any_value(w{j}) - {lr} * sum(v * bit * dz{j} + dy * u{j})", f"w{j}") for j in js] + [r(f"any_value(c) - {lr} * sum(dy)", "c")])
+    told = [r(f"{bias[j]} - {lr} * sum(dz{j})", f"b{j}") for j in js] + [r(f"{q.STACK_BIAS[k]} - {lr} * sum(dq{k})", f"e{k}") for k in ks]
+    told += [r(f"{q.STACK_BACK[j]} - {lr} * sum(du{j})", f"f{j}") for j in js] + [r("sum(cost)", "cost")]
+    told += [r(f"{v[j][k]} - {lr} * sum(z{j} * dq{k} + du{j} * q{k})", f"v{j}{k}") for j in js for k in ks]
+    return f"""{TRAFFIC}, x AS (SELECT cell_id, t, v, {BIT} AS bit, {", ".join(f"{w(j)} AS w{j}" for j in js)}, {CELL_BIAS} AS c
+            FROM ser WHERE t < {q.CFG.latent_batch}),
+        h AS (SELECT t, {z} FROM x GROUP BY t), g AS (SELECT *, {inner} FROM h), u AS (SELECT *, {back} FROM g),
+        y AS (SELECT *, {y} AS y FROM x JOIN u USING (t)), d AS (SELECT *, 2 * (y - v) * y * (1 - y) AS dy FROM y),
+        k AS (SELECT t, {du}, sum((y - v) ** 2) AS cost FROM d GROUP BY t),
+        m AS (SELECT *, {dq} FROM u JOIN k USING (t)), n AS (SELECT *, {dz} FROM m),
+        cells AS (SELECT cell_id, {own} FROM d JOIN (SELECT t, {", ".join(f"dz{j}" for j in js)} FROM n) USING (t) GROUP BY cell_id),
+        shared AS (SELECT {", ".join(told)} FROM n)
+        SELECT * FROM cells, shared"""
+
+
 LON, LAT = "118.70 + 0.0123457 * n_nationkey", "32.01 + 0.0034569 * n_nationkey"
 
 
@@ -313,6 +341,14 @@ SQL = {
         b0 AS (SELECT {q.BIAS[0]} AS b0, {q.BIAS[1]} AS b1), {epoch(0)}, {epoch(1)}
         SELECT cell_id, {r("w2.w0", "w0")}, {r("w2.w1", "w1")}, {r("c", "c")}, {r("b2.b0", "b0")}, {r("b2.b1", "b1")},
             {r("(SELECT sum(cost) FROM k1)", "cost")} FROM w2, b2""",
+    "latent_fit_two_batches": f"""{TRAFFIC},
+        w0 AS (SELECT cell_id, {w(0)} AS w0, {w(1)} AS w1, {CELL_BIAS} AS c FROM (SELECT DISTINCT cell_id FROM ser)),
+        b0 AS (SELECT {q.BIAS[0]} AS b0, {q.BIAS[1]} AS b1),
+        {epoch(0, f"t < {q.CFG.latent_batch}", f"any_value({q.CFG.latent_lr})")},
+        {epoch(1, f"t // {q.CFG.latent_batch} = 1", f"any_value({q.CFG.latent_lr})")}
+        SELECT cell_id, {r("w2.w0", "w0")}, {r("w2.w1", "w1")}, {r("c", "c")}, {r("b2.b0", "b0")}, {r("b2.b1", "b1")},
+            {r("(SELECT sum(cost) FROM k0) + (SELECT sum(cost) FROM k1)", "cost")} FROM w2, b2""",
+    "latent_stack_step": _stack(),
     "sequence_cost": f"""{WINDOWS} SELECT {r(
         "sum((y - target) ** 2) / count(DISTINCT window_id)", "cost")} FROM win""",
     "mse": f"{FORECAST} SELECT cell_id, {r('avg((y - yhat) ** 2)', 'mse')} FROM pred GROUP BY 1",

@@ -23,6 +23,7 @@ TARGET = "signup"
 TRAIN_WEEKS = 280
 MU, PHI, THETA = 0.4123457, (0.5123457, -0.2234567), (0.3141593,)
 BIAS = (0.1, -0.2)
+STACK_BIAS, STACK_BACK = (-0.1, 0.15), (0.2, -0.05, 0.1)
 
 
 def encoder_weight(ord_: int, unit: int) -> float:
@@ -357,13 +358,42 @@ def latent_fit(spark, sf_dir):
     return _rounded(model.encode(ser), "z1", "z2")
 
 
-def latent_fit_two_epochs(spark, sf_dir):
-    """From fixed weights and with the fixed mask, so that SQL can follow."""
-    start = _weights(spark, sf_dir), BIAS
-    model = latent.latent_fit(_traffic(spark, sf_dir), (2,), CFG.latent_lr, 2, CFG.latent_batch, mask=_bit(spark, sf_dir), start=start)
+def _fitted(model):
     return model.weights.select("cell_id", _r(F.col("w")[0]).alias("w0"), _r(F.col("w")[1]).alias("w1"), _r("c").alias("c"),
                                 _r(F.lit(model.bias[0])).alias("b0"), _r(F.lit(model.bias[1])).alias("b1"),
-                                _r(F.lit(model.costs[1][1])).alias("cost"))
+                                _r(F.lit(model.costs[-1][1])).alias("cost"))
+
+
+def latent_fit_two_epochs(spark, sf_dir):
+    """Two steps along the whole gradient, from fixed weights and with the fixed mask, so that SQL
+    can follow."""
+    start, ser = (_weights(spark, sf_dir), BIAS), settle(_traffic(spark, sf_dir))
+    last, slots = ser.agg(F.max("t"), F.count_distinct("t")).first()
+    lr = CFG.latent_lr * min(CFG.latent_batch, slots) / slots
+    return _fitted(latent.latent_fit(ser, (2,), lr, 2, last + 1, mask=_bit(spark, sf_dir), start=start))
+
+
+def latent_fit_two_batches(spark, sf_dir):
+    """The first two of the configured steps, likewise."""
+    start = _weights(spark, sf_dir), BIAS
+    return _fitted(latent.latent_fit(_traffic(spark, sf_dir), (2,), CFG.latent_lr, 1, CFG.latent_batch, 2,
+                                     mask=_bit(spark, sf_dir), start=start, cells_a_task=2))
+
+
+def latent_stack_step(spark, sf_dir):
+    """One step of a stack of two tied layers, from fixed weights."""
+    weights = spark.createDataFrame(
+        [(c, [encoder_weight(i, j) for j in range(3)], decoder_bias(i)) for i, c in enumerate(_types(spark, sf_dir))],
+        "cell_id STRING, w ARRAY<DOUBLE>, c DOUBLE")
+    inner = [[encoder_weight(j + 1, k) for k in range(2)] for j in range(3)]
+    start = weights, (*BIAS, 0.05), [(inner, STACK_BIAS)], [(inner, STACK_BACK)]
+    model = latent.latent_fit(_traffic(spark, sf_dir), (3, 2), CFG.latent_lr, 1, CFG.latent_batch, 1,
+                              mask=_bit(spark, sf_dir), start=start, cells_a_task=2)
+    (w, e), (_, f) = model.deeper[0], model.decode_deeper[0]
+    told = {f"b{j}": b for j, b in enumerate(model.bias)} | {f"e{k}": e[k] for k in range(2)} | {f"f{j}": f[j] for j in range(3)} \
+        | {f"v{j}{k}": w[j][k] for j in range(3) for k in range(2)} | {"cost": model.costs[0][1]}
+    return model.weights.select("cell_id", *[_r(F.col("w")[j]).alias(f"w{j}") for j in range(3)], _r("c").alias("c"),
+                                *[_r(F.lit(float(x))).alias(n) for n, x in told.items()])
 
 
 # --- sequence forecaster -----------------------------------------------------------------
@@ -432,5 +462,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     window_batches, eval_windows, lane_chains, ar_fit, arma_css, arma_bic,
     arma_predict_in_sample, arma_forecast, arma_fit, arma_fit_ar1, arma_order_search,
     arma_order_search_ar, corrupt_mask, latent_encode, latent_decode, reconstruction_cost,
-    latent_gradient, latent_fit, latent_fit_two_epochs, sequence_forecast, sequence_fit, sequence_cost, mse, mae,
+    latent_gradient, latent_fit, latent_fit_two_epochs, latent_fit_two_batches, latent_stack_step,
+    sequence_forecast, sequence_fit, sequence_cost, mse, mae,
     actual_vs_forecast, arma_day_forecast, compressed_day_forecast)}

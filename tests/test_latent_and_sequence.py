@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridcast.config import GRANULARITIES
-from gridcast.functions import recurrent
+from gridcast.functions import recurrent, tied
 from gridcast.operators import latent, sequence, windows
 from gridcast.plans import forecasts
 from tests.test_sources_and_cleaning import LONG, long, values
@@ -89,22 +89,24 @@ def test_gradient_at_zero_weights_in_closed_form(spark, df, matrix):
 
 
 def plain_descent(x, w, lr, epochs, batch):
-    """Full-batch descent from given weights."""
+    """Mini-batch descent from given weights, batch after batch."""
     b, c, costs = np.zeros(w.shape[1]), np.zeros(len(w)), []
-    step = lr * min(batch, len(x)) / len(x)
     for _ in range(epochs):
-        cost, gw, gb, gc = plain_gradient(x, w, b, c)
-        costs.append(cost)
-        w, b, c = w - step * gw, b - step * gb, c - step * gc
+        costs.append(0.0)
+        for at in range(0, len(x), batch):
+            cost, gw, gb, gc = plain_gradient(x[at:at + batch], w, b, c)
+            costs[-1] += cost
+            w, b, c = w - lr * gw, b - lr * gb, c - lr * gc
     return w, b, c, costs
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_training_is_plain_descent(spark, df, matrix, parts):
+@pytest.mark.parametrize("parts,cells_a_task,tiles", [(1, 64, 1 << 20), (7, 1, 1 << 20), (3, 4, 1)])
+def test_training_is_plain_descent(spark, df, matrix, monkeypatch, parts, cells_a_task, tiles):
+    monkeypatch.setattr(latent, "TILES_A_JOB", tiles)             # all epochs in one job, or each in its own
     w0 = np.random.default_rng(5).normal(0.0, 0.5, (4, 2))
     start = spark.createDataFrame([(k, w0[i].tolist(), 0.0) for i, k in enumerate(CELLS)], "cell_id STRING, w ARRAY<DOUBLE>, c DOUBLE")
-    model = latent.latent_fit(df.repartition(parts), (2,), 0.05, 4, 16, mask=F.lit(1), start=(start, [0.0, 0.0]))
-    w, b, c, costs = plain_descent(matrix, w0, 0.05, 4, 16)
+    model = latent.latent_fit(df.repartition(parts), (2,), 0.05, 2, 40, mask=F.lit(1), start=(start, [0.0, 0.0]), cells_a_task=cells_a_task)
+    w, b, c, costs = plain_descent(matrix, w0, 0.05, 2, 40)
     np.testing.assert_allclose([v for _, v in model.costs], costs, rtol=1e-9)
     rows = model.weights.orderBy("cell_id").collect()
     np.testing.assert_allclose([r.w for r in rows], w, atol=1e-9)
@@ -114,6 +116,34 @@ def test_training_is_plain_descent(spark, df, matrix, parts):
     np.testing.assert_allclose([(r.z1, r.z2) for r in z], 1 / (1 + np.exp(-(matrix @ w + b))), atol=1e-9)
 
 
+def test_stack_gradient_by_differences():
+    rng = np.random.default_rng(8)
+    x, shown = rng.random((7, 5)), rng.random((7, 5))
+    make = lambda p: tied.Stack(p[:20].reshape(5, 4), p[20:25], *tied.from_small(p[25:], [4, 2]))
+    at = rng.normal(size=25 + 4 + 8 + 2 + 4)
+    cost = lambda p: make(p).step(x, shown, 0.0, lambda part: part)
+    net = make(at.copy())
+    net.step(x, shown, 1.0, lambda part: part)
+    moved = at - np.concatenate([net.w.ravel(), net.c, net.small()])
+    for k in range(len(at)):
+        step = np.eye(len(at))[k] * 1e-6
+        assert math.isclose(moved[k], (cost(at + step) - cost(at - step)) / 2e-6, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_random_masks_do_not_depend_on_the_split(df):
+    one, four = (latent.latent_fit(df, (3, 2), 0.05, 2, 48, init="seeded", seed=4, cells_a_task=n) for n in (64, 1))
+    for a, b in zip(one.weights.orderBy("cell_id").collect(), four.weights.orderBy("cell_id").collect()):
+        np.testing.assert_allclose(a.w, b.w, atol=1e-9)
+    np.testing.assert_allclose([c for _, c in one.costs], [c for _, c in four.costs], rtol=1e-9)
+    np.testing.assert_allclose(one.deeper[0][0], four.deeper[0][0], atol=1e-9)
+
+
+def test_mask_bits_are_fair_and_change_with_epoch():
+    keys = np.random.default_rng(0).integers(-2 ** 62, 2 ** 62, 50)
+    a, b = (tied.mask_bits(keys, np.arange(400), e) for e in (0, 1))
+    assert set(np.unique(a)) == {0.0, 1.0} and abs(a.mean() - 0.5) < 0.02 and abs((a == b).mean() - 0.5) < 0.02
+
+
 def test_zero_start_keeps_units_equal(df):
     model = latent.latent_fit(df, (2,), 0.05, 2, 16, 6)
     assert all(r.w[0] == r.w[1] for r in model.weights.collect())
