@@ -82,3 +82,16 @@ def map_texts(df: DataFrame, fn, fields: T.StructType, keep: list[str] | None =
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+BOX = "_gc_row"
+
+
+def box(docs: DataFrame, names: list[str]) -> Column:
+    """``names`` in one struct with fields of plain names, so that no column of the user's meets one
+    of an operator's."""
+    return F.struct(*[F.col(quoted(n)).alias(f"c{i}") for i, n in enumerate(names)], F.lit(0).alias("c")).alias(BOX)
+
+
+def unbox(names: list[str]) -> list[Column]:
+    return [F.col(BOX).getField(f"c{i}").alias(n) for i, n in enumerate(names)]

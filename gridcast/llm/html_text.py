@@ -2,8 +2,8 @@
 
 A page becomes text lines, one per block. Within a host, pages sorted by path stand beside their
 neighbours; of the one before and the one after, that with the longer common path is the
-nearest. The two pages' lines are aligned by longest common subsequence, and shared lines are
-deleted as template. Lines inside an article are protected from that (articles quote and repeat
+nearest. The two pages' lines are aligned by longest common subsequence, and shared lines (equal
+in text and in whether a boilerplate element holds them) are deleted as template. Lines inside an article are protected from that (articles quote and repeat
 each other). Of the lines that differencing leaves, those outside a marked article go, and those
 of menus, headers, footers, side bars, forms, adverts, notices and reader comments, known by
 their elements or class names: they may be a page's own, and a page alone on its host has no
@@ -261,7 +261,7 @@ def _bits(places: list[int], n: int) -> int:
 def differenced(blocks: list[tuple], nearest: list[tuple] | None) -> tuple[str, int, int]:
     """The text left of a page, how many blocks went as shared with the nearest page, and how many
     of the others by the page's own marks."""
-    shared = common_lines([b[0] for b in blocks], [b[0] for b in nearest]) if nearest else set()
+    shared = common_lines(*([(b[0], any(b[2:])) for b in page] for page in (blocks, nearest))) if nearest else set()
     article, kept, n_shared = any(b[1] for b in blocks), [], 0
     for i, (text, inside, *named) in enumerate(blocks):
         if i in shared and not inside:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridcast.functions.scale_out import lookup_join, settle
-from gridcast.llm.common import map_texts, partitions, slices, utf8
+from gridcast.llm.common import BOX, box, map_texts, partitions, slices, unbox, utf8
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SEGMENT_BITS = 8                      # so many leading bits of a hash name its segment
@@ -168,12 +168,12 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     suspected = settle(suspected_lines(docs, text, min_chars, max_bits))
     lost = lookup_join(suspected, repeated_lines(suspected, min_docs), "line", salt_by="doc_id").filter("doc_id <> keeper") \
         .groupBy("doc_id").agg(F.collect_set("line").alias("_gridcast_lost"))
-    names = docs.columns if keep is None else keep
-    read = docs.select(*dict.fromkeys([*names, "doc_id", text])).join(lost, "doc_id", "left")
+    names = [n for n in (docs.columns if keep is None else keep) if n.lower() not in ("n_lines", "n_dropped", text.lower())]
+    read = docs.select("doc_id", F.col(text).alias("_gc_text"), box(docs, names)).join(lost, "doc_id", "left").drop("doc_id")
 
     def rewrite(batch):
         out = []
-        for t, lost_ in zip(utf8(batch, text), batch.column("_gridcast_lost").to_pylist()):
+        for t, lost_ in zip(utf8(batch, "_gc_text"), batch.column("_gridcast_lost").to_pylist()):
             lines = t.split(b"\n")
             kept = lines
             if lost_:
@@ -182,6 +182,6 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
             out.append((len(lines), len(lines) - len(kept), b"\n".join(kept).decode()))
         return list(zip(*out))
 
-    fields = T.StructType([*FIELDS.fields[:2], T.StructField(text, T.StringType())])
-    done = map_texts(read, rewrite, fields, names, text=text, uses=("_gridcast_lost",))
-    return done.select(*[n for n in names if n not in ("n_lines", "n_dropped", text)], text, "n_lines", "n_dropped")
+    fields = T.StructType([*FIELDS.fields[:2], T.StructField("kept", T.StringType())])
+    done = map_texts(read, rewrite, fields, [BOX], text="_gc_text", uses=("_gridcast_lost",))
+    return done.select(*unbox(names), F.col("kept").alias(text), "n_lines", "n_dropped")

@@ -9,8 +9,11 @@ into slices by the leading digits of the hash, slices are summed first, and only
 rows are sorted. The cut is found in the same way: sums of finish-time ranges, then of the
 ranges within the one where the budget ends, and only the last small range is sorted.
 
-A NULL text has size zero, NULL is a source like any other (the last). Repeated rows are
-documents of their own; rows alike in all columns are interchangeable.
+Defined results: a NULL or empty text has size zero, a very long one counts whole; NULL is a
+source like any other (the last). Repeated rows are documents of their own; rows alike in all
+columns are interchangeable, and documents of one hash are ordered by size. An empty table gives
+no rows. The user's columns travel in one struct, so any names are fine; one named like a result
+gives way to it, in any case of letters.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridcast.functions.scale_out import settle
-from gridcast.llm.common import WORD
+from gridcast.llm.common import WORD, box, unbox
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
+RESULTS = ("size", "source_size", "target", "taken")
 DIGITS = 3                            # hash digits of a slice: 4,096 slices of a source
 RANGES = (1 << 10, 1 << 16)           # finish-time ranges in 1, then in one of these
 
@@ -113,11 +117,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken``, the words that the mix
     takes of each (a document is taken 0 to ``repeats`` times)."""
-    names = [n for n in (docs.columns if keep is None else keep) if n not in ("size", "source_size", "target", "taken")]
-    rows = measure(docs, text).select(*dict.fromkeys([*names, "doc_id", "source", "size"]))
+    names = [n for n in (docs.columns if keep is None else keep) if n.lower() not in RESULTS]
+    boxed = [n for n in names if n not in ("doc_id", "source")]
+    rows = measure(docs.select("doc_id", "source", text, box(docs, boxed)), text).drop(text)
     sizes = settle(rows.select("doc_id", "source", "size"))
-    if set(rows.columns) == set(sizes.columns):
-        rows = sizes
+    rows = rows if boxed else sizes
     plan = settle(targets(sizes, weights, share, repeats))
     timed = settle(finish_times(rows, sizes, plan))
     budget = plan.agg(F.sum("target")).first()[0] or 0.0
@@ -127,4 +131,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         timed = timed.withColumn("_gc_at", _order(str(copy)))
         once = F.col("size") if within is None else F.when(within, F.col("size")).otherwise(0)
         timed = timed.withColumn("taken", F.col("taken") + once)
-    return timed.drop("_gc_at", "_gc_spot", "_gc_upto")
+    own = dict(zip(boxed, unbox(boxed)))
+    return timed.select(*[own.get(n, F.col(n) if n in ("doc_id", "source") else None) for n in names], *RESULTS)

@@ -58,7 +58,8 @@ h1 AS (SELECT host, n, k, a / (a + b) AS m FROM hosts JOIN d USING (domain)),
 w3 AS (SELECT {"{w}"} AS w FROM h1),
 h AS (SELECT host, k + m * w AS a, n - k + (1 - m) * w AS b FROM h1, w3)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN coalesce({"{h}"}, {"{d}"}, {"{s}"}, 0) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+    WHEN coalesce({"{h}"}, {"{d}"}, {"{s}"}, 0) > 1.5 * (SELECT m FROM all_) THEN 'block' ELSE 'allow' END AS verdict,
+    round(coalesce({"{h}"}, {"{d}"}, {"{s}"}, 0), 6) AS bad_share
 FROM ruled LEFT JOIN h USING (host)
     LEFT JOIN d ON d.domain = array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')
     LEFT JOIN s ON s.suffix = split_part(host, '.', -1)"""

@@ -22,7 +22,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     outcomes = url_filter.page_outcomes(pages, table(spark, sf_dir, "labels"))
-    return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict",
+                                                              F.round("bad_share", 6).alias("bad_share"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

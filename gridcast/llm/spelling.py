@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridcast.functions.scale_out import lookup_join, settle
+from gridcast.functions.scale_out import lookup_join, settle, spread
 from gridcast.llm.common import slices
 
 MIN_CHARS, MIN_COUNT, TYPO = 5, 3, 97
@@ -118,7 +118,7 @@ def _signed(words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs), pa.int64()), part.column("word").take(at),
                                                   part.column("n").take(at)], ["sig", "word", "n"])
 
-    return words.select("word", "n").mapInArrow(run, "sig bigint, word string, n bigint")
+    return spread(words.select("word", "n"), "word").mapInArrow(run, "sig bigint, word string, n bigint")
 
 
 def near_words(words: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridcast.functions.scale_out import fits_broadcast, settle
-from gridcast.llm.common import joined, map_texts, partitions, utf8
+from gridcast.llm.common import BOX, box, joined, map_texts, partitions, unbox, utf8
 from gridcast.llm.fm_index import FMIndex
 
 WINDOW, ANCHOR = 35, 8
@@ -175,15 +175,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``text`` less the words of repeated windows (single spaces between words),
     and ``n_words`` (before), ``n_removed``."""
-    names = docs.columns if keep is None else keep
+    names = [n for n in (docs.columns if keep is None else keep) if n.lower() not in ("n_words", "n_removed", text.lower())]
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = docs.withColumn(KEY[0], F.xxhash64(id_)).withColumn(KEY[1], F.xxhash64(F.coalesce(text, F.lit(""))))
-    spans = repeated_spans(keyed.select(*KEY, F.col(text).alias("_gc_text")), window)
-    read = keyed.select(*dict.fromkeys([*names, text, *KEY])).join(spans, KEY, "left").drop(*KEY)
+    keyed = docs.select(F.col(text).alias("_gc_text"), box(docs, names), F.xxhash64(id_).alias(KEY[0]),
+                        F.xxhash64(F.coalesce(text, F.lit(""))).alias(KEY[1]))
+    read = keyed.join(repeated_spans(keyed.select(*KEY, "_gc_text"), window), KEY, "left").drop(*KEY)
 
     def rewrite(batch):
         out = []
-        for t, found in zip(utf8(batch, text), batch.column("_gc_spans").to_pylist()):
+        for t, found in zip(utf8(batch, "_gc_text"), batch.column("_gc_spans").to_pylist()):
             words = t.split()
             n = len(words)
             if found:
@@ -196,6 +196,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", ke
         return list(zip(*out))
 
     fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
-                           T.StructField(text, T.StringType())])
-    done = map_texts(read, rewrite, fields, names, SLICE_BYTES, text, ("_gc_spans",))
-    return done.select(*[n for n in names if n not in ("n_words", "n_removed", text)], text, "n_words", "n_removed")
+                           T.StructField("kept", T.StringType())])
+    done = map_texts(read, rewrite, fields, [BOX], SLICE_BYTES, "_gc_text", ("_gc_spans",))
+    return done.select(*unbox(names), F.col("kept").alias(text), "n_words", "n_removed")

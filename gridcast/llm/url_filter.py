@@ -4,11 +4,15 @@ Labelled pages give each host a count of outcomes and of bad ones. Beta-binomial
 them from the top down: a suffix (last label) towards all pages, a registered domain (last two
 labels) towards its suffix, a host towards its domain. The strength of each prior is estimated
 by moments from how far the children spread beyond binomial noise. A host is blocked when the
-lower bound of its posterior share of bad pages is above ``BLOCK_ABOVE``; a host without
+lower bound of its posterior share of bad pages is above ``BLOCK_TIMES`` the share of bad pages
+among all that are labelled; mean less one deviation stands for the bound. A host without
 labels has the prior of its domain. A rule, where one fits, overrides the reputation.
 
-A NULL url or one without ``://`` has an empty host and path; an empty host is judged like any
-other. Repeated rows are judged alike. Without labels nothing is blocked but by rule.
+Defined results: a NULL or empty url, or one without ``://``, has an empty host and path; an empty
+host is judged like any other. Very long urls are read whole. Of rules that fit the longest wins;
+a bound equal to the limit allows. Repeated rows are judged alike. Without labels nothing is
+blocked but by rule; an empty table gives no rows. Input columns named like a result give way to
+it, in any case of letters.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridcast.functions.scale_out import lookup_join, settle
 from gridcast.llm.common import lower_ascii
 
-Z, BLOCK_ABOVE = 1.0, 0.5
+Z, BLOCK_TIMES = 1.0, 1.5
 STRONGEST = 10_000.0                  # of a prior, in outcomes, where children don't differ
 LEVELS = ("suffix", "domain", "host")
 
@@ -56,9 +60,9 @@ def _strength(children: DataFrame) -> Column:
     return F.coalesce(F.least(F.greatest(weight, F.lit(1.0)), F.lit(STRONGEST)), F.lit(STRONGEST))
 
 
-def reputations(outcomes: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+def reputations(outcomes: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], float]:
     """From ``(host, bad)``, one row per labelled page: each labelled host's posterior
-    ``(host, a, b)``, and the same for suffixes and domains."""
+    ``(host, a, b)``, the same for suffixes and domains, and the share of bad pages."""
     counts = settle(outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("k")))
     n, k = counts.agg(F.sum("n"), F.sum("k")).first()
     parent = counts.sparkSession.range(1).select(F.lit("").alias("up"), F.lit((k or 0) / n if n else 0.0).alias("m"))
@@ -73,7 +77,7 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
         out[level] = settle(own.select(level, a.alias("a"), b.alias("b"), F.lit(weight).alias("weight")))
         parent = out[level].select(F.col(level).alias("up"), (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
         up = columns[level]
-    return out["host"], out
+    return out["host"], out, (k or 0) / n if n else 0.0
 
 
 def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
@@ -83,14 +87,14 @@ def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = (), url: str = "url",
-          z: float = Z, block_above: float = BLOCK_ABOVE) -> DataFrame:
+          z: float = Z, block_times: float = BLOCK_TIMES) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict`` and ``bad_share`` (the posterior's lower bound)."""
     host, path = url_parts(url)
     rule, decided = match_rule(F.col("host"), F.col("path"), list(rules))
-    pages = pages.drop("host", "path", "rule", "verdict", "bad_share")
+    pages = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict", "bad_share")])
     read = pages.withColumn("host", host).withColumn("path", path) \
         .withColumn("rule", rule).withColumn("verdict", decided)
-    _, levels = reputations(outcomes)
+    _, levels, usual = reputations(outcomes)
     bounds = read.select("host").distinct()
     shares = []
     for level in LEVELS[::-1]:                     # nearest level that has labels; priors of the levels below
@@ -101,7 +105,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] =
         shares.append(lower_bound(F.col(f"{level}_a"), F.col(f"{level}_b"), z))
     bounds = bounds.select("host", F.coalesce(*shares, F.lit(0.0)).alias("bad_share"))
     judged = lookup_join(read, bounds, "host", "left", salt_by=url)
-    return judged.withColumn("verdict", F.coalesce("verdict", F.when(F.col("bad_share") > block_above, "block").otherwise("allow")))
+    return judged.withColumn("verdict", F.coalesce("verdict", F.when(F.col("bad_share") > F.lit(block_times) * F.lit(usual), "block").otherwise("allow")))
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:

@@ -1,6 +1,8 @@
 """URL filter, page text and chat formatting on small rows."""
 
 import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -61,6 +63,42 @@ def test_word_paths_meet_over_all_ranges(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_alignment_is_a_longest_common_subsequence(monkeypatch):
+    rng = random.Random(2)
+    for often in (2, 512):
+        monkeypatch.setattr(html_text, "OFTEN", often)
+        for _ in range(400):
+            a, b = (rng.choices("abcdefghij"[:rng.randrange(1, 11)], k=rng.randrange(30)) for _ in range(2))
+            got, rest = sorted(html_text.common_lines(a, b)), iter(b)
+            assert all(a[i] in rest for i in got) and len(got) == longest(a, b), (a, b)
+
+
+def test_long_and_broken_pages_in_time():
+    start, rng = time.time(), random.Random(3)
+    for text in ("<a " * 1_700_000, "<a \"' " * 700_000, '<a "' * 1_200_000 + ">", "<" * 3_000_000, "<script>" + "</script " * 500_000,
+                 "<p>word</p>" * 300_000):
+        html_text.page_blocks(text)
+    assert len(html_text.common_lines(["x"] * 50_000, ["x"] * 50_000)) == 50_000
+    assert len(html_text.common_lines(*(rng.choices("xy", k=50_000) for _ in range(2)))) > 35_000
+    assert time.time() - start < 90
+
+
+def test_differencing_counts():
+    blocks = html_text.page_blocks("<nav>Menu</nav><p>Top</p><article><p>Menu</p><p>Own</p></article><div class=ad>Buy 1</div>")
+    other = html_text.page_blocks("<nav>Menu</nav><p>Top</p><article><p>Other</p></article><div class=ad>Buy 2</div>")
+    assert html_text.differenced(blocks, other) == ("Menu\nOwn", 2, 1)
+    assert html_text.differenced(blocks, None) == ("Menu\nOwn", 0, 3)
+
+
 def main_of(page):
     return html_text.main_text(html_text.page_lines(page), None)
 
