@@ -89,11 +89,11 @@ def sequence_fit(features: DataFrame, cfg: Granularity, epochs: int | None = Non
                  names: Sequence[str] = FEATURES) -> SequenceModel:
     """Train on all windows of gapless ``(t, y, z1, z2)``, or on the first ``batches`` batches.
 
-    ``group`` lanes share a slab (default: as many as give each core one).
+    ``group`` lanes share a slab (default: as many as give each core one, but 64 if there are).
     """
     steps, lanes, spark = cfg.day, cfg.lanes, features.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    group = group or next(g for g in range(max(1, -(-lanes // cores)), lanes + 1) if lanes % g == 0)
+    group = group or next(g for g in range(max(min(lanes, 64), -(-lanes // cores)), lanes + 1) if lanes % g == 0)
     windows = (features.agg(F.max("t")).first()[0] or 0) + 1 - 2 * steps
     if windows < 1:
         raise ValueError("the series is shorter than one window")
