@@ -160,13 +160,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(_partitions(df), *keys)
 
 
-def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
-    """``mapInPandas`` with one small function per (packed) row."""
+def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str, every: int | None = None) -> DataFrame:
+    """``mapInPandas`` with one small function per (packed) row; results leave after ``every``
+    rows where these are large."""
     names = T._parse_datatype_string(schema).fieldNames()
 
     def run(batches):
-        for pdf in batches:
-            out = [r for row in pdf.itertuples(index=False) for r in fn(row)]
-            yield pd.DataFrame(out, columns=names)
+        for whole in batches:
+            step = every or max(len(whole), 1)
+            for pdf in (whole.iloc[i:i + step] for i in range(0, len(whole), step)):
+                out = [r for row in pdf.itertuples(index=False) for r in fn(row)]
+                yield pd.DataFrame(out, columns=names)
 
     return df.mapInPandas(run, schema)

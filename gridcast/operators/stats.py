@@ -13,10 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gridcast.functions import solvers
+from gridcast.functions import solvers, spectral
 from gridcast.functions.exprs import pearson
-from gridcast.functions.scale_out import (BLOCK, lookup_join, map_rows, pack_blocks, settle, spread,
+from gridcast.functions.scale_out import (BLOCK, div, lookup_join, map_rows, pack_blocks, settle, spread,
                                           spread_out)
+from gridcast.functions.spectral import POINTS, Split
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 SUM_TYPES = "n BIGINT, sx DOUBLE, sy DOUBLE, sxx DOUBLE, syy DOUBLE, sxy DOUBLE"
@@ -86,8 +87,17 @@ def centred(df: DataFrame) -> DataFrame:
     return lookup_join(df, means, "cell_id").select("cell_id", "t", (F.col("v") - F.col("centre")).alias("v"), "centre")
 
 
+MANY_LAGS, POINT_BITS = 256, POINTS.bit_length() - 1
+
+
 def lagged_sums(df: DataFrame, lags: int, size: int = BLOCK) -> DataFrame:
-    """``(cell_id, lag, n, sx, ...)`` of the centred pairs (x_t, x_{t-lag}), lag 0..lags."""
+    """``(cell_id, lag, n, sx, ...)`` of the centred pairs (x_t, x_{t-lag}), lag 0..lags.
+
+    Few lags are counted block by block, at a cost of slots times lags; more than ``MANY_LAGS`` by
+    Fourier transforms, at a cost that hardly depends on the lags.
+    """
+    if lags > MANY_LAGS:
+        return _spectral_sums(df, lags)
     size = max(size, lags, 1)
 
     def sums(row):
@@ -100,6 +110,56 @@ def lagged_sums(df: DataFrame, lags: int, size: int = BLOCK) -> DataFrame:
         .groupBy("cell_id", "lag").agg(*_total())
 
 
+def _spectral_sums(df: DataFrame, lags: int) -> DataFrame:
+    """:func:`lagged_sums` by :mod:`spectral`. A row is a share of a series, a few megabytes."""
+    points = 1 << POINT_BITS
+    known = settle(centred(df.filter("cell_id IS NOT NULL AND t IS NOT NULL AND v IS NOT NULL")).drop("centre"))
+    ends = known.groupBy("cell_id").agg(F.max("t").alias("_last"))
+    bits = F.ceil(F.log2(F.col("_last") + F.least(F.col("_last"), F.lit(lags)) + 1 + F.lit(0.5))).cast("int")
+    dealt = lookup_join(known, ends.select("cell_id", bits.alias("bits")), "cell_id")
+    n2 = F.col("bits") - F.when(F.col("bits") <= POINT_BITS, F.col("bits")).otherwise(F.floor(F.col("bits") / 2))
+    n1 = F.col("bits") - n2
+    columns = F.least(n2, F.lit(POINT_BITS) - n1).cast("int")                # all as powers of two
+    chunk = F.floor(F.pmod("t", F.pow(F.lit(2.0), n2)) / F.pow(F.lit(2.0), F.greatest(columns, F.lit(0)))).cast("int")
+    first = spread(dealt.select("cell_id", "bits", chunk.alias("chunk"), "t", "v"), "cell_id", "chunk") \
+        .groupBy("cell_id", "bits", "chunk").agg(F.collect_list(F.struct("t", "v")).alias("p")) \
+        .select("cell_id", "bits", "chunk", F.col("p.t").alias("t"), F.col("p.v").alias("v"))
+
+    def to_rows(row):
+        split = Split(int(row.bits), points)
+        x = spectral.down(split, int(row.chunk), np.asarray(row.t, np.int64), np.asarray(row.v))
+        for to, part in enumerate(spectral.pieces(x, 1, split.rows)):
+            yield row.cell_id, row.bits, to, row.chunk, part
+
+    def to_columns(row):
+        split = Split(int(row.bits), points)
+        parts, blank = dict(zip(row.frm, row.x)), np.zeros(6 * split.rows * split.columns)
+        x = spectral.joined([parts.get(i, blank) for i in range(split.n2 // split.columns)], (split.rows, split.columns), 2)
+        back = spectral.across(split, int(row.chunk), x)
+        for to, part in enumerate(spectral.pieces(back, 2, split.columns)):
+            if to * split.columns <= lags:
+                yield row.cell_id, row.bits, to, row.chunk, part
+
+    def to_lags(row):
+        split = Split(int(row.bits), points)
+        parts = dict(zip(row.frm, row.x))
+        x = spectral.joined([parts[i] for i in range(split.n1 // split.rows)], (split.rows, split.columns), 1)
+        at, sums = spectral.up(split, int(row.chunk), x, lags)
+        for lag, (n, *rest) in zip(at.tolist(), sums.tolist()):
+            if n > 0.5:
+                yield row.cell_id, lag, round(n), *rest
+
+    def met(pieces: DataFrame) -> DataFrame:
+        return spread(pieces, "cell_id", "chunk").groupBy("cell_id", "bits", "chunk") \
+            .agg(F.collect_list(F.struct("frm", "x")).alias("p")) \
+            .select("cell_id", "bits", "chunk", F.col("p.frm").alias("frm"), F.col("p.x").alias("x"))
+
+    piece = "cell_id STRING, bits INT, chunk INT, frm INT, x ARRAY<DOUBLE>"
+    rows = met(map_rows(first, to_rows, piece, 4))
+    back = met(map_rows(rows, to_columns, piece, 4))
+    return map_rows(back, to_lags, f"cell_id STRING, lag BIGINT, {SUM_TYPES}", 4)
+
+
 def autocorrelation(df: DataFrame, lags: int, size: int = BLOCK) -> DataFrame:
     """``(cell_id, lag, r)``, each of the two slices with its own mean and deviation."""
     return lagged_sums(df, lags, size).filter(F.col("lag") > 0) \
@@ -108,19 +168,32 @@ def autocorrelation(df: DataFrame, lags: int, size: int = BLOCK) -> DataFrame:
 
 def acf(df: DataFrame, n_lags: int, size: int = BLOCK) -> DataFrame:
     """``(cell_id, lag, r, band)``: one mean for all lags, 1/n form, Bartlett 95% band."""
-    cell = W.partitionBy("cell_id")                       # n_lags + 1 rows per cell
-    at0 = lambda c: F.max(F.when(F.col("lag") == 0, F.col(c))).over(cell)
-    sums = lagged_sums(df, n_lags, size) \
-        .withColumn("_n", at0("n")).withColumn("_m", at0("sx") / F.col("_n")) \
-        .withColumn("_c0", at0("sxx") - F.col("_n") * F.col("_m") * F.col("_m"))
-    m = F.col("_m")
+    sums = lagged_sums(df, n_lags, size)
+    sums = settle(sums) if n_lags > MANY_LAGS else sums
+    m, cell = F.col("_m"), W.partitionBy("cell_id")
+    if n_lags > MANY_LAGS:                                # a cell's lags outgrow a task
+        zero = sums.filter("lag = 0").select("cell_id", F.col("n").alias("_n"), (F.col("sx") / F.col("n")).alias("_m"), F.col("sxx").alias("_c0"))
+        sums = lookup_join(sums, zero, "cell_id", salt_by="lag").withColumn("_c0", F.col("_c0") - F.col("_n") * m * m)
+    else:
+        at0 = lambda c: F.max(F.when(F.col("lag") == 0, F.col(c))).over(cell)
+        sums = sums.withColumn("_n", at0("n")).withColumn("_m", at0("sx") / F.col("_n")) \
+            .withColumn("_c0", at0("sxx") - F.col("_n") * m * m)
     r = F.try_divide(F.col("sxy") - m * (F.col("sx") + F.col("sy")) + F.col("n") * m * m, F.col("_c0"))
-    upto = cell.orderBy("lag").rowsBetween(W.unboundedPreceding, -1)
-    squares = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("r") * F.col("r"))).over(upto), F.lit(0.0))
+    rows = sums.select("cell_id", "lag", r.alias("r"), "_n")
+    square = F.when(F.col("lag") > 0, F.col("r") * F.col("r"))
+    upto = lambda w: F.coalesce(F.sum(square).over(w.orderBy("lag").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    if n_lags > MANY_LAGS:
+        rows = settle(rows.withColumn("_b", F.coalesce(div("lag", 4096), F.lit(0).cast("bigint"))))
+        blocks = cell.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        before = rows.groupBy("cell_id", "_b").agg(F.sum(square).alias("_q")) \
+            .select("cell_id", "_b", F.coalesce(F.sum("_q").over(blocks), F.lit(0.0)).alias("_before"))
+        rows = rows.withColumn("_here", upto(W.partitionBy("cell_id", "_b"))).join(before.hint("merge"), ["cell_id", "_b"])
+        squares = F.col("_before") + F.col("_here")
+    else:
+        squares = upto(cell)
     band = F.when(F.col("lag") == 0, F.lit(0.0)) \
         .otherwise(F.lit(1.96) * F.sqrt((F.lit(1.0) + F.lit(2.0) * squares) / F.col("_n")))
-    return sums.select("cell_id", "lag", r.alias("r"), "_n").withColumn("band", band) \
-        .select("cell_id", "lag", "r", "band")
+    return rows.withColumn("band", band).select("cell_id", "lag", "r", "band")
 
 
 def pacf(df: DataFrame, n_lags: int, size: int = BLOCK) -> DataFrame:

@@ -56,6 +56,36 @@ def test_autocorrelation_and_acf(spark, size):
                         abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("bits", [14, 5, 3])
+def test_all_lags_by_transforms(spark, monkeypatch, bits):
+    """Whole and cut transforms, cells of several lengths, gaps: as the sums lag by lag."""
+    monkeypatch.setattr(stats, "POINT_BITS", bits)
+    rng = np.random.default_rng(6)
+    frame = gaps(pd.DataFrame(rng.random((700, 3)) * 5 + 1e4, columns=list("abc")), rng)
+    frame.loc[300:, "b"] = np.nan
+    frame.loc[1:, "c"] = np.nan
+    frame["flat"] = 3.0
+    df = to_spark(spark, frame)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    for lags in (699, 320):
+        got = stats.lagged_sums(df, lags).toPandas().set_index(["cell_id", "lag"]).sort_index()
+        monkeypatch.setattr(stats, "MANY_LAGS", 10 ** 6)
+        want = stats.lagged_sums(df, lags).toPandas().set_index(["cell_id", "lag"]).sort_index()
+        monkeypatch.setattr(stats, "MANY_LAGS", 256)
+        assert list(got.index) == list(want.index) and (got["n"] == want["n"]).all()
+        np.testing.assert_allclose(got[names[1:]], want[names[1:]], atol=1e-8)
+
+
+def test_acf_of_all_lags(spark):
+    x = np.random.default_rng(1).random(20_000).cumsum()
+    rows = sorted(stats.acf(long(spark, a=x.tolist()), 19_999).collect(), key=lambda r: r.lag)
+    d = x - x.mean()
+    want = np.correlate(d, d, "full")[19_999:] / (d @ d)
+    np.testing.assert_allclose([r.r for r in rows], want, atol=1e-10)
+    squares = np.concatenate([[0, 0], np.cumsum(want[1:-1] ** 2)])
+    np.testing.assert_allclose([r.band for r in rows][1:], (1.96 * np.sqrt((1 + 2 * squares) / 20_000))[1:], atol=1e-9)
+
+
 def test_pacf_solves_the_yule_walker_equations(spark):
     x = np.random.default_rng(2).random(200).cumsum()
     got = {r.lag: r.r for r in stats.pacf(long(spark, a=x.tolist()), 5, 64).collect()}
