@@ -173,3 +173,15 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str, eve
                 yield pd.DataFrame(out, columns=names)
 
     return df.mapInPandas(run, schema)
+
+
+def row_groups(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterable[pd.DataFrame]:
+    """The rows of each key, from frames sorted by key."""
+    held = None
+    for pdf in frames:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        parts = [g for _, g in held.groupby(keys, sort=False, dropna=False)]
+        yield from parts[:-1]
+        held = parts[-1] if parts else None
+    if held is not None:
+        yield held

@@ -11,6 +11,7 @@ fitted within a task, longer ones over their blocks: the same start, steps and s
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterable, Sequence
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridcast.functions import solvers
 from gridcast.functions.scale_out import (BLOCK, FAN_IN, div, lookup_join, map_rows, pack_blocks,
-                                          settle, spread, spread_out)
+                                          row_groups, settle, spread, spread_out)
 from gridcast.operators.stats import series_summary
 
 BROADCAST_MODELS = 100_000   # a model is under 1 kB
@@ -248,6 +249,17 @@ def _with_parameters(models: DataFrame) -> DataFrame:
 FIT = f"{PARAMS}, sse DOUBLE, n BIGINT, converged BOOLEAN"
 
 
+def _even_jobs(orders: list[tuple[int, int]], jobs: int) -> list[list[tuple[int, int]]]:
+    """Orders in ``jobs`` lists of about equal cost, the dearest dealt first. A fit's cost grows with
+    its columns, twice as fast with those that need filtering."""
+    cost = lambda o: (1 + o[0] + 2 * o[1]) * (2 + o[0] + o[1])
+    heap = [(0, i, []) for i in range(min(jobs, len(orders)))]
+    for order in sorted(orders, key=cost, reverse=True):
+        load, i, own = heapq.heappop(heap)
+        heapq.heappush(heap, (load + cost(order), i, own + [order]))
+    return [own for _, _, own in heap] or [[]]
+
+
 def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN_TASK,
              size: int = BLOCK, fan_in: int = FAN_IN) -> DataFrame:
     """Fit every order to every cell by conditional least squares, with constant.
@@ -261,11 +273,9 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
     spark = df.sparkSession
     lengths = settle(df.groupBy("cell_id").agg(F.count("*").alias("n"), F.count("v").alias("known")))
     count, long = lengths.agg(F.count("*"), F.count(F.when(F.col("n") > in_task, 1))).first()
-    by_p: dict[int, list[int]] = {}
-    for p, q in orders:
-        by_p.setdefault(p, []).append(q)
-    few = count < 4 * spark.sparkContext.defaultParallelism
-    jobs = [[(p, q) for q in qs] for p, qs in by_p.items()] if few else [list(orders)]
+    cores = spark.sparkContext.defaultParallelism
+    few = count < 4 * cores
+    jobs = _even_jobs(list(orders), math.ceil(4 * cores / max(count, 1))) if few else [list(orders)]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("t")["v"].to_numpy()
@@ -289,7 +299,15 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
     longer = settle(lengths.filter(F.col("n") > in_task)) if long else None
     short = lookup_join(df, longer.select("cell_id"), "cell_id", "left_anti") if long else df
     rows = short.select("cell_id", "t", "v", F.explode(F.array(*[F.lit(i) for i in range(len(jobs))])).alias("job"))
-    fits = spread(rows, "cell_id", "job").groupBy("cell_id", "job").applyInPandas(fit, FIT)
+    if few:                                                # each (cell, job) has a turn: even loads, known beforehand
+        cells = sorted(r["cell_id"] for r in lengths.filter("cell_id IS NOT NULL").select("cell_id").collect())
+        turn = F.coalesce(F.array_position(F.array(*map(F.lit, cells)), F.col("cell_id")), F.lit(0)) if cells else F.lit(0)
+        parts = min(max(len(cells), 1) * len(jobs), 4 * cores)
+        dealt = rows.repartitionById(parts, F.pmod(F.col("job") * F.lit(len(cells) + 1) + turn, F.lit(parts)).cast("int"))
+        fits = dealt.select("cell_id", "job", "t", "v").sortWithinPartitions("cell_id", "job").mapInPandas(
+            lambda frames: (fit(pdf) for pdf in row_groups(frames, ["cell_id", "job"])), FIT)
+    else:
+        fits = spread(rows, "cell_id", "job").groupBy("cell_id", "job").applyInPandas(fit, FIT)
     if long:
         grid = longer.withColumn("o", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in orders]))) \
             .select("cell_id", "o.p", "o.q", "n", (F.col("n") == F.col("known")).alias("whole"))

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridcast.functions import solvers, spectral
 from gridcast.functions.exprs import pearson
-from gridcast.functions.scale_out import (BLOCK, div, lookup_join, map_rows, pack_blocks, settle, spread,
-                                          spread_out)
+from gridcast.functions.scale_out import (BLOCK, div, lookup_join, map_rows, pack_blocks, row_groups, settle,
+                                          spread, spread_out)
 from gridcast.functions.spectral import POINTS, Split
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
@@ -31,44 +31,73 @@ def _pearson():
     return pearson(*[F.col(c) for c in SUMS])
 
 
+class PairSums:
+    """Running sums of all pairs of two cell groups over slot blocks; cells may lack blocks."""
+
+    def __init__(self, same: bool):
+        self.same, self.rows, self.cols, self.sums = same, {}, {}, np.zeros((6, 0, 0))
+
+    def add(self, a_ids, a: np.ndarray, b_ids, b: np.ndarray) -> None:
+        i = np.array([self.rows.setdefault(c, len(self.rows)) for c in a_ids], np.int64)
+        j = np.array([self.cols.setdefault(c, len(self.cols)) for c in b_ids], np.int64)
+        grow = [max(0, len(ids) - have) for ids, have in zip((self.rows, self.cols), self.sums.shape[1:])]
+        if any(grow):
+            self.sums = np.pad(self.sums, [(0, 0), (0, grow[0]), (0, grow[1])])
+        ha, hb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+        a, b = np.nan_to_num(a), np.nan_to_num(b)
+        self.sums[:, i[:, None], j[None, :]] += [ha @ hb.T, a @ hb.T, ha @ b.T, (a * a) @ hb.T, ha @ (b * b).T, a @ b.T]
+
+    def frame(self) -> pd.DataFrame:
+        a, b = np.array(list(self.rows), object), np.array(list(self.cols), object)
+        met = self.sums[0] > 0
+        if self.same:
+            met &= a[:, None] <= b[None, :]
+        i, j = np.nonzero(met)
+        cols = {"cell_a": a[i], "cell_b": b[j], "n": self.sums[0, i, j].astype("int64")}
+        return pd.DataFrame(cols | {name: m[i, j] for name, m in zip(SUMS[1:], self.sums[1:])})
+
+
 def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r: float | None = None) -> DataFrame:
     """``(cell_a, cell_b, r, n)``: Pearson over the slots both cells know; NULL if constant.
 
     All pairs are the result unless ``min_abs_r`` keeps the correlated ones only.
 
-    A blocked X'X: packed rows (one cell, ``size`` slots) meet by (slot block, pair of
-    cell groups), a task multiplies two small matrices, and the pair sums are added up.
-    Rows are never paired one by one, and no task outgrows ``2 * group * size`` values.
+    A blocked X'X: packed rows (one cell, ``size`` slots) meet by pair of cell groups. A task walks
+    the slot blocks of its pair, multiplies two small matrices at each and gives every pair of
+    cells once. Only where there are fewer group pairs than cores are a pair's blocks shared out,
+    over as many tasks as keep the cores busy. So pair sums are shuffled a fixed number of times,
+    however long the series, rows are never paired one by one, and no task outgrows
+    ``2 * group * size`` values and six sums per pair of cells of two groups.
     """
     stats = settle(df.groupBy("cell_id").agg(F.avg("v").alias("_m")))
     groups = max(1, math.ceil(stats.count() / group))
+    shares = max(1, math.ceil(4 * df.sparkSession.sparkContext.defaultParallelism / (groups * (groups + 1) // 2)))
     centred = lookup_join(df, stats, "cell_id", settled=True) \
         .select("cell_id", "t", (F.col("v") - F.col("_m")).alias("v"))
     packed = pack_blocks(centred, size)
     own = F.pmod(F.xxhash64("cell_id"), F.lit(groups))
     pairs = packed.withColumn("_g", own) \
         .withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) \
-        .withColumn("_ga", F.least("_g", "_h")).withColumn("_gb", F.greatest("_g", "_h"))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell_id")
-        x = np.array([spread_out(o, v, size) for o, v in zip(pdf["off"], pdf["x"])])
-        ids, g = pdf["cell_id"].to_numpy(), pdf["_g"].to_numpy()
-        left = np.flatnonzero(g == pdf["_ga"].iloc[0])
-        right = np.flatnonzero(g == pdf["_gb"].iloc[0])
-        has = (~np.isnan(x)).astype(float)
-        z = np.nan_to_num(x)
-        a, b, ha, hb = z[left], z[right], has[left], has[right]
-        out = [ha @ hb.T, a @ hb.T, ha @ b.T, (a * a) @ hb.T, ha @ (b * b).T, a @ b.T]
-        i, j = np.nonzero(out[0])
-        if pdf["_ga"].iloc[0] == pdf["_gb"].iloc[0]:
-            i, j = i[i <= j], j[i <= j]
-        cols = {"cell_a": ids[left][i], "cell_b": ids[right][j], "n": out[0][i, j].astype("int64")}
-        cols |= {name: m[i, j] for name, m in zip(SUMS[1:], out[1:])}
-        return pd.DataFrame(cols)
-
-    half = spread(pairs, "blk", "_ga", "_gb").groupBy("blk", "_ga", "_gb") \
-        .applyInPandas(multiply, f"cell_a STRING, cell_b STRING, {SUM_TYPES}") \
+        .withColumn("_ga", F.least("_g", "_h")).withColumn("_gb", F.greatest("_g", "_h")) \
+        .withColumn("_s", F.pmod("blk", F.lit(shares)))
+    key = ["_ga", "_gb", "_s"]
+
+    def walk(frames):
+        sums = at = None
+        for pdf in row_groups(frames, [*key, "blk"]):
+            here = tuple(pdf[key].iloc[0])
+            if here != at:
+                if sums is not None:
+                    yield sums.frame()
+                at, sums = here, PairSums(same=here[0] == here[1])
+            x = np.array([spread_out(o, v, size) for o, v in zip(pdf["off"], pdf["x"])])
+            ids, g = pdf["cell_id"].to_numpy(), pdf["_g"].to_numpy()
+            left, right = g == here[0], g == here[1]
+            sums.add(ids[left], x[left], ids[right], x[right])
+        if sums is not None:
+            yield sums.frame()
+
+    half = spread(pairs, *key).sortWithinPartitions(*key, "blk").mapInPandas(walk, f"cell_a STRING, cell_b STRING, {SUM_TYPES}") \
         .groupBy("cell_a", "cell_b").agg(*_total()) \
         .select("cell_a", "cell_b", _pearson().alias("r"), "n")
     if min_abs_r is not None:
@@ -248,21 +277,28 @@ ADF_SCHEMA = ("cell_id STRING, stat DOUBLE, p_value DOUBLE, used_lag BIGINT, n_o
               "crit_1 DOUBLE, crit_5 DOUBLE, crit_10 DOUBLE")
 
 
+def adf_lags(n: int) -> int:
+    """The usual greatest number of lagged differences for ``n`` slots."""
+    return max(min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2), 0)
+
+
 def adf_test(df: DataFrame, max_lag: int | None = None, size: int = BLOCK) -> DataFrame:
-    """Augmented Dickey-Fuller with constant; lag count by AIC."""
-    if max_lag is None:
-        n = df.agg(F.max("t")).first()[0] + 1
-        max_lag = math.ceil(12.0 * (n / 100.0) ** 0.25)
-        max_lag = max(min(max_lag, n // 2 - 2), 0)
+    """Augmented Dickey-Fuller with constant; lag count by AIC, up to ``max_lag`` or what is usual
+    for each cell's own length."""
+    most = max_lag
+    if most is None:
+        last = df.agg(F.max("t")).first()[0]
+        most = adf_lags(0 if last is None else last + 1)
 
     def solve(row):
-        if row.n > 2 * max_lag + 3:
-            yield (row.cell_id, *solvers.adf(int(row.n), row.total, row.cross, row.head,
-                                             row.tail, max_lag))
+        lags = adf_lags(int(row.n)) if max_lag is None else max_lag
+        if row.n > 2 * lags + 3:
+            yield (row.cell_id, *solvers.adf(int(row.n), row.total, row.cross[:lags + 2], row.head[:lags + 1],
+                                             row.tail[-(lags + 1):], lags))
         else:                                  # too short for so many lags
             yield (row.cell_id, None, None, None, int(row.n), None, None, None)
 
-    return map_rows(spread(series_summary(df, max_lag + 1, size), "cell_id"), solve, ADF_SCHEMA)
+    return map_rows(spread(series_summary(df, most + 1, size), "cell_id"), solve, ADF_SCHEMA)
 
 
 def adf_lag0(df: DataFrame, size: int = BLOCK) -> DataFrame:

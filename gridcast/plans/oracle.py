@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridcast.functions.solvers import ADF_CRITICAL
 from gridcast.plans import registered as q
 
 TYPES = "(SELECT list(DISTINCT event_type ORDER BY event_type) FROM events)"
@@ -267,6 +268,26 @@ SQL = {
         max(CASE WHEN lag = 2 THEN r END) AS r2 FROM acf GROUP BY 1)
         SELECT cell_id, lag, {r("CASE lag WHEN 0 THEN 1 WHEN 1 THEN r1 ELSE (r2 - r1 * r1) / (1 - r1 * r1) END",
         "r")} FROM k CROSS JOIN (SELECT CAST(unnest(range(0, 3)) AS BIGINT) AS lag)""",
+    "acf_all_lags": f"""{WEEKLY}, c AS (SELECT cell_id, t, v - avg(v) OVER (PARTITION BY cell_id) AS v FROM ser),
+        s AS (SELECT a.cell_id, a.t - b.t AS lag, sum(a.v * b.v) AS s FROM c a JOIN c b ON a.cell_id = b.cell_id AND a.t >= b.t GROUP BY 1, 2),
+        z AS (SELECT cell_id, sum(v * v) AS c0, count(*) AS n FROM c GROUP BY 1),
+        a AS (SELECT s.cell_id, lag, CASE WHEN c0 > 0 THEN s / c0 END AS r, n FROM s JOIN z USING (cell_id))
+        SELECT cell_id, lag, {r("r", "r")}, round(CASE WHEN lag = 0 THEN 0 ELSE 1.96 * sqrt(
+        (1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN r * r END) OVER (PARTITION BY cell_id ORDER BY lag
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END, 6) + 0.0 AS band FROM a""",
+    "adf_one_lag": f"""{WEEKLY}, d AS (SELECT cell_id, v - x AS d, x, x - lag(x) OVER w AS z FROM (
+            SELECT cell_id, t, v, lag(v) OVER (PARTITION BY cell_id ORDER BY t) AS x FROM ser) WINDOW w AS (PARTITION BY cell_id ORDER BY t)),
+        s AS (SELECT cell_id, count(*) AS n, regr_sxx(d, x) AS xx, regr_sxx(d, z) AS zz, regr_sxy(x, z) AS xz, regr_sxy(d, x) AS xd,
+            regr_sxy(d, z) AS zd, regr_syy(d, x) AS dd FROM d WHERE z IS NOT NULL GROUP BY 1),
+        b AS (SELECT *, (xd * zz - zd * xz) / (xx * zz - xz * xz) AS b1, (zd * xx - xd * xz) / (xx * zz - xz * xz) AS b2 FROM s),
+        f AS (SELECT *, dd - xd * xd / xx AS sse0, dd - b1 * xd - b2 * zd AS sse1 FROM b),
+        l AS (SELECT *, CASE WHEN n * ln(sse1 / n) + 6 < n * ln(sse0 / n) + 4 THEN 1 ELSE 0 END AS lag FROM f),
+        o AS (SELECT cell_id, count(*) AS n0, regr_slope(d, x) / sqrt((regr_syy(d, x) - regr_sxy(d, x) ** 2 / regr_sxx(d, x))
+            / (count(*) - 2) / regr_sxx(d, x)) AS stat0 FROM d WHERE x IS NOT NULL GROUP BY 1),
+        c AS (SELECT cell_id, CAST(lag AS BIGINT) AS used_lag, CASE lag WHEN 1 THEN n ELSE n0 END AS n_obs,
+            CASE lag WHEN 1 THEN b1 / sqrt(sse1 / (n - 3) * zz / (xx * zz - xz * xz)) ELSE stat0 END AS stat FROM l JOIN o USING (cell_id))
+        SELECT cell_id, {r("stat", "stat")}, used_lag, n_obs, {", ".join(r(" + ".join(f"({x}) / n_obs ** {i}" for i, x in enumerate(row)), name)
+            for row, name in zip(ADF_CRITICAL, ("crit_1", "crit_5", "crit_10")))} FROM c""",
     "adf_lag0": f"""{WEEKLY}, d AS (SELECT cell_id, v - lag(v) OVER w AS d, lag(v) OVER w AS x FROM ser
         WINDOW w AS (PARTITION BY cell_id ORDER BY t))
         SELECT cell_id, {r('''regr_slope(d, x) / sqrt((regr_syy(d, x) - regr_sxy(d, x) ** 2
@@ -312,6 +333,14 @@ SQL = {
     "arma_fit_ar1": f"""{WEEKLY}, {ar1()} SELECT cell_id, CAST(1 AS BIGINT) AS p,
         CAST(0 AS BIGINT) AS q, {r("mu", "mu")}, {r("phi", "phi_1")}, {r("sse", "sse")}, n,
         {r(bic("sse", "n", 1, 0), "bic")} FROM fit""",
+    "arma_fit_ar2": f"""{WEEKLY}, lagged AS (SELECT cell_id, v AS y, lag(v) OVER w AS x, lag(v, 2) OVER w AS z FROM ser
+            WINDOW w AS (PARTITION BY cell_id ORDER BY t)),
+        s AS (SELECT cell_id, count(*) AS n, avg(y) AS my, avg(x) AS mx, avg(z) AS mz, regr_sxx(y, x) AS xx, regr_sxx(y, z) AS zz,
+            regr_sxy(x, z) AS xz, regr_sxy(y, x) AS xy, regr_sxy(y, z) AS zy, regr_syy(y, x) AS yy FROM lagged WHERE z IS NOT NULL GROUP BY 1),
+        b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS phi1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS phi2 FROM s),
+        fit AS (SELECT *, (my - phi1 * mx - phi2 * mz) / (1 - phi1 - phi2) AS mu, yy - phi1 * xy - phi2 * zy AS sse FROM b)
+        SELECT cell_id, CAST(2 AS BIGINT) AS p, CAST(0 AS BIGINT) AS q, {r("mu", "mu")}, {r("phi1", "phi_1")}, {r("phi2", "phi_2")},
+        {r("sse", "sse")}, n, {r(bic("sse", "n", 2, 0), "bic")} FROM fit""",
     "arma_order_search_ar": f"""{WEEKLY}, {ar1()},
         fits AS (SELECT cell_id, 1 AS p, n, {bic("sse", "n", 1, 0)} AS bic FROM fit UNION ALL
             SELECT cell_id, 0, n, {bic("sse", "n", 0, 0)} FROM (SELECT cell_id, count(*) AS n,

@@ -196,6 +196,12 @@ def acf(spark, sf_dir):
     return _rounded(stats.acf(_weekly(spark, sf_dir), 12), "r", "band")
 
 
+def acf_all_lags(spark, sf_dir):
+    """Lags up to the length of the series."""
+    ser = settle(_weekly(spark, sf_dir))
+    return _rounded(stats.acf(ser, ser.agg(F.max("t")).first()[0] or 0), "r", "band")
+
+
 def pacf(spark, sf_dir):
     return _rounded(stats.pacf(_weekly(spark, sf_dir), 12), "r")
 
@@ -209,6 +215,16 @@ def adf_test(spark, sf_dir):
     return _rounded(df, "stat", "p_value", "crit_1", "crit_5", "crit_10")
 
 
+def adf_test_own_lags(spark, sf_dir):
+    """With the number of lags that is usual for each cell's length."""
+    return _rounded(stats.adf_test(_weekly(spark, sf_dir)), "stat", "p_value", "crit_1", "crit_5", "crit_10")
+
+
+def adf_one_lag(spark, sf_dir):
+    """No lag or one, whichever AIC prefers: small enough for SQL to follow."""
+    return _rounded(stats.adf_test(_weekly(spark, sf_dir), 1).drop("p_value"), "stat", "crit_1", "crit_5", "crit_10")
+
+
 def adf_lag0(spark, sf_dir):
     return _rounded(stats.adf_lag0(_weekly(spark, sf_dir)), "stat")
 
@@ -308,6 +324,18 @@ def arma_fit_ar1(spark, sf_dir):
     return _flat_fit(df.withColumn("phi_1", F.col("phi")[0]), "mu", "phi_1", "sse", "n", "bic")
 
 
+def arma_fit_ar2(spark, sf_dir):
+    df = arma.arma_fit(settle(_weekly(spark, sf_dir)), [(2, 0)])
+    df = df.withColumn("phi_1", F.col("phi")[0]).withColumn("phi_2", F.col("phi")[1])
+    return _flat_fit(df, "mu", "phi_1", "phi_2", "sse", "n", "bic")
+
+
+def arma_order_search_configured(spark, sf_dir):
+    """The whole configured grid of orders (169 of them) for the event cells at 30 minutes."""
+    events = settle(_events(spark, sf_dir, 30))
+    return _flat_fit(forecasts.configured_orders(settle(clean.prepare(events)), GRANULARITIES[30]), "sse", "n", "bic")
+
+
 def arma_order_search(spark, sf_dir):
     return _flat_fit(arma.arma_order_search(settle(_weekly(spark, sf_dir)), 3, 2), "sse", "n", "bic")
 
@@ -457,10 +485,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     scan_cells, scan_traffic_wide, reindex_cells, time_grid, wide_to_long, long_to_wide,
     select_target, write_series, drop_sparse_cells, interpolate_linear, minmax_scale,
     tanh_scale_columns, tanh_scale_global, first_difference, sigmoid_affine, spatial_corr,
-    autocorrelation, autocorrelation_large_mean, acf, pacf, pacf_two_lags, adf_test, adf_lag0, column_stack,
+    autocorrelation, autocorrelation_large_mean, acf, acf_all_lags, pacf, pacf_two_lags,
+    adf_test, adf_test_own_lags, adf_one_lag, adf_lag0, column_stack,
     train_test_split, batch_slices, supervised_windows, supervised_windows_padded,
     window_batches, eval_windows, lane_chains, ar_fit, arma_css, arma_bic,
-    arma_predict_in_sample, arma_forecast, arma_fit, arma_fit_ar1, arma_order_search,
+    arma_predict_in_sample, arma_forecast, arma_fit, arma_fit_ar1, arma_fit_ar2, arma_order_search, arma_order_search_configured,
     arma_order_search_ar, corrupt_mask, latent_encode, latent_decode, reconstruction_cost,
     latent_gradient, latent_fit, latent_fit_two_epochs, latent_fit_two_batches, latent_stack_step,
     sequence_forecast, sequence_fit, sequence_cost, mse, mae,

@@ -222,3 +222,27 @@ def test_no_small_order_search_by_default():
     from gridcast.plans import forecasts
     with pytest.raises(ValueError):
         forecasts.arma_day_forecast(None, 10)
+
+
+def test_jobs_are_even_and_complete():
+    orders = [(p, q) for p in range(13) for q in range(13)]
+    jobs = arma._even_jobs(orders, 7)
+    assert sorted(o for job in jobs for o in job) == orders and len(jobs) == 7
+    loads = [sum((1 + p + 2 * q) * (2 + p + q) for p, q in job) for job in jobs]
+    assert max(loads) < 1.05 * min(loads)
+    assert arma._even_jobs([(1, 0)], 5) == [[(1, 0)]] and arma._even_jobs([], 3) == [[]]
+
+
+def test_large_search_agrees_with_single_fits(spark):
+    """Many orders dealt over tasks give what each order gives alone."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2, 160))
+    for t in range(2, 160):
+        x[:, t] += 0.6 * x[:, t - 1] - 0.3 * x[:, t - 2]
+    df = long(spark, a=x[0].tolist(), b=x[1].tolist())
+    orders = [(p, q) for p in range(4) for q in range(3)]
+    got = {(r.cell_id, r.p, r.q): r.sse for r in arma.arma_fit(df, orders).collect()}
+    assert len(got) == 24
+    for i, cell in enumerate("ab"):
+        for p, q in orders:
+            assert math.isclose(got[cell, p, q], solvers.css_fit(x[i], p, q)[1], rel_tol=1e-12)

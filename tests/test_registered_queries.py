@@ -8,7 +8,7 @@ from tests.oracle_check import compare, views
 
 SF = "/root/testdata/sf0.01"
 # Solvers and training: compared with brute force in the other tests.
-ROWS_ONLY = {"adf_test", "arma_fit", "arma_order_search", "latent_fit", "sequence_forecast",
+ROWS_ONLY = {"adf_test", "adf_test_own_lags", "arma_fit", "arma_order_search", "arma_order_search_configured", "latent_fit", "sequence_forecast",
              "sequence_fit", "arma_day_forecast", "compressed_day_forecast"}
 
 

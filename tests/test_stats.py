@@ -31,6 +31,25 @@ def test_spatial_corr_is_pairwise_complete(spark, group, size):
     assert n["a", "b"] == n["b", "a"] == (frame["a"].notna() & frame["b"].notna()).sum()
 
 
+def test_pair_sums_are_shuffled_once_however_many_blocks():
+    """A walk over blocks gives each pair once, with cells that lack blocks."""
+    rng = np.random.default_rng(2)
+    x = gaps(pd.DataFrame(rng.random((4, 90)).T, columns=list("abcd")), rng).to_numpy().T
+    x[1, 30:60] = np.nan
+    sums = stats.PairSums(same=True)
+    for at in range(0, 90, 30):
+        part = x[:, at:at + 30]
+        some = np.flatnonzero((~np.isnan(part)).any(axis=1))[::1 if at else -1]
+        sums.add(np.array(list("abcd"))[some], part[some], np.array(list("abcd"))[some], part[some])
+    got = sums.frame().set_index(["cell_a", "cell_b"])
+    assert len(got) == 10
+    for i, a in enumerate("abcd"):
+        for j in range(i, 4):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            assert got.loc[a, "abcd"[j]]["n"] == both.sum()
+            assert math.isclose(got.loc[a, "abcd"[j]]["sxy"], (x[i] * x[j])[both].sum(), rel_tol=1e-12)
+
+
 def test_spatial_corr_of_a_constant(spark):
     got = stats.spatial_corr(long(spark, a=[1.0, 1.0], b=[3.0, 4.0])).collect()
     assert {(r.cell_a, r.cell_b): r.r for r in got} == {
@@ -175,3 +194,16 @@ def test_short_cells_are_reported(spark):
     assert got["short"]["stat"] is None and got["short"]["n_obs"] == 2 and got["long"]["stat"] is not None
     fits = {r["cell_id"]: r for r in arma.ar_fit(df, 2).collect()}
     assert fits["short"]["mu"] is None and fits["long"]["mu"] is not None
+
+
+def test_adf_lags_follow_each_cell(spark):
+    """A long cell does not change a short one's test."""
+    rng = np.random.default_rng(12)
+    short, other = rng.normal(size=60).cumsum(), rng.normal(size=900).cumsum()
+    alone = stats.adf_test(long(spark, a=short.tolist())).first()
+    beside = {r.cell_id: r for r in stats.adf_test(long(spark, a=short.tolist(), b=other.tolist() )).collect()}
+    assert beside["a"] == alone and alone.stat is not None
+    stat, lag, n = brute_adf(short, stats.adf_lags(60))
+    assert math.isclose(alone.stat, stat, rel_tol=1e-6) and (alone.used_lag, alone.n_obs) == (lag, n)
+    stat, lag, n = brute_adf(other, stats.adf_lags(900))
+    assert math.isclose(beside["b"].stat, stat, rel_tol=1e-6) and beside["b"].used_lag == lag
