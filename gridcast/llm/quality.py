@@ -6,14 +6,20 @@ least ``MIN_CONTENT`` of its words' characters stand in content lines.
 
 The field is fitted here, by maximum likelihood (forward-backward in numpy, fixed steps), on a
 bounded sample: at most ``SAMPLE_DOCS`` labelled documents chosen by hash, cut into chains of
-``CHAIN`` lines, at most ``SAMPLE_CHAINS`` of these. A line bears its document's label.
-
-A NULL text has no words and fails the base rules. Without labels every line is content.
-Repeated rows are judged alike.
+``CHAIN`` lines, at most ``SAMPLE_CHAINS`` of these. Documents are labelled, lines are not: a
+line's label is that of its document unless its features speak against it (``line_targets``), so
+good documents hold boilerplate and bad ones content.
+
+Defined results: a NULL or empty text has no words and fails the base rules; very long texts are
+read whole. Without labels, or with one kind only, every line is content; of labellings that score
+alike content wins, and a share equal to ``MIN_CONTENT`` is kept. Repeated rows are judged alike;
+an empty table gives no rows. Input columns named like a result give way to it, in any case of
+letters.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +31,8 @@ from gridcast.llm.common import joined, map_texts
 MIN_WORDS, WINDOW, MAX_REPEATED = 10, 5, 20       # of 100 words
 MIN_CONTENT = 0.5
 SAMPLE_DOCS, SAMPLE_CHAINS, CHAIN = 2000, 4000, 64
-STEPS, RATE, RIDGE = 150, 0.5, 1e-3
+PULL = 2.0                                        # of a document's label on its lines, in log odds
+STEPS, RATE, RIDGE, ENOUGH = 150, 0.5, 1e-3, 1e-3
 SYMBOLS = b"#*$%&|<>"
 BINS = (5, 4, 3, 2, 2, 3)                         # of line_code
 N_CODES = int(np.prod(BINS))
@@ -105,53 +112,86 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def fit_field(chains: list[tuple[list[int], bool]]) -> LineField:
-    """Regularised maximum likelihood by plain gradient steps."""
+def line_targets(chains: list[tuple[list[int], bool]]) -> list[list[bool]]:
+    """Content or boilerplate for every line of some documents called good or bad.
+
+    How much more often a line's features occur in good documents than in bad ones, feature by
+    feature, is weighed against its own document's label, which counts ``PULL``: telling lines go
+    against the label of their document, others follow it.
+    """
+    features = _features()
+    count = np.ones((2, features.shape[1]))
+    lines = np.full(2, float(max(BINS)))
+    for codes, good in chains:
+        count[int(good)] += features[codes].sum(axis=0)
+        lines[int(good)] += len(codes)
+    odds = features[:, 1:] @ np.log((count[1] / lines[1]) / (count[0] / lines[0]))[1:]
+    return [(odds[codes] + (PULL if good else -PULL) >= 0).tolist() for codes, good in chains]
+
+
+def _padded(chains: list[tuple[tuple[int, ...], tuple[bool, ...]]], counts: list[int]):
+    """Codes, labels and which places are real, and how often each chain counts."""
+    width = max(len(c) for c, _ in chains)
+    codes, labels, real = (np.zeros((len(chains), width), t) for t in (np.int64, np.int64, bool))
+    for i, (c, y) in enumerate(chains):
+        codes[i, :len(c)], labels[i, :len(c)], real[i, :len(c)] = c, y, True
+    return codes, labels, real, np.array(counts, float)
+
+
+def fit_field(chains: list[tuple[list[int], list[bool]]]) -> LineField:
+    """Regularised maximum likelihood of the lines' labels, by gradient steps until they are small.
+    Chains that are alike are counted once, and chains of like length worked on together."""
     features = _features()
-    width = max((len(c) for c, _ in chains), default=0)
-    if not width or len({y for _, y in chains}) < 2:
+    alike = Counter((tuple(c), tuple(y)) for c, y in chains if c)
+    if len({label for _, y in alike for label in y}) < 2:
         return LineField(np.ones(N_CODES), np.zeros((2, 2)))
-    codes = np.zeros((len(chains), width), np.int64)
-    real = np.zeros((len(chains), width), bool)
-    y = np.array([int(label) for _, label in chains])
-    for i, (c, _) in enumerate(chains):
-        codes[i, :len(c)] = c
-        real[i, :len(c)] = True
-    total = real.sum()
-    seen = np.zeros(N_CODES)
-    np.add.at(seen, codes[real], np.repeat(y, real.sum(axis=1)))
-    links = real[:, 1:].sum(axis=1)
-    told = np.diag([links[y == 0].sum(), links[y == 1].sum()]).astype(float)
+    lots: dict[int, list] = {}
+    for chain, n in alike.items():
+        lots.setdefault(len(chain[0]).bit_length(), []).append((chain, n))
+    lots_ = [_padded(*zip(*lot)) for lot in lots.values()]
+    seen, told, total = np.zeros(N_CODES), np.zeros((2, 2)), 0.0
+    for codes, labels, real, n in lots_:
+        total += (real * n[:, None]).sum()
+        np.add.at(seen, codes, labels * real * n[:, None])
+        np.add.at(told, (labels[:, :-1], labels[:, 1:]), real[:, 1:] * n[:, None])
     weights, moves = np.zeros(features.shape[1]), np.zeros((2, 2))
     for _ in range(STEPS):
-        local = (features @ weights)[codes] * real
-        ahead = np.zeros((width, len(chains), 2))
-        behind = np.zeros((width, len(chains), 2))
-        ahead[0, :, 1] = local[:, 0]
-        for t in range(1, width):
-            step = _log_sum(ahead[t - 1][:, :, None] + moves[None], 1)
-            step[:, 1] += local[:, t]
-            ahead[t] = np.where(real[:, t, None], step, ahead[t - 1])
-        for t in range(width - 2, -1, -1):
-            later = behind[t + 1].copy()
-            later[:, 1] += local[:, t + 1]
-            step = _log_sum(moves[None] + later[:, None, :], 2)
-            behind[t] = np.where(real[:, t + 1, None], step, behind[t + 1])
-        norm = _log_sum(ahead[-1], 1)
-        p = np.exp(ahead[:, :, 1] + behind[:, :, 1] - norm) * real.T
-        expected = np.zeros(N_CODES)
-        np.add.at(expected, codes.T, p)
-        pairs = np.zeros((2, 2))
-        for t in range(1, width):
-            later = behind[t].copy()
-            later[:, 1] += local[:, t]
-            joint = np.exp(ahead[t - 1][:, :, None] + moves[None] + later[:, None, :] - norm[:, None, None])
-            pairs += (joint * real[:, t, None, None]).sum(axis=0)
-        weights += RATE * ((seen - expected) @ features / total - RIDGE * weights)
-        moves += RATE * ((told - pairs) / total - RIDGE * moves)
+        expected, pairs, scores = np.zeros(N_CODES), np.zeros((2, 2)), features @ weights
+        for lot in lots_:
+            _expect(lot, scores, moves, expected, pairs)
+        up, over = (seen - expected) @ features / total - RIDGE * weights, (told - pairs) / total - RIDGE * moves
+        weights += RATE * up
+        moves += RATE * over
+        if max(np.abs(up).max(), np.abs(over).max()) < ENOUGH:
+            break
     return LineField(features @ weights, moves)
 
 
+def _expect(lot, scores: np.ndarray, moves: np.ndarray, expected: np.ndarray, pairs: np.ndarray) -> None:
+    """Add the expected content lines per code, and label pairs, of some chains (forward-backward)."""
+    codes, _, real, n = lot
+    width = codes.shape[1]
+    local = scores[codes] * real
+    ahead, behind = np.zeros((width, len(codes), 2)), np.zeros((width, len(codes), 2))
+    ahead[0, :, 1] = local[:, 0]
+    for t in range(1, width):
+        step = _log_sum(ahead[t - 1][:, :, None] + moves[None], 1)
+        step[:, 1] += local[:, t]
+        ahead[t] = np.where(real[:, t, None], step, ahead[t - 1])
+    for t in range(width - 2, -1, -1):
+        later = behind[t + 1].copy()
+        later[:, 1] += local[:, t + 1]
+        step = _log_sum(moves[None] + later[:, None, :], 2)
+        behind[t] = np.where(real[:, t + 1, None], step, behind[t + 1])
+    norm = _log_sum(ahead[-1], 1)
+    np.add.at(expected, codes.T, np.exp(ahead[:, :, 1] + behind[:, :, 1] - norm) * real.T * n)
+    for t in range(1, width):
+        later = behind[t].copy()
+        later[:, 1] += local[:, t]
+        joint = np.exp(ahead[t - 1][:, :, None] + moves[None] + later[:, None, :] - norm[:, None, None])
+        pairs += (joint * (real[:, t] * n)[:, None, None]).sum(axis=0)
+
+
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> LineField:
     """From documents whose ``labels (doc_id, quality)`` are known."""
     chosen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")) \
@@ -164,7 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> LineField:
         "doc_id", "quality", "codes", F.explode(F.sequence(F.lit(1), F.size("codes"), F.lit(CHAIN))).alias("at")) \
         .select("doc_id", "quality", "at", F.slice("codes", F.col("at"), CHAIN).alias("codes")) \
         .orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "codes").limit(SAMPLE_CHAINS).collect()
-    return fit_field([(r["codes"], r["quality"] > 0) for r in chains])
+    told = [(r["codes"], r["quality"] > 0) for r in chains]
+    return fit_field(list(zip([c for c, _ in told], line_targets(told))))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

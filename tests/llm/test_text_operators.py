@@ -152,3 +152,40 @@ def test_viterbi_equals_brute_force():
         best = max(score(codes, ys) for ys in product([0, 1], repeat=n))
         assert abs(score(codes, [int(y) for y in field.content(codes)]) - best) < 1e-9
     assert field.content([]) == []
+
+
+def test_lines_are_labelled_apart_from_their_document():
+    """Boilerplate planted in good documents and content planted in bad ones are both found."""
+    import random
+    rng = random.Random(7)
+
+    def content():
+        return " ".join(rng.choices(["the", "river", "runs", "slowly", "past", "old", "mills", "and", "fields"], k=rng.randrange(9, 15)))
+
+    def junk():
+        return " ".join(rng.choices(["###", "%%%", "$$$", "BUY", "NOW", "&&&", "12345"], k=rng.randrange(4, 9)))
+
+    docs = []
+    for i in range(200):
+        good = i % 2 == 0
+        lines = [content() if good else junk() for _ in range(6)]
+        lines.insert(rng.randrange(7), junk() if good else content())
+        docs.append((lines, good))
+    chains = [(quality.line_codes("\n".join(x).encode())[0], good) for x, good in docs[:120]]
+    field = quality.fit_field([(c, y) for (c, _), y in zip(chains, quality.line_targets(chains))])
+    right = total = mixed = 0
+    for lines, good in docs[120:]:
+        codes, sizes = quality.line_codes("\n".join(lines).encode())
+        told = field.content(codes)
+        share = sum(s for s, t in zip(sizes, told) if t) / sum(sizes)
+        mixed += 0 < share < 1
+        right += sum(t == ("river" in x or "the" in x or "mills" in x or "old" in x or "runs" in x) for t, x in zip(told, lines))
+        total += len(lines)
+    assert right / total > 0.95 and mixed > 70
+
+
+def test_very_long_text_is_judged_whole(spark):
+    rows = [(1, "good words of a line that goes on\n" * 60_000), (2, "x " * 500_000), (3, None)]
+    field = quality.fit_field([])
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string"), field).collect()}
+    assert got[1]["n_words"] == 480_000 and got[1]["n_dup_lines"] == 59_999 and got[2]["n_words"] == 500_000 and not got[3]["kept"]
