@@ -109,11 +109,16 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r:
         F.when(F.col("_swap"), F.col("cell_a")).otherwise(F.col("cell_b")).alias("cell_b"), "r", "n")
 
 
-def centred(df: DataFrame) -> DataFrame:
-    """``v`` less about its cell's mean, and that ``centre``. Sums of squares then keep their digits
-    however large the mean is."""
-    means = df.groupBy("cell_id").agg(F.avg("v").alias("centre"))
-    return lookup_join(df, means, "cell_id").select("cell_id", "t", (F.col("v") - F.col("centre")).alias("v"), "centre")
+def centres(df: DataFrame) -> DataFrame:
+    """``(cell_id, centre)``, settled."""
+    return settle(df.groupBy("cell_id").agg(F.avg("v").alias("centre")))
+
+
+def centred(df: DataFrame, means: DataFrame | None = None) -> DataFrame:
+    """``v`` less about its cell's mean. Sums of squares then keep their digits however large the
+    mean is."""
+    means = centres(df) if means is None else means
+    return lookup_join(df, means, "cell_id", settled=True).select("cell_id", "t", (F.col("v") - F.col("centre")).alias("v"))
 
 
 MANY_LAGS, POINT_BITS = 256, POINTS.bit_length() - 1
@@ -142,7 +147,7 @@ def lagged_sums(df: DataFrame, lags: int, size: int = BLOCK) -> DataFrame:
 def _spectral_sums(df: DataFrame, lags: int) -> DataFrame:
     """:func:`lagged_sums` by :mod:`spectral`. A row is a share of a series, a few megabytes."""
     points = 1 << POINT_BITS
-    known = settle(centred(df.filter("cell_id IS NOT NULL AND t IS NOT NULL AND v IS NOT NULL")).drop("centre"))
+    known = settle(centred(df.filter("cell_id IS NOT NULL AND t IS NOT NULL AND v IS NOT NULL")))
     ends = known.groupBy("cell_id").agg(F.max("t").alias("_last"))
     bits = F.ceil(F.log2(F.col("_last") + F.least(F.col("_last"), F.lit(lags)) + 1 + F.lit(0.5))).cast("int")
     dealt = lookup_join(known, ends.select("cell_id", bits.alias("bits")), "cell_id")
@@ -261,16 +266,15 @@ def series_summary(df: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
         yield (row.cell_id, row.blk, sums[0][1], sums[0][2], [r[-1] for r in sums],
                known[body][:k] if row.blk == 0 else None, known[max(len(known) - k, 0):])
 
-    moved = settle(centred(df))
-    centres = settle(moved.groupBy("cell_id").agg(F.first("centre").alias("centre")))
-    blocks = map_rows(pack_blocks(moved, size, k), summarise,
+    means = centres(df)
+    blocks = map_rows(pack_blocks(centred(df, means), size, k), summarise,
                       "cell_id STRING, blk BIGINT, n BIGINT, total DOUBLE, cross ARRAY<DOUBLE>, "
                       "head ARRAY<DOUBLE>, tail ARRAY<DOUBLE>")
     sums = blocks.groupBy("cell_id").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"),
         F.array(*[F.sum(F.col("cross")[d]) for d in range(k + 1)]).alias("cross"),
         F.min_by("head", "blk").alias("head"), F.max_by("tail", "blk").alias("tail"))
-    return lookup_join(sums, centres, "cell_id", salt_by="n", settled=True)
+    return lookup_join(sums, means, "cell_id", salt_by="n", settled=True)
 
 
 ADF_SCHEMA = ("cell_id STRING, stat DOUBLE, p_value DOUBLE, used_lag BIGINT, n_obs BIGINT, "

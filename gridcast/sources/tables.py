@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from gridcast.functions.exprs import cell_key, known
-from gridcast.functions.scale_out import lookup_join, span
+from gridcast.functions.scale_out import fits_broadcast, lookup_join, settle, span
 
 
 def _with_ordinal(df: DataFrame, name: str) -> DataFrame:
     """Row position in file order.
 
     Ids rise within a file split, so a row's position is its distance from the split's least
-    id plus the rows of the splits before. Only one small row per split is gathered; the rows
-    themselves stay where they are read.
+    id plus the rows of the splits before. Only one small row per split is gathered, a hundred
+    bytes for every 128 MB read; the rows themselves stay where they are read, unless there are
+    so many splits that these no longer fit a broadcast.
     """
     cols = df.columns
     rows = df.select("*", F.col("_metadata.file_path").alias("_file"),
@@ -24,8 +25,8 @@ def _with_ordinal(df: DataFrame, name: str) -> DataFrame:
     ends = rows.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
     before = W.orderBy("_file", "_split").rowsBetween(W.unboundedPreceding, -1)
     offsets = ends.select("_file", "_split", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # One row per split: a hundred bytes for every 128 MB read.
-    return rows.join(F.broadcast(offsets), ["_file", "_split"]) \
+    offsets = settle(offsets)
+    return rows.join(F.broadcast(offsets) if fits_broadcast(offsets) else offsets, ["_file", "_split"]) \
         .select((F.col("_before") + F.col("_id") - F.col("_low")).alias(name), *cols)
 
 
