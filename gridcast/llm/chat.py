@@ -11,8 +11,11 @@ Control strings inside a text are escaped so that they cannot be taken for the t
 come back unchanged: a backslash becomes ``\\0``, the ``<`` of ``<|``, ``<s>`` or ``</s>`` becomes
 ``\\1``, the ``[`` of ``[INST]`` or ``[/INST]`` ``\\2``, and a new line in a role ``\\3``.
 
-Nulls: a NULL text, role or part list is empty, a NULL turn comes first, NULL is a conversation
-id of its own. A part of an unknown type is treated as a document.
+Defined results: a NULL or empty text, role or part list is empty, a NULL turn comes first, NULL is
+a conversation id of its own. A part of an unknown type is treated as a document. Turns alike are
+ordered by role, then content; repeated rows are turns of their own. Very long texts are carried
+whole, so a conversation must fit a row. An empty table gives no rows. Only the named columns are
+read, so further ones of any name change nothing.
 """
 
 from __future__ import annotations

@@ -6,10 +6,13 @@ occurrence, so only stretches long enough for a window are indexed. All windows
 benchmark are searched backwards in that index, their occurrences located by the sampled
 suffix positions, and overlapping ones merged into removal spans.
 
-The benchmark is dealt in blocks of bounded size; one pass over the documents per block.
+The benchmark is dealt in blocks of bounded size; one settled pass over the documents per block.
 
-Nulls: a NULL text has no words; an item with a NULL id marks spans but is not listed. A
-repeated row is treated like any other. An empty benchmark hits nothing.
+Defined results: a NULL or empty text has no words; very long texts are searched whole; an item
+with a NULL id marks spans but is not listed, and items are listed in code-point order. Repeated
+rows are treated like any other, items of one id as one. An empty benchmark hits nothing, an
+empty table gives no rows. Input columns named like a result give way to it, in any case of
+letters; :func:`clean` keeps them.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from itertools import repeat
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from gridcast.functions.scale_out import settle
 from gridcast.llm.common import map_texts, utf8
 from gridcast.llm.fm_index import FMIndex
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20     # benchmark text of one block, held by every task
+BLOCK_BYTES = 2 << 20      # benchmark text of one block, held by every task in some 70 times the space
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 FIELDS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
                        T.StructField("spans", T.ArrayType(SPAN)),
@@ -128,6 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         last = i == n_blocks - 1
         names = keep if last or keep is None else [*keep, text]
         out = _pass(out, block, window, names, text, i > 0)
+        out = out if last else settle(out)             # one block in a task's memory at a time
     return out
 
 

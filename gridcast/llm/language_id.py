@@ -7,8 +7,12 @@ the dictionary in play over a long text. The score is the saving of the best ove
 best size. Where it is below ``MIN_MARGIN`` a stronger level has the last word, and if that is as
 narrow the document is rejected.
 
-``lang_pred`` is ``und`` (score 0, rejected) where the text is NULL or has no letter, or where
-no language was learned. Rows with a NULL language or ``doc_id`` teach nothing.
+Defined results: ``lang_pred`` is ``und`` (score 0, rejected) where the text is NULL, empty or has no
+letter, or where no language was learned. Very long texts are compressed whole, piece by piece.
+Of languages of equal size the first in the order of their names is taken, with score 0, and
+rejected. Rows with a NULL language or ``doc_id`` teach nothing; repeated rows are predicted alike.
+An empty table gives no rows. Input columns named like a result give way to it, in any case of
+letters.
 """
 
 from __future__ import annotations

@@ -11,7 +11,12 @@ it lets more lines through; the result stays exact.
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased. Documents
 are told apart by ``doc_id``: rows that share it count once and are treated alike, rows
-without it count as no document and stay whole. A NULL text is one empty line.
+without it count as no document and stay whole.
+
+Defined results: a NULL or empty text is one empty line; very long texts are read whole; of
+documents that share a line the one with the largest ``doc_id`` keeps it, in all of its places and
+rows. An empty table gives no rows. The user's columns travel in one struct, so any names are
+fine; one named like a result gives way to it, in any case of letters.
 """
 
 from __future__ import annotations

@@ -7,8 +7,11 @@ meet on these keys: exact copies are one node. Within a key, few members are com
 pair. More than ``PAIRWISE`` are dealt to chunks; each pair of chunks is compared in one task of
 bounded size that gives only the links of a spanning forest, never all pairs.
 
-Nulls and empty texts have fingerprint zero and link like any other. Rows without ``doc_id``
-take part; a component of only such rows has a NULL id.
+Defined results: NULL and empty texts have fingerprint zero and link like any other; very long
+texts are fingerprinted whole; a bit set in exactly half of the hashes is 0. Repeated rows share a
+fingerprint. Rows without ``doc_id`` take part; a component of only such rows has a NULL id. An
+empty table gives no rows. Input columns named ``fp`` or ``component_id``, in any case of letters,
+give way to the results.
 """
 
 from __future__ import annotations

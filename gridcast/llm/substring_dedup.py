@@ -14,8 +14,12 @@ document or the same one. Shards are dealt by content, so that equal windows alw
 An anchor with more than ``HOT_PIECES`` distinct pieces is taken apart: its windows, equal ones
 added up, are dealt to shards by their own hash, so no anchor outgrows a shard.
 
-A NULL text has no words. Rows are occurrences of their own: repeated rows repeat all their
-windows. Windows are judged on the input, not on what is left of it.
+Defined results: a NULL or empty text has no words; very long texts are searched whole. Rows are
+occurrences of their own: repeated rows repeat all their windows. Of equally small 8-grams the
+first is the anchor, which decides where a window is looked up but not whether it is found.
+Windows are judged on the input, not on what is left of it. An empty table gives no rows. The
+user's columns travel in one struct, so any names are fine; one named like a result gives way to
+it, in any case of letters.
 """
 
 from __future__ import annotations
