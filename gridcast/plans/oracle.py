@@ -382,6 +382,8 @@ SQL = {
         "sum((y - target) ** 2) / count(DISTINCT window_id)", "cost")} FROM win""",
     "mse": f"{FORECAST} SELECT cell_id, {r('avg((y - yhat) ** 2)', 'mse')} FROM pred GROUP BY 1",
     "mae": f"{FORECAST} SELECT cell_id, {r('avg(abs(y - yhat))', 'mae')} FROM pred GROUP BY 1",
+    "arma_day_forecast_ar1": f"""{FORECAST} SELECT cell_id, {r('avg((y - yhat) ** 2)', 'mse')}, {r('avg(abs(y - yhat))', 'mae')}
+        FROM pred GROUP BY 1""",
     "actual_vs_forecast": f"""{FORECAST} SELECT cell_id, t, {r("y", "y")}, {r("yhat", "yhat")}
         FROM pred ORDER BY cell_id, t""",
 }

@@ -475,6 +475,12 @@ def arma_day_forecast(spark, sf_dir):
     return _rounded(forecasts.arma_day_forecast(ser, CFG.train, CFG.order).scores, "mse", "mae")
 
 
+def arma_day_forecast_ar1(spark, sf_dir):
+    """The whole forecast with an order that SQL can follow."""
+    done = forecasts.arma_day_forecast(settle(_weekly(spark, sf_dir)), TRAIN_WEEKS, (1, 0))
+    return _rounded(done.scores.select("cell_id", "mse", "mae"), "mse", "mae")
+
+
 def compressed_day_forecast(spark, sf_dir):
     ser = settle(_traffic(spark, sf_dir))
     done = forecasts.compressed_day_forecast(ser, TARGET, CFG)
@@ -493,4 +499,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     arma_order_search_ar, corrupt_mask, latent_encode, latent_decode, reconstruction_cost,
     latent_gradient, latent_fit, latent_fit_two_epochs, latent_fit_two_batches, latent_stack_step,
     sequence_forecast, sequence_fit, sequence_cost, mse, mae,
-    actual_vs_forecast, arma_day_forecast, compressed_day_forecast)}
+    actual_vs_forecast, arma_day_forecast, arma_day_forecast_ar1, compressed_day_forecast)}
