@@ -52,16 +52,27 @@ def supervised_windows(features: DataFrame, steps: int, pad: str = "drop",
 
 
 def windows_at(features: DataFrame, steps: int, selected: Column,
-               names: Sequence[str] = FEATURES) -> DataFrame:
-    """Only the windows whose ``window_id`` meets ``selected``, without unrolling the rest."""
+               names: Sequence[str] = FEATURES, pad: str = "drop") -> DataFrame:
+    """Only the windows whose ``window_id`` meets ``selected``, without unrolling the rest.
+
+    ``pad="zeros"`` adds those of the selected windows that start too late to have targets, up to
+    ``steps`` of them, as all zeros.
+    """
     n = last_slot(features) + 1
     starts = features.select(F.col("t").alias("window_id")) \
         .filter(F.col("window_id") < n - 2 * steps).filter(selected)
     slots = starts.select("window_id", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")) \
         .withColumn("t", F.col("window_id") + F.col("step"))
     ahead = features.select((F.col("t") - steps).alias("t"), F.col("y").alias("target"))
-    return slots.join(features.select("t", *names).join(ahead, "t"), "t") \
+    out = slots.join(features.select("t", *names).join(ahead, "t"), "t") \
         .select("window_id", "step", *names, "target")
+    if pad == "zeros":
+        late = features.filter((F.col("t") >= n - 2 * steps) & (F.col("t") < n - steps)) \
+            .select(F.col("t").alias("window_id")).filter(selected)
+        blank = late.select("window_id", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"),
+                            *[F.lit(0.0).alias(c) for c in (*names, "target")])
+        out = out.unionByName(blank)
+    return out
 
 
 def window_batches(windows: DataFrame, size: int, batches: int) -> DataFrame:

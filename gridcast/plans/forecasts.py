@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridcast.config import Granularity
+from gridcast.config import GRID_START, Granularity
 from gridcast.functions.scale_out import settle
 from gridcast.operators import arma, clean, latent, metrics, sequence, windows
-from gridcast.sources.tables import only_cells, select_target
+from gridcast.sources.tables import attach_time, only_cells, select_target
 
 
 def load_series(traffic: DataFrame, thresh: int, cells: DataFrame | None = None,
@@ -56,6 +57,25 @@ def arma_day_forecast(series: DataFrame, train: int, order: tuple[int, int] | No
     return ArmaForecast(fits, arma.arma_predict_in_sample(known, params), ahead, scores)
 
 
+def slot_of(label: str, minutes: int, begin: str = GRID_START) -> int:
+    """The slot that starts at a time label; ValueError if none does."""
+    passed = datetime.fromisoformat(label) - datetime.fromisoformat(begin)
+    if passed % timedelta(minutes=minutes):
+        raise ValueError(f"no slot starts at {label}")
+    return passed // timedelta(minutes=minutes)
+
+
+def arma_forecast_between(known: DataFrame, params: DataFrame, minutes: int, start: str, end: str,
+                          begin: str = GRID_START) -> DataFrame:
+    """``(cell_id, p, q, t, ts, yhat)`` for the slots labelled ``start`` to ``end``, both included,
+    that come after a cell's last known one."""
+    first, last = slot_of(start, minutes, begin), slot_of(end, minutes, begin)
+    ends = known.groupBy("cell_id").agg(F.max("t").alias("t")).agg(F.min("t")).first()[0]
+    horizon = max(last - (last if ends is None else ends), 1)
+    ahead = arma.arma_forecast(known, params, horizon).filter(F.col("t").between(first, last))
+    return attach_time(ahead, begin, minutes).select("cell_id", "p", "q", "t", "ts", "yhat")
+
+
 @dataclass
 class CompressedForecast:
     latent_model: latent.LatentModel
@@ -73,8 +93,9 @@ def compressed_features(series: DataFrame, target: str, model: latent.LatentMode
 def compressed_day_forecast(series: DataFrame, target: str, cfg: Granularity,
                             latent_epochs: int | None = None, epochs: int | None = None,
                             init: str = "seeded", mask_at_encode: bool = False,
-                            seed: int = 0) -> CompressedForecast:
-    """Compress the cells, train the forecaster, score it on the strided test windows.
+                            seed: int = 0, pad: str = "drop") -> CompressedForecast:
+    """Compress the cells, train the forecaster, score it on the strided test windows (with
+    ``pad="zeros"`` also on the empty ones at the end).
 
     The features are made once and reused by every epoch.
     """
@@ -85,7 +106,7 @@ def compressed_day_forecast(series: DataFrame, target: str, cfg: Granularity,
                                           seed if mask_at_encode else None))
     model = sequence.sequence_fit(features, cfg, epochs, seed=seed)
     chosen = settle(windows.windows_at(features, cfg.day,
-                                       windows.strided(F.col("window_id"), *cfg.evaluate)))
+                                       windows.strided(F.col("window_id"), *cfg.evaluate), pad=pad))
     pred = settle(model.forecast(chosen))
     actual = chosen.select("window_id", "step", F.col("target").alias("y"))
     on = ["window_id", "step"]

@@ -5,6 +5,7 @@ import pytest
 
 from gridcast.functions import solvers
 from gridcast.operators import arma
+from gridcast.plans import forecasts
 from tests.test_sources_and_cleaning import long
 
 
@@ -246,3 +247,16 @@ def test_large_search_agrees_with_single_fits(spark):
     for i, cell in enumerate("ab"):
         for p, q in orders:
             assert math.isclose(got[cell, p, q], solvers.css_fit(x[i], p, q)[1], rel_tol=1e-12)
+
+
+def test_forecast_by_time_labels(spark):
+    x = np.random.default_rng(3).normal(size=60).cumsum()
+    df = long(spark, a=x.tolist(), b=x[:50].tolist())
+    params = arma.arma_fit(df, [(1, 0)]).select("cell_id", "p", "q", "mu", "phi", "theta")
+    got = forecasts.arma_forecast_between(df, params, 45, "2014-06-02 21:00:00", "2014-06-02 22:30:00").collect()
+    assert forecasts.slot_of("2014-06-02 21:00:00", 45) == 60
+    want = {(r.cell_id, r.t): r.yhat for r in arma.arma_forecast(df, params, 13).collect()}
+    assert {(r.cell_id, r.t): r.yhat for r in got} == {(c, t): want[c, t] for c in "ab" for t in (60, 61, 62)}
+    assert {str(r.ts) for r in got if r.t == 61} == {"2014-06-02 21:45:00"}
+    with pytest.raises(ValueError):
+        forecasts.slot_of("2014-06-02 21:10:00", 45)

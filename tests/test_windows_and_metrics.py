@@ -39,6 +39,15 @@ def test_windows_at_equals_filtering(spark):
     assert sorted({r.window_id for r in some.collect()}) == list(range(3, 40, 2))[::3]
 
 
+def test_padded_windows_at_equal_filtering(spark):
+    f = features(spark, 23)
+    pick = F.col("window_id").isin(3, 13, 14, 18, 20, 40)
+    order = ["window_id", "step"]
+    want = windows.supervised_windows(f, 4, "zeros").filter(pick).orderBy(*order).collect()
+    assert windows.windows_at(f, 4, pick, pad="zeros").orderBy(*order).collect() == want and want[-1].target == 0.0
+
+
+
 @pytest.mark.parametrize("minutes,allocated,filled,scored,zero", [
     (5, 8306, 8018, 8, 0), (15, 2765, 2669, 9, 1), (30, 1379, 1331, 8, 1), (45, 914, 882, 7, 0)])
 def test_window_counts_of_each_granularity(spark, minutes, allocated, filled, scored, zero):
