@@ -18,6 +18,7 @@ from gridcast.functions.exprs import pearson
 from gridcast.functions.scale_out import (BLOCK, div, lookup_join, map_rows, pack_blocks, row_groups, settle,
                                           spread, spread_out)
 from gridcast.functions.spectral import POINTS, Split
+from gridcast.operators import sketch
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 SUM_TYPES = "n BIGINT, sx DOUBLE, sy DOUBLE, sxx DOUBLE, syy DOUBLE, sxy DOUBLE"
@@ -60,7 +61,9 @@ class PairSums:
 def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r: float | None = None) -> DataFrame:
     """``(cell_a, cell_b, r, n)``: Pearson over the slots both cells know; NULL if constant.
 
-    All pairs are the result unless ``min_abs_r`` keeps the correlated ones only.
+    All pairs are the result unless ``min_abs_r`` keeps the correlated ones only. Then pairs of complete
+    cells that cannot reach it are never multiplied out (see ``sketch``); the rows are those of the
+    full product, filtered.
 
     A blocked X'X: packed rows (one cell, ``size`` slots) meet by pair of cell groups. A task walks
     the slot blocks of its pair, multiplies two small matrices at each and gives every pair of
@@ -69,17 +72,26 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r:
     however long the series, rows are never paired one by one, and no task outgrows
     ``2 * group * size`` values and six sums per pair of cells of two groups.
     """
-    stats = settle(df.groupBy("cell_id").agg(F.avg("v").alias("_m")))
-    groups = max(1, math.ceil(stats.count() / group))
-    shares = max(1, math.ceil(4 * df.sparkSession.sparkContext.defaultParallelism / (groups * (groups + 1) // 2)))
-    centred = lookup_join(df, stats, "cell_id", settled=True) \
+    known = F.when(F.col("v").isNotNull(), F.col("t"))
+    stats = settle(df.groupBy("cell_id").agg(F.avg("v").alias("_m"), F.count(known).alias("n"),
+                                             F.min(known).alias("first"), F.max(known).alias("last")))
+    centred = lookup_join(df, stats.select("cell_id", "_m"), "cell_id", settled=True) \
         .select("cell_id", "t", (F.col("v") - F.col("_m")).alias("v"))
     packed = pack_blocks(centred, size)
-    own = F.pmod(F.xxhash64("cell_id"), F.lit(groups))
-    pairs = packed.withColumn("_g", own) \
-        .withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) \
-        .withColumn("_ga", F.least("_g", "_h")).withColumn("_gb", F.greatest("_g", "_h")) \
-        .withColumn("_s", F.pmod("blk", F.lit(shares)))
+    if min_abs_r is not None and min_abs_r > 0:
+        packed = settle(packed)
+        taken = sketch.seats(packed, stats, min_abs_r, group, size)
+        tiles = max(1, taken.select("_ga", "_gb").distinct().count())
+        pairs = lookup_join(packed, taken, "cell_id", salt_by="blk", settled=True)
+    else:
+        groups = max(1, math.ceil(stats.count() / group))
+        tiles = groups * (groups + 1) // 2
+        own = F.pmod(F.xxhash64("cell_id"), F.lit(groups))
+        pairs = packed.withColumn("_g", own) \
+            .withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) \
+            .withColumn("_ga", F.least("_g", "_h")).withColumn("_gb", F.greatest("_g", "_h"))
+    shares = max(1, math.ceil(4 * df.sparkSession.sparkContext.defaultParallelism / tiles))
+    pairs = pairs.withColumn("_s", F.pmod("blk", F.lit(shares)))
     key = ["_ga", "_gb", "_s"]
 
     def walk(frames):

@@ -248,6 +248,13 @@ SQL = {
     "spatial_corr": f"""WITH {SHIPMENTS}, pair AS (SELECT a.cell_id AS cell_a, b.cell_id AS cell_b,
         a.v AS x, b.v AS y FROM src a JOIN src b USING (t))
         SELECT cell_a, cell_b, {r(PEARSON, "r")}, count(*) AS n FROM pair GROUP BY 1, 2""",
+    "spatial_corr_strong": f"""WITH {SHIPMENTS},
+    {SCALED},
+    t_start AS (SELECT quantile_disc(f, 0.9) AS s FROM firsts),
+    ser AS (SELECT cell_id, t - s AS t, v FROM scaled JOIN firsts USING (cell_id), t_start WHERE f <= s AND t >= s),
+    pair AS (SELECT a.cell_id AS cell_a, b.cell_id AS cell_b, a.v AS x, b.v AS y FROM ser a JOIN ser b USING (t)),
+    corr AS (SELECT cell_a, cell_b, {PEARSON} AS r, count(*) AS n FROM pair GROUP BY 1, 2)
+        SELECT cell_a, cell_b, {r("r", "r")}, n FROM corr WHERE abs(r) >= {q.STRONG}""",
     "autocorrelation": f"""{LAGS} SELECT cell_id, lag, {r(PEARSON, "r")} FROM lags
         WHERE lag > 0 GROUP BY 1, 2""",
     "autocorrelation_large_mean": f"""WITH {SHIPMENTS}, lags AS (SELECT a.cell_id, a.t - b.t AS lag, a.v AS x, b.v AS y

@@ -21,6 +21,7 @@ CFG = GRANULARITIES[45]
 STEPS = CFG.day
 TARGET = "signup"
 TRAIN_WEEKS = 280
+STRONG = 0.2
 MU, PHI, THETA = 0.4123457, (0.5123457, -0.2234567), (0.3141593,)
 BIAS = (0.1, -0.2)
 STACK_BIAS, STACK_BACK = (-0.1, 0.15), (0.2, -0.05, 0.1)
@@ -182,6 +183,13 @@ def spatial_corr(spark, sf_dir):
     return _rounded(stats.spatial_corr(settle(stand_ins.supplier_shipments(spark, sf_dir))), "r")
 
 
+def spatial_corr_strong(spark, sf_dir):
+    """Only the correlated pairs of filled suppliers side by side; the others are pruned, not filtered."""
+    shipments = settle(stand_ins.supplier_shipments(spark, sf_dir))
+    filled = settle(clean.prepare(shipments, start=clean.usual_start(shipments)))
+    return _rounded(stats.spatial_corr(filled, group=32, min_abs_r=STRONG), "r")
+
+
 def autocorrelation(spark, sf_dir):
     return _rounded(stats.autocorrelation(_weekly(spark, sf_dir), 12), "r")
 
@@ -490,7 +498,7 @@ def compressed_day_forecast(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     scan_cells, scan_traffic_wide, reindex_cells, time_grid, wide_to_long, long_to_wide,
     select_target, write_series, drop_sparse_cells, interpolate_linear, minmax_scale,
-    tanh_scale_columns, tanh_scale_global, first_difference, sigmoid_affine, spatial_corr,
+    tanh_scale_columns, tanh_scale_global, first_difference, sigmoid_affine, spatial_corr, spatial_corr_strong,
     autocorrelation, autocorrelation_large_mean, acf, acf_all_lags, pacf, pacf_two_lags,
     adf_test, adf_test_own_lags, adf_one_lag, adf_lag0, column_stack,
     train_test_split, batch_slices, supervised_windows, supervised_windows_padded,

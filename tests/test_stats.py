@@ -3,9 +3,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gridcast.functions import solvers
-from gridcast.operators import arma, stats
+from gridcast.functions.scale_out import pack_blocks
+from gridcast.operators import arma, sketch, stats
 from tests.test_sources_and_cleaning import LONG, long
 
 
@@ -50,6 +52,54 @@ def test_pair_sums_are_shuffled_once_however_many_blocks():
             assert math.isclose(got.loc[a, "abcd"[j]]["sxy"], (x[i] * x[j])[both].sum(), rel_tol=1e-12)
 
 
+def families(cells, n, seed):
+    """Cells of a few daily shapes, some upside down, some alone; then cells with gaps and a flat one."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(n)
+    shapes = [np.sin(2 * np.pi * (k + 1) * t / 24 + k) + 0.5 * np.sin(2 * np.pi * t / (60 + 9 * k)) for k in range(8)]
+    out = {}
+    for i in range(cells):
+        own = shapes[i % 8] if i % 5 else np.cumsum(rng.normal(size=n)) / 8
+        out[f"c{i:03d}"] = (-1) ** (i // 8) * own * (1 + i % 3) + 100 + rng.normal(size=n) * 0.15 * (i % 4)
+    return pd.DataFrame(out | {"flat": np.full(n, 0.1)})
+
+
+@pytest.mark.parametrize("least", [0.5, 0.99])
+@pytest.mark.parametrize("holes", [0, 7])
+def test_pruned_correlation_loses_no_pair(spark, least, holes):
+    rng = np.random.default_rng(5)
+    frame = families(60, 200, 1)
+    some = list(frame.columns[:holes])
+    frame[some] = gaps(frame[some], rng, 0.1)
+    df = to_spark(spark, frame).cache()
+    got = stats.spatial_corr(df, 4, 64, min_abs_r=least).toPandas()
+    want = stats.spatial_corr(df, 128, 64).filter(f"abs(r) >= {least}").toPandas()
+    # a pair at the very bound may fall to either side by the last digit
+    got, want = ({(a, b): (r, n) for a, b, r, n in f[["cell_a", "cell_b", "r", "n"]].itertuples(index=False)
+                  if abs(r) > least + 1e-9} for f in (got, want))
+    assert got.keys() == want.keys()
+    assert any(r < 0 for r, _ in got.values()) and len(got) > 60
+    for k in got:
+        assert math.isclose(got[k][0], want[k][0], abs_tol=1e-9) and got[k][1] == want[k][1]
+
+
+def test_pruning_examines_few_pairs(spark):
+    frame = families(240, 300, 2)
+    packed = pack_blocks(to_spark(spark, frame - frame.mean()), 128)
+    cells = packed.groupBy("cell_id").agg(F.lit(300).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("first"),
+                                          F.lit(299).cast("bigint").alias("last"))
+    examined = sketch.pairs_examined(sketch.seats(packed, cells, 0.95, 8, 128))
+    r = frame.drop(columns="flat").corr().abs().to_numpy()
+    wanted = int((r[np.triu_indices(240)] >= 0.95).sum())
+    print(f"pairs examined {examined} of {240 * 241 // 2}, above the bound {wanted}")
+    assert wanted <= examined < 240 * 241 // 2 / 3
+
+
+def test_pruned_correlation_of_nothing(spark):
+    assert stats.spatial_corr(spark.createDataFrame([], LONG), min_abs_r=0.5).count() == 0
+    assert stats.spatial_corr(long(spark, a=[1.0] * 20, b=[2.0] * 20), min_abs_r=0.5).count() == 0
+
+
 def test_spatial_corr_of_a_constant(spark):
     got = stats.spatial_corr(long(spark, a=[1.0, 1.0], b=[3.0, 4.0])).collect()
     assert {(r.cell_a, r.cell_b): r.r for r in got} == {
