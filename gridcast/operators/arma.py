@@ -25,6 +25,7 @@ from gridcast.functions.scale_out import (BLOCK, FAN_IN, div, lookup_join, map_r
 from gridcast.operators.stats import series_summary
 
 BROADCAST_MODELS = 100_000   # a model is under 1 kB
+TRIALS = 8                 # steps tried in one pass after one without gain
 IN_TASK = 32_768           # longest series fitted inside one task; the result does not depend on it
 PARAMS = "cell_id STRING, p INT, q INT, mu DOUBLE, phi ARRAY<DOUBLE>, theta ARRAY<DOUBLE>"
 ROWS_OF_STATES = "ARRAY<ARRAY<DOUBLE>>"
@@ -402,91 +403,130 @@ def _starts(df: DataFrame, orders: list[tuple[int, int]], jobs: DataFrame, size:
     return map_rows(joined, solve, "cell_id STRING, p INT, q INT, beta ARRAY<DOUBLE>")
 
 
-def _run_derivatives(df: DataFrame, params: DataFrame, size: int, fan_in: int) -> DataFrame:
-    """``(cell_id, p, q, n, z)`` per block: products of the residuals and their exact Jacobian."""
-    blocks, size, halo = _blocks_with_models(df, _bundle(params), size)
+def _run_derivatives(packed: DataFrame, models: DataFrame, size: int, halo: int, fan_in: int, short: bool) -> DataFrame:
+    """``(cell_id, p, q, k, n, z)`` per block and trial ``k``: products of the residuals and their exact
+    Jacobian. ``short``: no series has more than ``fan_in`` blocks, so one fold per series does."""
+    blocks = packed.join(models, "cell_id")
 
     def inputs(row):
         body = int(max(row.off)) + 1 - halo
         if body > 0:
             x = spread_out(row.off, row.x, halo + body)
             for m in row.models:
-                yield m, solvers.derivative_inputs(x, halo, int(row.blk) * size, m["mu"], np.asarray(m["phi"], float))
+                p = m["p"]
+                for k, beta in enumerate(m["trials"]):
+                    beta = np.asarray(beta, float)
+                    yield p, m["q"], k, beta[1 + p:], solvers.derivative_inputs(x, halo, int(row.blk) * size, beta[0], beta[1:1 + p])
 
     def ends(row):
         out, thetas, length = [], [], 0
-        for m, u in inputs(row):
-            th = np.asarray(m["theta"], float)
-            out.append(solvers.joint_filter(u, th, None)[1])
-            thetas.append(th)
+        for _, _, _, theta, u in inputs(row):
+            out.append(solvers.joint_filter(u, theta, None)[1])
+            thetas.append(theta)
             length = len(u)
         if length:
             yield row.cell_id, row.blk, length, out, thetas
 
-    starts, _ = _carry(map_rows(blocks, ends, f"cell_id STRING, blk BIGINT, len BIGINT, "
-                                              f"ends {ROWS_OF_STATES}, thetas {ROWS_OF_STATES}"), fan_in)
+    closed = map_rows(blocks, ends, f"cell_id STRING, blk BIGINT, len BIGINT, ends {ROWS_OF_STATES}, thetas {ROWS_OF_STATES}")
+    if short:
+        starts = map_rows(_grouped(closed, ["cell_id"], "blk"), _starts_inside, f"cell_id STRING, blk BIGINT, start {ROWS_OF_STATES}")
+    else:
+        starts, _ = _carry(closed, fan_in)
 
     def products(row):
-        for (m, u), s in zip(inputs(row), row.start):
-            th = np.asarray(m["theta"], float)
-            z = solvers.joint_filter(u, th, np.asarray(s, float))[0][max(m["p"] - int(row.blk) * size, 0):]
-            yield row.cell_id, m["p"], m["q"], len(z), (z.T @ z).ravel()
+        for (p, q, k, theta, u), s in zip(inputs(row), row.start):
+            z = solvers.joint_filter(u, theta, np.asarray(s, float))[0][max(p - int(row.blk) * size, 0):]
+            yield row.cell_id, p, q, k, len(z), (z.T @ z).ravel()
 
     return map_rows(blocks.join(starts, ["cell_id", "blk"]), products,
-                    "cell_id STRING, p INT, q INT, n BIGINT, z ARRAY<DOUBLE>")
+                    "cell_id STRING, p INT, q INT, k INT, n BIGINT, z ARRAY<DOUBLE>")
+
+
+def _starts_inside(row):
+    s = _zero_states(row.parts)
+    for part in row.parts:
+        yield row.cell_id, part["blk"], s
+        s = _fold(s, row.thetas, int(part["len"]), part["ends"])
+
+
+def _proposed(best: np.ndarray, gram: np.ndarray, lam: float, p: int, most: int) -> list[tuple[np.ndarray, float]]:
+    """The next ``most`` admissible steps of ``solvers.css_fit``, each with its damping; none are left
+    when the damping has reached its limit. The first without a solution raises."""
+    out = []
+    while lam < 1e12 and len(out) < most:
+        try:
+            trial = best + solvers.damped_step(gram[1:, 1:], gram[1:, 0], lam)
+        except np.linalg.LinAlgError:
+            if not out:
+                raise
+            break
+        if solvers.admissible(trial[1:1 + p], trial[1 + p:]):
+            out.append((trial, lam))
+        lam *= 10
+    return out
+
+
+def _advance(row, rounds: int):
+    """One round of ``_refine`` for one model: take the first trial that improves, propose the next ones."""
+    width = 1 + len(row.trials[0])
+    sums = np.array([part["z"] for part in row.tried], float).reshape(len(row.trials), width * width)
+    count, lam, steps = int(row.tried[0]["count"]), row.lam, int(row.steps)
+    same = row.cell_id, row.p, row.q
+    done = ok = rejected = False
+    if row.best is None:
+        best, gram = row.trials[0], sums[0]
+        if not np.all(np.isfinite(gram)):
+            yield *same, row.trials, row.lams, None, None, None, count, lam, steps, True, False
+            return
+    else:
+        best, gram = row.best, np.array(row.gram, float)
+        taken = next((i for i, z in enumerate(sums) if z[0] <= row.sse), None)
+        if taken is None:
+            lam, rejected = row.lams[-1] * 10, True
+        else:
+            best, gram, lam, steps = row.trials[taken], sums[taken], max(row.lams[taken] / 10, 1e-12), steps + 1
+            ok = row.sse - gram[0] <= 1e-11 * gram[0]
+            done = ok or steps >= rounds
+    sse, g = float(gram[0]), gram.reshape(width, width)
+    trials = []
+    if not done:
+        try:
+            trials = _proposed(np.array(best, float), g, lam, row.p, TRIALS if rejected else 2)
+        except np.linalg.LinAlgError:          # no solution: a row of NULLs
+            yield *same, row.trials, row.lams, None, None, None, count, lam, steps, True, False
+            return
+        if not trials:
+            done, ok = True, bool(np.all(np.abs(g[1:, 0]) <= 1e-5 * np.sqrt(np.diag(g)[1:] * sse + 1e-300)))
+    yield (*same, [t for t, _ in trials], [at for _, at in trials], best, gram, sse, count, lam, steps, done, ok)
 
 
 def _refine(df: DataFrame, orders: list[tuple[int, int]], jobs: DataFrame, size: int, fan_in: int,
             rounds: int = 100) -> DataFrame:
-    """``solvers.css_fit`` over blocks: one pass per trial step, up to ``rounds`` steps a model."""
+    """``solvers.css_fit`` over blocks, up to ``rounds`` steps a model: the same steps in the same order.
+
+    A round is one pass over blocks packed once. It tries the next step of every live model with
+    growing damping, two at a time and ``TRIALS`` after a round without gain, and takes the first
+    that improves; rejected steps thus seldom cost a pass of their own.
+    """
+    halo = max(p for p, _ in orders)
+    size = max(size, halo)
+    packed = settle(pack_blocks(df, size, halo))
+    short = (packed.agg(F.max("blk")).first()[0] or 0) < fan_in
+    numbers = F.array().cast("array<double>")
     state = settle(_starts(df, orders, jobs, size).select(
-        "cell_id", "p", "q", "beta", F.lit(None).cast("array<double>").alias("best"),
+        "cell_id", "p", "q", F.array("beta").alias("trials"), numbers.alias("lams"), F.lit(None).cast("array<double>").alias("best"),
         F.lit(None).cast("array<double>").alias("gram"), F.lit(None).cast("double").alias("sse"),
         F.lit(None).cast("bigint").alias("n"), F.lit(1e-3).alias("lam"), F.lit(0).alias("steps"),
         F.lit(False).alias("done"), F.lit(False).alias("ok")))
     schema = ", ".join(f"{k} {v}" for k, v in state.dtypes)
-
-    def shape(row):
-        b = np.array(row.beta, float)
-        yield row.cell_id, row.p, row.q, float(b[0]), b[1:1 + row.p], b[1 + row.p:]
-
-    def advance(row):
-        new, lam, steps, width = np.array(row.total, float), row.lam, int(row.steps), len(row.beta) + 1
-        first = row.best is None
-        if first and not np.all(np.isfinite(new)):
-            yield row.cell_id, row.p, row.q, row.beta, None, None, None, row.count, lam, steps, True, False
-            return
-        best, gram, sse = (row.beta, new, float(new[0])) if first else (row.best, np.array(row.gram, float), float(row.sse))
-        done = ok = False
-        if not first:
-            if new[0] <= sse:
-                gain = sse - new[0]
-                best, gram, sse, lam, steps = row.beta, new, float(new[0]), max(lam / 10, 1e-12), steps + 1
-                ok = gain <= 1e-11 * sse
-                done = ok or steps >= rounds
-            else:
-                lam *= 10
-        g, trial = gram.reshape(width, width), np.array(best, float)
-        while not done:
-            if lam >= 1e12:
-                done = True
-                ok = bool(np.all(np.abs(g[1:, 0]) <= 1e-5 * np.sqrt(np.diag(g)[1:] * sse + 1e-300)))
-                break
-            try:
-                trial = np.array(best, float) + solvers.damped_step(g[1:, 1:], g[1:, 0], lam)
-            except np.linalg.LinAlgError:      # no solution: a row of NULLs
-                yield row.cell_id, row.p, row.q, row.beta, None, None, None, row.count, lam, steps, True, False
-                return
-            if solvers.admissible(trial[1:1 + row.p], trial[1 + row.p:]):
-                break
-            lam *= 10
-        yield row.cell_id, row.p, row.q, trial, best, gram, sse, row.count, lam, steps, done, ok
-
     keys = ["cell_id", "p", "q"]
-    while not (live := state.filter(~F.col("done"))).isEmpty():
-        params = map_rows(live, shape, PARAMS)
-        totals = _summed(_run_derivatives(df, params, size, fan_in), keys)
-        stepped = map_rows(live.join(totals, keys), advance, schema)
+    while count := (live := state.filter(~F.col("done"))).count():
+        models = _bundle_small(live.select(*keys, "trials"), count)
+        parts = _run_derivatives(packed, models, size, halo, fan_in, short)
+        totals = parts.select(*keys, "k", "n", F.posexplode("z").alias("pos", "z")) \
+            .groupBy(*keys, "k", "pos").agg(F.sum("z").alias("z"), F.sum("n").alias("count")) \
+            .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "pos", "z", "count"))).alias("tried"))
+        stepped = map_rows(live.join(totals, keys), lambda row: _advance(row, rounds), schema)
         state = settle(stepped.unionByName(state.filter("done")))
     best = F.col("best")
     return state.filter("best IS NOT NULL").select(
@@ -494,6 +534,12 @@ def _refine(df: DataFrame, orders: list[tuple[int, int]], jobs: DataFrame, size:
         F.slice(best, F.col("p") + 2, F.col("q")).alias("theta"), "sse", "n", F.col("ok").alias("converged"))
 
 
+def _bundle_small(live: DataFrame, count: int) -> DataFrame:
+    """``(cell_id, models)`` of the live models, broadcast while ``count`` of them are known to be few."""
+    models = live.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("p", "q", "trials"))).alias("models"))
+    return F.broadcast(models) if count * TRIALS <= BROADCAST_MODELS else models
+
+
 def arma_order_search(df: DataFrame, max_p: int, max_q: int, **how) -> DataFrame:
     """Per cell the order with the smallest BIC over p < max_p, q < max_q.
 

@@ -1,4 +1,5 @@
 import math
+from collections import namedtuple
 
 import numpy as np
 import pytest
@@ -140,6 +141,47 @@ def test_blocked_fit_equals_the_fit_in_a_task(spark, order):
     assert split["gap"].converged is False and split["gap"].bic is None
 
 
+@pytest.mark.parametrize("order,seed", [((2, 2), 3), ((3, 1), 4), ((1, 2), 8)])
+def test_rounds_take_the_steps_of_the_fit_in_a_task(monkeypatch, order, seed):
+    """Several dampings a round, the first that improves wins: the same steps, in fewer rounds than trials."""
+    p, q = order
+    y = simulate(260, [0.9, -0.3], [0.6], 3.0, seed)
+    y[::17] += 6.0
+    tried = []
+    residuals = solvers.css_residuals
+    monkeypatch.setattr(solvers, "css_residuals", lambda *a: tried.append(a[1]) or residuals(*a))
+    beta, sse, ok = solvers.css_fit(y, p, q)
+    evaluations = len(tried)
+
+    def sums(trials):
+        for k, b in enumerate(trials):
+            e = residuals(y, np.asarray(b, float), p, q)
+            z = np.column_stack([e, solvers.css_jacobian(y, e, np.asarray(b, float), p, q)])[p:]
+            yield from ({"k": k, "pos": i, "z": v, "count": len(z)} for i, v in enumerate((z.T @ z).ravel()))
+
+    names = "cell_id p q trials lams best gram sse n lam steps done ok"
+    Row = namedtuple("Row", names + " tried")
+    row, rounds = ("a", p, q, [solvers.css_start(y, p, q)], [], None, None, None, None, 1e-3, 0, False, False), 0
+    while not row[11]:
+        (row,) = arma._advance(Row(*row, list(sums(row[3]))), 100)
+        rounds += 1
+    got = dict(zip(names.split(), row))
+    assert got["ok"] == ok and rounds <= evaluations
+    assert math.isclose(got["sse"], sse, rel_tol=1e-9)
+    np.testing.assert_allclose(got["best"], beta, rtol=1e-5)
+
+
+def test_damping_is_tried_ahead():
+    """After a round without gain the next dampings come together; at their end there are none."""
+    gram = np.array([[4.0, 1.0], [1.0, 2.0]])
+    some = arma._proposed(np.array([0.5]), gram, 1e-2, 0, arma.TRIALS)
+    assert [round(math.log10(lam)) for _, lam in some] == list(range(-2, -2 + arma.TRIALS))
+    for trial, lam in some:
+        assert math.isclose(trial[0], 0.5 - 1.0 / (2.0 + lam * 2.0), rel_tol=1e-9)
+    assert len(arma._proposed(np.array([0.5]), gram, 1e10, 0, arma.TRIALS)) == 2
+    assert arma._proposed(np.array([0.5]), gram, 1e12, 0, arma.TRIALS) == []
+
+
 def test_order_search(series):
     data, df = series
     fits = {(r.cell_id, r.p, r.q): r for r in
