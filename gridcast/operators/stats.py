@@ -10,17 +10,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridcast.functions import solvers, spectral
 from gridcast.functions.exprs import pearson
-from gridcast.functions.scale_out import (BLOCK, div, lookup_join, map_rows, pack_blocks, row_groups, settle,
-                                          spread, spread_out)
+from gridcast.functions.scale_out import BLOCK, div, lookup_join, map_rows, pack_blocks, settle, spread, spread_out
 from gridcast.functions.spectral import POINTS, Split
 from gridcast.operators import sketch
+from gridcast.operators.tiles import HELD, SUMS, PairSums, group_cells, pairs_of_tiles
 
-SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 SUM_TYPES = "n BIGINT, sx DOUBLE, sy DOUBLE, sxx DOUBLE, syy DOUBLE, sxy DOUBLE"
 
 
@@ -32,45 +30,21 @@ def _pearson():
     return pearson(*[F.col(c) for c in SUMS])
 
 
-class PairSums:
-    """Running sums of all pairs of two cell groups over slot blocks; cells may lack blocks."""
-
-    def __init__(self, same: bool):
-        self.same, self.rows, self.cols, self.sums = same, {}, {}, np.zeros((6, 0, 0))
-
-    def add(self, a_ids, a: np.ndarray, b_ids, b: np.ndarray) -> None:
-        i = np.array([self.rows.setdefault(c, len(self.rows)) for c in a_ids], np.int64)
-        j = np.array([self.cols.setdefault(c, len(self.cols)) for c in b_ids], np.int64)
-        grow = [max(0, len(ids) - have) for ids, have in zip((self.rows, self.cols), self.sums.shape[1:])]
-        if any(grow):
-            self.sums = np.pad(self.sums, [(0, 0), (0, grow[0]), (0, grow[1])])
-        ha, hb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
-        a, b = np.nan_to_num(a), np.nan_to_num(b)
-        self.sums[:, i[:, None], j[None, :]] += [ha @ hb.T, a @ hb.T, ha @ b.T, (a * a) @ hb.T, ha @ (b * b).T, a @ b.T]
-
-    def frame(self) -> pd.DataFrame:
-        a, b = np.array(list(self.rows), object), np.array(list(self.cols), object)
-        met = self.sums[0] > 0
-        if self.same:
-            met &= a[:, None] <= b[None, :]
-        i, j = np.nonzero(met)
-        cols = {"cell_a": a[i], "cell_b": b[j], "n": self.sums[0, i, j].astype("int64")}
-        return pd.DataFrame(cols | {name: m[i, j] for name, m in zip(SUMS[1:], self.sums[1:])})
-
-
-def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r: float | None = None) -> DataFrame:
+def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r: float | None = None,
+                 held: int = HELD) -> DataFrame:
     """``(cell_a, cell_b, r, n)``: Pearson over the slots both cells know; NULL if constant.
 
     All pairs are the result unless ``min_abs_r`` keeps the correlated ones only. Then pairs of complete
     cells that cannot reach it are never multiplied out (see ``sketch``); the rows are those of the
     full product, filtered.
 
-    A blocked X'X: packed rows (one cell, ``size`` slots) meet by pair of cell groups. A task walks
-    the slot blocks of its pair, multiplies two small matrices at each and gives every pair of
-    cells once. Only where there are fewer group pairs than cores are a pair's blocks shared out,
-    over as many tasks as keep the cores busy. So pair sums are shuffled a fixed number of times,
-    however long the series, rows are never paired one by one, and no task outgrows
-    ``2 * group * size`` values and six sums per pair of cells of two groups.
+    A blocked X'X: packed rows (one cell, ``size`` slots) meet by pair of cell groups, a tile. A group
+    has as many cells as a task can hold, so each cell is copied few times; a task multiplies its two
+    groups in pieces of ``group`` cells and gives every pair of cells once, finished, so nothing of
+    the size of the result is shuffled. Series too long to be held are walked block by block. Only
+    where there are fewer tiles than cores are the blocks of a tile shared out and their sums
+    shuffled. No task holds more than twice ``held`` bytes of values and, when walking, about as much
+    again of sums.
     """
     known = F.when(F.col("v").isNotNull(), F.col("t"))
     stats = settle(df.groupBy("cell_id").agg(F.avg("v").alias("_m"), F.count(known).alias("n"),
@@ -78,42 +52,34 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r:
     centred = lookup_join(df, stats.select("cell_id", "_m"), "cell_id", settled=True) \
         .select("cell_id", "t", (F.col("v") - F.col("_m")).alias("v"))
     packed = pack_blocks(centred, size)
+    cells, first, last = stats.filter("n > 0").agg(F.count("*"), F.min("first"), F.max("last")).first()
+    slots, blocks = (last - first + 1, last // size - first // size + 1) if cells else (1, 1)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    many = group_cells(cells, slots, cores, group, held)
     if min_abs_r is not None and min_abs_r > 0:
         packed = settle(packed)
-        taken = sketch.seats(packed, stats, min_abs_r, group, size)
+        taken = sketch.seats(packed, stats, min_abs_r, many, size)
         tiles = max(1, taken.select("_ga", "_gb").distinct().count())
         pairs = lookup_join(packed, taken, "cell_id", salt_by="blk", settled=True)
     else:
-        groups = max(1, math.ceil(stats.count() / group))
+        groups = max(1, math.ceil(cells / many))
         tiles = groups * (groups + 1) // 2
         own = F.pmod(F.xxhash64("cell_id"), F.lit(groups))
         pairs = packed.withColumn("_g", own) \
             .withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) \
             .withColumn("_ga", F.least("_g", "_h")).withColumn("_gb", F.greatest("_g", "_h"))
-    shares = max(1, math.ceil(4 * df.sparkSession.sparkContext.defaultParallelism / tiles))
+    shares = max(1, min(blocks, math.ceil(4 * cores / tiles)))
+    whole = shares == 1 and 8 * many * slots <= max(held, 8 * group * size)
+    shared = shares > 1
     pairs = pairs.withColumn("_s", F.pmod("blk", F.lit(shares)))
     key = ["_ga", "_gb", "_s"]
-
-    def walk(frames):
-        sums = at = None
-        for pdf in row_groups(frames, [*key, "blk"]):
-            here = tuple(pdf[key].iloc[0])
-            if here != at:
-                if sums is not None:
-                    yield sums.frame()
-                at, sums = here, PairSums(same=here[0] == here[1])
-            x = np.array([spread_out(o, v, size) for o, v in zip(pdf["off"], pdf["x"])])
-            ids, g = pdf["cell_id"].to_numpy(), pdf["_g"].to_numpy()
-            left, right = g == here[0], g == here[1]
-            sums.add(ids[left], x[left], ids[right], x[right])
-        if sums is not None:
-            yield sums.frame()
-
-    half = spread(pairs, *key).sortWithinPartitions(*key, "blk").mapInPandas(walk, f"cell_a STRING, cell_b STRING, {SUM_TYPES}") \
-        .groupBy("cell_a", "cell_b").agg(*_total()) \
-        .select("cell_a", "cell_b", _pearson().alias("r"), "n")
-    if min_abs_r is not None:
-        half = half.filter(F.abs("r") >= min_abs_r)
+    half = spread(pairs, *key).sortWithinPartitions(*key, "blk").mapInArrow(
+        lambda batches: pairs_of_tiles(batches, group, size, whole, shared, min_abs_r),
+        f"cell_a STRING, cell_b STRING, {SUM_TYPES if shared else 'r DOUBLE, n BIGINT'}")
+    if shared:
+        half = half.groupBy("cell_a", "cell_b").agg(*_total()).select("cell_a", "cell_b", _pearson().alias("r"), "n")
+        if min_abs_r is not None:
+            half = half.filter(F.abs("r") >= min_abs_r)
     both = F.when(F.col("cell_a") == F.col("cell_b"), F.array(F.lit(False))) \
         .otherwise(F.array(F.lit(False), F.lit(True)))
     return half.withColumn("_swap", F.explode(both)).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridcast.functions import solvers
 from gridcast.functions.scale_out import pack_blocks
-from gridcast.operators import arma, sketch, stats
+from gridcast.operators import arma, sketch, stats, tiles
 from tests.test_sources_and_cleaning import LONG, long
 
 
@@ -52,6 +52,33 @@ def test_pair_sums_are_shuffled_once_however_many_blocks():
             assert math.isclose(got.loc[a, "abcd"[j]]["sxy"], (x[i] * x[j])[both].sum(), rel_tol=1e-12)
 
 
+def test_spatial_corr_shuffles_no_pairs(spark):
+    """Pairs leave their tile finished: the sums of all pairs are never grouped again."""
+    frame = pd.DataFrame(np.random.default_rng(4).random((60, 40)), columns=[f"c{i:02d}" for i in range(40)])
+    plan = stats.spatial_corr(to_spark(spark, frame), group=2)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "keys=[cell_a" not in plan
+
+
+@pytest.mark.parametrize("held", [0, 1 << 25])
+def test_spatial_corr_held_or_walked(spark, held):
+    """Tiles walked block by block, or held whole and multiplied piece by piece."""
+    rng = np.random.default_rng(6)
+    frame = gaps(pd.DataFrame(rng.random((50, 40)), columns=[f"c{i:02d}" for i in range(40)]), rng)
+    frame.iloc[16:32, 3] = np.nan                                # a block that a cell lacks
+    got = stats.spatial_corr(to_spark(spark, frame), 2, 16, held=held).toPandas()
+    assert len(got) == 1600
+    m = got.pivot(index="cell_a", columns="cell_b", values="r").astype(float)
+    np.testing.assert_allclose(m.to_numpy(), frame.corr().loc[m.index, m.columns].to_numpy(), atol=1e-9)
+
+
+def test_groups_of_cells_grow_with_the_cells():
+    """Each cell is copied once per group: no more copies for more cells until a task is full."""
+    assert tiles.group_cells(1_000, 358, 12, 128) == 128
+    assert math.ceil(60_000 / tiles.group_cells(60_000, 358, 12, 128)) == 10
+    assert tiles.group_cells(10**6, 358, 12, 128) * 358 * 8 <= tiles.HELD
+    assert 6 * 8 * tiles.group_cells(10**6, 10**6, 12, 128) ** 2 <= 2 * tiles.HELD
+
+
 def families(cells, n, seed):
     """Cells of a few daily shapes, some upside down, some alone; then cells with gaps and a flat one."""
     rng = np.random.default_rng(seed)
