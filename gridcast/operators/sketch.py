@@ -23,6 +23,7 @@ from gridcast.functions.scale_out import lookup_join, map_rows, settle, spread,
 FREQUENCIES = 128          # transformed; the strongest coefficients over all cells are kept
 KEPT = 32
 DIMS = 3                   # of the grid
+PORTION = 256              # cells of a group compared with another group at once
 SLACK = 1e-6               # far above the rounding of sums, far below any threshold of use
 
 
@@ -97,25 +98,35 @@ def _close(sketches: DataFrame, min_abs_r: float, group: int) -> DataFrame:
     part = F.pmod(F.xxhash64("cell_id"), F.col("parts"))
     members = settle(lookup_join(spots.drop("b"), buckets.select("key", "parts"), "key", salt_by="cell_id", settled=True)
                      .withColumn("_i", part).groupBy(_group("key", "_i").alias("g"))
-                     .agg(F.collect_list(F.struct("cell_id", "c", "rest")).alias("cells")))
+                     .agg(F.collect_list(F.struct("cell_id", "c", "rest")).alias("m"))
+                     .select("g", F.struct(F.col("m.cell_id").alias("ids"), F.flatten("m.c").alias("c"), F.col("m.rest").alias("rest")).alias("cells")))
     links = settle(_linked_groups(buckets, dims))
-    tiles = links.join(members.select(F.col("g").alias("_ga"), F.col("cells").alias("a")), "_ga") \
-        .join(members.select(F.col("g").alias("_gb"), F.col("cells").alias("b")), "_gb")
+    tiles = links.join(members.select(F.col("g").alias("ga"), *[F.col(f"cells.{c}").alias(f"{c}_a") for c in ("ids", "c", "rest")]),
+                       F.col("_ga") == F.col("ga")) \
+        .join(members.select(F.col("g").alias("gb"), *[F.col(f"cells.{c}").alias(f"{c}_b") for c in ("ids", "c", "rest")]),
+              F.col("_gb") == F.col("gb")).drop("_ga", "_gb")
 
     def allowed(row):
-        (a, s), (b, t) = [(np.array([c["c"] for c in cells], float), np.array([c["rest"] for c in cells], float))
-                          for cells in (row.a, row.b)]
-        hit = np.abs(a @ b.T) + np.outer(s, t) >= min_abs_r - SLACK
-        rows, cols = hit.any(axis=1), hit.any(axis=0)
-        sides = [(row.ga, row.a, rows | cols if row.ga == row.gb else rows)]
-        if row.ga != row.gb:
-            sides.append((row.gb, row.b, cols))
-        for g, cells, need in sides:
+        a, b = np.asarray(row.c_a).reshape(len(row.ids_a), -1), np.asarray(row.c_b).reshape(len(row.ids_b), -1)
+        s, t = np.asarray(row.rest_a), np.asarray(row.rest_b)
+        rows, cols = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for at in range(0, len(a), PORTION):
+            hit = reachable(a[at:at + PORTION], s[at:at + PORTION], b, t, min_abs_r)
+            rows[at:at + PORTION] |= hit.any(axis=1)
+            cols |= hit.any(axis=0)
+        if row.ga == row.gb:
+            rows |= cols
+        sides = [(row.ga, row.ids_a, rows), (row.gb, row.ids_b, cols)]
+        for g, ids, need in sides[:1 if row.ga == row.gb else 2]:
             for i in np.flatnonzero(need):
-                yield cells[i]["cell_id"], g, row.ga, row.gb
+                yield ids[i], g, row.ga, row.gb
 
-    tiles = spread(tiles.withColumnsRenamed({"_ga": "ga", "_gb": "gb"}), "ga", "gb")
-    return map_rows(tiles, allowed, "cell_id STRING, _g STRING, _ga STRING, _gb STRING")
+    return map_rows(spread(tiles, "ga", "gb"), allowed, "cell_id STRING, _g STRING, _ga STRING, _gb STRING", every=1)
+
+
+def reachable(a: np.ndarray, s: np.ndarray, b: np.ndarray, t: np.ndarray, min_abs_r: float) -> np.ndarray:
+    """The pairs of sketches whose bound allows ``min_abs_r``; no bound (NaN) allows it."""
+    return ~(np.abs(a @ b.T) + np.outer(s, t) < min_abs_r - SLACK)
 
 
 def _everyone(whole: DataFrame, gappy: DataFrame, groups: int, gappy_groups: int) -> DataFrame:
@@ -140,7 +151,13 @@ def _everyone(whole: DataFrame, gappy: DataFrame, groups: int, gappy_groups: int
 
 
 def seats(packed: DataFrame, stats: DataFrame, min_abs_r: float, group: int, size: int) -> DataFrame:
-    """``(cell_id, _g, _ga, _gb)``, settled: the cell takes part in tile ``(_ga, _gb)`` as one of ``_g``.
+    """``(cell_id, _g, _ga, _gb)``, settled: the cell takes part in tile ``(_ga, _gb)`` as one of ``_g``."""
+    return seats_and_sketches(packed, stats, min_abs_r, group, size)[0]
+
+
+def seats_and_sketches(packed: DataFrame, stats: DataFrame, min_abs_r: float, group: int, size: int) \
+        -> tuple[DataFrame, DataFrame | None]:
+    """:func:`seats`, and ``(cell_id, c, rest)`` of the cells that have a sketch (None if no cell has).
 
     ``packed`` holds centred blocks, ``stats`` per cell ``n``, ``first`` and ``last`` of the known
     slots. Cells that know every slot of the most frequent range are pruned by their sketch; all
@@ -151,7 +168,7 @@ def seats(packed: DataFrame, stats: DataFrame, min_abs_r: float, group: int, siz
     usual = full.groupBy("first", "last").agg(F.count("*").alias("cells")).orderBy(F.desc("cells"), "first", "last").first()
     everyone = stats.filter("n > 0 AND cell_id IS NOT NULL")
     if usual is None:
-        return settle(_everyone(everyone, everyone, 0, max(1, math.ceil(everyone.count() / group))))
+        return settle(_everyone(everyone, everyone, 0, max(1, math.ceil(everyone.count() / group)))), None
     first, last = int(usual["first"]), int(usual["last"])
     inside = (F.col("first") == first) & (F.col("last") == last) & (F.col("n") == last - first + 1)
     whole, gappy = everyone.filter(inside).select("cell_id"), everyone.filter(~inside).select("cell_id")
@@ -162,7 +179,19 @@ def seats(packed: DataFrame, stats: DataFrame, min_abs_r: float, group: int, siz
     if others:
         taken = taken.unionByName(_everyone(sketches.select("cell_id"), gappy, math.ceil(sketches.count() / group),
                                             math.ceil(others / group)))
-    return settle(taken)
+    return settle(taken), sketches
+
+
+def within(min_abs_r: float):
+    """Tells for rows ``(c, rest)`` of two sides which pairs can reach ``min_abs_r``; cells without a
+    sketch (None) can."""
+    def may(left, right):
+        width = max((len(c) for c, _ in (*left, *right) if c is not None), default=0)
+        (a, s), (b, t) = [(np.array([np.full(width, np.nan) if c is None else c for c, _ in side]).reshape(len(side), width),
+                           np.array([np.nan if c is None else rest for c, rest in side], float)) for side in (left, right)]
+        return reachable(a, s, b, t, min_abs_r)
+
+    return may
 
 
 def pairs_examined(taken: DataFrame) -> int:

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridcast.functions import solvers, spectral
 from gridcast.functions.exprs import pearson
-from gridcast.functions.scale_out import BLOCK, div, lookup_join, map_rows, pack_blocks, settle, spread, spread_out
+from gridcast.functions.scale_out import (BLOCK, div, fits_broadcast, lookup_join, map_rows, pack_blocks, rows_for,
+                                          settle, spread, spread_out)
 from gridcast.functions.spectral import POINTS, Split
 from gridcast.operators import sketch
 from gridcast.operators.tiles import HELD, SUMS, PairSums, group_cells, pairs_of_tiles
@@ -55,11 +56,15 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r:
     cells, first, last = stats.filter("n > 0").agg(F.count("*"), F.min("first"), F.max("last")).first()
     slots, blocks = (last - first + 1, last // size - first // size + 1) if cells else (1, 1)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    many = group_cells(cells, slots, cores, group, held)
+    many, may = group_cells(cells, slots, cores, group, held), None
     if min_abs_r is not None and min_abs_r > 0:
         packed = settle(packed)
-        taken = sketch.seats(packed, stats, min_abs_r, many, size)
+        taken, sketches = sketch.seats_and_sketches(packed, stats, min_abs_r, many, size)
         tiles = max(1, taken.select("_ga", "_gb").distinct().count())
+        if sketches is not None:               # a task skips the pieces that the bound rules out
+            may = sketch.within(min_abs_r)
+            packed = packed.join(F.broadcast(sketches) if fits_broadcast(sketches, rows_for(sketch.KEPT)) else sketches,
+                                 "cell_id", "left")
         pairs = lookup_join(packed, taken, "cell_id", salt_by="blk", settled=True)
     else:
         groups = max(1, math.ceil(cells / many))
@@ -74,7 +79,7 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r:
     pairs = pairs.withColumn("_s", F.pmod("blk", F.lit(shares)))
     key = ["_ga", "_gb", "_s"]
     half = spread(pairs, *key).sortWithinPartitions(*key, "blk").mapInArrow(
-        lambda batches: pairs_of_tiles(batches, group, size, whole, shared, min_abs_r),
+        lambda batches: pairs_of_tiles(batches, group, size, whole, shared, min_abs_r, may),
         f"cell_a STRING, cell_b STRING, {SUM_TYPES if shared else 'r DOUBLE, n BIGINT'}")
     if shared:
         half = half.groupBy("cell_a", "cell_b").agg(*_total()).select("cell_a", "cell_b", _pearson().alias("r"), "n")

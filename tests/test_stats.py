@@ -122,6 +122,31 @@ def test_pruning_examines_few_pairs(spark):
     assert wanted <= examined < 240 * 241 // 2 / 3
 
 
+@pytest.mark.parametrize("held", [0, 1 << 25])
+@pytest.mark.parametrize("holes", [0, 7])
+def test_pruned_tiles_lose_no_pair_and_skip_pieces(spark, held, holes):
+    """Large groups: the bound is asked again for every piece of a tile, whole or walked."""
+    frame = families(60, 200, 1)
+    some = list(frame.columns[:holes])
+    frame[some] = gaps(frame[some], np.random.default_rng(5), 0.1)
+    df = to_spark(spark, frame).cache()
+    got = stats.spatial_corr(df, 8, 64, min_abs_r=0.9, held=held).toPandas()
+    want = stats.spatial_corr(df, 128, 64).filter("abs(r) >= 0.9").toPandas()
+    got, want = (f[f["r"].abs() > 0.9 + 1e-9].set_index(["cell_a", "cell_b"]).sort_index() for f in (got, want))
+    assert len(got) > 60 and list(got.index) == list(want.index)
+    np.testing.assert_allclose(got["r"], want["r"], atol=1e-9)
+    assert list(got["n"]) == list(want["n"])
+
+
+def test_pieces_out_of_reach_are_not_multiplied():
+    """Two cells apart in their sketches, one without; each piece is a cell."""
+    x = np.random.default_rng(1).normal(size=(3, 20))
+    pdf = pd.DataFrame({"cell_id": list("abc"), "blk": 0, "off": [np.arange(20)] * 3, "x": list(x), "_g": "g",
+                        "c": [np.array([1.0, 0.0]), np.array([0.0, 1.0]), None], "rest": [0.0, 0.0, np.nan]})
+    met = [(a[p], b[q]) for a, b, i, j, _ in tiles.tile_pairs([pdf], "g", "g", 1, 20, True, sketch.within(0.5)) for p, q in zip(i, j)]
+    assert sorted(met) == [("a", "a"), ("a", "c"), ("b", "b"), ("b", "c"), ("c", "c")]
+
+
 def test_pruned_correlation_of_nothing(spark):
     assert stats.spatial_corr(spark.createDataFrame([], LONG), min_abs_r=0.5).count() == 0
     assert stats.spatial_corr(long(spark, a=[1.0] * 20, b=[2.0] * 20), min_abs_r=0.5).count() == 0
