@@ -151,13 +151,13 @@ def spread_out(off, x, width: int) -> np.ndarray:
     return out
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle by ``keys`` into the session's number of partitions.
+def spread(df: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
+    """Shuffle by ``keys`` into the session's number of partitions, or ``most`` if that is less.
 
     A fixed number keeps adaptive execution from merging partitions that are small in
     bytes but long in computing.
     """
-    return df.repartition(_partitions(df), *keys)
+    return df.repartition(min(_partitions(df), most or _partitions(df)), *keys)
 
 
 def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str, every: int | None = None) -> DataFrame:

@@ -250,10 +250,12 @@ def shrunk(phi, theta, r: float = 0.9):
     return phi, theta
 
 
-def css_start(y: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Hannan-Rissanen: long autoregression, then least squares on lags and its residuals."""
+def css_start(y: np.ndarray, p: int, q: int, known: dict | None = None) -> np.ndarray:
+    """Hannan-Rissanen: long autoregression, then least squares on lags and its residuals. ``known``
+    keeps the former of this series for its other orders."""
     mu = float(y.mean())
     d = y - mu
+    known = {} if known is None else known
 
     def lags(z, k, start):
         return np.column_stack([z[start - i:len(z) - i] for i in range(1, k + 1)]) \
@@ -262,8 +264,10 @@ def css_start(y: np.ndarray, p: int, q: int) -> np.ndarray:
     phi, theta = np.zeros(p), np.zeros(q)
     long = min(max(10, 2 * (p + q)), len(y) // 4)
     if p + q and long > max(p, q):
-        a = np.linalg.lstsq(lags(d, long, long), d[long:], rcond=None)[0]
-        e = np.concatenate([np.zeros(long), d[long:] - lags(d, long, long) @ a])
+        if long not in known:
+            x = lags(d, long, long)
+            known[long] = np.concatenate([np.zeros(long), d[long:] - x @ np.linalg.lstsq(x, d[long:], rcond=None)[0]])
+        e = known[long]
         s = long + max(p, q)
         coef = np.linalg.lstsq(np.hstack([lags(d, p, s), lags(e, q, s)]), d[s:], rcond=None)[0]
         phi, theta = shrunk(coef[:p], coef[p:])
@@ -294,9 +298,9 @@ def damped_step(jj: np.ndarray, je: np.ndarray, lam: float) -> np.ndarray:
     return -np.linalg.solve(jj + lam * np.diag(np.diag(jj) + 1e-12), je)
 
 
-def css_fit(y: np.ndarray, p: int, q: int, rounds: int = 100):
+def css_fit(y: np.ndarray, p: int, q: int, rounds: int = 100, start: np.ndarray | None = None):
     """Conditional least squares by damped Gauss-Newton: (beta, sse, converged)."""
-    beta = css_start(y, p, q)
+    beta = css_start(y, p, q) if start is None else start
     e = css_residuals(y, beta, p, q)
     sse, lam = float(e @ e), 1e-3
     for _ in range(rounds):
@@ -320,6 +324,121 @@ def css_fit(y: np.ndarray, p: int, q: int, rounds: int = 100):
     return beta, sse, False
 
 
+def _filter_many(u: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """``ma_filter`` from zero states, slot by slot for many series at once; ``u`` is (slots, ..., series)
+    and changed, ``theta`` (series, q)."""
+    by_lag = [np.ascontiguousarray(theta[:, j]) for j in range(theta.shape[1])]
+    part = np.empty(u.shape[1:])
+    for t in range(1, len(u) if by_lag else 0):
+        for j, th in enumerate(by_lag[:t], 1):
+            np.multiply(u[t - j], th, out=part)
+            u[t] -= part
+    return u
+
+
+def _residuals_many(y: np.ndarray, mask: np.ndarray, beta: np.ndarray, p: int) -> np.ndarray:
+    d, n = y - beta[:, 0], len(y)
+    u = d.copy()
+    for i in range(1, p + 1):
+        u[p:] -= beta[:, i] * d[p - i:n - i]
+    u[:p] = 0.0
+    return _filter_many(u, beta[:, 1 + p:]) * mask
+
+
+def _jacobian_many(y: np.ndarray, mask: np.ndarray, e: np.ndarray, beta: np.ndarray, p: int, q: int) -> np.ndarray:
+    d, n = y - beta[:, 0], len(y)
+    both = np.zeros((n, 1 + p + q, y.shape[1]))
+    both[p:, 0] = -(1.0 - beta[:, 1:1 + p].sum(axis=1))
+    for i in range(1, p + 1):
+        both[p:, i] = -d[p - i:n - i]
+    for j in range(1, q + 1):
+        both[j:, p + j] = -e[:n - j]
+    both[:p] = 0.0
+    return _filter_many(both, beta[:, 1 + p:]) * mask[:, None]
+
+
+def _admissible_many(beta: np.ndarray, p: int) -> np.ndarray:
+    good = np.ones(len(beta), bool)
+    for coef in (-beta[:, 1:1 + p], beta[:, 1 + p:]):
+        if m := coef.shape[1]:
+            good &= np.isfinite(coef).all(axis=1)
+            step = np.zeros((int(good.sum()), m, m))
+            step[:, 0] = -coef[good]
+            step[:, range(1, m), range(m - 1)] = 1.0
+            good[good] = np.abs(np.linalg.eigvals(step)).max(axis=1, initial=0.0) < 0.9999
+    return good
+
+
+def _damped_steps(jj: np.ndarray, je: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``damped_step`` of each, and which have none."""
+    k = jj.shape[1]
+    a = jj.copy()
+    a[:, range(k), range(k)] += lam[:, None] * (jj[:, range(k), range(k)] + 1e-12)
+    none = np.zeros(len(jj), bool)
+    try:
+        return -np.linalg.solve(a, je[:, :, None])[:, :, 0], none
+    except np.linalg.LinAlgError:
+        out = np.zeros_like(je)
+        for i in range(len(jj)):
+            try:
+                out[i] = -np.linalg.solve(a[i], je[i])
+            except np.linalg.LinAlgError:
+                none[i] = True
+        return out, none
+
+
+def css_fit_many(ys: list[np.ndarray], starts: np.ndarray, p: int, q: int, rounds: int = 100) -> list[tuple | None]:
+    """``css_fit`` of many series from their ``starts``: the same steps and stopping rule for each, one
+    trial of every unfinished series at a time. None for a series without solution."""
+    n, k, count = max(map(len, ys)), 1 + p + q, len(ys)
+    y, mask = np.zeros((n, count)), np.zeros((n, count))
+    for i, x in enumerate(ys):
+        y[:len(x), i], mask[:len(x), i] = x, 1.0
+    beta, lam, steps = np.array(starts, float), np.full(count, 1e-3), np.zeros(count, int)
+    e = _residuals_many(y, mask, beta, p)
+    sse = (e * e).sum(axis=0)
+    jj, je = np.zeros((count, k, k)), np.zeros((count, k))
+    out: list[tuple | None] = [None] * count
+    live, fresh = np.arange(count), np.ones(count, bool)
+    # columns of y, mask, e and fresh are those of live; they are cut as series finish
+    while len(live):
+        turn = live[fresh]
+        if len(turn):
+            j = _jacobian_many(y[:, fresh], mask[:, fresh], e[:, fresh], beta[turn], p, q)
+            for a in range(k):
+                je[turn, a] = (j[:, a] * e[:, fresh]).sum(axis=0)
+                for b in range(a, k):
+                    jj[turn, a, b] = jj[turn, b, a] = (j[:, a] * j[:, b]).sum(axis=0)
+        stay = np.ones(len(live), bool)
+        for i in np.flatnonzero(lam[live] >= 1e12):          # no step improves
+            s = live[i]
+            flat = np.all(np.abs(je[s]) <= 1e-5 * np.sqrt(np.diag(jj[s]) * sse[s] + 1e-300))
+            out[s], stay[i] = (beta[s], float(sse[s]), bool(flat)), False
+        step, none = _damped_steps(jj[live], je[live], lam[live])
+        stay &= ~none                                        # no solution: stays None
+        new = beta[live] + step
+        tried = np.flatnonzero(stay)
+        tried = tried[_admissible_many(new[tried], p)]
+        fresh = np.zeros(len(live), bool)
+        lam_next = lam[live] * 10.0
+        if len(tried):
+            e_new = _residuals_many(y[:, tried], mask[:, tried], new[tried], p)
+            sse_new = (e_new * e_new).sum(axis=0)
+            good = sse_new <= sse[live[tried]]
+            won, s = tried[good], live[tried[good]]
+            gain = sse[s] - sse_new[good]
+            e[:, won], beta[s], sse[s], fresh[won] = e_new[:, good], new[won], sse_new[good], True
+            lam_next[won] = np.maximum(lam[s] / 10.0, 1e-12)
+            steps[s] += 1
+            done = gain <= 1e-11 * sse[s]
+            for i, ended in zip(won[done | (steps[s] >= rounds)], done[done | (steps[s] >= rounds)]):
+                out[live[i]], stay[i] = (beta[live[i]], float(sse[live[i]]), bool(ended)), False
+        lam[live] = lam_next
+        if not stay.all():
+            live, fresh, y, mask, e = live[stay], fresh[stay], y[:, stay], mask[:, stay], e[:, stay]
+    return out
+
+
 def ar_from_summary(n: int, total: float, cross, head, tail, p: int):
     """Least-squares AR(p) with constant: (mu, phi, sse)."""
     g, _, m = centred_gram(n, total, cross, head, tail, p)

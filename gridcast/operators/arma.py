@@ -25,6 +25,8 @@ from gridcast.functions.scale_out import (BLOCK, FAN_IN, div, lookup_join, map_r
 from gridcast.operators.stats import series_summary
 
 BROADCAST_MODELS = 100_000   # a model is under 1 kB
+TOGETHER = 1 << 19         # values of the series that one batch of a task fits together
+FEW = 8                    # fewer series of about one length are fitted one by one
 TRIALS = 8                 # steps tried in one pass after one without gain
 IN_TASK = 32_768           # longest series fitted inside one task; the result does not depend on it
 PARAMS = "cell_id STRING, p INT, q INT, mu DOUBLE, phi ARRAY<DOUBLE>, theta ARRAY<DOUBLE>"
@@ -261,6 +263,70 @@ def _even_jobs(orders: list[tuple[int, int]], jobs: int) -> list[list[tuple[int,
     return [own for _, _, own in heap] or [[]]
 
 
+def _series_batches(frames: Iterable[pd.DataFrame]) -> Iterable[list[tuple]]:
+    """``(cell_id, job, values)`` of frames sorted by cell, job and slot: up to ``TOGETHER`` values at a time."""
+    open_, done, size = None, [], 0
+    for pdf in frames:
+        if pdf.empty:
+            continue
+        v, job = pdf["v"].to_numpy(float), pdf["job"].to_numpy()
+        code, names = pd.factorize(pdf["cell_id"])                     # NULL: -1
+        at = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(job) != 0)) + 1), len(v)]
+        for lo, hi in zip(at, at[1:]):
+            key = names[code[lo]] if code[lo] >= 0 else None, int(job[lo])
+            if open_ is not None and open_[0] == key:
+                open_[1].append(v[lo:hi])
+                continue
+            if open_ is not None:
+                done.append((*open_[0], np.concatenate(open_[1])))
+                size += len(done[-1][2])
+                if size >= TOGETHER:
+                    yield done
+                    done, size = [], 0
+            open_ = key, [v[lo:hi]]
+    if open_ is not None:
+        yield [*done, (*open_[0], np.concatenate(open_[1]))]
+
+
+def _fits(series: list[tuple], orders: Sequence[tuple[int, int]]) -> Iterable[tuple]:
+    """All orders of some series. Many series of about one length take their steps together, few one by one."""
+    known: list[dict] = [{} for _ in series]
+    whole = [not np.isnan(y).any() for _, y in series]
+    for p, q in orders:
+        starts = {}
+        for i, (_, y) in enumerate(series):
+            if whole[i] and len(y) > 2 * (p + q) + 4:
+                try:
+                    with np.errstate(all="ignore"):
+                        starts[i] = solvers.css_start(y, p, q, known[i])
+                except np.linalg.LinAlgError:
+                    pass
+        order = sorted(starts, key=lambda i: len(series[i][1]))
+        cuts = [k for k in range(1, len(order)) if len(series[order[k]][1]).bit_length() > len(series[order[k - 1]][1]).bit_length()]
+        found = {}
+        for lo, hi in zip([0, *cuts], [*cuts, len(order)]):
+            part = order[lo:hi]
+            with np.errstate(all="ignore"):
+                if len(part) >= FEW:
+                    made = solvers.css_fit_many([series[i][1] for i in part], np.array([starts[i] for i in part]), p, q)
+                else:
+                    made = [_fit_or_none(series[i][1], p, q, starts[i]) for i in part]
+            found.update(zip(part, made))
+        for i, (cell, y) in enumerate(series):
+            if found.get(i) is None:
+                yield cell, p, q, None, None, None, None, len(y), False
+            else:
+                beta, sse, ok = found[i]
+                yield cell, p, q, float(beta[0]), beta[1:1 + p], beta[1 + p:], sse, len(y) - p, ok
+
+
+def _fit_or_none(y: np.ndarray, p: int, q: int, start: np.ndarray):
+    try:
+        return solvers.css_fit(y, p, q, start=start)
+    except np.linalg.LinAlgError:
+        return None
+
+
 def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN_TASK,
              size: int = BLOCK, fan_in: int = FAN_IN) -> DataFrame:
     """Fit every order to every cell by conditional least squares, with constant.
@@ -268,34 +334,22 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
     ``(cell_id, p, q, mu, phi, theta, sse, n, sigma2, bic, converged)``; a series too short for
     an order, with a missing value, or whose equations have no solution, has NULLs and
     ``converged = false``. Slots are the rows of a series in order of ``t``. Series of up to
-    ``in_task`` rows are fitted inside one task each (few series: one task per series and p),
+    ``in_task`` rows are fitted inside a task, many at once (few series: one task per series and job),
     longer ones over all blocks; the method is the same.
     """
     spark = df.sparkSession
     lengths = settle(df.groupBy("cell_id").agg(F.count("*").alias("n"), F.count("v").alias("known")))
-    count, long = lengths.agg(F.count("*"), F.count(F.when(F.col("n") > in_task, 1))).first()
+    count, long, slots = lengths.agg(F.count("*"), F.count(F.when(F.col("n") > in_task, 1)),
+                                     F.sum(F.when(F.col("n") <= in_task, F.col("n")))).first()
     cores = spark.sparkContext.defaultParallelism
     few = count < 4 * cores
     jobs = _even_jobs(list(orders), math.ceil(4 * cores / max(count, 1))) if few else [list(orders)]
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")["v"].to_numpy()
-        out = []
-        for p, q in jobs[int(pdf["job"].iloc[0])]:
-            unfit = (pdf["cell_id"].iloc[0], p, q, None, None, None, None, len(y), False)
-            if len(y) <= 2 * (p + q) + 4 or np.isnan(y).any():
-                out.append(unfit)
-                continue
-            try:
-                with np.errstate(all="ignore"):
-                    beta, sse, ok = solvers.css_fit(y, p, q)
-            except np.linalg.LinAlgError:
-                out.append(unfit)
-                continue
-            out.append((pdf["cell_id"].iloc[0], p, q, float(beta[0]), beta[1:1 + p], beta[1 + p:],
-                        sse, len(y) - p, ok))
-        return pd.DataFrame(out, columns=["cell_id", "p", "q", "mu", "phi", "theta", "sse", "n",
-                                          "converged"])
+    def fit(frames):
+        for series in _series_batches(frames):
+            found = [r for job in sorted({j for _, j, _ in series})
+                     for r in _fits([(c, y) for c, j, y in series if j == job], jobs[job])]
+            yield pd.DataFrame(found, columns=["cell_id", "p", "q", "mu", "phi", "theta", "sse", "n", "converged"])
 
     longer = settle(lengths.filter(F.col("n") > in_task)) if long else None
     short = lookup_join(df, longer.select("cell_id"), "cell_id", "left_anti") if long else df
@@ -305,10 +359,11 @@ def arma_fit(df: DataFrame, orders: Sequence[tuple[int, int]], in_task: int = IN
         turn = F.coalesce(F.array_position(F.array(*map(F.lit, cells)), F.col("cell_id")), F.lit(0)) if cells else F.lit(0)
         parts = min(max(len(cells), 1) * len(jobs), 4 * cores)
         dealt = rows.repartitionById(parts, F.pmod(F.col("job") * F.lit(len(cells) + 1) + turn, F.lit(parts)).cast("int"))
-        fits = dealt.select("cell_id", "job", "t", "v").sortWithinPartitions("cell_id", "job").mapInPandas(
-            lambda frames: (fit(pdf) for pdf in row_groups(frames, ["cell_id", "job"])), FIT)
     else:
-        fits = spread(rows, "cell_id", "job").groupBy("cell_id", "job").applyInPandas(fit, FIT)
+        full = max(2 * cores, math.ceil((slots or 0) / TOGETHER))       # smaller batches gain less
+        dealt = spread(rows, "cell_id", "job", most=full)
+    fits = dealt.select("cell_id", "job", "t", "v").sortWithinPartitions("cell_id", "job", F.col("t").asc_nulls_last()) \
+        .mapInPandas(fit, FIT)
     if long:
         grid = longer.withColumn("o", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in orders]))) \
             .select("cell_id", "o.p", "o.q", "n", (F.col("n") == F.col("known")).alias("whole"))
