@@ -18,7 +18,7 @@ from gridcast.functions.scale_out import (BLOCK, div, fits_broadcast, lookup_joi
                                           settle, spread, spread_out)
 from gridcast.functions.spectral import POINTS, Split
 from gridcast.operators import sketch
-from gridcast.operators.tiles import HELD, SUMS, PairSums, group_cells, pairs_of_tiles
+from gridcast.operators.tiles import HELD, SUMS, PairSums, close_rows, group_cells, pairs_of_tiles
 
 SUM_TYPES = "n BIGINT, sx DOUBLE, sy DOUBLE, sxx DOUBLE, syy DOUBLE, sxy DOUBLE"
 
@@ -41,8 +41,9 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r:
 
     A blocked X'X: packed rows (one cell, ``size`` slots) meet by pair of cell groups, a tile. A group
     has as many cells as a task can hold, so each cell is copied few times; a task multiplies its two
-    groups in pieces of ``group`` cells and gives every pair of cells once, finished, so nothing of
-    the size of the result is shuffled. Series too long to be held are walked block by block. Only
+    groups in pieces of ``group`` cells and gives the pairs finished, in both orders, so nothing of
+    the size of the result is shuffled. What is copied are rows closed up in few bytes, not yet less
+    their mean, as measured values are shorter. Series too long to be held are walked block by block. Only
     where there are fewer tiles than cores are the blocks of a tile shared out and their sums
     shuffled. No task holds more than twice ``held`` bytes of values and, when walking, about as much
     again of sums.
@@ -50,27 +51,29 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r:
     known = F.when(F.col("v").isNotNull(), F.col("t"))
     stats = settle(df.groupBy("cell_id").agg(F.avg("v").alias("_m"), F.count(known).alias("n"),
                                              F.min(known).alias("first"), F.max(known).alias("last")))
-    centred = lookup_join(df, stats.select("cell_id", "_m"), "cell_id", settled=True) \
-        .select("cell_id", "t", (F.col("v") - F.col("_m")).alias("v"))
-    packed = pack_blocks(centred, size)
+    means = stats.select("cell_id", F.col("_m").alias("m"))
     cells, first, last = stats.filter("n > 0").agg(F.count("*"), F.min("first"), F.max("last")).first()
     slots, blocks = (last - first + 1, last // size - first // size + 1) if cells else (1, 1)
     cores = df.sparkSession.sparkContext.defaultParallelism
     many, may = group_cells(cells, slots, cores, group, held), None
     if min_abs_r is not None and min_abs_r > 0:
-        packed = settle(packed)
+        packed = settle(pack_blocks(lookup_join(df, means, "cell_id", settled=True)
+                                    .select("cell_id", "t", (F.col("v") - F.col("m")).alias("v")), size))
         taken, sketches = sketch.seats_and_sketches(packed, stats, min_abs_r, many, size)
         tiles = max(1, taken.select("_ga", "_gb").distinct().count())
         if sketches is not None:               # a task skips the pieces that the bound rules out
             may = sketch.within(min_abs_r)
-            packed = packed.join(F.broadcast(sketches) if fits_broadcast(sketches, rows_for(sketch.KEPT)) else sketches,
+        closed = _closed(packed)
+        if sketches is not None:
+            closed = closed.join(F.broadcast(sketches) if fits_broadcast(sketches, rows_for(sketch.KEPT)) else sketches,
                                  "cell_id", "left")
-        pairs = lookup_join(packed, taken, "cell_id", salt_by="blk", settled=True)
+        pairs = lookup_join(closed, taken, "cell_id", salt_by="blk", settled=True)
     else:
         groups = max(1, math.ceil(cells / many))
         tiles = groups * (groups + 1) // 2
         own = F.pmod(F.xxhash64("cell_id"), F.lit(groups))
-        pairs = packed.withColumn("_g", own) \
+        closed = settle(_closed(pack_blocks(df, size)))
+        pairs = lookup_join(closed, means, "cell_id", salt_by="blk", settled=True).withColumn("_g", own) \
             .withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) \
             .withColumn("_ga", F.least("_g", "_h")).withColumn("_gb", F.greatest("_g", "_h"))
     shares = max(1, min(blocks, math.ceil(4 * cores / tiles)))
@@ -81,10 +84,11 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r:
     half = spread(pairs, *key).sortWithinPartitions(*key, "blk").mapInArrow(
         lambda batches: pairs_of_tiles(batches, group, size, whole, shared, min_abs_r, may),
         f"cell_a STRING, cell_b STRING, {SUM_TYPES if shared else 'r DOUBLE, n BIGINT'}")
-    if shared:
-        half = half.groupBy("cell_a", "cell_b").agg(*_total()).select("cell_a", "cell_b", _pearson().alias("r"), "n")
-        if min_abs_r is not None:
-            half = half.filter(F.abs("r") >= min_abs_r)
+    if not shared:
+        return half
+    half = half.groupBy("cell_a", "cell_b").agg(*_total()).select("cell_a", "cell_b", _pearson().alias("r"), "n")
+    if min_abs_r is not None:
+        half = half.filter(F.abs("r") >= min_abs_r)
     both = F.when(F.col("cell_a") == F.col("cell_b"), F.array(F.lit(False))) \
         .otherwise(F.array(F.lit(False), F.lit(True)))
     return half.withColumn("_swap", F.explode(both)).select(
@@ -92,6 +96,10 @@ def spatial_corr(df: DataFrame, group: int = 128, size: int = BLOCK, min_abs_r:
         F.when(F.col("_swap"), F.col("cell_a")).otherwise(F.col("cell_b")).alias("cell_b"), "r", "n")
 
 
+def _closed(packed: DataFrame) -> DataFrame:
+    return packed.select("cell_id", "blk", "off", "x").mapInArrow(close_rows, "cell_id STRING, blk BIGINT, z BINARY")
+
+
 def centres(df: DataFrame) -> DataFrame:
     """``(cell_id, centre)``, settled."""
     return settle(df.groupBy("cell_id").agg(F.avg("v").alias("centre")))

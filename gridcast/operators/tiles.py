@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from gridcast.functions.scale_out import row_groups
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 HELD = 32 << 20            # bytes of one group of cells in a task
 ROWS_OUT = 1 << 15         # of one batch handed back to Spark
+RUN = 32                   # pairs that are followed by their mirror images
 
 
 def group_cells(cells: int, slots: int, cores: int, group: int, held: int = HELD) -> int:
@@ -72,6 +74,53 @@ def pearson_of(sums: np.ndarray) -> np.ndarray:
     return np.where(varies, r, np.nan)
 
 
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """First all first bytes, then all second ones, and so on: equal exponents and signs come together."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T).tobytes()
+
+
+def _from_planes(raw: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def closed_up(off, x) -> bytes:
+    """A packed row in few bytes, for what is shuffled many times over; no bit is lost.
+
+    Values of few digits are short in planes, values that come again and again as a whole; the shorter of
+    the two counts, the first byte tells which.
+    """
+    off, x = _planes(np.diff(np.asarray(off, np.int64), prepend=0), "<i4"), np.asarray(x, "<f8")
+    forms = (b"p", _planes(x, "<f8")), (b"w", x.tobytes())
+    return min((form + zlib.compress(off + values, 1) for form, values in forms), key=len)
+
+
+def opened(z: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``(off, x)`` of :func:`closed_up`."""
+    raw = np.frombuffer(zlib.decompress(z[1:]), np.uint8)
+    n = len(raw) // 12
+    x = _from_planes(raw[4 * n:], "<f8") if z[:1] == b"p" else raw[4 * n:].view("<f8")
+    return np.cumsum(_from_planes(raw[:4 * n], "<i4"), dtype=np.int32), x
+
+
+def close_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(cell_id, blk, off, x)`` to ``(cell_id, blk, z)``."""
+    for batch in batches:
+        cell, blk, off, x = (batch.column(c) for c in ("cell_id", "blk", "off", "x"))
+        starts, offs, xs = off.offsets.to_numpy(), off.values.to_numpy(), x.values.to_numpy()
+        first = x.offsets.to_numpy() - starts
+        z = [closed_up(offs[a:b], xs[a + d:b + d]) for a, b, d in zip(starts[:-1], starts[1:], first)]
+        yield pa.RecordBatch.from_arrays([cell, blk, pa.array(z, pa.binary())], ["cell_id", "blk", "z"])
+
+
+def _open_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Closed rows as packed ones again, less the mean ``m`` of their cell where there is one."""
+    rows = [opened(z) for z in pdf["z"]]
+    x = [v for _, v in rows]
+    if "m" in pdf:
+        x = [v - m for v, m in zip(x, pdf["m"])]
+    return pdf.assign(off=pd.Series([o for o, _ in rows], pdf.index, object), x=pd.Series(x, pdf.index, object)).drop(columns="z")
+
+
 def _dense(pdf: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells, the first row of each and their values on the slots that any of them knows, NaN elsewhere."""
     row, ids = pd.factorize(pdf["cell_id"])
@@ -156,12 +205,24 @@ def _of_piece(names, i, j, sums, hit, same: bool):
     return names[0], names[1], i[p], j[q], sums[:, p, q]
 
 
+def in_both_orders(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(pair, mirrored)`` of the rows to give: a cell with itself once, all other pairs in both orders.
+
+    A run of pairs is followed by its mirror images, so that within a short way a value comes back and
+    one cell stays while the other ones come in the same order: few bytes for whoever writes the rows.
+    """
+    other = np.flatnonzero(left != right)
+    pair, mirrored = np.concatenate([np.arange(len(left)), other]), np.repeat([False, True], [len(left), len(other)])
+    order = np.argsort(pair // RUN * 2 + mirrored, kind="stable")
+    return pair[order], mirrored[order]
+
+
 def pairs_of_tiles(batches: Iterable[pa.RecordBatch], group: int, size: int, whole: bool, shared: bool,
                    least: float | None = None, may=None) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``_ga, _gb, _s, blk`` to ``(cell_a, cell_b, r, n)``, or to the six sums if the blocks of a
-    tile are ``shared`` by tasks. Pairs below ``least`` are left out."""
+    """Rows sorted by ``_ga, _gb, _s, blk`` to ``(cell_a, cell_b, r, n)`` in both orders, or, if the blocks of a
+    tile are ``shared`` by tasks, to the six sums, each pair once. Pairs below ``least`` are left out."""
     key = ["_ga", "_gb", "_s"]
-    frames = row_groups((batch.to_pandas() for batch in batches), key if whole else [*key, "blk"])
+    frames = map(_open_rows, row_groups((batch.to_pandas() for batch in batches), key if whole else [*key, "blk"]))
     ahead = next(frames, None)
     while ahead is not None:
         here = tuple(ahead[key].iloc[0])
@@ -172,23 +233,29 @@ def pairs_of_tiles(batches: Iterable[pa.RecordBatch], group: int, size: int, who
                 yield ahead
                 ahead = next(frames, None)
 
-        texts: dict[int, tuple] = {}
+        known: list = [(-1, -1)]
+
+        def coded(a, b):
+            """Numbers of the names of both sides, and the names as Arrow; made once as long as none come in addition."""
+            if known[0] != (len(a), len(b)):
+                code, names = pd.factorize(np.concatenate([a, b]))
+                known[:] = (len(a), len(b)), code[:len(a)], code[len(a):], pa.array(names, pa.string())
+            return known[1:]
 
         def batch(kept):
-            """One batch of what has been gathered; the names of a side are held as Arrow once."""
-            def of(side, ids, at):
-                if texts.get(side, (0,))[0] != len(ids):
-                    texts[side] = len(ids), pa.array(ids, pa.string())
-                return texts[side][1].take(pa.array(at))
-            names = kept[-1][0], kept[-1][1]
+            """One batch of what has been gathered."""
+            of_a, of_b, names = coded(kept[-1][0], kept[-1][1])
             i, j = (np.concatenate([k[c] for k in kept]) for c in (2, 3))
             sums = np.concatenate([k[4] for k in kept], axis=1)
-            cells = of(0, names[0], i), of(1, names[1], j)
-            n = pa.array(sums[0].astype(np.int64))
+            left, right, n = of_a[i], of_b[j], sums[0].astype(np.int64)
             if shared:
-                return pa.RecordBatch.from_arrays([*cells, n, *[pa.array(s) for s in sums[1:]]], ["cell_a", "cell_b", *SUMS])
+                return pa.RecordBatch.from_arrays([names.take(pa.array(left)), names.take(pa.array(right)), pa.array(n),
+                                                   *[pa.array(s) for s in sums[1:]]], ["cell_a", "cell_b", *SUMS])
             r = pearson_of(sums)
-            return pa.RecordBatch.from_arrays([*cells, pa.array(r, mask=np.isnan(r)), n], ["cell_a", "cell_b", "r", "n"])
+            pair, mirrored = in_both_orders(left, right)
+            cells = [names.take(pa.array(np.where(mirrored, y[pair], x[pair]))) for x, y in ((left, right), (right, left))]
+            return pa.RecordBatch.from_arrays([*cells, pa.array(r[pair], mask=np.isnan(r[pair])), pa.array(n[pair])],
+                                              ["cell_a", "cell_b", "r", "n"])
 
         kept, count = [], 0
         for a, b, i, j, sums in tile_pairs(blocks(), here[0], here[1], group, size, whole, may):

@@ -41,8 +41,8 @@ def supplier_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("bigint")
     return _table(spark, sf_dir, "lineitem") \
-        .groupBy(F.col("l_suppkey").cast("string").alias("cell_id"), div(day, 7).alias("t")) \
-        .agg(_total(F.col("l_quantity")))
+        .groupBy("l_suppkey", div(day, 7).alias("t")).agg(_total(F.col("l_quantity"))) \
+        .select(F.col("l_suppkey").cast("string").alias("cell_id"), "t", "v")
 
 
 def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

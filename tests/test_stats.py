@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -71,6 +72,42 @@ def test_spatial_corr_held_or_walked(spark, held):
     np.testing.assert_allclose(m.to_numpy(), frame.corr().loc[m.index, m.columns].to_numpy(), atol=1e-9)
 
 
+def test_closed_rows_are_short_and_lose_no_bit():
+    rng = np.random.default_rng(8)
+    measured = rng.integers(1, 150, 300).astype(float)
+    again = np.tile(rng.random(20), 15)
+    for off, x in (([], []), ([3], [-0.0]), ([0, 5, 1023], [np.inf, np.nan, 5e-324]), (range(0, 900, 3), measured),
+                   (range(300), again), (range(300), rng.normal(size=300))):
+        back, values = tiles.opened(tiles.closed_up(off, x))
+        assert list(back) == list(off) and values.tobytes() == np.asarray(x, float).tobytes()
+    assert max(len(tiles.closed_up(np.arange(300), x)) for x in (measured, again)) < 300 * 12 / 4
+
+
+def test_rows_copied_to_tiles_are_closed(spark):
+    """What is shuffled once per group of cells are closed rows, not the arrays of the packed ones."""
+    frame = pd.DataFrame(np.random.default_rng(4).random((60, 40)), columns=[f"c{i:02d}" for i in range(40)])
+    for least in (None, 0.2):
+        plan = stats.spatial_corr(to_spark(spark, frame), group=2, min_abs_r=least)._jdf.queryExecution().executedPlan().toString()
+        (fed,) = re.findall(r"MapInArrow pairs_of_tiles|MapInArrow <lambda>\(([^)]*)\)", plan)
+        assert "z#" in fed and "off#" not in fed and "x#" not in fed
+
+
+@pytest.mark.parametrize("least,most", [(None, 6), (0.05, 7.5)])
+def test_pairs_come_in_both_orders_in_few_bytes(spark, tmp_path, least, most):
+    """The result is written in few bytes: a value comes back soon after, and cells in runs."""
+    rng = np.random.default_rng(9)
+    frame = gaps(pd.DataFrame(rng.random((50, 600)), columns=[f"c{i:03d}" for i in range(600)]), rng, 0.1)
+    got = stats.spatial_corr(to_spark(spark, frame), min_abs_r=least)
+    got.coalesce(1).write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    pairs = back[["cell_a", "cell_b"]].apply(tuple, axis=1)
+    assert pairs.is_unique and set(pairs) == {(b, a) for a, b in pairs}
+    assert len(back) == 360_000 if least is None else 100_000 < len(back) < 360_000
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    print(f"{size / len(back):.2f} bytes a row")
+    assert size / len(back) < most
+
+
 def test_groups_of_cells_grow_with_the_cells():
     """Each cell is copied once per group: no more copies for more cells until a task is full."""
     assert tiles.group_cells(1_000, 358, 12, 128) == 128
